@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .chat_format import op5_chat_format
 from .media_ogg import op8_media_ogg
+from .pii import op2_pii
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op5_chat_format": op5_chat_format,
     "op8_media_ogg": op8_media_ogg,
 }
 
