@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .chat_format import op5_chat_format
 from .media_ogg import op8_media_ogg
 from .pii import op2_pii
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op5_chat_format": op5_chat_format,
     "op8_media_ogg": op8_media_ogg,
+    "op10_bpe": op10_bpe,
 }
 
 SQL: dict[str, str] = {}
