@@ -6,11 +6,13 @@ from .bpe import op10_bpe
 from .chat_format import op5_chat_format
 from .media_ogg import op8_media_ogg
 from .pii import op2_pii
+from .quality import op9_quality
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op5_chat_format": op5_chat_format,
     "op8_media_ogg": op8_media_ogg,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
