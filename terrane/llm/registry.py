@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .chat_format import op5_chat_format
+from .decontaminate import op1_decontaminate
 from .media_ogg import op8_media_ogg
 from .pii import op2_pii
 from .quality import op9_quality
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op5_chat_format": op5_chat_format,
     "op8_media_ogg": op8_media_ogg,
