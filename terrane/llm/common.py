@@ -102,3 +102,29 @@ def unpack(raw: bytes) -> np.ndarray:
     b = np.zeros((len(raw) // 6, 8), np.uint8)
     b[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return b.view(">u8").ravel().astype(np.uint64)
+
+
+#: A sieve is a bit map of BUCKETS * BITS bits (8 million, 1 MB), whatever it is made from, so it may be broadcast.
+BUCKETS, BITS = 256, 32_768
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(key), 16), F.lit(BITS))
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    return keys.groupBy(_bucket(F.col(key)).alias("bucket_")).agg(F.bitmap_construct_agg(_bit(F.col(key))).alias("bits_"))
+
+
+def sifted(df: DataFrame, key: str, bits: DataFrame, flag: str = "maybe_") -> DataFrame:
+    """The table with a flag: false where the key is surely not among the sieve's. It only saves work: what it lets
+    through is joined exactly afterwards."""
+    out = df.withColumn("bucket_", _bucket(F.col(key))).join(F.broadcast(bits), "bucket_", "left")
+    place = _bit(F.col(key))
+    byte = F.conv(F.hex(F.substring(F.col("bits_"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod(place, F.lit(8)).cast("int") + 1)
+    return out.withColumn(flag, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("bucket_", "bits_")

@@ -8,10 +8,12 @@ from .decontaminate import op1_decontaminate
 from .media_ogg import op8_media_ogg
 from .pii import op2_pii
 from .quality import op9_quality
+from .warc import op4_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
+    "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
     "op8_media_ogg": op8_media_ogg,
     "op9_quality": op9_quality,
