@@ -6,6 +6,7 @@ from .bpe import op10_bpe
 from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
 from .media_ogg import op8_media_ogg
+from .ngram_join import op3_ngram_join
 from .pii import op2_pii
 from .quality import op9_quality
 from .warc import op4_warc
@@ -13,6 +14,7 @@ from .warc import op4_warc
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
+    "op3_ngram_join": op3_ngram_join,
     "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
     "op8_media_ogg": op8_media_ogg,
