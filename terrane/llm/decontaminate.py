@@ -149,16 +149,19 @@ def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
+def _searcher(held):
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([h for i in range(0, len(part), 1000) for h in held.value.search(list(part.iloc[i : i + 1000]))], dtype=object)
+
+    return search
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents' columns and hits: the benchmark items that each whole text holds."""
     out = docs.withColumn("hits", F.array().cast(HITS))
     for items in _shards(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(Index(items))
-
-        def search(parts: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            for part in parts:
-                yield pd.Series([h for i in range(0, len(part), 1000) for h in held.value.search(list(part.iloc[i : i + 1000]))], dtype=object)
-
+        search = _searcher(docs.sparkSession.sparkContext.broadcast(Index(items)))
         out = out.withColumn("hits", F.concat("hits", F.pandas_udf(search, HITS)("text")))
     return out
 
