@@ -7,6 +7,7 @@ from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
 from .media_ogg import op8_media_ogg
 from .ngram_join import op3_ngram_join
+from .paragraphs import op6_paragraphs
 from .pii import op2_pii
 from .quality import op9_quality
 from .warc import op4_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
+    "op6_paragraphs": op6_paragraphs,
     "op8_media_ogg": op8_media_ogg,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
