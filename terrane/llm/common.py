@@ -128,3 +128,11 @@ def sifted(df: DataFrame, key: str, bits: DataFrame, flag: str = "maybe_") -> Da
     byte = F.conv(F.hex(F.substring(F.col("bits_"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod(place, F.lit(8)).cast("int") + 1)
     return out.withColumn(flag, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("bucket_", "bits_")
+
+
+def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Left join with a table that has one row for few of the keys; only rows that its sieve lets through are shuffled."""
+    extra = [c for c in few.columns if c != key]
+    marked = sifted(df, key, sieve(few, key))
+    sure = marked.where("not maybe_").select(*df.columns, *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in extra])
+    return sure.unionByName(marked.where("maybe_").join(few, key, "left").select(*df.columns, *extra))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_words, mix, pack, salted_join, shingles, sieve, sifted, stored, table
+from .common import WordHash, ascii_words, join_few, mix, pack, salted_join, shingles, sieve, sifted, stored, table
 from .linking import link
 
 MIN_WORDS = 25
@@ -126,7 +126,8 @@ def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents' columns; removals are cut out of the texts, with their line ends."""
     gone = repeats(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone_"))
+    gone = stored(gone, "removals")
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
     kept = F.filter(lines, lambda x: ~F.array_contains("gone_", x["i"]))
     text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return docs.join(gone, "doc_id", "left").withColumn("text", text).select(docs.columns)
+    return join_few(docs, gone, "doc_id").withColumn("text", text).select(docs.columns)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, stored, table
+from .common import join_few, salted_join, stored, table
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MAIL = "A-Za-z0-9._%+-"
@@ -107,8 +107,8 @@ def _term_spans(docs: DataFrame) -> DataFrame:
 def find_private(docs: DataFrame) -> DataFrame:
     """The documents' columns, with base (spans of the patterns) and spans (those and the disclosing terms)."""
     seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    extra = _term_spans(seen).groupBy("doc_id").agg(F.max("term_spans").alias("term_spans"))
-    out = docs.withColumn("base", base_spans(F.coalesce("text", F.lit("")))).join(extra, "doc_id", "left")
+    extra = stored(_term_spans(seen).groupBy("doc_id").agg(F.max("term_spans").alias("term_spans")), "terms")
+    out = join_few(docs, extra, "doc_id").withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("term_spans", F.array().cast(SPAN))))).drop("term_spans")
 
 
