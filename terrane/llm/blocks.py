@@ -141,8 +141,9 @@ def dealt(rows: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "k")
 
 
-def answered(rows: DataFrame, shards: int, answer: Callable[[list[list[bytes]], list[list[np.ndarray]]], list[bytes]]) -> DataFrame:
-    """answer(words of each block, their arrays) gives one blob for each block of a shard. Rows: k, block, shard, data."""
+def answered(rows: DataFrame, shards: int, answer: Callable[[list[list[bytes]], list[list[np.ndarray]]], list[bytes]], totals: bool = False) -> DataFrame:
+    """answer(words of each block, their arrays) gives one blob for each block of a shard, and with totals one more for
+    the shard itself, whose row has block -1. Rows: k, block, shard, data."""
 
     def run(group: pa.Table) -> pa.Table:
         k = group.column("k")[0].as_py()
@@ -151,7 +152,7 @@ def answered(rows: DataFrame, shards: int, answer: Callable[[list[list[bytes]],
             return schema.empty_table()
         words, arrays = zip(*(unpress_words(d.as_buffer()) for d in group.column("data")), strict=True)
         blobs = answer(list(words), list(arrays))
-        blocks = group.column("block").to_pylist()
+        blocks = group.column("block").to_pylist() + [-1] * totals
         return pa.table([[shards + b for b in blocks], blocks, [k] * len(blocks), blobs], schema=schema)
 
     return rows.groupBy("k").applyInArrow(run, "k long, block long, shard int, data binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .chat_format import op5_chat_format
 from .decontaminate import op1_decontaminate
+from .lm_score import op7_lm_score
 from .media_ogg import op8_media_ogg
 from .ngram_join import op3_ngram_join
 from .paragraphs import op6_paragraphs
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_chat_format": op5_chat_format,
     "op6_paragraphs": op6_paragraphs,
+    "op7_lm_score": op7_lm_score,
     "op8_media_ogg": op8_media_ogg,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
