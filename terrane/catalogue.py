@@ -1,6 +1,833 @@
-"""All queries over the given tables, with the SQL that says the same."""
+"""All queries over the given tables, with the SQL that says the same.
+
+The tables stand in for meshes and matrices: points are the first three components of `embeddings`, the graph joins
+each with its six nearest, faces are the triangles of that graph; A is supplier x part with the summed quantities,
+G = A A' is symmetric, and suppliers, nations and regions are a nested hierarchy. Floats that come from sums are
+rounded to nine places, since sums depend on their order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geom
+from .operators import cluster, graph, matrix, prolong, sampling
+from .plans import decimate, hierarchy, solver
+from .schema import Hierarchy, Options, Sampling, Weighting
+from .sources import mesh, report
+
+K, RADIUS = 6, 0.12
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 9) + F.lit(0.0)
+
+
+# Fixtures, in both languages.
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return graph.knn(points(spark, d), K, _table(spark, d, "embeddings").count())
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.undirected(near(spark, d))
+
+
+def lengths(spark: SparkSession, d: str) -> DataFrame:
+    return graph.with_ends(edges(spark, d), points(spark, d))
+
+
+def faces(spark: SparkSession, d: str) -> DataFrame:
+    t = prolong.triangles(edges(spark, d))
+    return t.select((F.col("a") * 1_000_000_000_000 + F.col("b") * 1_000_000 + F.col("c")).alias("f"), "a", "b", "c")
+
+
+def supplier_part(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+
+
+def a_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.coalesce(supplier_part(spark, d))
+
+
+def g_matrix(spark: SparkSession, d: str) -> DataFrame:
+    a = a_matrix(spark, d)
+    return matrix.spgemm(a, matrix.transpose(a))
+
+
+def u_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("long").alias("j"), F.lit(1.0).alias("v"))
+
+
+def u_region(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").cast("long").alias("j"), F.lit(1.0).alias("v"))
+
+
+def part_vector(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.lit(0).alias("col"), (F.col("p_partkey") + 1).cast("double").alias("v"))
+
+
+def supplier_vector(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.lit(0).alias("col"), (F.col("s_suppkey") + 1).cast("double").alias("v"))
+
+
+def shifted(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's Laplacian plus the identity: symmetric and positive definite."""
+    one = points(spark, d).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    return matrix.add((1, matrix.graph_laplacian(edges(spark, d))), (1, one))
+
+
+def unit(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).select(F.col("id").alias("i"), F.lit(0).alias("col"), (F.pmod("id", F.lit(7)) + 1).cast("double").alias("v"))
+
+
+P = """p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
+_D = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+KNN = f"""{P}, pd AS (SELECT a.id AS i, b.id AS j, {_D} AS d FROM p a JOIN p b ON a.id <> b.id),
+knn AS (SELECT * FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS slot FROM pd) WHERE slot <= {K})"""
+E = f"{KNN}, e AS (SELECT i, j FROM knn UNION SELECT j, i FROM knn)"
+ED = f"{E}, ed AS (SELECT e.i, e.j, {_D} AS d FROM e JOIN p a ON a.id = e.i JOIN p b ON b.id = e.j)"
+T = f"{E}, t AS (SELECT x.i AS a, x.j AS b, y.j AS c FROM e x JOIN e y ON x.i = y.i AND x.i < x.j AND x.j < y.j JOIN e z ON z.i = x.j AND z.j = y.j)"
+TP = f"""{T}, tp AS (SELECT t.*, p1.x AS ax, p1.y AS ay, p1.z AS az, p2.x AS bx, p2.y AS "by", p2.z AS bz, p3.x AS cx, p3.y AS cy, p3.z AS cz
+FROM t JOIN p p1 ON p1.id = a JOIN p p2 ON p2.id = b JOIN p p3 ON p3.id = c)"""
+A = "a AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+G = f"{A}, g AS (SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM a x JOIN a y ON x.j = y.j GROUP BY 1, 2)"
+U = """u0 AS (SELECT s_suppkey AS i, CAST(s_nationkey AS BIGINT) AS j FROM supplier), u1 AS (SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_regionkey AS BIGINT) AS j FROM nation)"""
+L = f"""{E}, lap AS (SELECT i, i AS j, CAST(count(*) AS DOUBLE) AS v FROM e GROUP BY i UNION ALL SELECT i, j, -1.0 FROM e),
+m AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM lap UNION ALL SELECT id, id, 1.0 FROM p) GROUP BY 1, 2),
+b AS (SELECT id AS i, CAST(id % 7 + 1 AS DOUBLE) AS v FROM p)"""
+
+
+def _mv(m: str, x: str) -> str:
+    return f"(SELECT {m}.i, sum({m}.v * {x}.v) AS v FROM {m} JOIN {x} ON {m}.j = {x}.i GROUP BY 1)"
+
+
+def _sv(p: str) -> tuple[str, str, str]:
+    return tuple(f'"{p}{c}"' for c in "xyz")  # type: ignore[return-value]
+
+
+def _sminus(a, b):
+    return tuple(f"({x} - {y})" for x, y in zip(a, b, strict=True))
+
+
+def _sdot(a, b):
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def _scross(a, b):
+    return f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"
+
+
+_E1, _E2 = _sminus(_sv("b"), _sv("a")), _sminus(_sv("c"), _sv("a"))
+_N = _scross(_E1, _E2)
+_NN = f"sqrt({_sdot(_N, _N)})"
+
+
+def _sr(x: str) -> str:
+    return f"round({x}, 9) + 0.0"
+
+
+# Sparse algebra.
+
+
+@query("spmv", f"WITH {A} SELECT i, sum(v * (j + 1)) AS v FROM a WHERE j IN (SELECT p_partkey FROM part) GROUP BY i")
+def spmv(spark, d):
+    return matrix.spmv(a_matrix(spark, d), part_vector(spark, d)).select("i", "v")
+
+
+@query("spmv_transpose", f"WITH {A} SELECT j AS i, sum(v * (i + 1)) AS v FROM a WHERE i IN (SELECT s_suppkey FROM supplier) GROUP BY j")
+def spmv_transpose(spark, d):
+    return matrix.spmv_t(a_matrix(spark, d), supplier_vector(spark, d)).select("i", "v")
+
+
+@query("coo_coalesce", f"WITH {A} SELECT i, j, v FROM a")
+def coo_coalesce(spark, d):
+    return a_matrix(spark, d)
+
+
+@query("gram", f"WITH {G} SELECT i, j, v FROM g")
+def gram(spark, d):
+    return g_matrix(spark, d)
+
+
+_G0 = "g0 AS (SELECT x.j AS i, y.j AS j, sum(g.v) AS v FROM g JOIN u0 x ON x.i = g.i JOIN u0 y ON y.i = g.j GROUP BY 1, 2)"
+
+
+@query("galerkin_nation", f"WITH {G}, {U}, {_G0} SELECT i, j, v FROM g0")
+def galerkin_nation(spark, d):
+    return matrix.galerkin(u_nation(spark, d), g_matrix(spark, d))
+
+
+@query("galerkin_region", f"WITH {G}, {U}, {_G0} SELECT x.j AS i, y.j AS j, sum(g0.v) AS v FROM g0 JOIN u1 x ON x.i = g0.i JOIN u1 y ON y.i = g0.j GROUP BY 1, 2")
+def galerkin_region(spark, d):
+    return matrix.galerkin(u_region(spark, d), galerkin_nation(spark, d))
+
+
+@query("matrix_add_scale", f"WITH {G} SELECT i, j, sum(v) AS v FROM (SELECT i, j, 2 * v AS v FROM g UNION ALL SELECT s_suppkey, s_suppkey, 3.0 FROM supplier) GROUP BY 1, 2")
+def matrix_add_scale(spark, d):
+    one = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("j"), F.lit(1.0).alias("v"))
+    return matrix.add((2, g_matrix(spark, d)), (3, one))
+
+
+@query("diag", f"WITH {A} SELECT i, i AS j, sum(v * v) AS v FROM a GROUP BY i")
+def diag(spark, d):
+    return matrix.diagonal(g_matrix(spark, d))
+
+
+@query("diag_inverse", f"WITH {A} SELECT i, {_sr('1e9 / sum(v * v)')} AS v FROM a GROUP BY i")
+def diag_inverse(spark, d):
+    return matrix.inverse_diagonal(g_matrix(spark, d)).select("i", _r(F.lit(1e9) / (F.lit(1.0) / F.col("v"))).alias("v"))
+
+
+@query("transpose", f"WITH {A} SELECT j AS i, i AS j, v FROM a")
+def transpose(spark, d):
+    return matrix.transpose(a_matrix(spark, d))
+
+
+@query("dot_product", f"WITH {A}, y AS (SELECT i, sum(v * (j + 1)) AS v FROM a GROUP BY i) SELECT sum(v * v) AS v, {_sr('sqrt(sum(v * v))')} AS norm FROM y")
+def dot_product(spark, d):
+    y = matrix.spmv(a_matrix(spark, d), part_vector(spark, d))
+    return matrix.dot(y, y).select("v", _r(F.sqrt("v")).alias("norm"))
+
+
+# Graphs.
+
+
+@query("knn", f"WITH {KNN} SELECT i, j, d, CAST(slot AS INTEGER) AS slot FROM knn")
+def knn(spark, d):
+    return near(spark, d).select("i", "j", "d", "slot")
+
+
+@query("knn_undirected", f"WITH {E} SELECT i, j FROM e")
+def knn_undirected(spark, d):
+    return edges(spark, d)
+
+
+@query("edge_slots", f"WITH {E} SELECT i, j, CAST(row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS INTEGER) AS slot FROM e")
+def edge_slots(spark, d):
+    return graph.edge_slots(edges(spark, d))
+
+
+@query("padded_adjacency", f"WITH {E}, r AS (SELECT i, list(j ORDER BY j) AS js FROM e GROUP BY i) SELECT i, array_to_string(js, ',') || repeat(',-1', CAST((SELECT max(len(js)) FROM r) - len(js) AS BIGINT)) AS neighbours FROM r")
+def padded_adjacency(spark, d):
+    return graph.padded_adjacency(edges(spark, d)).select("i", F.concat_ws(",", F.transform("neighbours", lambda x: x.cast("string"))).alias("neighbours"))
+
+
+@query("pattern_edges", f"WITH {A} SELECT j AS i, i AS j FROM a")
+def pattern_edges(spark, d):
+    return graph.pattern_edges(supplier_part(spark, d))
+
+
+@query("face_edges", f"WITH {T} SELECT a AS i, b AS j FROM t UNION SELECT b, a FROM t UNION SELECT b, c FROM t UNION SELECT c, b FROM t UNION SELECT a, c FROM t UNION SELECT c, a FROM t")
+def face_edges(spark, d):
+    return graph.face_edges(faces(spark, d))
+
+
+@query("avg_edge_length", f"WITH {ED} SELECT {_sr('avg(d)')} AS length FROM ed WHERE d > 0")
+def avg_edge_length(spark, d):
+    return sampling.average_edge_length(lengths(spark, d)).select(_r("length").alias("length"))
+
+
+@query("normalize_bbox", f"WITH {P}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p), s AS (SELECT max(greatest(abs(x - mx), abs(y - my), abs(z - mz))) AS s FROM p, m) SELECT id, {_sr('(x - mx) / s * 0.5')} AS x, {_sr('(y - my) / s * 0.5')} AS y, {_sr('(z - mz) / s * 0.5')} AS z FROM p, m, s")
+def normalize_bbox(spark, d):
+    return graph.normalise_box(points(spark, d)).select("id", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query("normalize_area", f"WITH {TP}, m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p), s AS (SELECT sqrt(sum({_NN} * 0.5)) AS s FROM tp) SELECT id, {_sr('(x - mx) / s')} AS x, {_sr('(y - my) / s')} AS y, {_sr('(z - mz) / s')} AS z FROM p, m, s")
+def normalize_area(spark, d):
+    return graph.normalise_area(points(spark, d), faces(spark, d)).select("id", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query("scale_longest", f"WITH {P}, m AS (SELECT min(x) AS ax, min(y) AS ay, min(z) AS az, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS s FROM p) SELECT id, {_sr('(x - ax) / s')} AS x, {_sr('(y - ay) / s')} AS y, {_sr('(z - az) / s')} AS z FROM p, m")
+def scale_longest(spark, d):
+    return graph.scale_longest(points(spark, d)).select("id", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query("axis_order", f"WITH {P}, s AS (SELECT stddev_pop(x) AS sx, stddev_pop(y) AS sy, stddev_pop(z) AS sz FROM p), v AS (SELECT id, list_sort([{{'s': sx, 'v': x}}, {{'s': sy, 'v': y}}, {{'s': sz, 'v': z}}]) AS o FROM p, s) SELECT id, o[1].v AS x, o[2].v AS y, o[3].v AS z FROM v")
+def axis_order(spark, d):
+    return graph.axis_order(points(spark, d))
+
+
+@query("edge_manifold", f"WITH {T} SELECT a, b, count(*) AS faces, count(*) <= 2 AS manifold FROM (SELECT a, b FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT a, c FROM t) GROUP BY 1, 2")
+def edge_manifold(spark, d):
+    return graph.edge_manifold(faces(spark, d))
+
+
+@query("compact_reindex", "SELECT o_custkey AS id, row_number() OVER (ORDER BY o_custkey) - 1 AS new_id FROM (SELECT DISTINCT o_custkey FROM orders)")
+def compact_reindex(spark, d):
+    return graph.dense_ids(_table(spark, d, "orders").select(F.col("o_custkey").alias("id")))
+
+
+@query("two_ring_graph", f"WITH {E}, r AS (SELECT i, j FROM e UNION SELECT x.i, y.j FROM e x JOIN e y ON x.j = y.i) SELECT i, j FROM r WHERE i <> j AND i % 8 = 0 AND j % 8 = 0")
+def two_ring_graph(spark, d):
+    return graph.two_ring(edges(spark, d), points(spark, d).where("id % 8 = 0"))
+
+
+@query("one_ring_faces", f"WITH {T} SELECT a, b, c FROM t WHERE a IN (0, 1) OR b IN (0, 1) OR c IN (0, 1)")
+def one_ring_faces(spark, d):
+    return graph.one_ring_faces(faces(spark, d), 0, 1).select("a", "b", "c")
+
+
+@query("collapse_relabel", f"WITH {T}, s AS (SELECT min(a) AS k, min_by(b, a * 1000000 + b) AS g FROM t) SELECT CASE WHEN a = g THEN k ELSE a END AS a, CASE WHEN b = g THEN k ELSE b END AS b, CASE WHEN c = g THEN k ELSE c END AS c FROM t, s WHERE NOT (k IN (a, b, c) AND g IN (a, b, c))")
+def collapse_relabel(spark, d):
+    t = faces(spark, d)
+    first = t.agg(F.min(F.struct("a", "b")).alias("e")).first().e
+    return graph.collapse_faces(t, first.a, first.b).select("a", "b", "c")
+
+
+@query("vertex_normals", f"WITH {TP}, n AS (SELECT unnest([a, b, c]) AS id, {_N[0]} AS nx, {_N[1]} AS ny, {_N[2]} AS nz FROM tp), s AS (SELECT id, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM n GROUP BY id) SELECT id, {_sr('nx / sqrt(nx * nx + ny * ny + nz * nz)')} AS x, {_sr('ny / sqrt(nx * nx + ny * ny + nz * nz)')} AS y, {_sr('nz / sqrt(nx * nx + ny * ny + nz * nz)')} AS z FROM s")
+def vertex_normals(spark, d):
+    return graph.vertex_normals(points(spark, d), faces(spark, d)).select("id", *[_r(c).alias(c) for c in "xyz"])
+
+
+# Sampling and cells.
+
+_COVER = f"cover AS (SELECT j, i, min(d) AS d FROM (SELECT i AS j, j AS i, d FROM ed WHERE d < {RADIUS} UNION ALL SELECT x.i, y.j, x.d + y.d FROM ed x JOIN ed y ON x.j = y.i WHERE x.d < {RADIUS} AND x.d + y.d < {RADIUS} AND x.i <> y.j) GROUP BY 1, 2)"
+_COVER1 = f"cover AS (SELECT i AS j, j AS i, d FROM ed WHERE d < {RADIUS})"
+
+
+def _scan(cover: str) -> str:
+    return f"""WITH RECURSIVE {ED}, {cover}, cov AS (SELECT i, list(j) AS js FROM cover WHERE j < i GROUP BY i),
+s AS (SELECT CAST(-1 AS BIGINT) AS id, CAST([] AS BIGINT[]) AS chosen UNION ALL SELECT s.id + 1, CASE WHEN cov.js IS NOT NULL AND list_has_any(cov.js, s.chosen) THEN s.chosen ELSE list_append(s.chosen, s.id + 1) END
+FROM s LEFT JOIN cov ON cov.i = s.id + 1 WHERE s.id + 1 < (SELECT count(*) FROM embeddings)) SELECT unnest(chosen) AS id FROM (SELECT chosen FROM s ORDER BY id DESC LIMIT 1)"""
+
+
+@query("cover_pairs", f"WITH {ED}, {_COVER} SELECT j, i, d FROM cover")
+def cover_pairs(spark, d):
+    return sampling.cover(lengths(spark, d), RADIUS, 2)
+
+
+@query("fastdisk_samples", _scan(_COVER))
+def fastdisk_samples(spark, d):
+    return sampling.fastdisk(points(spark, d), lengths(spark, d), RADIUS)[0]
+
+
+@query("mis_samples", _scan(_COVER1))
+def mis_samples(spark, d):
+    return sampling.mis(points(spark, d), lengths(spark, d), RADIUS)[0]
+
+
+@query("poisson_disk")
+def poisson_disk(spark, d):
+    return sampling.poisson_disk(points(spark, d), RADIUS)
+
+
+@query("random_sample")
+def random_sample(spark, d):
+    return sampling.random_sample(points(spark, d), 60)
+
+
+@query("fps")
+def fps(spark, d):
+    return sampling.farthest_points(points(spark, d), lengths(spark, d), 6, 0)
+
+
+_NEAR = "lab AS (SELECT id, label, d FROM (SELECT id, label, d, row_number() OVER (PARTITION BY id ORDER BY d, label) AS r FROM (SELECT id, id AS label, 0.0 AS d FROM p WHERE id % 8 = 0 UNION ALL SELECT j, i, d FROM ed WHERE i % 8 = 0 AND j % 8 <> 0)) WHERE r = 1)"
+
+
+def _labels(spark, d) -> DataFrame:
+    samples = points(spark, d).where("id % 8 = 0").select("id")
+    return cluster.labels_from_cover(samples, lengths(spark, d).select(F.col("i").alias("j"), F.col("j").alias("i"), "d"))
+
+
+@query("nearest_label", f"WITH {ED}, {_NEAR} SELECT id, label, d FROM lab")
+def nearest_label(spark, d):
+    return _labels(spark, d)
+
+
+def _relaxed(rounds: int) -> str:
+    out = "r0 AS (SELECT id, 0.0 AS d FROM p WHERE id % 8 = 0)"
+    for k in range(rounds):
+        out += f", r{k + 1} AS (SELECT id, min(d) AS d FROM (SELECT id, d FROM r{k} UNION ALL SELECT ed.j, r{k}.d + ed.d FROM r{k} JOIN ed ON ed.i = r{k}.id) GROUP BY id)"
+    return out
+
+
+@query("multi_source_distance", f"WITH {ED}, {_relaxed(6)} SELECT id, {_sr('d')} AS d FROM r6")
+def multi_source_distance(spark, d):
+    sources = points(spark, d).where("id % 8 = 0").select("id", F.col("id").alias("label"), F.lit(0.0).alias("d"))
+    return cluster.relax(lengths(spark, d), sources, rounds=6).select("id", _r("d").alias("d"))
+
+
+_CELLS = "cg AS (SELECT DISTINCT x.label AS i, y.label AS j FROM e JOIN lab x ON x.id = e.i JOIN lab y ON y.id = e.j WHERE x.label <> y.label)"
+
+
+@query("cell_graph", f"WITH {ED}, {_NEAR}, {_CELLS} SELECT i, j FROM cg")
+def cell_graph(spark, d):
+    return cluster.cell_graph(edges(spark, d), _labels(spark, d))
+
+
+_CENTRE = "ce AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM lab JOIN p USING (id) GROUP BY label)"
+
+
+@query("cell_centroids", f"WITH {ED}, {_NEAR}, {_CENTRE} SELECT label, {_sr('x')} AS x, {_sr('y')} AS y, {_sr('z')} AS z, n FROM ce")
+def cell_centroids(spark, d):
+    return cluster.centroids(points(spark, d), _labels(spark, d)).select("label", *[_r(c).alias(c) for c in "xyz"], "n")
+
+
+@query("nested_positions", f"WITH {P} SELECT id AS label, x, y, z FROM p WHERE id % 8 = 0")
+def nested_positions(spark, d):
+    return cluster.nested_positions(points(spark, d), points(spark, d).where("id % 8 = 0"))
+
+
+@query("singleton_positions", f"WITH {ED}, {_NEAR}, {_CELLS}, {_CENTRE}, ar AS (SELECT label, avg(p.x) AS x, avg(p.y) AS y, avg(p.z) AS z FROM (SELECT i AS label, j AS id FROM cg UNION ALL SELECT label, label FROM ce) JOIN p USING (id) GROUP BY label) SELECT label, {_sr('CASE WHEN n = 1 THEN ar.x ELSE ce.x END')} AS x, {_sr('CASE WHEN n = 1 THEN ar.y ELSE ce.y END')} AS y, {_sr('CASE WHEN n = 1 THEN ar.z ELSE ce.z END')} AS z FROM ce JOIN ar USING (label)")
+def singleton_positions(spark, d):
+    labels = _labels(spark, d)
+    return cluster.coarse_positions(points(spark, d), labels, cluster.cell_graph(edges(spark, d), labels)).select("label", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query("padded_rows", f"WITH {ED}, {_NEAR}, {_CELLS}, r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) AS slot FROM cg) SELECT i, j, CAST(slot AS INTEGER) AS slot FROM r WHERE slot < (SELECT max(slot) FROM r) UNION ALL SELECT id, id, 0 FROM p WHERE id % 8 = 0")
+def padded_rows(spark, d):
+    return cluster.padded_rows(points(spark, d).where("id % 8 = 0"), cell_graph(spark, d), truncate=True)
+
+
+# Triangles and weights.
+
+
+@query("triangles", f"WITH {T} SELECT a, b, c FROM t")
+def triangles(spark, d):
+    return prolong.triangles(edges(spark, d))
+
+
+@query("triangle_normals", f"WITH {TP} SELECT a, b, c, {_sr(f'{_N[0]} / {_NN}')} AS nx, {_sr(f'{_N[1]} / {_NN}')} AS ny, {_sr(f'{_N[2]} / {_NN}')} AS nz FROM tp")
+def triangle_normals(spark, d):
+    return prolong.triangle_normals(triangles(spark, d), points(spark, d)).select("a", "b", "c", *[_r(f"n{c}").alias(f"n{c}") for c in "xyz"])
+
+
+_AB, _BC, _CA = _sminus(_sv("b"), _sv("a")), _sminus(_sv("c"), _sv("b")), _sminus(_sv("a"), _sv("c"))
+
+
+@query("triangle_quality", f"WITH {TP} SELECT a, b, c, {_sr(f'6.928203230275509 * ({_NN} * 0.5) / ({_sdot(_AB, _AB)} + {_sdot(_BC, _BC)} + {_sdot(_CA, _CA)})')} AS quality FROM tp")
+def triangle_quality(spark, d):
+    t = prolong.with_corners(triangles(spark, d), points(spark, d))
+    return t.select("a", "b", "c", _r(geom.quality(geom.at("a"), geom.at("b"), geom.at("c"))).alias("quality"))
+
+
+@query("signed_area", f'WITH {TP} SELECT a, b, c, {_sr("""((bx - ax) * (cy - ay) - (cx - ax) * ("by" - ay)) * 0.5""")} AS area FROM tp')
+def signed_area(spark, d):
+    t = prolong.with_corners(triangles(spark, d), points(spark, d))
+    return t.select("a", "b", "c", _r(geom.signed_area(geom.at("a"), geom.at("b"), geom.at("c"))).alias("area"))
+
+
+_PB = f"{TP}, tq AS (SELECT tp.*, q.id AS q, q.x AS px, q.y AS py, q.z AS pz FROM tp JOIN p q ON q.id = (a * 7 + b * 3 + c) % 500)"
+_EP = _sminus(_sv("p"), _sv("a"))
+_DET = f"({_sdot(_E1, _E1)} * {_sdot(_E2, _E2)} - {_sdot(_E1, _E2)} * {_sdot(_E1, _E2)})"
+_WB = f"(({_sdot(_E2, _E2)} * {_sdot(_EP, _E1)} - {_sdot(_E1, _E2)} * {_sdot(_EP, _E2)}) / {_DET})"
+_WC = f"(({_sdot(_E1, _E1)} * {_sdot(_EP, _E2)} - {_sdot(_E1, _E2)} * {_sdot(_EP, _E1)}) / {_DET})"
+
+
+@query("barycentric", f"WITH {_PB} SELECT a, b, c, q, {_sr(f'1.0 - {_WB} - {_WC}')} AS wa, {_sr(_WB)} AS wb, {_sr(_WC)} AS wc FROM tq")
+def barycentric(spark, d):
+    q = points(spark, d).select(F.col("id").alias("q"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    t = prolong.with_corners(triangles(spark, d), points(spark, d)).join(q, F.col("q") == (F.col("a") * 7 + F.col("b") * 3 + F.col("c")) % 500)
+    w = geom.barycentric(geom.at("p"), geom.at("a"), geom.at("b"), geom.at("c"))
+    return t.select("a", "b", "c", "q", *[_r(v).alias(n) for v, n in zip(w, ("wa", "wb", "wc"), strict=True)])
+
+
+@query("weights_invdist", f"WITH {ED} SELECT i, j, {_sr('1 / greatest(d, 1e-8) / sum(1 / greatest(d, 1e-8)) OVER (PARTITION BY i)')} AS w FROM ed")
+def weights_invdist(spark, d):
+    return prolong.inverse_distance(lengths(spark, d)).select("i", "j", _r("w").alias("w"))
+
+
+@query("weights_uniform", f"WITH {E} SELECT i, j, {_sr('1.0 / count(*) OVER (PARTITION BY i)')} AS w FROM e")
+def weights_uniform(spark, d):
+    return prolong.uniform(edges(spark, d)).select("i", "j", _r("w").alias("w"))
+
+
+_SEG = f"{KNN}, s AS (SELECT k.i, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS \"by\", b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM knn k JOIN knn l ON l.i = k.i AND l.slot = 2 JOIN p a ON a.id = k.i JOIN p b ON b.id = k.j JOIN p c ON c.id = l.j WHERE k.slot = 1)"
+_SB, _SC = _sminus(_sv("c"), _sv("b")), _sminus(_sv("a"), _sv("b"))
+
+
+@query("weights_segment", f"WITH {_SEG} SELECT i, {_sr(f'greatest(0.0, least(1.0, {_sdot(_SC, _SB)} / greatest({_sdot(_SB, _SB)}, 1e-16)))')} AS t FROM s")
+def weights_segment(spark, d):
+    n, p = near(spark, d), points(spark, d)
+    at = lambda k, c: p.select(F.col("id").alias(k), *[F.col(x).alias(f"{c}{x}") for x in "xyz"])
+    t = n.where("slot = 1").select("i", F.col("j").alias("j1")).join(n.where("slot = 2").select("i", F.col("j").alias("j2")), "i")
+    t = t.join(at("i", "a"), "i").join(at("j1", "b"), "j1").join(at("j2", "c"), "j2")
+    return t.select("i", _r(geom.on_segment(geom.at("a"), geom.at("b"), geom.at("c"))).alias("t"))
+
+
+def _small(**more) -> Options:
+    return Options(lower_bound=20, **more)
+
+
+def _level_weights(spark, d, **more) -> DataFrame:
+    return hierarchy.build(points(spark, d), edges(spark, d), _small(most_levels=1, **more)).weights[0]
+
+
+_ONES = "SELECT vec_id AS i, 1.0::DOUBLE AS w FROM embeddings"
+
+
+def _row_sums(w: DataFrame) -> DataFrame:
+    return w.groupBy("i").agg(F.round(F.sum("w"), 9).alias("w"))
+
+
+@query("prolongation_rowsum", _ONES)
+def prolongation_rowsum(spark, d):
+    return _row_sums(_level_weights(spark, d))
+
+
+@query("prolongation_uniform_rowsum", _ONES)
+def prolongation_uniform_rowsum(spark, d):
+    return _row_sums(_level_weights(spark, d, weighting=Weighting.UNIFORM))
+
+
+@query("prolongation_invdist_rowsum", _ONES)
+def prolongation_invdist_rowsum(spark, d):
+    return _row_sums(_level_weights(spark, d, weighting=Weighting.INVDIST, sampling=Sampling.MIS))
+
+
+@query("ablation_rowsum", _ONES)
+def ablation_rowsum(spark, d):
+    return _row_sums(_level_weights(spark, d, hierarchy=Hierarchy.ABLATION))
+
+
+@query("prolongation")
+def prolongation(spark, d):
+    return _level_weights(spark, d)
+
+
+@query("prolongation_diagnostics")
+def prolongation_diagnostics(spark, d):
+    return prolong.diagnostics(_level_weights(spark, d))
+
+
+@query("sig06_weights", f"WITH {ED}, n AS (SELECT i, j, 1 / greatest(d, 1e-8) AS w FROM ed WHERE j % 8 = 0 AND i % 8 <> 0) SELECT id AS i, id AS j, 1.0::DOUBLE AS w FROM p WHERE id % 8 = 0 UNION ALL SELECT i, j, {_sr('w / sum(w) OVER (PARTITION BY i)')} FROM n")
+def sig06_weights(spark, d):
+    return prolong.sig06_weights(points(spark, d), edges(spark, d), points(spark, d).where("id % 8 = 0")).select("i", "j", _r("w").alias("w"))
+
+
+# Systems and solvers.
+
+
+@query("laplacian", f"WITH {L} SELECT i, j, v FROM lap")
+def laplacian(spark, d):
+    return matrix.graph_laplacian(edges(spark, d))
+
+
+@query("gaussian_laplacian", f"WITH {ED}, w AS (SELECT i, j, exp(-(d * d) / (0.1 * 0.1)) AS w FROM ed) SELECT i, j, {_sr('-w')} AS v FROM w UNION ALL SELECT i, i, {_sr('sum(w)')} FROM w GROUP BY i")
+def gaussian_laplacian(spark, d):
+    return matrix.gaussian_laplacian(lengths(spark, d), 0.1).select("i", "j", _r("v").alias("v"))
+
+
+_COT = f"""{TP}, co AS (SELECT b AS p, c AS q, {_sdot(_E1, _E2)} / {_NN} * 0.5 AS w FROM tp UNION ALL
+SELECT c, a, {_sdot(_BC, _sminus(_sv('a'), _sv('b')))} / {_NN} * 0.5 FROM tp UNION ALL SELECT a, b, {_sdot(_CA, _sminus(_sv('b'), _sv('c')))} / {_NN} * 0.5 FROM tp)"""
+
+
+@query("cotangent_stiffness", f"WITH {_COT} SELECT i, j, round(sum(v), 5) + 0.0 AS v FROM (SELECT p AS i, p AS j, w AS v FROM co UNION ALL SELECT q, q, w FROM co UNION ALL SELECT p, q, -w FROM co UNION ALL SELECT q, p, -w FROM co) GROUP BY 1, 2")
+def cotangent_stiffness(spark, d):
+    return matrix.stiffness(points(spark, d), faces(spark, d)).select("i", "j", (F.round("v", 5) + F.lit(0.0)).alias("v"))
+
+
+@query("mass_barycentric", f"WITH {TP} SELECT id AS i, {_sr('sum(m)')} AS v FROM (SELECT unnest([a, b, c]) AS id, {_NN} * 0.5 / 3 AS m FROM tp) GROUP BY 1")
+def mass_barycentric(spark, d):
+    return matrix.mass_barycentric(points(spark, d), faces(spark, d)).select("i", _r("v").alias("v"))
+
+
+@query("system_smoothing", f"WITH {L} SELECT i, j, {_sr('sum(v)')} AS v FROM (SELECT i, j, 0.001 * v AS v FROM lap UNION ALL SELECT id, id, 1.0 FROM p) GROUP BY 1, 2")
+def system_smoothing(spark, d):
+    one = points(spark, d).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    return matrix.smoothing_system(one, laplacian(spark, d)).select("i", "j", _r("v").alias("v"))
+
+
+@query("system_poisson", f"WITH {L} SELECT i, j, {_sr('sum(v)')} AS v FROM (SELECT i, j, v FROM lap UNION ALL SELECT id, id, 0.000001 FROM p) GROUP BY 1, 2")
+def system_poisson(spark, d):
+    one = points(spark, d).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    return matrix.poisson_system(one, laplacian(spark, d)).select("i", "j", _r("v").alias("v"))
+
+
+@query("bilaplacian", f"WITH {L} SELECT x.i, y.j, sum(x.v * y.v) / 2.0 AS v FROM lap x JOIN lap y ON x.j = y.i GROUP BY 1, 2")
+def bilaplacian(spark, d):
+    two = points(spark, d).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v"))
+    return matrix.bilaplacian(laplacian(spark, d), two)
+
+
+@query("rhs_impulses", f"WITH {P}, s AS (SELECT id, round(x + y + z, 9) AS s FROM p) SELECT id AS i, CASE WHEN id = (SELECT id FROM s ORDER BY s DESC, id LIMIT 1) THEN 1.0::DOUBLE WHEN id = (SELECT id FROM s ORDER BY s, id LIMIT 1) THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM p")
+def rhs_impulses(spark, d):
+    return matrix.impulses(points(spark, d)).select("i", "v")
+
+
+@query("rhs_random")
+def rhs_random(spark, d):
+    return matrix.random_vector(points(spark, d), 3)
+
+
+def _jacobi_sql(sweeps: int, m: str, b: str, x: str, name: str) -> str:
+    out, cur = "", x
+    for k in range(sweeps):
+        out += f", {name}q{k} AS {_mv(m, cur)}, {name}{k} AS (SELECT b0.i, coalesce(x0.v, 0) + 2.0 / 3.0 * (b0.v - coalesce(q.v, 0)) / d0.v AS v FROM {b} b0 JOIN {m} d0 ON d0.i = b0.i AND d0.j = b0.i LEFT JOIN {cur} x0 ON x0.i = b0.i LEFT JOIN {name}q{k} q ON q.i = b0.i)"
+        cur = f"{name}{k}"
+    return out
+
+
+@query("jacobi_sweeps", f"WITH {L}{_jacobi_sql(2, 'm', 'b', 'b', 'x')} SELECT i, {_sr('v')} AS v FROM x1")
+def jacobi_sweeps(spark, d):
+    b = unit(spark, d)
+    return solver.jacobi(shifted(spark, d), b, b, 2).select("i", _r("v").alias("v"))
+
+
+_RES = f"{L}, ax AS {_mv('m', 'b')}, r AS (SELECT b.i, b.v - ax.v AS v FROM b JOIN ax ON ax.i = b.i)"
+
+
+@query("residual_rel", f"WITH {_RES} SELECT {_sr('sqrt((SELECT sum(v * v) FROM r) / (SELECT sum(v * v) FROM b))')} AS residue")
+def residual_rel(spark, d):
+    b = unit(spark, d)
+    return matrix.residual_norm(shifted(spark, d), b, b, 0).select(_r("residue").alias("residue"))
+
+
+def _mass(spark, d) -> DataFrame:
+    return points(spark, d).select(F.col("id").alias("i"), F.col("id").alias("j"), (F.pmod("id", F.lit(3)) + 1).cast("double").alias("v"))
+
+
+@query("residual_minv", f"WITH {_RES} SELECT {_sr('sqrt((SELECT sum(v * v / (i % 3 + 1)) FROM r) / (SELECT sum(v * v / (i % 3 + 1)) FROM b))')} AS residue")
+def residual_minv(spark, d):
+    b = unit(spark, d)
+    return matrix.residual_norm(shifted(spark, d), b, b, 1, _mass(spark, d)).select(_r("residue").alias("residue"))
+
+
+@query("residual_m", f"WITH {_RES} SELECT {_sr('sqrt((SELECT sum(v * v * (i % 3 + 1)) FROM r) / (SELECT sum(v * v * (i % 3 + 1)) FROM b))')} AS residue")
+def residual_m(spark, d):
+    b = unit(spark, d)
+    return matrix.residual_norm(shifted(spark, d), b, b, 2, _mass(spark, d)).select(_r("residue").alias("residue"))
+
+
+@query("residual_abs", f"WITH {_RES} SELECT {_sr('sqrt((SELECT sum(v * v) FROM r))')} AS residue")
+def residual_abs(spark, d):
+    b = unit(spark, d)
+    return matrix.residual_norm(shifted(spark, d), b, b, 3).select(_r("residue").alias("residue"))
+
+
+def _spd(spark, d) -> DataFrame:
+    """The suppliers' matrix scaled to small numbers, plus a diagonal that dominates."""
+    g = g_matrix(spark, d).withColumn("v", F.col("v") / 65536.0)
+    heavy = g.groupBy("i").agg(F.sum("v").alias("v")).select("i", F.col("i").alias("j"), "v")
+    return matrix.add((1, g), (1, heavy))
+
+
+_SPD = f"{G}, {U}, m AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v / 65536.0 AS v FROM g UNION ALL SELECT i, i, sum(v / 65536.0) FROM g GROUP BY i) GROUP BY 1, 2), b AS (SELECT s_suppkey AS i, CAST(s_suppkey % 5 + 1 AS DOUBLE) AS v FROM supplier WHERE s_suppkey IN (SELECT i FROM g))"
+
+
+def _rhs(spark, d) -> DataFrame:
+    have = g_matrix(spark, d).select("i").distinct()
+    return _table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.lit(0).alias("col"), (F.pmod("s_suppkey", F.lit(5)) + 1).cast("double").alias("v")).join(have, "i", "left_semi")
+
+
+_TWO = (
+    _SPD + _jacobi_sql(2, "m", "b", "b", "x") + f", rq AS {_mv('m', 'x1')}, rr AS (SELECT b.i, b.v - rq.v AS v FROM b JOIN rq ON rq.i = b.i)"
+    ", rc AS (SELECT u0.j AS i, sum(rr.v) AS v FROM rr JOIN u0 ON u0.i = rr.i GROUP BY 1), mc AS (SELECT x.j AS i, y.j AS j, sum(m.v) AS v FROM m JOIN u0 x ON x.i = m.i JOIN u0 y ON y.i = m.j GROUP BY 1, 2)"
+    ", z AS (SELECT i, 0.0 AS v FROM rc)" + _jacobi_sql(4, "mc", "rc", "z", "c") + ", y AS (SELECT x1.i, x1.v + c3.v AS v FROM x1 JOIN u0 ON u0.i = x1.i JOIN c3 ON c3.i = u0.j)" + _jacobi_sql(2, "m", "b", "y", "w")
+)
+
+
+@query("two_grid_cycle", f"WITH {_TWO} SELECT i, {_sr('v')} AS v FROM w1")
+def two_grid_cycle(spark, d):
+    a, b, u = _spd(spark, d), _rhs(spark, d), u_nation(spark, d)
+    x = solver.jacobi(a, b, b, 2)
+    r = matrix.spmv_t(u, matrix.residual(a, x, b))
+    e = solver.jacobi(matrix.galerkin(u, a), matrix.add((0, r)), r, 4)
+    up = matrix.spmv(u, e).join(b.select("i"), "i", "left_semi")
+    return solver.jacobi(a, matrix.add((1, x), (1, up)), b, 2).select("i", _r("v").alias("v"))
+
+
+def _cg_sql(steps: int) -> str:
+    out, x, r, p = "", "z0", "b", "b"
+    for k in range(steps):
+        out += (
+            f", ap{k} AS {_mv('m', p)}, al{k} AS (SELECT (SELECT sum(v * v) FROM {r}) / (SELECT sum({p}.v * q.v) FROM {p} JOIN ap{k} q ON q.i = {p}.i) AS s)"
+            f", x{k} AS (SELECT x.i, x.v + s * p.v AS v FROM {x} x JOIN {p} p ON p.i = x.i, al{k}), r{k} AS (SELECT r.i, r.v - s * q.v AS v FROM {r} r JOIN ap{k} q ON q.i = r.i, al{k})"
+            f", p{k} AS (SELECT r.i, r.v + (SELECT sum(v * v) FROM r{k}) / (SELECT sum(v * v) FROM {r}) * p.v AS v FROM r{k} r JOIN {p} p ON p.i = r.i)"
+        )
+        x, r, p = f"x{k}", f"r{k}", f"p{k}"
+    return out
+
+
+@query("cg_steps", f"WITH {L}, z0 AS (SELECT i, 0.0 AS v FROM b){_cg_sql(3)} SELECT i, {_sr('v')} AS v FROM x2")
+def cg_steps(spark, d):
+    a, b = shifted(spark, d), unit(spark, d)
+    x, r, p = b.withColumn("v", F.lit(0.0)), b, b
+    for _ in range(3):
+        x, r, p = solver.cg_step(a, x, r, p)
+    return x.select("i", _r("v").alias("v"))
+
+
+@query("dirichlet_elimination", f"WITH {L} SELECT b.i, b.v - coalesce(k.v, 0) AS v FROM b LEFT JOIN (SELECT i, sum(v * 2.0) AS v FROM m WHERE j % 10 = 0 GROUP BY i) k ON k.i = b.i WHERE b.i % 10 <> 0")
+def dirichlet_elimination(spark, d):
+    fixed = points(spark, d).where("id % 10 = 0").select(F.col("id").alias("i"), F.lit(0).alias("col"), F.lit(2.0).alias("v"))
+    return solver.eliminate(shifted(spark, d), unit(spark, d), fixed)[1].select("i", "v")
+
+
+def _solved(spark, d, kind: str) -> DataFrame:
+    have = g_matrix(spark, d).select("i").distinct()
+    u0 = u_nation(spark, d).join(have, "i", "left_semi")
+    u1 = u_region(spark, d).join(u0.select(F.col("j").alias("i")).distinct(), "i", "left_semi")
+    s = solver.System.reduce(_spd(spark, d), [u0, u1])
+    x, history = solver.solve(s, _rhs(spark, d), Options(cycle=kind, criterion=0, tolerance=1e-8, max_iter=3))
+    return x.select("i", _r("v").alias("v")).withColumn("iterations", F.lit(len(history)))
+
+
+@query("vcycle_solve")
+def vcycle_solve(spark, d):
+    return _solved(spark, d, "V")
+
+
+@query("fcycle_solve")
+def fcycle_solve(spark, d):
+    return _solved(spark, d, "F")
+
+
+@query("wcycle_solve")
+def wcycle_solve(spark, d):
+    return _solved(spark, d, "W")
+
+
+@query("direct_solve")
+def direct_solve(spark, d):
+    return solver.direct(_spd(spark, d), _rhs(spark, d)).select("i", _r("v").alias("v"))
+
+
+@query("gauss_seidel")
+def gauss_seidel(spark, d):
+    b = _rhs(spark, d)
+    return solver.gauss_seidel(_spd(spark, d), b, b, 2).select("i", _r("v").alias("v"))
+
+
+@query("conjugate_gradient")
+def conjugate_gradient(spark, d):
+    return solver.conjugate_gradient(_spd(spark, d), _rhs(spark, d), 1e-8, 5)[0].select("i", _r("v").alias("v"))
+
+
+# Decimation.
+
+
+@query("edge_midpoint_cost", f"WITH {ED} SELECT i AS a, j AS b, d AS cost, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y, (a.z + b.z) / 2 AS z FROM ed JOIN p a ON a.id = i JOIN p b ON b.id = j WHERE i < j AND (i, j) IN (SELECT (a, b) FROM t UNION SELECT (b, c) FROM t UNION SELECT (a, c) FROM t)".replace(ED, f"{ED}, t AS (SELECT x.i AS a, x.j AS b, y.j AS c FROM e x JOIN e y ON x.i = y.i AND x.i < x.j AND x.j < y.j JOIN e z ON z.i = x.j AND z.j = y.j)"))
+def edge_midpoint_cost(spark, d):
+    return decimate.edge_costs(points(spark, d), faces(spark, d))
+
+
+_QN = tuple(f"({n} / {_NN})" for n in _N)
+
+
+@query(
+    "vertex_quadrics",
+    f"WITH {TP}, n AS (SELECT unnest([a, b, c]) AS id, {_QN[0]} AS nx, {_QN[1]} AS ny, {_QN[2]} AS nz, ax, ay, az FROM tp), q AS (SELECT id, nx, ny, nz, -(nx * ax + ny * ay + nz * az) AS d FROM n) SELECT id, "
+    + ", ".join(f"{_sr(f'sum({p} * {q})')} AS {n}" for n, (p, q) in zip(decimate.QUADRIC, [("nx", "nx"), ("nx", "ny"), ("nx", "nz"), ("ny", "ny"), ("ny", "nz"), ("nz", "nz"), ("nx", "d"), ("ny", "d"), ("nz", "d"), ("d", "d")], strict=True))
+    + " FROM q GROUP BY id",
+)
+def vertex_quadrics(spark, d):
+    return decimate.vertex_quadrics(points(spark, d), faces(spark, d)).select("id", *[_r(c).alias(c) for c in decimate.QUADRIC])
+
+
+@query("quadric_costs")
+def quadric_costs(spark, d):
+    return decimate.quadric_costs(points(spark, d), faces(spark, d))
+
+
+def _decimated(spark, d):
+    f = faces(spark, d)
+    return decimate.decimate(points(spark, d), f, f.count() * 9 // 10, most_rounds=3)
+
+
+@query("decimate_rounds")
+def decimate_rounds(spark, d):
+    return _decimated(spark, d)[2]
+
+
+@query("trace_points")
+def trace_points(spark, d):
+    p, f, _, owner = _decimated(spark, d)
+    return decimate.trace_points(points(spark, d), p, f, owner)
+
+
+@query("flatten_rings")
+def flatten_rings(spark, d):
+    c = graph.corners(faces(spark, d), points(spark, d))
+    return decimate.flatten_rings(c.withColumn("ring", F.col("a")))
+
+
+# Runs and reports.
+
+_STATS = "count(*) AS runs, max(value) AS max_value, round(avg(value), 9) AS mean_value, round(stddev_samp(value), 9) AS std_value, round(median(value), 9) AS median_value"
+
+
+@query("timing_summary", f"SELECT event_type AS experiment, {_STATS} FROM events GROUP BY 1")
+def timing_summary(spark, d):
+    ev = _table(spark, d, "events").select(F.col("event_type").alias("experiment"), "value")
+    s = report.summary(ev, "experiment", "value").join(ev.groupBy("experiment").agg(F.count("*").alias("runs")), "experiment")
+    return s.select("experiment", "runs", F.col("max").alias("max_value"), F.round("mean", 9).alias("mean_value"), F.round("std", 9).alias("std_value"), F.round("median", 9).alias("median_value"))
+
+
+@query("timing_concat", "WITH a AS (SELECT event_type AS experiment, count(*) AS runs FROM events GROUP BY 1), b AS (SELECT event_type AS experiment, max(value) AS worst FROM events WHERE user_id % 2 = 0 GROUP BY 1) SELECT experiment, runs, worst FROM a JOIN b USING (experiment)")
+def timing_concat(spark, d):
+    ev = _table(spark, d, "events").withColumnRenamed("event_type", "experiment")
+    left = ev.groupBy("experiment").agg(F.count("*").alias("runs"))
+    right = report.renamed(ev.where("user_id % 2 = 0").groupBy("experiment").agg(F.max("value").alias("max")), {"max": "worst"})
+    return report.beside(left, right, "experiment")
+
+
+@query("timing_concat_by_position", "WITH a AS (SELECT event_type AS experiment, count(*) AS runs FROM events GROUP BY 1), b AS (SELECT event_type AS experiment, max(value) AS worst FROM events GROUP BY 1) SELECT experiment, runs, worst FROM a JOIN b USING (experiment)")
+def timing_concat_by_position(spark, d):
+    ev = _table(spark, d, "events").withColumnRenamed("event_type", "experiment")
+    return report.beside(ev.groupBy("experiment").agg(F.count("*").alias("runs")), ev.groupBy("experiment").agg(F.max("value").alias("worst")), "experiment", by_position=True)
+
+
+@query("timing_format", "SELECT upper(n[1]) || n[2:] AS experiment, (runs // 1000)::VARCHAR || 'k' AS runs, printf('%.2f', floor(worst) / 1000.0 + 0.001) AS worst FROM (SELECT event_type AS n, count(*) AS runs, max(value) AS worst FROM events GROUP BY 1)")
+def timing_format(spark, d):
+    t = _table(spark, d, "events").groupBy(F.col("event_type").alias("experiment")).agg(F.count("*").alias("runs"), F.max("value").alias("worst"))
+    return report.formatted(t.withColumn("worst", F.floor("worst") + 1.0), "experiment", "runs", ["worst"])
+
+
+@query("timing_wide", "SELECT CAST(user_id % 10 AS VARCHAR) AS experiment, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+def timing_wide(spark, d):
+    ev = _table(spark, d, "events").groupBy((F.col("user_id") % 10).cast("string").alias("experiment"), F.col("event_type").alias("metric")).agg(F.max("value").alias("value"))
+    return report.wide(ev, ["click", "view"])
+
+
+@query("mesh_lines", f"WITH {T} SELECT 'f ' || (a + 1) || ' ' || (b + 1) || ' ' || (c + 1) AS value FROM t")
+def mesh_lines(spark, d):
+    return mesh.mesh_text(points(spark, d), faces(spark, d)).where("value like 'f %'")
+
+
+# Whole hierarchies.
+
+
+@query("hierarchy_summary")
+def hierarchy_summary(spark, d):
+    return hierarchy.summary(hierarchy.build(points(spark, d), edges(spark, d), _small()))
+
+
+@query("hierarchy_sig06")
+def hierarchy_sig06(spark, d):
+    return hierarchy.summary(hierarchy.build(points(spark, d), edges(spark, d), _small(hierarchy=Hierarchy.SIG06)))
+
+
+@query("hierarchy_random")
+def hierarchy_random(spark, d):
+    return hierarchy.summary(hierarchy.build(points(spark, d), edges(spark, d), _small(sampling=Sampling.RANDOM, most_levels=1)))
+
+
+@query("hierarchy_poisson_disk")
+def hierarchy_poisson_disk(spark, d):
+    return hierarchy.summary(hierarchy.build(points(spark, d), edges(spark, d), _small(sampling=Sampling.POISSONDISK, most_levels=1)))
