@@ -33,7 +33,7 @@ from .blocks import press, unpress
 from .common import PLACES, WordHash, ascii_words, mix, pack, salted_join, shingles, sieve, sifted, stored, table
 from .linking import link
 
-RARE = 16
+RARE = 128
 MOST_FREQUENT = 1 << 20
 MAP_BITS = 27
 #: Shingles are counted by this many leading bits.
