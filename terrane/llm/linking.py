@@ -2,7 +2,8 @@
 
 Items that share a key are candidates. Round one compares every item with the pivot of each of its keys (the item
 of lowest rank) and joins what links. Round two compares all candidates that are still in different components, so
-no link between components is lost, while the pairs within a large group are never listed.
+no link between components is lost: as pairs in small groups, chunk by chunk in large ones, whose pairs are never
+listed.
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SALTS, cut, stored, unpack
 
+#: Groups of up to FEW candidates list their pairs as rows; larger ones are compared in chunks of CHUNK sets.
+FEW, CHUNK = 32, 64
+#: Distinct tokens of a task that are held at once.
+COLUMNS = 1 << 14
+
 
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id that links reach) for the ids of edges a, b. Labels spread to neighbours and
@@ -77,14 +84,64 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     first = stored(verified(pairs, sets), "links")
     known = components(first)
 
-    labelled = shared.join(known, "id", "left").select("key", "id", "size", "cap", F.coalesce("component", "id").alias("c"))
-    labelled = stored(labelled, "labelled")
-    mixed = stored(labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
-    open_ = stored(labelled.join(mixed, "key"), "open")
+    labelled = stored(shared.join(known, "id", "left").select("a", "key", "id", "size", "cap", F.coalesce("component", "id").alias("c")), "labelled")
+    # Candidates share a key, hence its pivot. Pivots with members in several components are open.
+    mixed = labelled.groupBy("a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("a") == F.col("id"), F.col("c"))).alias("own"))
+    mixed = stored(mixed.where("low < high").select("a", "own"), "mixed")
+    members = labelled.join(mixed, "a").groupBy("a", "id").agg(F.min("c").alias("c"), F.min((F.col("c") == F.col("own")).cast("long")).alias("inside"))
+    members = stored(members, "members")
+    groups = members.groupBy("a").agg(F.sum("inside").alias("n_in"), F.sum(1 - F.col("inside")).alias("n_out")).where("n_out > 0")
+    groups = stored(groups.withColumn("few", F.col("n_in") + F.col("n_out") <= FEW), "groups")
+
+    open_ = stored(labelled.join(groups.where("few").select("a"), "a", "left_semi"), "open")
     x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "cap", "c")]) for s in "ab")
     apart = x.join(y, [x.key == y.key, x.id_a < y.id_b, x.c_a != y.c_b, may(x.size_a, y.size_b, x.cap_a, y.cap_b)])
     apart = apart.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(verified(stored(apart.join(seen, ["a", "b"], "left_anti"), "apart"), sets), "links")
+    second = verified(stored(apart.join(seen, ["a", "b"], "left_anti"), "apart"), sets)
+    second = stored(second.unionByName(_between(members, groups.where("not few"), sets, percent)), "links")
     links = first.union(second)
     return links, components(links) if not second.isEmpty() else known
+
+
+def _between(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components within large groups, one for an item and a component at least. A group's members
+    inside its pivot's component and those outside are cut into chunks; each chunk of the latter meets all others in
+    a task of its own, so that no task has more than 2 CHUNK sets, and pairs are only looked at as a matrix there."""
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    m = members.join(groups.select("a", chunks("n_in").alias("k_in"), chunks("n_out").alias("k_out")), "a")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("inside") == 1, F.col("k_in")).otherwise(F.col("k_out"))).cast("int")
+    m = m.withColumn("mine", mine)
+    # A task is (p, q): p an outside chunk, q another one up to p, or -1 - q for an inside chunk.
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    outside = F.concat(
+        F.transform(up_to(F.col("k_in")), lambda i: F.struct(F.col("mine").alias("p"), (-1 - i).alias("q"))),
+        F.transform(F.sequence(F.lit(0), F.col("k_out") - 1), lambda o: F.struct(F.greatest(F.col("mine"), o).alias("p"), F.least(F.col("mine"), o).alias("q"))),
+    )
+    inside = F.transform(up_to(F.col("k_out")), lambda o: F.struct(o.alias("p"), (-1 - F.col("mine")).alias("q")))
+    m = m.join(sets, "id").select("a", "id", "c", "tokens", F.explode(F.when(F.col("inside") == 1, inside).otherwise(outside)).alias("t"))
+
+    def run(task: pa.Table) -> pa.Table:
+        ids, c = (task.column(k).to_numpy() for k in ("id", "c"))
+        held = [unpack(t) for t in task.column("tokens").to_pylist()]
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        known, place = np.unique(np.concatenate(held), return_inverse=True)
+        row = np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        common = np.zeros((len(held), len(held)), np.float32)
+        for at in range(0, len(known), COLUMNS):
+            i, j = np.searchsorted(place, [at, at + COLUMNS])
+            part = np.zeros((len(held), min(COLUMNS, len(known) - at)), np.float32)
+            part[row[i:j], place[i:j] - at] = 1
+            common += part @ part.T
+        union = sizes[:, None] + sizes[None] - common
+        linked = (100 * common >= percent * union) & (c[:, None] != c[None])
+        out: set[tuple[int, int]] = set()
+        for i in np.flatnonzero(linked.any(1)).tolist():
+            js = np.flatnonzero(linked[i])
+            _, one = np.unique(c[js], return_index=True)
+            out |= {(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in js[one].tolist()}
+        return pa.table({"a": pa.array([x for x, _ in sorted(out)], pa.int64()), "b": pa.array([y for _, y in sorted(out)], pa.int64())})
+
+    return m.groupBy("a", "t.p", "t.q").applyInArrow(run, "a long, b long").distinct()
