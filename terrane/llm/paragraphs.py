@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_words, join_few, mix, pack, salted_join, shingles, sieve, sifted, stored, table
+from .common import WordHash, ascii_words, join_few, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
 from .linking import link
 
 MIN_WORDS = 25
@@ -40,7 +40,7 @@ def tuned(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> i
 def minima(h: np.ndarray, bands: int, rows: int) -> list[int]:
     """Keys of the bands of a set of 64-bit hashes."""
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
-    low = mix(h[None, :] ^ seeds[:, None]).min(axis=1).reshape(bands, rows)
+    low = (h[None, :] * (seeds[:, None] | np.uint64(1))).min(axis=1).reshape(bands, rows)
     key = mix(np.arange(1, bands + 1, dtype=np.uint64))
     for r in range(rows):
         key = mix(key ^ low[:, r])
@@ -95,6 +95,7 @@ def _shingle_sets(hashes: WordHash, doc_id: int | None, text: str | None) -> Ite
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per occurrence of a paragraph that occurs more than once: doc_id, paragraph (its number among the
     lines), start, end (code points), n_words, keeper_doc, keeper_paragraph, removed."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     seen = _arrow(docs, "doc_id long, paragraph int, start int, end int, n_words int, id long, size long, keys array<long>", partial(_occurrences, tuned(percent)))
     seen = stored(seen, "paragraphs")
