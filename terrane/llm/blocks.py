@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Text of a block, and of the documents of one row, in characters.
-BLOCK_CHARS = 32 << 20
-ROW_CHARS = 4 << 20
+BLOCK_CHARS = 12 << 20
+ROW_CHARS = 2 << 20
 CODED = "k long, kind int, block long, shard int, data binary"
 _SCHEMA = pa.schema([("k", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 WORDS, DOCS, ORDER = 1, 2, 3

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import table
+from .common import small_batches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A vocabulary is broadcast; more tokens than this are refused.
@@ -47,6 +47,7 @@ def word_encoder(ranks: dict[bytes, int], pattern: str):
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, ids (array<int>) for docs with doc_id and text, which must come from files or a checkpoint."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 2 * partitions

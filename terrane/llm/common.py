@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+#: Rows that are handed to Python at a time: texts may be long, and workers share the executor's memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

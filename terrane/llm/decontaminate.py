@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ragged
-from .common import table
+from .common import small_batches, table
 
 SHARD_ITEMS = 4096
 SHARD_CHARS = 16 << 20
@@ -159,6 +159,7 @@ def _searcher(held):
 
 def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents' columns and hits: the benchmark items that each whole text holds."""
+    small_batches(docs.sparkSession)
     out = docs.withColumn("hits", F.array().cast(HITS))
     for items in _shards(benchmark):
         search = _searcher(docs.sparkSession.sparkContext.broadcast(Index(items)))

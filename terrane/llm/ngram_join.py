@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import press, unpress
-from .common import PLACES, WordHash, ascii_words, mix, pack, salted_join, shingles, sieve, sifted, stored, table
+from .common import PLACES, WordHash, ascii_words, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
 from .linking import link
 
 RARE = 128
 MOST_FREQUENT = 1 << 20
 MAP_BITS = 27
 #: Shingles are counted by this many leading bits.
-COUNT_BITS = 48
-FLUSH = 4 << 20
+COUNT_BITS = 40
+FLUSH = 1 << 20
 
 
 def _sets(batch: pa.RecordBatch, k: int, hashes: WordHash) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -150,6 +150,7 @@ def indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, component_id; links between representatives of different sets: a, b)."""
+    small_batches(docs.sparkSession)
     seen = stored(indexed(docs, k, percent), "sets")
     prints = ["print_a", "print_b"]
     copies = seen.where("n > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MOST_LABELLED = 2048
 DIMENSIONS = 48
@@ -112,6 +112,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Takes the `most` labelled documents first by a hash of doc_id."""
+    small_batches(docs.sparkSession)
     some = labels.where(~held_out() & F.col("quality").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     seen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows = seen.select("doc_id", "quality", F.pandas_udf(_counts, "binary")("text").alias("counts")).collect()  # at most `most`, where doc_id is unique
