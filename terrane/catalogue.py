@@ -343,7 +343,7 @@ def random_sample(spark, d):
 
 @query("fps")
 def fps(spark, d):
-    return sampling.farthest_points(points(spark, d), lengths(spark, d), 6, 0)
+    return sampling.farthest_points(points(spark, d), lengths(spark, d), 3, 0)
 
 
 _NEAR = "lab AS (SELECT id, label, d FROM (SELECT id, label, d, row_number() OVER (PARTITION BY id ORDER BY d, label) AS r FROM (SELECT id, id AS label, 0.0 AS d FROM p WHERE id % 8 = 0 UNION ALL SELECT j, i, d FROM ed WHERE i % 8 = 0 AND j % 8 <> 0)) WHERE r = 1)"

@@ -20,19 +20,20 @@ def labels_from_cover(samples: DataFrame, covers: DataFrame) -> DataFrame:
 def relax(edges: DataFrame, sources: DataFrame, start: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """id, label, d: shortest ways along edges i, j, d from sources id, label, d (or an earlier result in start). Only
     ids that improved are looked at again; ends when none does, or after so many rounds."""
-    best = cut(_best(sources if start is None else sources.unionByName(start)))
-    moved = best if start is None else cut(best.join(start.select("id", F.col("d").alias("d0")), "id", "left").where("d0 is null or d < d0").select("id", "label", "d"))
+    none = F.lit(None).cast("double")
+    old = sources.where("false").select("id", "label", "d") if start is None else start.select("id", "label", "d")
+    now = _best(sources.select("id", "label", "d").unionByName(old))
+    before = old.select("id", F.col("d").alias("d0"))
+    state = cut(now.join(before, "id", "left").select("id", "label", "d", (F.col("d0").isNull() | (F.col("d") < F.col("d0"))).alias("moved")))
     done = 0
-    while rounds is None or done < rounds:
-        step = moved.select(F.col("id").alias("i"), "label", F.col("d").alias("from")).join(edges.select("i", "j", "d"), "i")
-        step = _best(step.select(F.col("j").alias("id"), "label", (F.col("from") + F.col("d")).alias("d")))
-        old = best.select("id", F.col("d").alias("d0"))
-        moved = cut(step.join(old, "id", "left").where("d0 is null or d < d0").select("id", "label", "d"))
-        if moved.isEmpty():
-            break
-        best = cut(_best(best.unionByName(moved)))
+    while (rounds is None or done < rounds) and not state.where("moved").isEmpty():
+        step = state.where("moved").select(F.col("id").alias("i"), "label", F.col("d").alias("from")).join(edges.select("i", "j", "d"), "i")
+        step = step.select(F.col("j").alias("id"), "label", (F.col("from") + F.col("d")).alias("d"), none.alias("d0"))
+        both = step.unionByName(state.select("id", "label", "d", F.col("d").alias("d0")))
+        best = both.groupBy("id").agg(F.min(F.struct("d", "label")).alias("m"), F.min("d0").alias("d0"))
+        state = cut(best.select("id", F.col("m.label").alias("label"), F.col("m.d").alias("d"), (F.col("d0").isNull() | (F.col("m.d") < F.col("d0"))).alias("moved")))
         done += 1
-    return best
+    return state.drop("moved")
 
 
 def _best(rows: DataFrame) -> DataFrame:

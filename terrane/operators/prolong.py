@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..plans.iterate import cut
 from ..schema import Weighting
 
 
@@ -77,9 +78,9 @@ def weights(points: DataFrame, labels: DataFrame, cells: DataFrame, graph: DataF
     p = points.select(F.col("id").alias("i"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     tried = many.join(p, "i").join(turned, "cell")
     b0, b1, b2 = geom.barycentric(geom.at("p"), geom.at("c"), geom.at("u"), geom.at("v"))
-    tried = tried.select("i", "cell", "u", "v", "tri", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
+    tried = cut(tried.select("i", "cell", "u", "v", "tri", b0.alias("b0"), b1.alias("b1"), b2.alias("b2")))
     inside = F.coalesce((F.col("b0") >= 0) & (F.col("b1") >= 0) & (F.col("b2") >= 0), F.lit(False))
-    hit = tried.where(inside).groupBy("i").agg(F.min_by(F.struct("cell", "u", "v", "b0", "b1", "b2"), "tri").alias("h"))
+    hit = cut(tried.where(inside).groupBy("i").agg(F.min_by(F.struct("cell", "u", "v", "b0", "b1", "b2"), "tri").alias("h")))
     corners = F.explode(F.array(*[F.struct(F.col(f"h.{j}").alias("j"), F.col(f"h.{w}").alias("w")) for j, w in (("cell", "b0"), ("u", "b1"), ("v", "b2"))]))
     found = hit.select("i", corners.alias("r")).select("i", "r.j", "r.w").withColumn("how", F.lit("triangle"))
 
@@ -87,7 +88,7 @@ def weights(points: DataFrame, labels: DataFrame, cells: DataFrame, graph: DataF
     bad = lambda x: F.coalesce((F.col("b0") < 0) | (F.col(x) < 0), F.lit(False))
     sides = missed.select("i", "cell", F.explode(F.array(F.struct(F.col("u").alias("n"), bad("b1").alias("bad")), F.struct(F.col("v").alias("n"), bad("b2").alias("bad")))).alias("s"))
     open_ = sides.groupBy("i", "cell", "s.n").agg(F.max("s.bad").alias("bad")).where("not bad")
-    edge = open_.groupBy("i", "cell").agg(F.min("n").alias("near")).withColumn("how", F.lit("edge"))
+    edge = cut(open_.groupBy("i", "cell").agg(F.min("n").alias("near")).withColumn("how", F.lit("edge")))
 
     last = many.join(hit.select("i"), "i", "left_anti").join(edge.select("i"), "i", "left_anti")
     c = cells.select(F.col("id").alias("near"), "x", "y", "z")

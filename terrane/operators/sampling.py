@@ -32,16 +32,16 @@ def first_independent_set(ids: DataFrame, covers: DataFrame, order: Column | Non
     ranked = ids.select("id", key.alias("o"))
     before = covers.select("j", "i").join(ranked.select(F.col("id").alias("j"), F.col("o").alias("oj")), "j").join(ranked.select(F.col("id").alias("i"), F.col("o").alias("oi")), "i")
     waits = cut(before.where("oj < oi").select("j", "i"))
-    left, chosen = cut(ids.select("id")), None
+    # chosen is null while undecided.
+    state = ids.select("id", F.lit(None).cast("boolean").alias("chosen"))
     while True:
-        heads = cut(left.join(waits.select(F.col("i").alias("id")), "id", "left_anti"))
-        chosen = heads if chosen is None else chosen.union(heads)
-        passed = waits.join(heads.select(F.col("id").alias("j")), "j", "left_semi").select(F.col("i").alias("id")).distinct()
-        gone = cut(passed.union(heads))
-        left = cut(left.join(gone, "id", "left_anti"))
-        if left.isEmpty():
-            return chosen
-        waits = cut(waits.join(gone.select(F.col("id").alias("j")), "j", "left_anti").join(gone.select(F.col("id").alias("i")), "i", "left_anti"))
+        open_ = waits.join(state.where("chosen is null").select(F.col("id").alias("i")), "i", "left_semi")
+        seen = open_.join(state.select(F.col("id").alias("j"), "chosen"), "j")
+        seen = seen.groupBy(F.col("i").alias("id")).agg(F.max(F.coalesce("chosen", F.lit(False))).alias("covered"), F.max(F.col("chosen").isNull()).alias("waiting"))
+        now = F.when(F.col("covered"), F.lit(False)).when(F.coalesce("waiting", F.lit(False)), F.lit(None)).otherwise(F.lit(True))
+        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("chosen", now).alias("chosen")))
+        if state.where("chosen is null").isEmpty():
+            return state.where("chosen").select("id")
 
 
 def fastdisk(ids: DataFrame, edges: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
