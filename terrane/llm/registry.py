@@ -26,4 +26,18 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+#: Of the others, spans, votes, joins, searches and scores are beyond SQL or too slow in it; tests/llm has their
+#: brute-force versions.
+SQL: dict[str, str] = {
+    "op4_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, max(page_id) AS first, count(*) AS n FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.h = p.h""",
+    "op5_chat_format": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (SELECT *, '<s>[' || CASE WHEN role = 'user' THEN 'INST' ELSE 'role:' || replace(replace(replace(role, '%', '%25'), ']', '%5D'), '<', '%3C') END || '] '
+|| regexp_replace(text, '([<\[]\\*)(/?s>|/?INST\]|</?SYS>>|role:)', '\1\\\2', 'g') || '</s>' AS out FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length(out)) AS BIGINT) AS formatted_chars, true AS identical FROM r GROUP BY conv_id""",
+}
