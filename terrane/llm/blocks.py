@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import give_back
+
 #: Text of a block, and of the documents of one row, in characters.
 BLOCK_CHARS = 12 << 20
 ROW_CHARS = 2 << 20
@@ -132,6 +134,8 @@ def coded(docs: DataFrame, split: Callable[[str], list], shards: int, counted: C
                     held, size = [_Numbers(), [], []], 0
         if held[1]:
             yield from block(base + next(made), held)
+        del held
+        give_back()
 
     return docs.mapInArrow(run, CODED)
 
@@ -173,7 +177,9 @@ def joined(rows: DataFrame, answers: DataFrame, shards: int, assemble: Callable,
         order[np.argsort(shard, kind="stable")] = np.arange(len(shard))
         blobs = [d.as_buffer() for _, d in sorted(zip(theirs.column("shard").to_pylist(), theirs.column("data"), strict=True), key=lambda x: x[0])]
         parts = [unpress(d.as_buffer()) for kind, d in zip(kinds, data, strict=True) if kind == DOCS]
-        return pa.concat_tables([x.cast(out_schema) for x in assemble([(ids.view(np.int64), sizes.astype(np.int64), seq) for ids, sizes, seq in parts], order, blobs)] or [out_schema.empty_table()])
+        out = pa.concat_tables([x.cast(out_schema) for x in assemble([(ids.view(np.int64), sizes.astype(np.int64), seq) for ids, sizes, seq in parts], order, blobs)] or [out_schema.empty_table()])
+        give_back()
+        return out
 
     return rows.groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(run, schema)
 

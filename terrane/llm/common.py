@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,14 @@ SALTS = 32
 
 
 #: Rows that are handed to Python at a time: texts may be long, and workers share the executor's memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system; Python workers live on between tasks, beside their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -64,7 +74,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Colum
 class WordHash(dict):
     """word -> 64-bit hash, remembered; forgotten when it holds too many words."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

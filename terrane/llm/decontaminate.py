@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ragged
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 SHARD_ITEMS = 4096
 SHARD_CHARS = 16 << 20
@@ -153,6 +153,7 @@ def _searcher(held):
     def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series([h for i in range(0, len(part), 1000) for h in held.value.search(list(part.iloc[i : i + 1000]))], dtype=object)
+        give_back()
 
     return search
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, stored, unpack
+from .common import SALTS, cut, give_back, stored, unpack
 
 #: Groups of up to FEW candidates list their pairs as rows; larger ones are compared in chunks of CHUNK sets.
 FEW, CHUNK = 32, 64
@@ -57,6 +57,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     last, held = x, unpack(x)
                 out[i] = len(np.intersect1d(held, unpack(y), assume_unique=True))
             yield pd.Series(out)
+        give_back()
 
     both = with_b.join(with_a, ["a", "salt"])
     size = lambda c: (F.octet_length(c) / 6).cast("long")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import press, unpress
-from .common import PLACES, WordHash, ascii_words, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
+from .common import PLACES, WordHash, ascii_words, give_back, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
 from .linking import link
 
 RARE = 128
@@ -85,6 +85,8 @@ def frequencies(docs: DataFrame, k: int) -> Frequencies:
                     parts, size = [], 0
         if size:
             yield packed(parts)
+        del hashes, parts
+        give_back()
 
     def total(group: pa.Table) -> pa.Table:
         parts = [unpress(d.as_buffer()) for d in group.column("data")]
@@ -144,6 +146,8 @@ def indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        del hashes
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_a long, print_b long, keys array<long>, n_single long, scarce long, tokens binary")
 

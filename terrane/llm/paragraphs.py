@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_words, join_few, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
+from .common import WordHash, ascii_words, give_back, join_few, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
 from .linking import link
 
 MIN_WORDS = 25
@@ -77,6 +77,8 @@ def _arrow(df: DataFrame, ddl: str, of_row) -> DataFrame:
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        del hashes
+        give_back()
 
     return df.mapInArrow(run, ddl)
 

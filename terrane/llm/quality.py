@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 MOST_LABELLED = 2048
 DIMENSIONS = 48
@@ -129,6 +129,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         for part in parts:
             out = [held.value.score(np.stack([term_counts(t) for t in part.iloc[i : i + BLOCK]])) for i in range(0, len(part), BLOCK)]
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
+        give_back()
 
     return docs.withColumn("score", F.pandas_udf(score, "double")("text"))
 
