@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import geom
 from .operators import cluster, graph, matrix, prolong, sampling
 from .plans import decimate, hierarchy, solver
+from .plans.iterate import cut
 from .schema import Hierarchy, Options, Sampling, Weighting
 from .sources import mesh, report
 
@@ -645,9 +646,10 @@ _TWO = (
 @query("two_grid_cycle", f"WITH {_TWO} SELECT i, {_sr('v')} AS v FROM w1")
 def two_grid_cycle(spark, d):
     a, b, u = _spd(spark, d), _rhs(spark, d), u_nation(spark, d)
-    x = solver.jacobi(a, b, b, 2)
-    r = matrix.spmv_t(u, matrix.residual(a, x, b))
-    e = solver.jacobi(matrix.galerkin(u, a), matrix.add((0, r)), r, 4)
+    a = cut(a)
+    x = cut(solver.jacobi(a, b, b, 2))
+    r = cut(matrix.spmv_t(u, matrix.residual(a, x, b)))
+    e = solver.jacobi(cut(matrix.galerkin(u, a)), matrix.add((0, r)), r, 4)
     up = matrix.spmv(u, e).join(b.select("i"), "i", "left_semi")
     return solver.jacobi(a, matrix.add((1, x), (1, up)), b, 2).select("i", _r("v").alias("v"))
 
@@ -666,10 +668,10 @@ def _cg_sql(steps: int) -> str:
 
 @query("cg_steps", f"WITH {L}, z0 AS (SELECT i, 0.0 AS v FROM b){_cg_sql(3)} SELECT i, {_sr('v')} AS v FROM x2")
 def cg_steps(spark, d):
-    a, b = shifted(spark, d), unit(spark, d)
+    a, b = cut(shifted(spark, d)), unit(spark, d)
     x, r, p = b.withColumn("v", F.lit(0.0)), b, b
     for _ in range(3):
-        x, r, p = solver.cg_step(a, x, r, p)
+        x, r, p = (cut(t) for t in solver.cg_step(a, x, r, p))
     return x.select("i", _r("v").alias("v"))
 
 
