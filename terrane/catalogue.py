@@ -686,7 +686,7 @@ def _solved(spark, d, kind: str) -> DataFrame:
     u0 = u_nation(spark, d).join(have, "i", "left_semi")
     u1 = u_region(spark, d).join(u0.select(F.col("j").alias("i")).distinct(), "i", "left_semi")
     s = solver.System.reduce(_spd(spark, d), [u0, u1])
-    x, history = solver.solve(s, _rhs(spark, d), Options(cycle=kind, criterion=0, tolerance=1e-8, max_iter=3))
+    x, history = solver.solve(s, _rhs(spark, d), Options(cycle=kind, criterion=0, tolerance=1e-8, max_iter=2))
     return x.select("i", _r("v").alias("v")).withColumn("iterations", F.lit(len(history)))
 
 
