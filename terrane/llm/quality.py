@@ -93,7 +93,7 @@ class Model:
             return np.full(len(counts), self.prior)
         block = np.zeros((BLOCK, TERMS), np.float32)
         block[: len(counts)] = counts
-        cosine = self.project(block)[: len(counts)] @ self.vectors.T
+        cosine = (self.project(block) @ self.vectors.T)[: len(counts)]
         near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(1)
