@@ -106,7 +106,7 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
 
 
 def _between(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between components within large groups, one for an item and a component at least. A group's members
+    """Links a, b between components within large groups: a spanning forest of them for each task. A group's members
     inside its pivot's component and those outside are cut into chunks; each chunk of the latter meets all others in
     a task of its own, so that no task has more than 2 CHUNK sets, and pairs are only looked at as a matrix there."""
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
@@ -138,11 +138,18 @@ def _between(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
             common += part @ part.T
         union = sizes[:, None] + sizes[None] - common
         linked = (100 * common >= percent * union) & (c[:, None] != c[None])
-        out: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(linked.any(1)).tolist():
-            js = np.flatnonzero(linked[i])
-            _, one = np.unique(c[js], return_index=True)
-            out |= {(min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in js[one].tolist()}
-        return pa.table({"a": pa.array([x for x, _ in sorted(out)], pa.int64()), "b": pa.array([y for _, y in sorted(out)], pa.int64())})
+        # Links that join components which this task's links have not joined yet: fewer than it has sets.
+        up = {int(x): int(x) for x in c}
+        out = []
+        for i, j in np.argwhere(np.triu(linked)).tolist():
+            x, y = int(c[i]), int(c[j])
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return m.groupBy("a", "t.p", "t.q").applyInArrow(run, "a long, b long").distinct()
