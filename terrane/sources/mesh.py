@@ -15,11 +15,11 @@ SUFFIXES = ("obj", "off", "ply")
 
 def _numbered(lines: DataFrame, name: str) -> DataFrame:
     """Lines of one file numbered from 0 in their order; splits are numbered apart and shifted."""
-    part = lines.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    within = part.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("at")))
+    part = lines.withColumn("part", F.spark_partition_id()).withColumn("row_", F.monotonically_increasing_id())
+    within = part.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("row_")))
     sizes = part.groupBy("part").count()
     before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    return within.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("r") - 1).drop("part", "at", "r", "before")
+    return within.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("r") - 1).drop("part", "row_", "r", "before")
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -49,9 +49,9 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     at = 1 if len(head[0].w) == 1 else 0
     sizes = head[at].w[-3:]
     vertices, first = int(sizes[0]), at + 1
-    points = n.where((F.col("n") >= first) & (F.col("n") < first + vertices)).select((F.col("n") - first).alias("id"), *[F.col("w")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
+    points = n.where((F.col("n") >= first) & (F.col("n") < first + vertices)).select((F.col("n") - first).alias("id"), *[F.get("w", F.lit(k)).try_cast("double").alias(c) for k, c in enumerate("xyz")])
     rows = n.where((F.col("n") >= first + vertices) & (F.col("n") < first + vertices + int(sizes[1])))
-    polygons = rows.select(F.col("n").alias("at"), F.transform(F.expr("slice(w, 2, cast(w[0] as int))"), lambda x: x.cast("long")).alias("c"))
+    polygons = rows.select(F.col("n").alias("at"), F.transform(F.expr("slice(w, 2, coalesce(try_cast(w[0] as int), 0))"), lambda x: x.try_cast("long")).alias("c"))
     return points, _fans(polygons)
 
 
