@@ -8,9 +8,9 @@ on top of the training fold's class bigrams. Windows of WINDOW subwords overlap
 scored, each subword once, with at least half a window of context where the text has it. A token's probability is
 the product over its subwords, interpolated with its share of the training tokens (weight WHOLE).
 
-Training is data parallel: every block of training documents takes one pass over each TRAIN_EVERY-th window from
-the same start, in numpy, and the parameters are averaged by the windows used. Counts, bigrams and vocabulary come
-from all training documents.
+Training is data parallel: every block of training documents takes one pass over all its windows from the same
+start, in numpy, and the parameters are averaged by the windows. Counts, bigrams and vocabulary come from all
+training documents.
 
 Edge cases: null and empty texts are one end token; repeated rows score alike; a null doc_id is a training row and
 not held out; without training rows counts are zero and subwords uniform; other columns aren't read.
@@ -37,8 +37,9 @@ HALF = WINDOW // 2
 WIDTH = 16
 CLASSES = 128
 ALONE = 96
-TRAIN_EVERY = 16
 BATCH = 256
+#: Windows looked at together, whose arrays fit a core's cache; results don't depend on it.
+CHUNK = 64
 RATE = 0.02
 WHOLE = 0.7
 #: Parameters stay within this, which keeps exponentials of scores and logits in the range of 32-bit floats.
@@ -101,7 +102,7 @@ class Attention:
 
     def _logits(self, inputs: np.ndarray, doc: np.ndarray) -> tuple:
         asked = inputs[:, HALF:]
-        q, k, v = self.p["q"][asked], self.p["k"][inputs], self.p["v"][inputs]
+        q, k, v = self.p["q"].take(asked, 0), self.p["k"].take(inputs, 0), self.p["v"].take(inputs, 0)
         q *= np.float32(1 / math.sqrt(WIDTH))
         a = q @ k.transpose(0, 2, 1)
         a += self.p["lag"][self.distance]
@@ -110,7 +111,7 @@ class Attention:
         a /= a.sum(-1, keepdims=True)
         h = a @ v
         logits = (h.reshape(-1, WIDTH) @ self.p["w"]).reshape(*asked.shape, CLASSES)
-        logits += self.table[asked]
+        logits += self.table.take(asked, 0)
         return logits, (asked, inputs, q, k, v, a, h)
 
     def forward(self, inputs: np.ndarray, doc: np.ndarray) -> tuple:
@@ -125,32 +126,70 @@ class Attention:
         return mine - np.log(np.exp(logits, out=logits).sum(-1))
 
     def gradient(self, logp: np.ndarray, held: tuple, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        return self._backward(np.exp(logp), held, target, valid / max(valid.sum(), 1))
+
+    def slope(self, inputs: np.ndarray, doc: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """The gradient of the mean loss, without the probabilities' logarithms."""
+        share, out = valid / max(valid.sum(), 1), np.zeros_like(self.flat)
+        for i in range(0, len(inputs), CHUNK):
+            logits, held = self._logits(inputs[i : i + CHUNK], doc[i : i + CHUNK])
+            np.exp(logits, out=logits)
+            logits /= logits.sum(-1, keepdims=True)
+            out += self._backward(logits, held, target[i : i + CHUNK], share[i : i + CHUNK])
+        return out
+
+    def _backward(self, d: np.ndarray, held: tuple, target: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """d: probabilities of the classes, which are overwritten; share: the weight of each place."""
         asked, inputs, q, k, v, a, h = held
-        d = np.exp(logp)
         np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], -1) - 1, -1)
-        d *= (valid / max(valid.sum(), 1)).astype(np.float32)[..., None]
-        g = {n: np.zeros(s, np.float32) for n, s in self.SHAPES.items()}
-        g["w"] = h.reshape(-1, WIDTH).T @ d.reshape(-1, CLASSES)
-        dh = d @ self.p["w"].T
+        d *= share.astype(np.float32)[..., None]
+        d = d.reshape(-1, CLASSES)
+        g = {"w": h.reshape(-1, WIDTH).T @ d}
+        dh = (d @ self.p["w"].T).reshape(h.shape)
         da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (a * da).sum(-1, keepdims=True))
-        root = np.float32(math.sqrt(WIDTH))
-        np.add.at(g["v"], inputs, a.transpose(0, 2, 1) @ dh)
-        np.add.at(g["q"], asked, ds @ k / root)
-        np.add.at(g["k"], inputs, ds.transpose(0, 2, 1) @ q)
-        np.add.at(g["lag"], self.distance, ds.sum(0))
-        return np.concatenate([g[n].ravel() for n in self.SHAPES])
+        places = lambda at: (at.astype(np.int64).ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        summed = lambda at, rows: np.bincount(at, rows.ravel(), CLASSES * WIDTH)
+        of_inputs = places(inputs)
+        g["v"] = summed(of_inputs, a.transpose(0, 2, 1) @ dh)
+        g["q"] = summed(places(asked), ds @ k / np.float32(math.sqrt(WIDTH)))
+        g["k"] = summed(of_inputs, ds.transpose(0, 2, 1) @ q)
+        g["lag"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), WINDOW)
+        return np.concatenate([g[n].ravel() for n in self.SHAPES]).astype(np.float32)
 
 
 def windows(classes: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, documents, targets, valid) of all windows over a stream of texts; a place's input is the class before it."""
     n, doc = len(classes), doc.astype(np.int32)
-    before = np.concatenate([[end], classes[:-1]])
+    before = np.concatenate([np.array([end], classes.dtype), classes[:-1]])
     before[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))] = end
     pad = -n % HALF
     stream = lambda x, fill: np.concatenate([np.full(HALF, fill, x.dtype), x, np.full(pad, fill, x.dtype)])
     view = lambda x: np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HALF]
-    return view(stream(before, end)), view(stream(doc, -1)), np.concatenate([classes, np.full(pad, end)]).reshape(-1, HALF), (np.arange(n + pad) < n).reshape(-1, HALF)
+    return view(stream(before, end)), view(stream(doc, -1)), np.concatenate([classes, np.full(pad, end, classes.dtype)]).reshape(-1, HALF), (np.arange(n + pad) < n).reshape(-1, HALF)
+
+
+def fit(classes: np.ndarray, doc: np.ndarray, end: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(windows, parameters, bigrams) of one pass over all windows of a stream of texts, in random order."""
+    bigrams = np.zeros(CLASSES**2)
+    if not len(classes):
+        return 0, Attention(bigrams.reshape(CLASSES, CLASSES)).flat, bigrams
+    x, d, y, valid = windows(classes, doc, end)
+    n = len(y)
+    for i in range(0, n, 1 << 14):
+        some = slice(i, i + (1 << 14))
+        bigrams += np.bincount(x[some, HALF:][valid[some]].astype(np.int64) * CLASSES + y[some][valid[some]], minlength=CLASSES**2)
+    model = Attention(bigrams.reshape(CLASSES, CLASSES))
+    shuffle = np.random.default_rng(n).permutation(n)
+    m, s = np.zeros_like(model.flat), np.zeros_like(model.flat)
+    for t, i in enumerate(range(0, n, BATCH), 1):
+        pick = shuffle[i : i + BATCH]
+        g = model.slope(x[pick], d[pick], y[pick], valid[pick])
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        rate = RATE * min(1, t / 10) * (1 - 0.9 * i / n)
+        model.flat -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        np.clip(model.flat, -MOST, MOST, out=model.flat)
+    return n, model.flat, bigrams
 
 
 def _pieces(parts: list, order: np.ndarray, blobs: list):
@@ -215,29 +254,14 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
     answers = answers.where("block >= 0")
 
     def train(parts: list, order: np.ndarray, blobs: list) -> Iterator[pa.Table]:
-        lex, batches, bigrams = lexicon.value, [], np.zeros((CLASSES, CLASSES))
+        lex, classes, docs, n = lexicon.value, [np.zeros(0, np.int16)], [np.zeros(0, np.int32)], 0
         for keys, _, _, pieces, doc, _ in _pieces(parts, order, blobs):
             use = in_training(keys.tolist())[doc]
-            pieces, doc = pieces[use], doc[use]
-            if len(pieces):
-                x, d, y, valid = windows(lex.of[pieces], doc, lex.end)
-                bigrams += np.bincount(x[:, HALF:][valid] * CLASSES + y[valid], minlength=CLASSES**2).reshape(CLASSES, CLASSES)
-                some = slice(0, None, TRAIN_EVERY)
-                batches.append((x[some], d[some], y[some], valid[some]))
-        n, model = 0, Attention(bigrams)
-        if batches:
-            x, d, y, valid = (np.concatenate(z) for z in zip(*batches, strict=True))
-            shuffle = np.random.default_rng(len(x)).permutation(len(x))
-            n, m, s = len(x), np.zeros_like(model.flat), np.zeros_like(model.flat)
-            for t, i in enumerate(range(0, n, BATCH), 1):
-                pick = shuffle[i : i + BATCH]
-                logp, kept = model.forward(x[pick], d[pick])
-                g = model.gradient(logp, kept, y[pick], valid[pick])
-                m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-                rate = RATE * min(1, t / 10) * (1 - 0.9 * i / n)
-                model.flat -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-                np.clip(model.flat, -MOST, MOST, out=model.flat)
-        yield pa.table({"sums": pa.array([np.concatenate([[n], model.flat.astype(np.float64) * n, bigrams.ravel()]).tobytes()], pa.binary())})
+            classes.append(lex.of[pieces[use]].astype(np.int16))
+            docs.append((doc[use] + n).astype(np.int32))
+            n += len(keys)
+        n, flat, bigrams = fit(np.concatenate(classes), np.concatenate(docs), lex.end)
+        yield pa.table({"sums": pa.array([np.concatenate([[n], flat.astype(np.float64) * n, bigrams]).tobytes()], pa.binary())})
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -263,8 +287,8 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
             known = np.bincount(owner, seen > 0, len(keys)).astype(np.int64)
             x, d, y, valid = windows(lex.of[pieces], doc, lex.end)
             gained = []
-            for i in range(0, len(x), 512):
-                gained.append(attention.of_targets(x[i : i + 512], d[i : i + 512], y[i : i + 512]).ravel())
+            for i in range(0, len(x), CHUNK):
+                gained.append(attention.of_targets(x[i : i + CHUNK], d[i : i + CHUNK], y[i : i + CHUNK]).ravel())
             each = np.concatenate(gained)[: len(pieces)].astype(np.float64) / math.log(10) + lex.within[pieces]
             # A token has one subword at least, so its subwords begin where its number changes.
             first = np.cumsum(cut) - cut

@@ -226,6 +226,24 @@ def test_attention_gradient_and_causality():
     assert np.array_equal(m.forward(z, d)[0][:, :-1], logp[:, :-1])
 
 
+def test_attention_trains_on_every_token(monkeypatch):
+    import numpy as np
+
+    used, slope = collections.Counter(), lm_score.Attention.slope
+
+    def counted(self, x, d, y, ok):
+        used.update(y[ok].tolist())
+        return slope(self, x, d, y, ok)
+
+    monkeypatch.setattr(lm_score.Attention, "slope", counted)
+    classes = np.random.default_rng(1).integers(0, lm_score.CLASSES, 5000)
+    doc = np.sort(np.random.default_rng(2).integers(0, 90, 5000))
+    n, flat, bigrams = lm_score.fit(classes, doc, lm_score.ALONE)
+    assert n == math.ceil(5000 / lm_score.HALF) and used == collections.Counter(classes.tolist())
+    assert bigrams.sum() == 5000 and np.isfinite(flat).all()
+    assert lm_score.fit(classes[:0], doc[:0], lm_score.ALONE)[0] == 0
+
+
 # 8
 
 
