@@ -4,11 +4,11 @@ The patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbe
 overlap, for each kind on its own. They are written with possessive repeats and anchored at the start of a run of
 characters, so that matching takes time in proportion to the text and no stack, with the same matches.
 
-Every value found is a protected entity. The words around it (CONTEXT characters on either side) co-occur with
-it; from all documents come n(t), the times term t occurs, n(e), the distinct contexts of entity e, and n(t,e),
-those that hold t. A term discloses e where n(t,e) >= SUPPORT, P(e|t) = n(t,e) / n(t) >= DISCLOSURE and the
-pointwise mutual information log2(n(t,e) N / (n(t) n(e))) >= BITS. In documents that hold e, such a term is
-generalised to [TERM]; contexts count once however often they are copied.
+Every value found is a protected entity. The words wholly within CONTEXT characters on either side co-occur with
+it. All counts are of occurrences in all rows: n(t) of term t, n(e) of entity e, n(t,e) of t near e, and N of all
+terms. A term discloses e where P(e|t) = n(t,e) / n(t) >= DISCLOSURE, the pointwise mutual information
+log2(n(t,e) N / (n(t) n(e))) >= BITS and SUPPORT occurrences of e in different texts or places of a text have t near
+them; copies of a text don't add to the support. In documents that hold e, such a term is generalised to [TERM].
 
 Edge cases: null text is empty and stays null in sanitised documents; empty texts have no span; repeated rows are
 treated alike; other columns pass through.
@@ -74,17 +74,30 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}{4}"))
 
 
+def _near(text: Column, s: Column) -> Column:
+    """Words that stand wholly within CONTEXT characters of a span, by their starts; what adjoins it is left out."""
+    first = F.greatest(F.lit(0), s["start"] - CONTEXT - 1)
+    word = lambda w, at: F.struct((w["start"] + at).alias("start"), w["value"].alias("term"))
+    # One more character on either side tells whether a word goes on beyond the context.
+    before = _located(F.substring(text, first + 1, s["start"] - first), r"[^\x20\x09-\x0D]++", "", 0, lambda m: F.lit(True))
+    after = _located(F.substring(text, s["end"] + 1, F.lit(CONTEXT + 1)), r"[^\x20\x09-\x0D]++", "", 0, lambda m: F.lit(True))
+    before = F.filter(before, lambda w: (w["start"] + first >= s["start"] - CONTEXT) & (w["end"] + first < s["start"]))
+    after = F.filter(after, lambda w: (w["start"] > 0) & (w["end"] <= CONTEXT))
+    words = F.concat(F.transform(before, lambda w: word(w, first)), F.transform(after, lambda w: word(w, s["end"])))
+    return F.filter(words, lambda w: w["term"].rlike(r"\p{L}{4}"))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, terms (array), for every entity with terms that give it away. `found`: doc_id, text, spans."""
-    at = found.select("text", F.explode("spans").alias("s")).select(
-        F.lower("s.value").alias("entity"),
-        F.substring("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT + 1), F.least(F.lit(CONTEXT), F.col("s.start"))).alias("left"),
-        F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("right"),
-    )
-    # Words cut off at a context's border are not words of the text.
-    contexts = at.distinct().select("entity", F.array_distinct(F.concat(_terms(F.regexp_replace("left", r"^[^\x20\x09-\x0D]*", "")), _terms(F.regexp_replace("right", r"[^\x20\x09-\x0D]*$", "")))).alias("terms"))
-    n_e = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    n_te = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    """entity, terms (array), for every entity with terms that give it away. `found`: text, spans; a row for each of docs."""
+    texts = found.groupBy(F.md5("text").alias("key")).agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("spans").alias("spans"))
+    values = F.array_distinct(F.transform("spans", lambda s: F.struct(F.lower(s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))))
+    at = texts.select("key", "n", "text", F.explode(values).alias("s"))
+    near = stored(at.select("key", "n", "s.entity", F.col("s.start").alias("place"), _near(F.col("text"), F.col("s")).alias("words")), "near")
+    n_e = near.groupBy("entity").agg(F.sum("n").alias("n_e"))
+    # A word that stands near an entity twice is one occurrence of it.
+    held = near.select("key", "n", "entity", "place", F.explode("words").alias("w")).groupBy("key", "entity", F.col("w.term").alias("term"))
+    held = held.agg(F.max("n").alias("n"), F.size(F.collect_set("w.start")).alias("times"), F.size(F.collect_set("place")).alias("contexts"))
+    n_te = held.groupBy("entity", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n_te"), F.sum("contexts").alias("support")).where(F.col("support") >= SUPPORT)
     n_t = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = n_t.agg(F.sum("n_t").alias("n"))
     joint = n_te.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))

@@ -81,6 +81,27 @@ def test_disclosing_terms(spark, tmp_path):
     assert clean[0] == "letter one says [TERM] wrote from [EMAIL] on day one again"
 
 
+def private(spark, at, texts):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(at / "documents.parquet"))
+    return [r.text for r in sorted(pii.sanitise(spark.read.parquet(str(at / "documents.parquet"))).collect(), key=lambda r: r.doc_id)]
+
+
+def test_disclosing_terms_of_copies_and_footers(spark, tmp_path):
+    other = ["letter says from again that they wrote plain words here today"] * 2000
+    copies = [f"letter {n} says Quillfeather wrote from jo@x.org again" for n in ("one", "two", "three")] * 10
+    # Footers: one context, in different texts; the first and last words of a text are whole.
+    long = " ".join(["words"] * 20)
+    footers = [f"{n} {long} Brackenbury says al@y.org Thornhollow" for n in ("one", "two", "three")]
+    # One text, however often it is copied, is no support.
+    single = ["letter says Marlowthwaite wrote from ed@z.org again"] * 9
+    got = private(spark, tmp_path, copies + footers + single + other)
+    assert got[0] == "letter one says [TERM] wrote from [EMAIL] again"
+    assert all("Quillfeather" not in t for t in got[:30])
+    assert got[30] == f"one {long} [TERM] says [EMAIL] [TERM]"
+    assert got[33] == "letter says Marlowthwaite wrote from [EMAIL] again"
+
+
 # 3 and 6
 
 
