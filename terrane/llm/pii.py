@@ -8,10 +8,10 @@ Every value found is a protected entity. The words wholly within CONTEXT charact
 it. All counts are of occurrences in all rows: n(t) of term t, n(e) of entity e, n(t,e) of t near e, and N of all
 terms. A term discloses e where P(e|t) = n(t,e) / n(t) >= DISCLOSURE, the pointwise mutual information
 log2(n(t,e) N / (n(t) n(e))) >= BITS and SUPPORT occurrences of e in different texts or places of a text have t near
-them; copies of a text don't add to the support. In documents that hold e, such a term is generalised to [TERM].
+them; copies of a text don't add to the support. Wherever such a term stands, it is generalised to [TERM].
 
-Edge cases: null text is empty and stays null in sanitised documents; empty texts have no span; repeated rows are
-treated alike; other columns pass through.
+Edge cases: null text is empty and stays null in sanitised documents; empty texts have no span; repeated rows and
+rows with a null doc_id are treated like others; other columns pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_few, salted_join, stored, table
+from .common import salted_join, sieve, sifted, stored, table
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MAIL = "A-Za-z0-9._%+-"
@@ -69,9 +69,13 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: What a term has: all words but signs and lower-case words of one or two letters.
+TERM = r"\p{L}{3}|[\p{Lu}\p{Lt}\p{Lo}\p{N}]"
+
+
 def _terms(text: Column) -> Column:
-    """Words between blanks that hold four letters in a row."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"\p{L}{4}"))
+    """Words between blanks that may be terms."""
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w.rlike(TERM))
 
 
 def _near(text: Column, s: Column) -> Column:
@@ -84,11 +88,11 @@ def _near(text: Column, s: Column) -> Column:
     before = F.filter(before, lambda w: (w["start"] + first >= s["start"] - CONTEXT) & (w["end"] + first < s["start"]))
     after = F.filter(after, lambda w: (w["start"] > 0) & (w["end"] <= CONTEXT))
     words = F.concat(F.transform(before, lambda w: word(w, first)), F.transform(after, lambda w: word(w, s["end"])))
-    return F.filter(words, lambda w: w["term"].rlike(r"\p{L}{4}"))
+    return F.filter(words, lambda w: w["term"].rlike(TERM))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, terms (array), for every entity with terms that give it away. `found`: text, spans; a row for each of docs."""
+    """term, for the terms that give an entity away. `found`: text, spans; a row for each of docs that has spans."""
     texts = found.groupBy(F.md5("text").alias("key")).agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("spans").alias("spans"))
     values = F.array_distinct(F.transform("spans", lambda s: F.struct(F.lower(s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))))
     at = texts.select("key", "n", "text", F.explode(values).alias("s"))
@@ -103,25 +107,29 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     joint = n_te.join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(total))
     bits = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     risky = joint.where((F.col("n_te") / F.col("n_t") >= DISCLOSURE) & (bits >= BITS))
-    return risky.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-
-
-def _term_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, term_spans of the documents that hold an entity and terms which disclose it."""
-    found = stored(docs.select("doc_id", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0), "pii")
-    risky = disclosing_terms(docs, found)
-    held = found.select("doc_id", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
-    terms = salted_join(held, risky, ["entity"], F.col("doc_id"), "inner").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"))
+    return risky.select("term").distinct()
+
+
+def with_term_spans(docs: DataFrame) -> DataFrame:
+    """The documents' columns and term_spans, null in texts without a term that discloses an entity of any document."""
+    seen = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = stored(seen.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0), "pii")
+    risky = stored(disclosing_terms(seen, found), "risky")
+    # Every word of every text is looked up; equal texts are one from here on.
+    words = seen.select(F.md5("text").alias("key_"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    words = sifted(words, "term", sieve(risky, "term")).where("maybe_").drop("maybe_").distinct()
+    terms = stored(salted_join(words, risky, ["term"], F.col("key_"), "inner").groupBy("key_").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")
+    keyed = sifted(docs.withColumn("key_", F.md5(F.coalesce("text", F.lit("")))), "key_", sieve(terms, "key_"))
     quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
-    return found.dropDuplicates(["doc_id", "text"]).join(terms, "doc_id").select("doc_id", _located(F.col("text"), pattern, "term", len(ORDER), lambda m: F.lit(True)).alias("term_spans"))
+    spans = F.when(F.col("terms").isNotNull(), _located(F.col("text"), pattern, "term", len(ORDER), lambda m: F.lit(True)))
+    marked = salted_join(keyed.where("maybe_").drop("maybe_"), terms, ["key_"], F.col("doc_id")).select(*docs.columns, spans.alias("term_spans"))
+    return keyed.where("not maybe_").select(*docs.columns, F.lit(None).cast(SPAN).alias("term_spans")).unionByName(marked)
 
 
 def find_private(docs: DataFrame) -> DataFrame:
     """The documents' columns, with base (spans of the patterns) and spans (those and the disclosing terms)."""
-    seen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    extra = stored(_term_spans(seen).groupBy("doc_id").agg(F.max("term_spans").alias("term_spans")), "terms")
-    out = join_few(docs, extra, "doc_id").withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
+    out = with_term_spans(docs).withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("term_spans", F.array().cast(SPAN))))).drop("term_spans")
 
 
@@ -142,9 +150,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = docs.select("doc_id", F.transform(base_spans(F.col("text")), lambda s: s.dropFields("value")).alias("base"))
-    extra = _term_spans(docs).groupBy("doc_id").agg(F.max(F.transform("term_spans", lambda s: s.dropFields("value"))).alias("term_spans"))
-    out = base.join(extra, "doc_id", "left")
+    bare = lambda spans: F.transform(spans, lambda s: s.dropFields("value"))
+    out = with_term_spans(docs).select("doc_id", bare(base_spans(F.col("text"))).alias("base"), bare("term_spans").alias("term_spans"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.array_sort(F.concat("base", F.coalesce("term_spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
     return out.select("doc_id", *[count(k) for k in ORDER], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size(F.coalesce("term_spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))).cast("long").alias("n_terms"))

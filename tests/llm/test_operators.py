@@ -102,6 +102,15 @@ def test_disclosing_terms_of_copies_and_footers(spark, tmp_path):
     assert got[33] == "letter says Marlowthwaite wrote from [EMAIL] again"
 
 
+def test_disclosing_terms_are_marked_everywhere(spark, tmp_path):
+    other = ["letter says from again that they wrote plain words here today"] * 2000
+    near = [f"letter {n} says Lee 77-21 wrote from jo@x.org again" for n in ("one", "two", "three")]
+    away = ["today Lee wrote 77-21 here", "Leeward wrote"]
+    got = private(spark, tmp_path, near + away + other)
+    assert got[0] == "letter one says [TERM] [TERM] wrote from [EMAIL] again"
+    assert got[3:5] == ["today [TERM] wrote [TERM] here", "Leeward wrote"] and got[5:] == other
+
+
 # 3 and 6
 
 
