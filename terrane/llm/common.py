@@ -8,7 +8,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,16 +70,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Colum
     return left.join(right, [*key, "salt_"], how).drop("salt_")
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered; forgotten when it holds too many words."""
-
-    MOST = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -99,18 +93,72 @@ def mix(h: np.ndarray) -> np.ndarray:
 PLACES = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(32)]
 
 
-def shingles(words: list[bytes], k: int, hashes: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; of the whole sequence if it is shorter."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+class _Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as many as asked for."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = max(2 * len(self.up), n, 1 << 12)
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (np.uint64(self.BASE), np.uint64(pow(self.BASE, -1, 1 << 64))))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+#: What a byte adds to its word's hash; A-Z count as a-z.
+_BYTES = mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
+
+
+def placed_words(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash, begin, end) of each word of a UTF-8 text between ASCII blanks; A-Z are as a-z. A word's hash is a
+    polynomial of its bytes, so that all words are hashed at once."""
+    b = np.frombuffer(raw, np.uint8)
+    solid = ~((b == 32) | (b - np.uint8(9) < 5))
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out, first = np.empty(len(begin), np.uint64), 0
+    while first < len(begin):
+        at = begin[first]
+        last = max(first + 1, int(np.searchsorted(end, at + PIECE, "right")))
+        up, down = _POWERS.upto(int(end[last - 1] - at))
+        part = b[at : end[last - 1]]
+        sums = np.cumsum(_BYTES.take(part) * up[: len(part)])
+        x, y = begin[first:last] - at, end[first:last] - at
+        before = sums.take(x - 1)
+        before[0] = 0
+        out[first:last] = mix((sums.take(y - 1) - before) * down.take(x))
+        first = last
+    return out, begin, end
+
+
+def placed_shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of the k-word shingles of words with the hashes h, in their order; of the whole sequence if it is
+    shorter."""
+    if not len(h):
+        return h
     if len(h) < k:
         return mix(np.atleast_1d((h * np.array(PLACES[: len(h)])).sum(dtype=np.uint64) + np.uint64(len(h))))
     n = len(h) - k + 1
     out = h[:n] * PLACES[0]
     for i in range(1, k):
-        out = out + h[i : n + i] * PLACES[i]
-    return np.unique(mix(out))
+        out += h[i : n + i] * PLACES[i]
+    return mix(out)
+
+
+def shingles(raw, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a UTF-8 text."""
+    return np.unique(placed_shingles(placed_words(raw)[0], k))
+
+
+def utf8(text: pa.Scalar):
+    """A text's bytes, where it is not null."""
+    return text.as_buffer() if text.is_valid else b""
 
 
 def pack(tokens: np.ndarray) -> bytes:

@@ -22,6 +22,7 @@ are one document; a null doc_id has a null component; a table without rows gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,88 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import press, unpress
-from .common import PLACES, WordHash, ascii_words, give_back, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
+from .common import PLACES, give_back, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table, utf8
+from .counting import Frequencies, frequencies
 from .linking import link
 
-RARE = 128
-MOST_FREQUENT = 1 << 20
-MAP_BITS = 27
-#: Shingles are counted by this many leading bits.
-COUNT_BITS = 40
-FLUSH = 1 << 20
-
-
-def _sets(batch: pa.RecordBatch, k: int, hashes: WordHash) -> Iterator[tuple[int | None, np.ndarray]]:
-    for key, text in zip(batch.column(0), batch.column(1), strict=True):
-        yield key.as_py(), shingles(ascii_words(text.as_py()), k, hashes)
-
-
-class Frequencies:
-    """What the index needs to know about document frequencies, in bounded space."""
-
-    def __init__(self, bitmap: np.ndarray, frequent: np.ndarray) -> None:
-        self.bitmap, self.frequent = bitmap, frequent
-
-    def classes(self, h: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """How many shingles occur once; the rare ones; the frequent ones."""
-        at = h >> np.uint64(64 - MAP_BITS)
-        again = h[(self.bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        short = again >> np.uint64(64 - COUNT_BITS)
-        place = np.minimum(np.searchsorted(self.frequent, short), max(len(self.frequent) - 1, 0))
-        often = self.frequent[place] == short if len(self.frequent) else np.zeros(len(again), bool)
-        return len(h) - len(again), again[~often], again[often]
-
-
-def frequencies(docs: DataFrame, k: int) -> Frequencies:
-    spark = docs.sparkSession
-    bits = max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    most = MOST_FREQUENT >> bits
-    schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(parts) >> np.uint64(64 - COUNT_BITS), return_counts=True)
-            cuts = np.searchsorted(tokens, np.arange(1 << bits, dtype=np.uint64) << np.uint64(COUNT_BITS - bits)).tolist() + [len(tokens)]
-            rows = [(b, press(np.diff(tokens[i:j], prepend=np.uint64(0)), times[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
-
-        hashes, parts, size = WordHash(), [], 0
-        for batch in batches:
-            for _, h in _sets(batch, k, hashes):
-                parts.append(h)
-                size += len(h)
-                if size >= FLUSH:
-                    yield packed(parts)
-                    parts, size = [], 0
-        if size:
-            yield packed(parts)
-        del hashes, parts
-        give_back()
-
-    def total(group: pa.Table) -> pa.Table:
-        parts = [unpress(d.as_buffer()) for d in group.column("data")]
-        tokens = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in parts])
-        order = np.argsort(tokens, kind="stable")
-        tokens, times = tokens[order], np.concatenate([t for _, t in parts]).astype(np.int64)[order]
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        tokens, times = tokens[first], np.add.reduceat(times, first)
-        limit = max(RARE, -(-int(times.sum()) // max(most, 1)))
-        bucket = group.column("bucket")[0].as_py()
-        segment = np.zeros(1 << (MAP_BITS - bits), np.uint8)
-        segment[(tokens[times > 1] >> np.uint64(COUNT_BITS - MAP_BITS)) & np.uint64(len(segment) - 1)] = 1
-        frequent = tokens[times > limit]
-        return pa.table([[bucket], [press(np.packbits(segment, bitorder="little").tobytes(), frequent.astype(np.uint64))]], schema=schema)
-
-    counted = docs.select("doc_id", "text").mapInArrow(count, "bucket int, data binary")
-    rows = counted.groupBy("bucket").applyInArrow(total, "bucket int, data binary").collect()  # 2^MAP_BITS bits and MOST_FREQUENT numbers at most
-    bitmap, frequent = np.zeros((1 << bits, 1 << (MAP_BITS - bits - 3)), np.uint8), [np.empty(0, np.uint64)]
-    for r in rows:
-        segment, often = unpress(bytes(r.data))
-        bitmap[r.bucket] = np.frombuffer(segment, np.uint8)
-        frequent.append(often)
-    return Frequencies(bitmap.ravel(), np.sort(np.concatenate(frequent)))
-
 
 def prefix_keys(h: np.ndarray, known: Frequencies, percent: int) -> tuple[np.ndarray, int, int]:
     """(keys, how many of them are single shingles, shingles that are not frequent) of a set."""
@@ -129,15 +52,15 @@ def prefix_keys(h: np.ndarray, known: Frequencies, percent: int) -> tuple[np.nda
 
 def indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n, print_a and print_b (the set's fingerprint), keys, n_single, scarce, tokens (null without keys)."""
-    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k))
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, partial(shingles, k=k)))
     names = ["doc_id", "n", "print_a", "print_b", "keys", "n_single", "scarce", "tokens"]
     schema = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
             rows = []
-            for doc_id, h in _sets(batch, k, hashes):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingles(utf8(text), k)
                 keys, n_single, scarce = prefix_keys(h, held.value, percent)
                 seal = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
                 rows.append((doc_id, len(h), *seal, keys.view(np.int64) if len(keys) else None, n_single, scarce, pack(h) if len(keys) else None))
@@ -146,7 +69,6 @@ def indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        del hashes
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print_a long, print_b long, keys array<long>, n_single long, scarce long, tokens binary")

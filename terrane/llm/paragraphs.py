@@ -1,35 +1,48 @@
 """Paragraphs that repeat, exactly or nearly, across or within documents: MinHash banding, verified and clustered.
 
-Lines of at least MIN_WORDS words are paragraphs. Equal ones (by their words) are one. The sketch of a paragraph's
-five-word shingles has BANDS bands of ROWS minima; `tuned` takes the fewest bands of that width that find a pair at
-the threshold with probability RECALL. Paragraphs that collide in a band are compared on their whole shingle sets,
-and components of those with a Jaccard similarity of at least 0.8 are clusters. Of each cluster the first
-occurrence (by doc_id, then place) stays and the others are removals.
-
-Edge cases: null and empty texts and short lines have no paragraphs; a document repeated as a whole has all its
-paragraphs in clusters; rows with equal doc_id and text count as occurrences of their own; paragraphs of rows with
-a null doc_id are looked at like others and come first; other columns pass through `without_repeats`.
+Two kinds of paragraphs are compared, each with its own kind:
+
+* lines of at least MIN_WORDS words;
+* passages of PASSAGE words that begin at places which the text itself chooses: the least five-word shingle of every
+  WINDOW places in a row. Texts that share a run of PASSAGE + WINDOW - 1 = 50 words with distinct shingles choose the
+  same place in it, wherever the run begins or ends and whatever line ends it has, so they share a passage.
+
+Equal paragraphs are one. The sketch of a paragraph's five-word shingles has bands of minima; `tuned` takes the fewest
+bands that find a pair at the threshold with the probability asked for (lines: 7 bands of 2, 0.999; passages: 3 bands of 1,
+0.992). Band keys that surely occur once are dropped first (a bit map of fixed size tells them), paragraphs that
+share a key are compared on their whole shingle sets, and components of those with a Jaccard similarity of at least
+0.8 are clusters. Of each cluster the first occurrence (by doc_id, then text, then place) stays, with all that overlap
+it in its text; the others are removals. What overlaps or adjoins in a text is one span.
+
+Edge cases: null and empty texts and shorter lines and texts have no paragraphs; a document repeated as a whole has
+all its paragraphs in clusters; texts of any length are cut whole; rows with equal doc_id and text are one document,
+those with equal doc_id and other texts are different ones; rows with a null doc_id are looked at like others and come
+first; ties take the smaller doc_id, text hash and place; a table without rows gives none; all other columns, whatever
+their names, pass through `without_repeats`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, ascii_words, give_back, join_few, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table
+from .common import PLACES, free, give_back, join_few, mix, pack, placed_shingles, placed_words, salted_join, sieve, sifted, small_batches, stored, table, utf8
+from .counting import frequencies
 from .linking import link
 
 MIN_WORDS = 25
+PASSAGE, WINDOW = 26, 25
 SHINGLE = 5
 PERCENT = 80
-ROWS = 2
-RECALL = 0.999
+ROWS, RECALL = 2, 0.999
+PASSAGE_RECALL = 0.99
+_MOST = np.uint64(2**64 - 1)
 
 
 def tuned(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -37,100 +50,215 @@ def tuned(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> i
     return int(np.ceil(np.log(1 - recall) / np.log(1 - (percent / 100) ** rows)))
 
 
-def minima(h: np.ndarray, bands: int, rows: int) -> list[int]:
-    """Keys of the bands of a set of 64-bit hashes."""
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
-    low = (h[None, :] * (seeds[:, None] | np.uint64(1))).min(axis=1).reshape(bands, rows)
-    key = mix(np.arange(1, bands + 1, dtype=np.uint64))
-    for r in range(rows):
-        key = mix(key ^ low[:, r])
-    return key.view(np.int64).tolist()
-
-
-def _lines(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """number, start, end, words of the paragraphs."""
-    at = 0
-    for i, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * MIN_WORDS - 1 and len(words := ascii_words(line)) >= MIN_WORDS:
-            yield i, at, at + len(line), words
-        at += len(line) + 1
-
-
-def _identity(words: list[bytes]) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words)))))
-
-
-def _arrow(df: DataFrame, ddl: str, of_row) -> DataFrame:
-    """mapInArrow over (doc_id, text, ...) where of_row(hashes, row) gives rows."""
+@cache
+def _banding(percent: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Bands of lines and of passages, multipliers of the minima, marks of the bands."""
+    bands, passage_bands = tuned(percent), tuned(percent, 1, PASSAGE_RECALL)
+    return bands, passage_bands, mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64)) | np.uint64(1), mix(np.arange(1, bands + passage_bands + 1, dtype=np.uint64))
+
+
+def _over(x: np.ndarray, width: int, least) -> np.ndarray:
+    """The least (or greatest) of every `width` neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = least(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def anchors(h: np.ndarray) -> np.ndarray:
+    """Places of the passages' first shingles among the shingles h of a text."""
+    h = h[: len(h) - (PASSAGE - SHINGLE)]  # where a whole passage follows
+    if len(h) < WINDOW:
+        return np.empty(0, np.int64)
+    low = _over(h, WINDOW, np.minimum)
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    at = np.flatnonzero(_over(np.concatenate([edge, low, edge]), WINDOW, np.maximum) == h)
+    # Within a stretch of one shingle repeated, passages that overlap are alike.
+    again = np.append(False, (np.diff(at) < PASSAGE) & (h[at[1:]] == h[at[:-1]]))
+    return at[~again]
+
+
+class Paragraphs:
+    """The paragraphs of a text, lines first: words first:last of it, and shingles first:last - SHINGLE + 1."""
+
+    def __init__(self, raw) -> None:
+        self.raw = raw
+        words, self.begin, self.end = placed_words(raw)
+        self.n_lines, self.first, self.last = 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(words) < MIN_WORDS:
+            return
+        self.h = placed_shingles(words, SHINGLE)
+        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        bounds = np.concatenate([[0], np.searchsorted(self.begin, breaks), [len(words)]])
+        long = np.flatnonzero(np.diff(bounds) >= MIN_WORDS)
+        at = anchors(self.h)
+        self.n_lines = len(long)
+        self.first = np.concatenate([bounds[long], at])
+        self.last = np.concatenate([bounds[long + 1], at + PASSAGE])
+
+    def spans(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where paragraphs begin and end, in code points."""
+        later = np.append(0, np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) == 0x80))
+        begin, end = self.begin[self.first[some]], self.end[self.last[some] - 1]
+        return begin - later[begin], end - later[end]
+
+    def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys of the lines and of the passages, a row for each."""
+        bands, passage_bands, seeds, tags = _banding(percent)
+        low = self._minima(seeds).reshape(self.n_lines, bands, ROWS)
+        lines = np.broadcast_to(tags[:bands], (self.n_lines, bands))
+        for r in range(ROWS):
+            lines = mix(lines ^ low[:, :, r])
+        at, width = self.first[self.n_lines :], PASSAGE - SHINGLE + 1
+        low = np.column_stack([_over(self.h * seed, width, np.minimum)[at] for seed in seeds[:passage_bands]]) if len(at) else np.empty((0, passage_bands), np.uint64)
+        return lines, mix(low ^ tags[bands:])
+
+    def _minima(self, seeds: np.ndarray) -> np.ndarray:
+        """The least of each line's shingles under each seed."""
+        first, last = self.first[: self.n_lines], self.last[: self.n_lines] - SHINGLE + 1
+        out, held = np.empty((len(first), len(seeds)), np.uint64), np.empty(len(self.h) + 1, np.uint64)
+        held[-1] = _MOST
+        if len(first):
+            at = np.column_stack([first, last]).ravel()
+            for j, seed in enumerate(seeds):
+                np.multiply(self.h, seed, out=held[:-1])
+                out[:, j] = np.minimum.reduceat(held, at)[::2]
+        return out
+
+    def sets(self, some: np.ndarray) -> Iterator[np.ndarray]:
+        for i in some.tolist():
+            yield np.unique(self.h[self.first[i] : self.last[i] - SHINGLE + 1])
+
+    def ids(self, some: np.ndarray) -> np.ndarray:
+        """Hashes of the paragraphs' words."""
+        lines = [xxhash.xxh3_64_intdigest(self.h[self.first[i] : self.last[i] - SHINGLE + 1].tobytes()) for i in some[some < self.n_lines].tolist()]
+        at = self.first[some[some >= self.n_lines]]
+        sums = np.zeros(len(at), np.uint64)
+        for place, i in zip(PLACES, [*range(0, PASSAGE - SHINGLE, SHINGLE), PASSAGE - SHINGLE], strict=False):
+            sums += self.h[at + i] * place
+        return np.concatenate([np.array(lines, np.uint64), mix(sums)]).view(np.int64)
+
+
+def _band_keys(raw, percent: int) -> np.ndarray:
+    found = Paragraphs(raw)
+    return np.concatenate([k.ravel() for k in found.keys(percent)]) if len(found.first) else np.empty(0, np.uint64)
+
+
+def _in_batches(df: DataFrame, ddl: str, of_text) -> DataFrame:
+    """mapInArrow over (doc_id, part, text), where of_text(doc_id, part, UTF-8 text) gives the columns of a text's rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
 
+    def joined(parts: list) -> pa.RecordBatch:
+        whole = [pa.concat_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x for x in c]) for c, f in zip(zip(*parts, strict=True), schema, strict=True)]
+        return pa.RecordBatch.from_arrays(whole, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
-            rows: list = []
-            for row in zip(*batch.columns, strict=True):
-                rows += of_row(hashes, *(v.as_py() for v in row))
-                if len(rows) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        del hashes
+            parts, size = [], 0
+            for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if columns := of_text(doc_id, part, utf8(text)):
+                    parts.append(columns)
+                    size += len(columns[0])
+                if size >= 5000:
+                    yield joined(parts)
+                    parts, size = [], 0
+            if parts:
+                yield joined(parts)
         give_back()
 
-    return df.mapInArrow(run, ddl)
+    return df.select("doc_id", "part", "text").mapInArrow(run, ddl)
+
+
+OCCURRENCES = "doc_id long, part long, first int, last int, start int, end int, id long, size long, keys array<long>"
+
+
+def _occurrences(percent: int, held, doc_id: int | None, part: int, raw) -> list | None:
+    """Paragraphs with a band key that may occur again, and those keys."""
+    found = Paragraphs(raw)
+    if not len(found.first):
+        return None
+    both = found.keys(percent)
+    maybe = [held.value.again(k.ravel()).reshape(k.shape) for k in both]
+    some = np.flatnonzero(np.concatenate([m.any(1) for m in maybe]))
+    if not len(some):
+        return None
+    start, end = found.spans(some)
+    n_keys = np.concatenate([m.sum(1) for m in maybe])[some]
+    keys = np.concatenate([k[m] for k, m in zip(both, maybe, strict=True)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
+    sizes = np.fromiter(map(len, found.sets(some)), np.int64, len(some))
+    return [pa.array([doc_id] * len(some), pa.int64()), np.full(len(some), part), *(x.astype(np.int32) for x in (found.first[some], found.last[some], start, end)), found.ids(some), sizes, lists]
 
 
-def _occurrences(bands: int, hashes: WordHash, doc_id: int | None, text: str | None) -> Iterator[tuple]:
-    for i, start, end, words in _lines(text):
-        h = shingles(words, SHINGLE, hashes)
-        yield doc_id, i, start, end, len(words), _identity(words), len(h), minima(h, bands, ROWS)
+def _shingle_sets(doc_id: int | None, part: int, raw) -> list | None:
+    found = Paragraphs(raw)
+    every = np.arange(len(found.first))
+    return [found.ids(every), pa.array([pack(x) for x in found.sets(every)], pa.binary())] if len(every) else None
 
 
-def _shingle_sets(hashes: WordHash, doc_id: int | None, text: str | None) -> Iterator[tuple]:
-    for _, _, _, words in _lines(text):
-        yield _identity(words), pack(shingles(words, SHINGLE, hashes))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("part"), "text")
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per occurrence of a paragraph that occurs more than once: doc_id, paragraph (its number among the
-    lines), start, end (code points), n_words, keeper_doc, keeper_paragraph, removed."""
+    """One row per occurrence of a paragraph that occurs more than once: doc_id, part (a hash of the text), first and
+    last (words, last exclusive), start and end (code points), keeper (doc_id, part, start and end of the occurrence that
+    stays), removed."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    seen = _arrow(docs, "doc_id long, paragraph int, start int, end int, n_words int, id long, size long, keys array<long>", partial(_occurrences, tuned(percent)))
-    seen = stored(seen, "paragraphs")
-    place = F.struct("doc_id", "paragraph")
-    own = seen.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    docs = _keyed(docs)
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, partial(_band_keys, percent=percent)))
+    seen = stored(_in_batches(docs, OCCURRENCES, partial(_occurrences, percent, held)), "paragraphs")
+    place = F.struct("doc_id", "part", "start", "end")
+    own = seen.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     own = stored(own, "distinct")
     postings = own.select(F.explode("keys").alias("key"), "id", "size", F.col("size").alias("cap"), F.lit(0).alias("rank"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = stored(ids, "ids")
-        where = own.join(ids, "id", "left_semi").select(F.col("first.doc_id").alias("doc_id")).distinct()
-        some = sifted(docs, "doc_id", sieve(where, "doc_id")).where("maybe_ or doc_id is null").select("doc_id", "text")
-        found = _arrow(some, "id long, tokens binary", _shingle_sets)
+        where = own.join(ids, "id", "left_semi").select(F.col("first.part").alias("part")).distinct()
+        some = sifted(docs, "part", sieve(where, "part")).where("maybe_").dropDuplicates(["part"])
+        found = _in_batches(some, "id long, tokens binary", _shingle_sets)
         return sifted(found, "id", sieve(ids, "id")).where("maybe_").drop("maybe_").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     _, groups = link(postings, sets_of, percent)
-    classes = own.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "n", "first")
-    total = classes.groupBy("c").agg(F.sum("n").alias("n"), F.min("first").alias("keeper")).where("n > 1")
-    members = stored(salted_join(classes.select("id", "c"), total.select("c", "keeper"), ["c"], F.col("id"), "inner"), "clusters")
-    out = salted_join(seen.drop("keys", "size"), members, ["id"], F.struct("doc_id", "paragraph"), "inner")
-    removed: Column = ~place.eqNullSafe(F.col("keeper"))
-    return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("keeper.doc_id").alias("keeper_doc"), F.col("keeper.paragraph").alias("keeper_paragraph"), removed.alias("removed"))
+    classes = own.join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "first", "final")
+    total = classes.groupBy("c").agg(F.min("first").alias("keeper"), F.max("final").alias("final"))
+    apart = lambda p: ~(p["doc_id"].eqNullSafe(F.col("keeper.doc_id")) & (p["part"] == F.col("keeper.part")) & (p["start"] < F.col("keeper.end")))
+    total = total.where(apart(F.col("final"))).select("c", "keeper")
+    members = stored(salted_join(classes.select("id", "c"), total, ["c"], F.col("id"), "inner"), "clusters")
+    out = salted_join(seen.drop("keys", "size"), members, ["id"], F.struct("doc_id", "part", "start"), "inner")
+    removed: Column = apart(place)
+    return out.select("doc_id", "part", "first", "last", "start", "end", "keeper", removed.alias("removed"))
+
+
+def repeated_spans(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """What of each text repeats: doc_id, part, removed, start and end (code points), n_words, n_paragraphs, keeper_doc
+    (the first of them). Occurrences of one text that overlap or adjoin are one span."""
+    text = ["doc_id", "part", "removed"]
+    before = Window.partitionBy(*text).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*text).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)
+    found = repeats(docs, percent).withColumn("fresh", (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(-1))).cast("int"))
+    found = found.withColumn("span", F.sum("fresh").over(so_far))
+    out = found.groupBy(*text, "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first")).alias("n_words"), F.count("*").alias("n_paragraphs"), F.min("keeper.doc_id").alias("keeper_doc"))
+    return out.select(*text, "start", "end", "n_words", "n_paragraphs", "keeper_doc")
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeated_spans(table(spark, sf_dir, "documents"))
 
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents' columns; removals are cut out of the texts, with their line ends."""
-    gone = repeats(docs, percent).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone_"))
-    gone = stored(gone, "removals")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    kept = F.filter(lines, lambda x: ~F.array_contains("gone_", x["i"]))
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return join_few(docs, gone, "doc_id").withColumn("text", text).select(docs.columns)
+    """The documents' columns; removals are cut out of the texts."""
+    key, gone = free(docs, "key_"), free(docs, "gone_")
+    name = lambda part: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), part.cast("string"))
+    spans = repeated_spans(docs, percent).where("removed").groupBy(name(F.col("part")).alias(key))
+    spans = stored(spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone)), "removals")
+    upto = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.length("text")))
+    since = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s["end"]))
+    kept = F.array_join(F.zip_with(since, upto, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    return join_few(docs.withColumn(key, name(F.xxhash64("text"))), spans, key).withColumn("text", text).select(docs.columns)

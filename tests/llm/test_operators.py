@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from terrane.llm import blocks, bpe, chat_format, decontaminate, lm_score, media_ogg, ngram_join, paragraphs, pii, quality, registry, warc
+from terrane.llm import blocks, bpe, chat_format, counting, decontaminate, lm_score, media_ogg, ngram_join, paragraphs, pii, quality, registry, warc
 
 
 def key(rows):
@@ -142,7 +142,7 @@ def groups(s, percent):
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, corpus, documents, k, percent, monkeypatch):
-    monkeypatch.setattr(ngram_join, "RARE", 8)  # so that combinations and chunks are used
+    monkeypatch.setattr(counting, "RARE", 8)  # so that combinations and chunks are used
     s = sets([d for d in documents if d[0] is not None], k)
     c = groups(s, percent)
     got = ngram_join.ngram_join(spark.read.parquet(f"{corpus}/documents.parquet"), k, percent)[0].collect()
@@ -150,21 +150,110 @@ def test_ngram_join(spark, corpus, documents, k, percent, monkeypatch):
     assert [r.component_id for r in got if r.doc_id is None] == [None] and len(got) == len(documents)
 
 
-def test_paragraphs(spark, corpus, documents, monkeypatch):
-    p, seen = {}, collections.Counter()
-    for i, t in documents:
-        for n, line in enumerate((t or "").split("\n")):
-            if len(line.encode().lower().split()) >= paragraphs.MIN_WORDS:
-                p[i, n, seen[i, n]] = line
-                seen[i, n] += 1
-    c = groups(sets(p.items(), 5), 80)
+def words(t):
+    return [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group(0).lower(), t or "")) if x]
+
+
+def check_paragraphs(spark, docs, rows):
+    """Lines: exactly those that brute force groups. Runs of 50 equal words: covered wherever they are. All rows:
+    chains of similar paragraphs."""
+    text = {(r.doc_id, r.part): r.text for r in paragraphs._keyed(docs).collect()}
+    lines, start = {}, {}
+    for (i, part), t in text.items():
+        at = 0
+        for line in (t or "").split("\n"):
+            if len(words(line)) >= paragraphs.MIN_WORDS:
+                lines[i if i is not None else -1, part, at] = line
+            at += len(line) + 1
+    c = groups(sets(lines.items(), 5), 80)
     size = collections.Counter(c.values())
-    got = paragraphs.op6_paragraphs(spark, corpus).collect()
-    assert sorted((r.doc_id, r.paragraph, r.keeper_doc) for r in got) == sorted((k[0], k[1], c[k][0]) for k in p if size[c[k]] > 1)
-    text = dict(documents)
-    assert all(len(text[r.doc_id][r.start : r.end].split()) == r.n_words for r in got)
-    out = paragraphs.without_repeats(spark.read.parquet(f"{corpus}/documents.parquet"))
-    assert out.count() == len(documents) and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    want = {k for k in lines if size[c[k]] > 1}
+    got = {(r.doc_id if r.doc_id is not None else -1, r.part, r.start - (len(text[r.doc_id, r.part][: r.start]) - len(text[r.doc_id, r.part][: r.start].rstrip(" \t\r\x0b\x0c")))) for r in rows}
+    assert {(i, p) for i, p, _ in want} <= {(i, p) for i, p, _ in got}
+    covered = collections.defaultdict(set)
+    for r in rows:
+        t = text[r.doc_id, r.part]
+        assert words(t)[r.first : r.last] == words(t[r.start : r.end])
+        covered[r.doc_id, r.part].update(range(r.first, r.last))
+    starts = collections.Counter()
+    for k, n, _ in want:
+        starts[k, n] += 1
+    # Every line of a group is wholly within what was found.
+    for i, p, at in want:
+        k = (i if i != -1 else None, p)
+        before = len(words(text[k][:at]))
+        assert set(range(before, before + len(words(lines[i, p, at])))) <= covered[k]
+    runs = collections.defaultdict(list)
+    for k, t in text.items():
+        w = words(t)
+        for j in range(len(w) - 49):
+            if len({tuple(w[a : a + 5]) for a in range(j, j + 46)}) == 46:
+                runs[tuple(w[j : j + 50])].append((k, j))
+    for at in runs.values():
+        if len({k for k, _ in at}) > 1:
+            for k, j in at:
+                assert covered[k] & set(range(j, j + 50))
+    # What is found are whole groups: every occurrence has a partner of its kind that doesn't overlap it.
+    of = {}
+    for r in rows:
+        of.setdefault((r.keeper.doc_id, r.keeper.part, r.keeper.start, r.keeper.end), {})[r.doc_id if r.doc_id is not None else -1, r.part, r.start, r.end] = r
+    for kept, members in of.items():
+        s = sets([(k, text[r.doc_id, r.part][r.start : r.end]) for k, r in members.items()], 5)
+        first = (kept[0] if kept[0] is not None else -1, *kept[1:])
+        assert first == min(members) and len(set(groups(s, 80).values())) == 1
+        assert any(r.removed for r in members.values()) and not members[first].removed
+    return want
+
+
+def test_paragraphs(spark, corpus, documents):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    assert check_paragraphs(spark, docs, paragraphs.repeats(docs).collect())
+    out = paragraphs.without_repeats(docs.withColumnsRenamed({"lang": "key_", "source": "gone_"}))
+    assert out.count() == len(documents) and out.columns == ["doc_id", "text", "key_", "gone_", "n_chars"]
+    text = {t for _, t in documents}
+    left = [r.text for r in out.collect() if r.text not in text]
+    assert left and all(len(t) < 10000 for t in left if t[0] != "9")
+    assert paragraphs.op6_paragraphs(spark, corpus).where("n_words < 25").isEmpty()
+
+
+def test_paragraphs_within_and_across_lines(spark):
+    """Runs of 50 words that begin in the middle of lines and go over line ends, in other blanks and letter case."""
+    import random
+
+    random.seed(11)
+    some = lambda n: [f"{random.choice('abcdefgh')}{random.randint(0, 3000)}" for _ in range(n)]
+    texts, planted = [], set()
+    for i in range(60):
+        w = [some(random.randint(30, 300))]
+        if i % 2:
+            run = runs[i // 6] if i >= 6 else some(50)
+            w += [run, some(random.randint(0, 100))]
+            planted.add(i)
+        else:
+            w += [some(40)]
+        if i < 6:
+            runs = [*(runs if i else []), *([run] if i % 2 else [some(50)])]
+        else:
+            runs += [] if len(runs) > 9 else [some(50) for _ in range(10 - len(runs))]
+        texts.append("".join(x.upper() + random.choice([" ", "\n", "  ", "\t"]) if random.random() < 0.3 else x + random.choice([" ", "\n", "\r\n"]) for part in w for x in part))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = paragraphs.repeats(docs).collect()
+    check_paragraphs(spark, docs, rows)
+    shared = collections.Counter(tuple(words(t)[j : j + 50]) for t in texts for j in range(len(words(t)) - 49))
+    wanted = {i for i, t in enumerate(texts) if any(shared[tuple(words(t)[j : j + 50])] > 1 for j in range(len(words(t)) - 49))}
+    assert len(wanted) > 20 and {r.doc_id for r in rows} == wanted
+    clean = {r.doc_id: r.text for r in paragraphs.without_repeats(docs).collect()}
+    assert all(clean[i] == texts[i] for i in range(60) if i not in wanted)
+    assert not paragraphs.repeats(spark.createDataFrame(list(clean.items()), "doc_id long, text string")).where("removed").count()
+
+
+def test_paragraph_edges(spark):
+    run = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, run), (1, run), (1, "other words " + run), (None, run), (None, None), (2, ""), (3, "a " * 5000), (4, "a " * 4000 + "b")]
+    got = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.removed) for r in got if r.keeper.doc_id is None} == {(None, False), (1, True)}
+    assert {r.doc_id for r in got} == {None, 1, 3, 4}
+    assert len([r for r in got if r.doc_id in (3, 4)]) < 700
 
 
 def test_bands():
