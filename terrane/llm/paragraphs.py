@@ -8,8 +8,9 @@ Two kinds of paragraphs are compared, each with its own kind:
   same place in it, wherever the run begins or ends and whatever line ends it has, so they share a passage.
 
 Equal paragraphs are one. The sketch of a paragraph's five-word shingles has bands of minima; `tuned` takes the fewest
-bands that find a pair at the threshold with the probability asked for (lines: 7 bands of 2, 0.999; passages: 3 bands of 1,
-0.992). Band keys that surely occur once are dropped first (a bit map of fixed size tells them), paragraphs that
+bands that find a pair at the threshold with the probability asked for (lines: 7 bands of 2, 0.999; passages that begin
+with the same shingle: 3 bands of 1, 0.992; that shingle is part of their keys, so that passages which merely overlap
+don't meet). Band keys that surely occur once are dropped first (a bit map of fixed size tells them), paragraphs that
 share a key are compared on their whole shingle sets, and components of those with a Jaccard similarity of at least
 0.8 are clusters. Of each cluster the first occurrence (by doc_id, then text, then place) stays, with all that overlap
 it in its text; the others are removals. What overlaps or adjoins in a text is one span.
@@ -113,7 +114,7 @@ class Paragraphs:
             lines = mix(lines ^ low[:, :, r])
         at, width = self.first[self.n_lines :], PASSAGE - SHINGLE + 1
         low = np.column_stack([_over(self.h * seed, width, np.minimum)[at] for seed in seeds[:passage_bands]]) if len(at) else np.empty((0, passage_bands), np.uint64)
-        return lines, mix(low ^ tags[bands:])
+        return lines, mix(mix(low ^ tags[bands:]) ^ self.h[at][:, None])
 
     def _minima(self, seeds: np.ndarray) -> np.ndarray:
         """The least of each line's shingles under each seed."""
