@@ -6,7 +6,7 @@ that a shard meets all blocks' copies of a word and works on it once; its answer
 sequences turn them into documents again. Rows are packed: one for each block and shard, one for some documents.
 
 `coded` makes one table with both kinds of rows. Its key is the shard for words and, from `shards` on, the block
-for documents, so that a single exchange deals out both.
+for documents, so that a single exchange deals out both. The column shard of a row of documents is its turn in the block.
 
 Block numbers come from the partition, so the documents must be read from files or a checkpoint, which give the
 same partitions whenever a lost task is run again.
@@ -98,22 +98,22 @@ def coded(docs: DataFrame, split: Callable[[str], list], shards: int, counted: C
         rank[by_rank] = np.arange(len(words), dtype=np.uint32)
         if counted is not None:
             use = counted(keys)
-            some = [s for s, u in zip(seqs, use, strict=True) if u]
-            times = np.bincount(np.concatenate(some) if some else np.empty(0, np.uint32), minlength=len(words))
+            these = [s for s, u in zip(seqs, use, strict=True) if u]
+            times = np.bincount(np.concatenate(these) if these else np.empty(0, np.uint32), minlength=len(words))
         shard = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.uint32, len(words))[by_rank] if words else np.empty(0, np.uint32)
         rows = [(shards + number, ORDER, number, 0, press(shard))]
         for s in range(shards):
             mine = by_rank[np.flatnonzero(shard == s)]
             rows.append((s, WORDS, number, s, press_words([words[i] for i in mine.tolist()], times[mine].astype(np.uint32))))
-        first, size = 0, 0
+        first, size, some = 0, 0, 0
         for i in range(len(keys) + 1):
             if i == len(keys) or size >= ROW_CHARS // 5:
                 part = seqs[first:i]
                 if part:
                     ids = np.array(keys[first:i], np.int64).view(np.uint64)
                     sizes = np.fromiter(map(len, part), np.uint32, len(part))
-                    rows.append((shards + number, DOCS, number, 0, press(ids, sizes, rank[np.concatenate(part)])))
-                first, size = i, 0
+                    rows.append((shards + number, DOCS, number, some, press(ids, sizes, rank[np.concatenate(part)])))
+                first, size, some = i, 0, some + 1
             if i < len(keys):
                 size += len(seqs[i])
         for r in rows:
@@ -176,7 +176,8 @@ def joined(rows: DataFrame, answers: DataFrame, shards: int, assemble: Callable,
         order = np.empty(len(shard), np.int64)
         order[np.argsort(shard, kind="stable")] = np.arange(len(shard))
         blobs = [d.as_buffer() for _, d in sorted(zip(theirs.column("shard").to_pylist(), theirs.column("data"), strict=True), key=lambda x: x[0])]
-        parts = [unpress(d.as_buffer()) for kind, d in zip(kinds, data, strict=True) if kind == DOCS]
+        turn = mine.column("shard").to_pylist()
+        parts = [unpress(data[i].as_buffer()) for i in sorted(range(len(kinds)), key=turn.__getitem__) if kinds[i] == DOCS]
         out = pa.concat_tables([x.cast(out_schema) for x in assemble([(ids.view(np.int64), sizes.astype(np.int64), seq) for ids, sizes, seq in parts], order, blobs)] or [out_schema.empty_table()])
         give_back()
         return out

@@ -1,23 +1,32 @@
 """Language-model scores of whole documents, learned from the training fold of the corpus.
 
 Tokens are words (A-Z in lower case) and one end per text. Each distinct word is cut once into subwords of a public
-byte-level vocabulary. The model gives a subword the probability P(class | context) P(subword | class): classes
-are the most frequent subwords alone and bins of the others, the second factor comes from the counts of the whole
-training fold, and the first from causal self-attention over the classes of the subwords before, within the text,
-on top of the training fold's class bigrams. Windows of WINDOW subwords overlap by half: the later half is
-scored, each subword once, with at least half a window of context where the text has it. A token's probability is
-the product over its subwords, interpolated with its share of the training tokens (weight WHOLE).
-
-Training is data parallel: every block of training documents takes one pass over all its windows from the same
-start, in numpy, and the parameters are averaged by the windows. Counts, bigrams and vocabulary come from all
-training documents.
+byte-level vocabulary. A token's probability is that of its first subword, given the words before, times that of
+the rest: its share of the training tokens with this first subword (weight WHOLE), interpolated with the product over
+its other subwords and its stop, given its own subwords before. All but the shares come from one causal self-attention model on subword ids: every id has an
+embedding of its own, and the output is a hierarchical softmax over the whole vocabulary, a Huffman tree for first
+subwords and one for later ones, whose inner nodes have vectors of their own on top of the log odds of the training
+counts.
+
+First subwords attend to the first subwords of the words before, in windows of WINDOW words that overlap by half: the
+later half is scored, each token once, with at least half a window of context where the text has it. Windows begin
+anew in each text, so that equal texts score alike. Later subwords attend to the INNER subwords before in their word;
+they are the same wherever a word stands, so each distinct word of a block is looked at once.
+
+Training is data parallel: documents are dealt out to blocks by their hash, every block takes one pass over all
+windows of its training texts and over its words from the same start, in numpy, and the parameters are averaged, each
+row by its uses. Counts, trees and vocabulary come from all training documents. Scores don't depend on how the table
+is cut into files.
 
 Edge cases: null and empty texts are one end token; repeated rows score alike; a null doc_id is a training row and
-not held out; without training rows counts are zero and subwords uniform; other columns aren't read.
+not held out (a real doc_id of -2^63 counts as null); without training rows counts are zero and subwords uniform; texts
+and words of any length are scored whole; other columns, whatever their names, aren't read; a table without rows gives
+none.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -30,20 +39,21 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .bpe import NULL_ID, RANKS, read_ranks, word_encoder
-from .common import ascii_words, small_batches, stored, table
+from .common import ascii_words, keep_memory, small_batches, stored, table
 
-WINDOW = 32
+WINDOW, INNER = 32, 4
 HALF = WINDOW // 2
 WIDTH = 16
-CLASSES = 128
-ALONE = 96
-BATCH = 256
-#: Windows looked at together, whose arrays fit a core's cache; results don't depend on it.
-CHUNK = 64
-RATE = 0.02
-WHOLE = 0.7
-#: Parameters stay within this, which keeps exponentials of scores and logits in the range of 32-bit floats.
-MOST = 2.0
+#: Windows of a training step, and words' subwords of one.
+BATCH, INNER_BATCH = 256, 4096
+#: Queries scored together, whose arrays fit a core's cache; results don't depend on it.
+CHUNK = 1024
+RATE = 0.15
+WHOLE = 0.8
+#: What every subword counts besides its occurrences.
+PSEUDO = 0.05
+#: Parameters stay within this.
+MOST = 4.0
 FOLDS, HELD = 7, 2
 #: Rows of totals among counts of subwords.
 TOKENS, TYPES = -1, -2
@@ -57,151 +67,314 @@ def tokens(text: str) -> list[bytes]:
     return [*ascii_words(text), b""]
 
 
-class Lexicon:
-    """Classes of the subwords and the probability of each in its class."""
+def take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of a table, whose numbers are known to be within it."""
+    return table.take(at, 0, mode="clip")
+
+
+def summed(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; numbers are added two at a time, as complex ones."""
+    return np.add.reduceat(np.ascontiguousarray(rows).view(np.complex64), starts, axis=0).view(np.float32)
+
 
-    def __init__(self, counts: np.ndarray, spaced: np.ndarray) -> None:
-        """counts by subword, the end of texts last; spaced: which subwords begin a word."""
+def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows of WIDTH by a matrix, at once."""
+    return (x.reshape(-1, WIDTH) @ w).reshape(x.shape)
+
+
+class Tree:
+    """A Huffman tree over subwords: for each, the inner nodes on its path and the sides taken (1 or -1)."""
+
+    def __init__(self, counts: np.ndarray) -> None:
         n = len(counts)
-        self.of = np.zeros(n, np.int64)
-        top = np.argsort(-counts[:-1], kind="stable")[:ALONE]
-        self.of[top] = np.arange(len(top))
-        self.end = self.of[-1] = ALONE
-        rest = np.ones(n, bool)
-        rest[top] = rest[-1] = False
-        bins = (CLASSES - ALONE - 1) // 2
-        for family in (0, 1):
-            mine = np.flatnonzero(rest & (spaced == bool(family)))
-            mine = mine[np.argsort(-counts[mine], kind="stable")]
-            mass = np.cumsum(counts[mine] + 0.5)
-            self.of[mine] = ALONE + 1 + family * bins + np.minimum((mass - counts[mine]) * bins / max(mass[-1] if len(mass) else 1, 1), bins - 1).astype(np.int64)
-        total = np.bincount(self.of, counts + 0.5, CLASSES)
-        self.within = np.log10((counts + 0.5) / total[self.of])
+        mass = np.concatenate([counts + PSEUDO, np.zeros(n - 1)])
+        up, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.float32)
+        heap = [(m, i) for i, m in enumerate(mass[:n].tolist())]
+        heapq.heapify(heap)
+        for node in range(n, 2 * n - 1):
+            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+            up[x] = up[y] = node
+            side[x], side[y] = 1, -1
+            mass[node] = a + b
+            heapq.heappush(heap, (a + b, node))
+        self.odds = np.zeros(n - 1, np.float32)
+        one = np.flatnonzero(side[: 2 * n - 2] == 1)
+        self.odds[up[one] - n] = np.log(mass[one] / (mass[up[one]] - mass[one]))
+        self.size = np.zeros(n, np.int64)
+        at, nodes, sides = np.arange(n), [], []
+        while (going := at != 2 * n - 2).any():
+            nodes.append(np.where(going, up[at] - n, -1))
+            sides.append(side[at])
+            self.size += going
+            at = np.where(going, up[at], at)
+        used = np.stack(nodes, 1) >= 0 if nodes else np.zeros((n, 0), bool)
+        self.start = np.cumsum(self.size) - self.size
+        self.nodes = np.stack(nodes, 1)[used].astype(np.int32) if nodes else np.empty(0, np.int32)
+        self.sides = np.stack(sides, 1)[used] if nodes else np.empty(0, np.float32)
+
+    def paths(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides of the targets' paths one after another, and their sizes."""
+        size = take(self.size, targets)
+        at = blocks.ragged(take(self.start, targets), size)
+        return take(self.nodes, at), take(self.sides, at), size
+
+
+class Compact:
+    """Sums of rows with the same number."""
+
+    def __init__(self, n: int) -> None:
+        self.flag, self.number = np.zeros(n, bool), np.zeros(n, np.int32)
+
+    def __call__(self, at: np.ndarray, rows, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers that occur, how often, sums); rows(order) gives the rows in an order."""
+        self.flag[at] = True
+        used = np.flatnonzero(self.flag)
+        self.flag[used] = False
+        self.number[used] = np.arange(len(used), dtype=np.int32)
+        own = take(self.number, at)
+        order = np.argsort(own.astype(np.uint16) if len(used) < 1 << 16 else own, kind="stable")
+        n_times = np.bincount(own, minlength=len(used))
+        return used, n_times, summed(rows(order), np.cumsum(n_times) - n_times)
 
 
 class Attention:
-    """One layer of causal self-attention over classes. Keys, queries, values and output weights are trained; `table`
-    holds the logarithms of the class bigrams."""
-
-    SHAPES = {"q": (CLASSES, WIDTH), "k": (CLASSES, WIDTH), "v": (CLASSES, WIDTH), "w": (WIDTH, CLASSES), "lag": (WINDOW,)}
-
-    def __init__(self, bigrams: np.ndarray, flat: np.ndarray | None = None) -> None:
-        share = (bigrams.sum(0) + 1) / (bigrams.sum() + CLASSES)
-        self.table = np.log((bigrams + 4 * share) / (bigrams.sum(1, keepdims=True) + 4)).astype(np.float32)
-        if flat is None:
-            rng = np.random.default_rng(7)
-            flat = np.concatenate([(rng.normal(0, 0.3, math.prod(s)) * (name != "w")).ravel() for name, s in self.SHAPES.items()])
-        self.flat = np.clip(flat, -MOST, MOST).astype(np.float32)
+    """One layer of causal self-attention over subword ids with two hierarchical outputs: 0 for first subwords, 1 for later
+    ones. `e`: embeddings, `u`: vectors of the inner nodes of both trees; the other parameters are small."""
+
+    SMALL = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "s": (WIDTH, WIDTH), "lag": (WINDOW,), "lag_in": (INNER,), "bias": (2, WIDTH)}
+
+    def __init__(self, trees: tuple[Tree, Tree], small: np.ndarray | None = None, e: np.ndarray | None = None, u: np.ndarray | None = None) -> None:
+        self.trees, n = trees, len(trees[0].size)
+        rng = np.random.default_rng(7)
+        if small is None:
+            small = np.concatenate([(rng.normal(0, 0.25, math.prod(s)) * (name in "qkvs")).ravel() for name, s in self.SMALL.items()])
+        self.small = small.astype(np.float32)
         self.p, at = {}, 0
-        for name, s in self.SHAPES.items():
-            self.p[name] = self.flat[at : at + math.prod(s)].reshape(s)
+        for name, s in self.SMALL.items():
+            self.p[name] = self.small[at : at + math.prod(s)].reshape(s)
             at += math.prod(s)
+        self.e = rng.normal(0, 0.5, (n, WIDTH)).astype(np.float32) if e is None else e
+        self.u = np.zeros((2 * (n - 1), WIDTH), np.float32) if u is None else u
+        self.odds = np.concatenate([t.odds for t in trees])
         i, j = np.arange(HALF)[:, None], np.arange(WINDOW)[None]
-        self.distance = np.clip(HALF + i - j, 0, WINDOW - 1)
+        self.distance = (np.clip(HALF + i - j, 0, WINDOW - 1), np.arange(INNER - 1, -1, -1)[None])
         self.causal = j <= HALF + i
 
-    def _logits(self, inputs: np.ndarray, doc: np.ndarray) -> tuple:
-        asked = inputs[:, HALF:]
-        q, k, v = self.p["q"].take(asked, 0), self.p["k"].take(inputs, 0), self.p["v"].take(inputs, 0)
+    def tables(self) -> tuple:
+        """What each id gives to queries, keys, values and outputs."""
+        return tuple(self.e @ self.p[k] for k in "qkvs")
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, kind: int, tables: tuple | None = None) -> tuple:
+        """Vectors of the queries, which are the last places of each row of x; mask: (rows, queries, places)."""
+        asked = x[:, -mask.shape[1] :]
+        if tables:
+            q, k, v, s = (take(t, at) for t, at in zip(tables, (asked, x, x, asked), strict=True))
+            e = ea = None
+        else:
+            e = take(self.e, x)
+            ea = np.ascontiguousarray(e[:, -mask.shape[1] :])
+            q, k, v, s = (times(ea if name in "qs" else e, self.p[name]) for name in "qkvs")
         q *= np.float32(1 / math.sqrt(WIDTH))
         a = q @ k.transpose(0, 2, 1)
-        a += self.p["lag"][self.distance]
+        a += self.p["lag_in" if kind else "lag"].take(self.distance[kind])
+        np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
-        a *= self.causal & (doc[:, None, :] == doc[:, HALF:, None])
+        a *= mask
         a /= a.sum(-1, keepdims=True)
         h = a @ v
-        logits = (h.reshape(-1, WIDTH) @ self.p["w"]).reshape(*asked.shape, CLASSES)
-        logits += self.table.take(asked, 0)
-        return logits, (asked, inputs, q, k, v, a, h)
-
-    def forward(self, inputs: np.ndarray, doc: np.ndarray) -> tuple:
-        """Log probabilities (natural) of the classes at the later half of each window; and what backward needs."""
-        logits, held = self._logits(inputs, doc)
-        return logits - np.log(np.exp(logits).sum(-1, keepdims=True)), held
-
-    def of_targets(self, inputs: np.ndarray, doc: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probabilities of the targets only."""
-        logits, _ = self._logits(inputs, doc)
-        mine = np.take_along_axis(logits, target[..., None], -1)[..., 0]
-        return mine - np.log(np.exp(logits, out=logits).sum(-1))
-
-    def gradient(self, logp: np.ndarray, held: tuple, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        return self._backward(np.exp(logp), held, target, valid / max(valid.sum(), 1))
-
-    def slope(self, inputs: np.ndarray, doc: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """The gradient of the mean loss, without the probabilities' logarithms."""
-        share, out = valid / max(valid.sum(), 1), np.zeros_like(self.flat)
-        for i in range(0, len(inputs), CHUNK):
-            logits, held = self._logits(inputs[i : i + CHUNK], doc[i : i + CHUNK])
-            np.exp(logits, out=logits)
-            logits /= logits.sum(-1, keepdims=True)
-            out += self._backward(logits, held, target[i : i + CHUNK], share[i : i + CHUNK])
-        return out
-
-    def _backward(self, d: np.ndarray, held: tuple, target: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """d: probabilities of the classes, which are overwritten; share: the weight of each place."""
-        asked, inputs, q, k, v, a, h = held
-        np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], -1) - 1, -1)
-        d *= share.astype(np.float32)[..., None]
-        d = d.reshape(-1, CLASSES)
-        g = {"w": h.reshape(-1, WIDTH).T @ d}
-        dh = (d @ self.p["w"].T).reshape(h.shape)
+        h += s
+        h += self.p["bias"][kind]
+        return h.reshape(-1, WIDTH), (e, ea, q, k, v, a)
+
+    def odds_of(self, h: np.ndarray, target: np.ndarray, kind: int) -> tuple:
+        """For each node on the targets' paths: node, whose path, log odds of the side taken, the side; sizes of paths."""
+        nodes, sides, size = self.trees[kind].paths(target)
+        nodes = nodes + kind * (len(self.odds) // 2)
+        of = np.repeat(np.arange(len(target)), size)
+        z = np.einsum("ij,ij->i", take(self.u, nodes), take(h, of))
+        z += take(self.odds, nodes)
+        z *= sides
+        return nodes, of, z, sides, size
+
+    def scores(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray, kind: int, tables: tuple | None = None) -> np.ndarray:
+        """Log probabilities (natural) of the targets, one for each query."""
+        h, _ = self.hidden(x, mask, kind, tables)
+        *_, z, _, size = self.odds_of(h, target, kind)
+        if not len(z):
+            return np.zeros(len(target), np.float32)
+        np.clip(z, -60, 60, out=z)
+        return -np.add.reduceat(np.log1p(np.exp(-z)), np.cumsum(size) - size)
+
+    def gradient(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> tuple:
+        """Gradients of the loss, the sum of share times the negative log probability: small ones, then (rows, uses, sums)
+        of e and of u."""
+        h, (e, ea, q, k, v, a) = self.hidden(x, mask, kind)
+        nodes, of, z, sides, size = self.odds_of(h, target, kind)
+        np.clip(z, -60, 60, out=z)
+        d = (-take(share.astype(np.float32), of) / (1 + np.exp(z))) * sides
+        sum_u = self.by_node(nodes, lambda order: take(h, take(of, order)) * take(d, order)[:, None], len(self.u))
+        dh = summed(take(self.u, nodes) * d[:, None], np.cumsum(size) - size).reshape(*mask.shape[:2], WIDTH)
+        n, scale, flat = mask.shape[1], np.float32(1 / math.sqrt(WIDTH)), lambda m: m.reshape(-1, WIDTH)
         da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (a * da).sum(-1, keepdims=True))
-        places = lambda at: (at.astype(np.int64).ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        summed = lambda at, rows: np.bincount(at, rows.ravel(), CLASSES * WIDTH)
-        of_inputs = places(inputs)
-        g["v"] = summed(of_inputs, a.transpose(0, 2, 1) @ dh)
-        g["q"] = summed(places(asked), ds @ k / np.float32(math.sqrt(WIDTH)))
-        g["k"] = summed(of_inputs, ds.transpose(0, 2, 1) @ q)
-        g["lag"] = np.bincount(self.distance.ravel(), ds.sum(0).ravel(), WINDOW)
-        return np.concatenate([g[n].ravel() for n in self.SHAPES]).astype(np.float32)
-
-
-def windows(classes: np.ndarray, doc: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, documents, targets, valid) of all windows over a stream of texts; a place's input is the class before it."""
-    n, doc = len(classes), doc.astype(np.int32)
-    before = np.concatenate([np.array([end], classes.dtype), classes[:-1]])
-    before[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))] = end
-    pad = -n % HALF
-    stream = lambda x, fill: np.concatenate([np.full(HALF, fill, x.dtype), x, np.full(pad, fill, x.dtype)])
-    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HALF]
-    return view(stream(before, end)), view(stream(doc, -1)), np.concatenate([classes, np.full(pad, end, classes.dtype)]).reshape(-1, HALF), (np.arange(n + pad) < n).reshape(-1, HALF)
-
-
-def fit(classes: np.ndarray, doc: np.ndarray, end: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(windows, parameters, bigrams) of one pass over all windows of a stream of texts, in random order."""
-    bigrams = np.zeros(CLASSES**2)
-    if not len(classes):
-        return 0, Attention(bigrams.reshape(CLASSES, CLASSES)).flat, bigrams
-    x, d, y, valid = windows(classes, doc, end)
-    n = len(y)
-    for i in range(0, n, 1 << 14):
-        some = slice(i, i + (1 << 14))
-        bigrams += np.bincount(x[some, HALF:][valid[some]].astype(np.int64) * CLASSES + y[some][valid[some]], minlength=CLASSES**2)
-    model = Attention(bigrams.reshape(CLASSES, CLASSES))
-    shuffle = np.random.default_rng(n).permutation(n)
-    m, s = np.zeros_like(model.flat), np.zeros_like(model.flat)
-    for t, i in enumerate(range(0, n, BATCH), 1):
-        pick = shuffle[i : i + BATCH]
-        g = model.slope(x[pick], d[pick], y[pick], valid[pick])
-        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        rate = RATE * min(1, t / 10) * (1 - 0.9 * i / n)
-        model.flat -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        np.clip(model.flat, -MOST, MOST, out=model.flat)
-    return n, model.flat, bigrams
-
-
-def _pieces(parts: list, order: np.ndarray, blobs: list):
-    """For each row of documents: keys, sizes, the words' training counts, subwords, the document of each, and the words' numbers of subwords."""
-    opened = [blocks.unpress(b) for b in blobs]
-    counts, sizes, ids = (np.concatenate([x[i] for x in opened]).astype(np.int64) for i in range(3))
+        dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+        g = {"q": flat(ea).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "s": flat(ea).T @ flat(dh)}
+        lag = np.bincount(self.distance[kind].ravel(), ds.sum(0).ravel(), INNER if kind else WINDOW)
+        g |= {"lag": np.zeros(WINDOW) if kind else lag, "lag_in": lag if kind else np.zeros(INNER), "bias": np.zeros((2, WIDTH))}
+        g["bias"][kind] = flat(dh).sum(0)
+        de = times(dk, self.p["k"].T)
+        de += times(dv, self.p["v"].T)
+        de[:, -n:] += times(dq, self.p["q"].T) + times(dh, self.p["s"].T)
+        de = flat(de)
+        sum_e = self.by_id(x.ravel(), lambda order: take(de, order), len(self.e))
+        return np.concatenate([g[name].ravel() for name in self.SMALL]).astype(np.float32), sum_e, sum_u
+
+    def learner(self) -> None:
+        """What training keeps besides the parameters."""
+        self.by_id, self.by_node = Compact(len(self.e)), Compact(len(self.u))
+        self.seen = (np.zeros(len(self.e), np.float32), np.zeros(len(self.u), np.float32))
+        self.slopes = (np.zeros_like(self.small), np.zeros(len(self.e), np.float32), np.zeros(len(self.u), np.float32))
+
+    def step(self, rate: float, x: np.ndarray, mask: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> None:
+        """One step with rates that fall with the gradients so far; a row of e or u has one rate."""
+        small, *sums = self.gradient(x, mask, target, share, kind)
+        self.slopes[0][:] += small * small
+        self.small -= 0.3 * rate * small / (np.sqrt(self.slopes[0]) + 1e-6)
+        np.clip(self.small, -MOST, MOST, out=self.small)
+        for table, seen, slope, (rows, uses, g) in zip((self.e, self.u), self.seen, self.slopes[1:], sums, strict=True):
+            seen[rows] += uses
+            slope[rows] += (g * g).mean(1)
+            table[rows] = np.clip(take(table, rows) - rate * g / (np.sqrt(take(slope, rows)) + 1e-8)[:, None], -MOST, MOST)
+
+
+def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, documents, targets, where the ids are among the targets) of the windows over texts; a place's input is the
+    id before it, and each text begins a window."""
+    steps = -(-sizes // HALF)
+    place = blocks.ragged((np.cumsum(steps) - steps) * HALF, sizes)
+    n = int(steps.sum()) * HALF
+    target, before, doc = np.full(n, end, np.int32), np.full(HALF + n, end, np.int32), np.full(HALF + n, -1, np.int32)
+    target[place] = ids
+    follows = np.ones(len(ids), bool)
+    follows[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    follows = np.flatnonzero(follows)
+    before[HALF + place[follows]] = ids[follows - 1]
+    doc[HALF:] = np.repeat(np.arange(len(sizes), dtype=np.int32), steps * HALF)
+    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HALF] if n else np.empty((0, WINDOW), x.dtype)
+    return view(before), view(doc), target.reshape(-1, HALF), place
+
+
+def inner(ids: np.ndarray, sizes: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, mask, targets) for every subword of words: what follows it, the next one or the stop."""
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(ids))[:, None] + np.arange(1 - INNER, 1)
+    target = np.append(ids[1:], [stop] if len(ids) else [])
+    target[np.cumsum(sizes)[sizes > 0] - 1] = stop
+    return ids.take(np.maximum(at, 0)), (at >= start[:, None])[:, None, :], target
+
+
+def fit(model: Attention, ids: np.ndarray, sizes: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], end: int) -> None:
+    """One pass over all windows of texts (ids of their tokens' first subwords) and over the subwords of all their words (ids,
+    sizes, occurrences), in random order."""
+    model.learner()
+    x, doc, y, place = windows(ids, sizes, end)
+    valid = np.zeros(y.size, bool)
+    valid[place] = True
+    valid = valid.reshape(y.shape)
+    wx, wmask, wy = inner(words[0], words[1], end)
+    # Frequent words count more, but not so much that the others of their step are lost.
+    share = np.repeat(np.sqrt(words[2]), words[1])
+    rng = np.random.default_rng(len(y))
+    picks = [(0, p) for p in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH))] if len(y) else []
+    picks += [(1, p) for p in np.array_split(rng.permutation(len(wx)), -(-len(wx) // INNER_BATCH))] if len(wx) else []
+    for t, i in enumerate(rng.permutation(len(picks)).tolist(), 1):
+        kind, p = picks[i]
+        rate = RATE * min(1, t / 10) * (1 - 0.9 * t / len(picks))
+        if kind:
+            model.step(rate, wx[p], wmask[p], wy[p], share[p] / share[p].sum(), 1)
+        else:
+            mask = model.causal & (doc[p][:, None, :] == doc[p][:, HALF:, None])
+            model.step(rate, x[p], mask, y[p].ravel(), (valid[p] / valid[p].sum()).ravel(), 0)
+
+
+def of_firsts(model: Attention, ids: np.ndarray, sizes: np.ndarray, end: int, tables: tuple) -> np.ndarray:
+    x, doc, y, place = windows(ids, sizes, end)
+    out, n = np.empty(y.shape, np.float32), CHUNK // HALF
+    for i in range(0, len(y), n):
+        mask = model.causal & (doc[i : i + n][:, None, :] == doc[i : i + n][:, HALF:, None])
+        out[i : i + n] = model.scores(x[i : i + n], mask, y[i : i + n].ravel(), 0, tables).reshape(-1, HALF)
+    return out.ravel()[place].astype(np.float64)
+
+
+def of_rests(model: Attention, ids: np.ndarray, sizes: np.ndarray, end: int, tables: tuple) -> np.ndarray:
+    """For each word, the log probability of its later subwords and its stop after the first."""
+    each = np.zeros(len(ids) + 1)
+    x, mask, y = inner(ids, sizes, end)
+    for i in range(0, len(y), CHUNK):
+        each[i : i + CHUNK][: len(y) - i] = model.scores(x[i : i + CHUNK], mask[i : i + CHUNK], y[i : i + CHUNK], 1, tables)
+    upto = np.append(0, np.cumsum(each[:-1]))
     ends = np.cumsum(sizes)
-    for keys, lengths, seq in parts:
-        at = order[seq]
-        pieces = ids[blocks.ragged(ends[at] - sizes[at], sizes[at])]
-        doc = np.repeat(np.repeat(np.arange(len(keys)), lengths), sizes[at])
-        yield keys, lengths, counts[at], pieces, doc, sizes[at]
+    return upto[ends] - upto[ends - sizes]
+
+
+class Words:
+    """The distinct words of a block: training count, first subword, and the subwords of all but the end of texts."""
+
+    def __init__(self, blobs: list, end: int) -> None:
+        opened = [blocks.unpress(b) for b in blobs]
+        self.count, sizes, ids = (np.concatenate([x[i] for x in opened]).astype(np.int64) if opened else np.empty(0, np.int64) for i in range(3))
+        self.first = ids[np.cumsum(sizes) - sizes]
+        real = self.first != end
+        self.sizes = np.where(real, sizes, 0)
+        self.ids = ids[np.repeat(real, sizes)]
+
+
+SENT = "small binary, e_rows binary, e_uses binary, e_sums binary, u_rows binary, u_uses binary, u_sums binary"
+#: Sums of parameters that meet in a task, and at last in the driver.
+FEW_SUMS = 8
+
+
+class Sums:
+    """Parameters of several models, weighted by the uses of each row; untouched rows aren't sent."""
+
+    def __init__(self, n: int) -> None:
+        self.small = np.zeros(1 + sum(map(math.prod, Attention.SMALL.values())))
+        self.uses = [np.zeros(k, np.float32) for k in (n, 2 * (n - 1))]
+        self.sums = [np.zeros((k, WIDTH), np.float32) for k in (n, 2 * (n - 1))]
+
+    def of(self, model: Attention) -> Sums:
+        weight = float(model.seen[0].sum())
+        self.small[:] = np.append(weight, weight * model.small)
+        for i, values in enumerate((model.e, model.u)):
+            self.uses[i][:] = model.seen[i]
+            self.sums[i][:] = model.seen[i][:, None] * values
+        return self
+
+    def plus(self, small, *rest) -> Sums:
+        self.small += np.frombuffer(small, np.float64)
+        for i in (0, 1):
+            rows, uses, mean = (np.frombuffer(b, kind) for b, kind in zip(rest[3 * i : 3 * i + 3], (np.int32, np.float32, np.float16), strict=True))
+            self.uses[i][rows] += uses
+            self.sums[i][rows] += mean.reshape(-1, WIDTH).astype(np.float32) * uses[:, None]
+        return self
+
+    def sent(self) -> list[bytes]:
+        out = [self.small.tobytes()]
+        for uses, sums in zip(self.uses, self.sums, strict=True):
+            rows = np.flatnonzero(uses)
+            out += [rows.astype(np.int32).tobytes(), uses[rows].tobytes(), (sums[rows] / uses[rows, None]).astype(np.float16).tobytes()]
+        return out
+
+    def mean(self, trees: tuple[Tree, Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start = Attention(trees)
+        for values, uses, sums in zip((start.e, start.u), self.uses, self.sums, strict=True):
+            rows = np.flatnonzero(uses)
+            values[rows] = sums[rows] / uses[rows, None]
+        return (self.small[1:] / self.small[0] if self.small[0] else start.small), start.e, start.u
+
+
+def _sent(total: Sums) -> pa.Table:
+    return pa.table({name.split()[0]: pa.array([x], pa.binary()) for name, x in zip(SENT.split(", "), total.sent(), strict=True)})
 
 
 def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -225,14 +398,18 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
         for mine in words:
             ids = [cuts[w] for w in mine]
             out.append(blocks.press(np.array([total[w] for w in mine], np.uint64), np.fromiter(map(len, ids), np.uint32, len(ids)), np.array([i for x in ids for i in x], np.uint32)))
-        pieces = np.zeros(end + 1, np.int64)
-        np.add.at(pieces, [i for w in cuts for i in cuts[w]], np.repeat([total[w] for w in cuts], [len(cuts[w]) for w in cuts]))
+        # First subwords, then later ones and stops.
+        pieces = np.zeros(2 * (end + 1), np.int64)
+        of = lambda w: [cuts[w][0], *(end + 1 + i for i in cuts[w][1:]), *([2 * end + 1] if w else [])]
+        np.add.at(pieces, [i for w in cuts for i in of(w)], np.repeat([total[w] for w in cuts], [len(cuts[w]) + bool(w) for w in cuts]))
         used = np.flatnonzero(pieces)
         seen = np.array(list(total.values()), np.int64)
         out.append(blocks.press(np.array([seen.sum(), (seen > 0).sum()], np.uint64), used.astype(np.uint32), pieces[used].astype(np.uint64)))
         return out
 
     source = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Blocks hold the same documents in the same order however the table is cut into files.
+    source = source.repartition(partitions, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
     rows = stored(blocks.coded(source, tokens, shards, in_training), "lm-coded")
     answers = stored(blocks.answered(blocks.dealt(rows.where(f"k < {shards}"), partitions), shards, answer, totals=True), "lm-words")
 
@@ -243,59 +420,58 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[TOKENS, TYPES], used.astype(np.int64)])), pa.array(np.concatenate([sums, times]).astype(np.int64))], names=["piece", "n"])
 
     counted = answers.where("block < 0").select("data").mapInArrow(unfold, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each subword
-    counts = np.zeros(end + 1)
+    counts = np.zeros(2 * (end + 1))
     for r in counted:
         if r.piece >= 0:
             counts[r.piece] = r.n
     n_tokens, n_types = ({r.piece: r.n for r in counted}.get(k, 0) for k in (TOKENS, TYPES))
-    spaced = np.zeros(end + 1, bool)
-    spaced[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-    lexicon = context.broadcast(Lexicon(counts, spaced))
+    trees = context.broadcast((Tree(counts[: end + 1]), Tree(counts[end + 1 :])))
     answers = answers.where("block >= 0")
 
     def train(parts: list, order: np.ndarray, blobs: list) -> Iterator[pa.Table]:
-        lex, classes, docs, n = lexicon.value, [np.zeros(0, np.int16)], [np.zeros(0, np.int32)], 0
-        for keys, _, _, pieces, doc, _ in _pieces(parts, order, blobs):
-            use = in_training(keys.tolist())[doc]
-            classes.append(lex.of[pieces[use]].astype(np.int16))
-            docs.append((doc[use] + n).astype(np.int32))
-            n += len(keys)
-        n, flat, bigrams = fit(np.concatenate(classes), np.concatenate(docs), lex.end)
-        yield pa.table({"sums": pa.array([np.concatenate([[n], flat.astype(np.float64) * n, bigrams]).tobytes()], pa.binary())})
+        words, model = Words(blobs, end), Attention(trees.value)
+        keep_memory()
+        ids, sizes, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(words.first), np.int64)
+        for keys, lengths, seq in parts:
+            use = in_training(keys.tolist())
+            at = order[seq[np.repeat(use, lengths)]]
+            seen += np.bincount(at, minlength=len(seen))
+            ids.append(words.first[at])
+            sizes.append(lengths[use])
+        some = (seen > 0) & (words.sizes > 0)
+        fit(model, np.concatenate(ids), np.concatenate(sizes), (words.ids[np.repeat(some, words.sizes)], words.sizes[some], seen[some]), end)
+        yield _sent(Sums(model.e.shape[0]).of(model))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for data in batch.column(0):
-                x = np.frombuffer(data.as_buffer(), np.float64)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+            for row in zip(*batch.columns, strict=True):
+                total = (total or Sums(end + 1)).plus(*(x.as_buffer() for x in row))
+        if total:
+            yield from _sent(total).to_batches()
 
     documents = blocks.dealt(rows.where(f"k >= {shards}"), partitions)
-    sums = blocks.joined(documents, answers, shards, train, "sums binary").mapInArrow(added, "sums binary")
-    sums = sums.repartition(math.isqrt(partitions) + 1).mapInArrow(added, "sums binary").collect()  # a row of fixed size for each of a few tasks
-    total = sum(np.frombuffer(bytes(r.sums), np.float64) for r in sums) if sums else np.zeros(1 + sum(map(math.prod, Attention.SHAPES.values())) + CLASSES**2)
-    size = len(total) - CLASSES**2
-    model = context.broadcast((total[size:].reshape(CLASSES, CLASSES), total[1:size] / total[0] if total[0] else None))
+    sums, left = blocks.joined(documents, answers, shards, train, SENT).mapInArrow(added, SENT), partitions
+    while left > FEW_SUMS:
+        left = -(-left // FEW_SUMS)
+        sums = sums.repartition(left).mapInArrow(added, SENT)
+    total = Sums(end + 1)
+    for r in sums.collect():  # FEW_SUMS rows at most, each bounded by the vocabulary
+        total.plus(*map(bytes, r))
+    model = context.broadcast(total.mean(trees.value))
 
     def assemble(parts: list, order: np.ndarray, blobs: list) -> Iterator[pa.Table]:
-        lex, attention = lexicon.value, Attention(*model.value)
-        for keys, lengths, seen, pieces, doc, cut in _pieces(parts, order, blobs):
-            owner = np.repeat(np.arange(len(keys)), lengths)
+        keep_memory()
+        words, attention = Words(blobs, end), Attention(trees.value, *model.value)
+        tables = attention.tables()
+        share = words.count / np.maximum(counts[words.first], 1)
+        rests = np.logaddexp(of_rests(attention, words.ids, words.sizes, end, tables) + math.log(1 - WHOLE), np.log(np.maximum(share * WHOLE, 1e-300)))
+        for keys, lengths, seq in parts:
+            at = order[seq]
+            seen, owner = words.count[at], np.repeat(np.arange(len(keys)), lengths)
             base = np.bincount(owner, np.log10((seen + 1) / (n_tokens + n_types + 1)), len(keys))
             known = np.bincount(owner, seen > 0, len(keys)).astype(np.int64)
-            x, d, y, valid = windows(lex.of[pieces], doc, lex.end)
-            gained = []
-            for i in range(0, len(x), CHUNK):
-                gained.append(attention.of_targets(x[i : i + CHUNK], d[i : i + CHUNK], y[i : i + CHUNK]).ravel())
-            each = np.concatenate(gained)[: len(pieces)].astype(np.float64) / math.log(10) + lex.within[pieces]
-            # A token has one subword at least, so its subwords begin where its number changes.
-            first = np.cumsum(cut) - cut
-            spelt = np.add.reduceat(each, first)
-            whole = np.log10(np.maximum(seen, 1e-300) * WHOLE / max(n_tokens, 1))
-            mixed = np.maximum(spelt + math.log10(1 - WHOLE), whole)
-            mixed += np.log10(10 ** (spelt + math.log10(1 - WHOLE) - mixed) + 10 ** (whole - mixed))
+            mixed = (of_firsts(attention, words.first[at], lengths, end, tables) + rests[at]) / math.log(10)
             yield pa.table({"doc_id": pa.array(keys), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(np.bincount(owner, mixed, len(keys)))})
 
     out = blocks.joined(documents, answers, shards, assemble, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -321,46 +321,113 @@ def test_lm(spark, corpus, documents):
         assert g.held_out == (g.doc_id is not None and zlib.crc32(str(g.doc_id).encode()) % 7 == 2)
 
 
-def test_attention_gradient_and_causality():
+def small_model(n=40, seed=0):
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    m = lm_score.Attention(rng.random((lm_score.CLASSES,) * 2))
-    m.flat += rng.normal(0, 0.1, len(m.flat)).astype(np.float32)
-    x, d, y, ok = lm_score.windows(rng.integers(0, lm_score.CLASSES, 50), np.repeat([0, 1], 25), 3)
-    logp, kept = m.forward(x, d)
-    assert np.allclose(np.exp(logp).sum(-1), 1, atol=1e-4)
-    assert np.allclose(np.take_along_axis(logp, y[..., None], -1)[..., 0], m.of_targets(x, d, y), atol=1e-4)
-    g = m.gradient(logp, kept, y, ok)
-    loss = lambda: -(np.take_along_axis(m.forward(x, d)[0], y[..., None], -1)[..., 0][ok]).mean()
-    for i in rng.integers(0, len(m.flat), 25):
-        old, e = m.flat[i], 1e-2
-        m.flat[i] = old + e
-        up = loss()
-        m.flat[i] = old - e
-        assert g[i] == pytest.approx((up - loss()) / (2 * e), abs=2e-3)
-        m.flat[i] = old
-    z = x.copy()
-    z[:, -1] = (z[:, -1] + 1) % lm_score.CLASSES
-    assert np.array_equal(m.forward(z, d)[0][:, :-1], logp[:, :-1])
+    rng = np.random.default_rng(seed)
+    trees = (lm_score.Tree(rng.integers(0, 50, n).astype(float)), lm_score.Tree(rng.integers(0, 50, n).astype(float)))
+    m = lm_score.Attention(trees)
+    m.u += rng.normal(0, 0.3, m.u.shape).astype(np.float32)
+    m.small += rng.normal(0, 0.1, m.small.shape).astype(np.float32)
+    m.learner()
+    return m, rng
 
 
-def test_attention_trains_on_every_token(monkeypatch):
+def plain_score(m, context, target, kind):
+    """log P(target) after the ids of context, the last of which asks, one number at a time."""
     import numpy as np
 
-    used, slope = collections.Counter(), lm_score.Attention.slope
+    e = m.e[context].astype(float)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    lag = p["lag_in" if kind else "lag"]
+    a = np.array([e[-1] @ p["q"] @ (x @ p["k"]) / math.sqrt(lm_score.WIDTH) + lag[len(e) - 1 - i] for i, x in enumerate(e)])
+    a = np.exp(a) / np.exp(a).sum()
+    h = sum(w * (x @ p["v"]) for w, x in zip(a, e, strict=True)) + e[-1] @ p["s"] + p["bias"][kind]
+    t, out = m.trees[kind], 0.0
+    for i in range(t.start[target], t.start[target] + t.size[target]):
+        node = t.nodes[i]
+        z = t.sides[i] * (m.u[node + kind * len(t.odds)] @ h + t.odds[node])
+        out -= math.log1p(math.exp(-z))
+    return out
+
 
-    def counted(self, x, d, y, ok):
-        used.update(y[ok].tolist())
-        return slope(self, x, d, y, ok)
+def test_attention_scores_like_one_by_one():
+    import numpy as np
+
+    m, rng = small_model()
+    sizes = np.array([1, 70, 0, 16, 33])
+    ids, end = rng.integers(0, 39, sizes.sum()), 39
+    got, at = lm_score.of_firsts(m, ids, sizes, end, m.tables()), 0
+    for n in sizes.tolist():
+        text = [end, *ids[at : at + n].tolist()]
+        for t in range(n):
+            first = max(0, t // lm_score.HALF - 1) * lm_score.HALF
+            assert got[at + t] == pytest.approx(plain_score(m, text[first : t + 1], text[t + 1], 0), abs=1e-3)
+        at += n
+    words = np.array([3, 1, 7])
+    pieces = rng.integers(0, 39, words.sum())
+    rest, at = lm_score.of_rests(m, pieces, words, end, m.tables()), 0
+    for n, r in zip(words.tolist(), rest, strict=True):
+        w = [*pieces[at : at + n].tolist(), end]
+        assert r == pytest.approx(sum(plain_score(m, w[max(0, t - lm_score.INNER) : t], w[t], 1) for t in range(1, n + 1)), abs=1e-3)
+        at += n
+    # All targets together have the probability 1.
+    assert sum(math.exp(plain_score(m, [1, 2, 3], t, 0)) for t in range(40)) == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_attention_gradient(kind):
+    import numpy as np
+
+    m, rng = small_model()
+    if kind:
+        x, mask, y = lm_score.inner(rng.integers(0, 39, 30), np.array([4, 6, 20]), 39)
+    else:
+        x, doc, y, _ = lm_score.windows(rng.integers(0, 39, 50), np.array([20, 30]), 39)
+        mask, y = m.causal & (doc[:, None, :] == doc[:, lm_score.HALF :, None]), y.ravel()
+    share = rng.random(len(y)) / len(y)
+    small, (e_rows, _, e_sums), (u_rows, _, u_sums) = m.gradient(x, mask, y, share, kind)
+    loss = lambda: -(m.scores(x, mask, y, kind) * share).sum()
+    dense = lambda rows, sums, table: np.put_along_axis(out := np.zeros_like(table), rows[:, None].repeat(lm_score.WIDTH, 1), sums, 0) or out
+    for values, slope in ((m.small, small), (m.e.reshape(-1), dense(e_rows, e_sums, m.e).ravel()), (m.u.reshape(-1), dense(u_rows, u_sums, m.u).ravel())):
+        for i in rng.choice(np.flatnonzero(slope), 20):
+            old, step = values[i], 1e-2
+            values[i] = old + step
+            up = loss()
+            values[i] = old - step
+            assert slope[i] == pytest.approx((up - loss()) / (2 * step), abs=2e-3)
+            values[i] = old
+
+
+def test_attention_trains_on_every_token(monkeypatch):
+    import numpy as np
 
-    monkeypatch.setattr(lm_score.Attention, "slope", counted)
-    classes = np.random.default_rng(1).integers(0, lm_score.CLASSES, 5000)
-    doc = np.sort(np.random.default_rng(2).integers(0, 90, 5000))
-    n, flat, bigrams = lm_score.fit(classes, doc, lm_score.ALONE)
-    assert n == math.ceil(5000 / lm_score.HALF) and used == collections.Counter(classes.tolist())
-    assert bigrams.sum() == 5000 and np.isfinite(flat).all()
-    assert lm_score.fit(classes[:0], doc[:0], lm_score.ALONE)[0] == 0
+    used, gradient = collections.Counter(), lm_score.Attention.gradient
+
+    def counted(self, x, mask, target, share, kind):
+        used.update((kind, t) for t in target[share > 0].tolist())
+        return gradient(self, x, mask, target, share, kind)
+
+    monkeypatch.setattr(lm_score.Attention, "gradient", counted)
+    m, rng = small_model()
+    ids, sizes = rng.integers(0, 39, 9000), np.full(90, 100)
+    pieces, words = rng.integers(0, 39, 500), np.full(100, 5)
+    before = lm_score.of_firsts(m, ids, sizes, 39, m.tables()).mean()
+    lm_score.fit(m, ids, sizes, (pieces, words, np.ones(100)), 39)
+    stops = collections.Counter({(1, 39): 100}) + collections.Counter((1, int(p)) for p in pieces.reshape(100, 5)[:, 1:].ravel())
+    assert used == collections.Counter((0, int(i)) for i in ids) + stops
+    assert lm_score.of_firsts(m, ids, sizes, 39, m.tables()).mean() > before
+    lm_score.fit(m, ids[:0], sizes[:0], (pieces[:0], words[:0], words[:0]), 39)
+
+
+def test_lm_is_free_of_file_layout_and_better_than_its_base(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.repartition(7, "lang").write.parquet(str(tmp_path / "a/documents.parquet"))
+    docs.orderBy("n_chars").coalesce(1).write.parquet(str(tmp_path / "b/documents.parquet"))
+    one, two = ({(r.doc_id, r.score, r.base_score, r.n_tokens, r.held_out) for r in lm_score.op7_lm_score(spark, str(tmp_path / x)).collect()} for x in "ab")
+    assert one == two
+    held = [r for r in one if r[4]]
+    assert sum(r[1] for r in held) > sum(r[2] for r in held) - 0.15 * sum(r[3] for r in held)
 
 
 # 8
