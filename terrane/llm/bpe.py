@@ -5,8 +5,9 @@ the corpus goes to one shard, is encoded there once, and its ids go back to the
 up in the table of token bytes (one row for each token of the vocabulary, a fixed and checked size).
 
 Edge cases: null and empty texts have no ids and decode to no bytes; repeated rows and equal doc_ids give a row
-each; a null doc_id stays null; texts of any length are cut as a whole; columns beyond doc_id and text are not
-read.
+each; a null doc_id stays null (and so becomes a doc_id of -2^63, which stands for it on the way); of merges with equal
+rank the leftmost goes first, as in tiktoken; texts of any length are cut as a whole; a table without rows gives none;
+columns beyond doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and has no other
+    machines (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="terrane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,9 +67,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where this application keeps its tables."""
+    return f"{shared_dir(spark)}/terrane-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored, once its results are written."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Like cut(), as a Parquet table: columnar, compressed, and with sizes that adaptive execution can use."""
-    at = f"{shared_dir(df.sparkSession)}/terrane-{what}-{uuid.uuid4().hex}"
+    at = f"{own_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
@@ -78,6 +94,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Colum
     return left.join(right, [*key, "salt_"], how).drop("salt_")
 
 
+def wrapped(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as row_, so that whatever names they have clash with no others."""
+    return df.select(*names, F.struct("*").alias("row_"))
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -159,14 +180,41 @@ def placed_shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingles(raw, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a UTF-8 text."""
-    return np.unique(placed_shingles(placed_words(raw)[0], k))
-
-
-def utf8(text: pa.Scalar):
-    """A text's bytes, where it is not null."""
-    return text.as_buffer() if text.is_valid else b""
+def in_groups(texts: pa.Array) -> Iterator[tuple[int, list]]:
+    """Texts (null: empty) as UTF-8, a quarter of a PIECE or one longer text at a time, after the number of the first."""
+    group, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        raw = text.as_buffer() if text.is_valid else b""
+        if group and size + len(raw) > PIECE // 4:
+            yield first, group
+            group, size, first = [], 0, i
+        group.append(raw)
+        size += len(raw)
+    if group:
+        yield first, group
+
+
+class Joined:
+    """Texts with a line end between them, and their words: hashes, begin and end in the bytes; of[i]:of[i + 1] are those of
+    text i, which begins at starts[i]."""
+
+    def __init__(self, raws: list) -> None:
+        self.raw = b"\n".join(raws)
+        self.starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        self.words, self.begin, self.end = placed_words(self.raw)
+        self.of = np.searchsorted(self.begin, self.starts)
+
+    def shingles(self, k: int) -> np.ndarray:
+        """By first word, also those that go on in the next text; empty for fewer than k words."""
+        return placed_shingles(self.words, k) if len(self.words) >= k else np.empty(0, np.uint64)
+
+
+def shingle_sets(raws: list, k: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; of its whole sequence if it is shorter."""
+    texts = Joined(raws)
+    h = texts.shingles(k)
+    for a, b in zip(texts.of.tolist(), texts.of[1:].tolist(), strict=False):
+        yield np.unique(h[a : b - k + 1]) if b - a >= k else placed_shingles(texts.words[a:b], k)
 
 
 def pack(tokens: np.ndarray) -> bytes:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blocks import press, unpress
-from .common import give_back, utf8
+from .common import give_back, in_groups, keep_memory
 
 #: A hash is frequent above this many occurrences, or above all / MOST_FREQUENT if that is more.
 RARE = 128
@@ -41,8 +41,8 @@ class Frequencies:
         return len(h) - len(again), again[~often], again[often]
 
 
-def frequencies(docs: DataFrame, hashes_of: Callable[[bytes | pa.Buffer], np.ndarray]) -> Frequencies:
-    """Frequencies of the hashes that hashes_of(UTF-8 text) gives for each text of docs (null: empty). Buckets follow
+def frequencies(docs: DataFrame, hashes_of: Callable[[list], Iterator[np.ndarray]]) -> Frequencies:
+    """Frequencies of the hashes that hashes_of(UTF-8 texts) gives for the texts of docs (null: empty). Buckets follow
     spark.sql.shuffle.partitions, which has to follow the input as in any other shuffle."""
     spark = docs.sparkSession
     bits = max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
@@ -56,12 +56,13 @@ def frequencies(docs: DataFrame, hashes_of: Callable[[bytes | pa.Buffer], np.nda
             rows = [(b, press(np.diff(tokens[i:j], prepend=np.uint64(0)), times[i:j].astype(np.uint32))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
+        keep_memory()
         parts, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                h = hashes_of(utf8(text))
-                parts.append(h)
-                size += len(h)
+            for _, raws in in_groups(batch.column(0)):
+                for h in hashes_of(raws):
+                    parts.append(h)
+                    size += len(h)
                 if size >= FLUSH:
                     yield packed(parts)
                     parts, size = [], 0

@@ -3,15 +3,20 @@
 The test items are the indexed side. Each item's BM25 impacts are divided by its score against itself, so that one
 threshold holds for items of any length. Every training document is cut into passages of twice the longest item,
 each starting one such item after the last, so that an item lies whole in some passage. A passage is a query: its
-summed list maxima, then its summed block maxima must reach the threshold (the WAND and block-max tests) before
-the items of a block are scored. Items above the threshold are verified: the share of the question's three-word
+summed list maxima must reach the threshold; its terms in the order of these maxima have a pivot, before which no sum
+can reach it, so only blocks of items that hold the pivot or a later term are looked at; blocks whose summed block
+maxima reach the threshold are scored. Items above the threshold are verified: the share of the question's three-word
 shingles and of the answer's words that the passage holds. An item's last sentence is its answer (of a single
 sentence, the last third).
 
-The benchmark is indexed in parts of at most SHARD_ITEMS items and SHARD_CHARS characters, one broadcast each.
+The numbers of items and of items with a term, the mean and the greatest length are those of the whole benchmark.
+It is indexed in parts of at most SHARD_ITEMS items and SHARD_CHARS characters (a longer item is a part of its own),
+one broadcast each; an index has some 40 bytes for each of a part's postings. Results don't depend on the parts.
 
-Edge cases: null or empty texts match nothing; items without words are left out; repeated documents and repeated
-items match each for itself; an empty benchmark or corpus gives no rows; other columns pass through.
+Edge cases: null or empty texts match nothing; items without words are left out; benchmark rows with equal item_id
+and text are one item, those with equal item_id only match each for itself; repeated documents, also those with a null
+doc_id, match each for itself; whole texts are looked at, however long; scores are compared unrounded, so ties don't
+matter; an empty benchmark or corpus gives no rows; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ragged
-from .common import give_back, small_batches, table
+from .common import free, give_back, small_batches, stored, table
 
 SHARD_ITEMS = 4096
 SHARD_CHARS = 16 << 20
 BLOCK_ITEMS = 4
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
+#: Room for sums in another order.
+EPS = 1e-9
 QUESTION, ANSWER = 0.6, 0.5
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 HITS = "array<struct<item_id:long,score:double,question:double,answer:double>>"
@@ -60,31 +67,47 @@ def _grams(words: list, k: int = 3) -> set:
 class Index:
     """BM25 impacts of one part of the benchmark, in blocks of items, with the maxima of lists and blocks."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        held = [(i, t, Counter(words_of(t))) for i, t in items]
-        held = [x for x in held if x[2]]
-        self.ids = [i for i, _, _ in held]
-        lengths = np.array([sum(c.values()) for _, _, c in held], np.float64)
-        self.longest = int(lengths.max(initial=0))
-        self.terms = {w: n for n, w in enumerate(dict.fromkeys(w for _, _, c in held for w in c))}
-        self.n_blocks = -(-len(held) // BLOCK_ITEMS)
-        rows = np.array([self.terms[w] for _, _, c in held for w in c], np.int64)
-        cols = np.repeat(np.arange(len(held)), [len(c) for _, _, c in held])
-        tf = np.array([v for _, _, c in held for v in c.values()], np.float64)
-        df = np.bincount(rows, minlength=len(self.terms))
-        idf = np.log(1 + (len(held) - df + 0.5) / (df + 0.5))
-        impact = idf[rows] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[cols] / max(lengths.mean(), 1e-9))) if len(held) else tf
-        impact = impact / np.bincount(cols, impact)[cols] if len(held) else impact
+    def __init__(self, items: list[tuple[int, str, dict[bytes, int]]], n_items: int, mean: float, longest: int) -> None:
+        """items: id, text, and for each of its words the number of items with it; the rest: of the whole benchmark."""
+        held = [(i, t, Counter(words_of(t)), df) for i, t, df in items]
+        self.ids = [i for i, *_ in held]
+        self.longest = longest
+        lengths = np.array([sum(c.values()) for _, _, c, _ in held], np.float64)
+        self.terms = {w: n for n, w in enumerate(dict.fromkeys(w for _, _, c, _ in held for w in c))}
+        rows = np.array([self.terms[w] for _, _, c, _ in held for w in c], np.int64)
+        cols = np.repeat(np.arange(len(held)), [len(c) for _, _, c, _ in held])
+        tf = np.array([v for _, _, c, _ in held for v in c.values()], np.float64)
+        df = np.array([d[w] for _, _, c, d in held for w in c], np.float64)
+        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
+        impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[cols] / mean)) if held else tf
+        impact = impact / np.bincount(cols, impact)[cols] if held else impact
         # Postings by block, then term: (block, term) -> its items and impacts.
-        order = np.lexsort((cols, rows, cols // BLOCK_ITEMS))
-        self.post_item, self.post_impact = cols[order], impact[order].astype(np.float32)
-        key = (cols // BLOCK_ITEMS * max(len(self.terms), 1) + rows)[order]
-        self.post_key, self.post_at = np.unique(key, return_index=True)
-        self.post_end = np.append(self.post_at[1:], len(key))
-        self.block_max = np.zeros((len(self.terms), self.n_blocks), np.float32)
-        np.maximum.at(self.block_max, (rows, cols // BLOCK_ITEMS), impact.astype(np.float32))
-        self.list_max = self.block_max.max(1, initial=0)
-        self.parts = [(_grams(q), set(a)) for q, a in (question_and_answer(t) for _, t, _ in held)]
+        blocks = cols // BLOCK_ITEMS
+        order = np.lexsort((cols, rows, blocks))
+        self.post_item, self.post_impact = cols[order], impact[order]
+        self.post_key, self.post_at = np.unique((blocks * max(len(self.terms), 1) + rows)[order], return_index=True)
+        self.post_end = np.append(self.post_at[1:], len(order)).astype(np.int64)
+        self.block_max = np.maximum.reduceat(self.post_impact, self.post_at) if held else impact
+        # Lists: term -> its blocks.
+        term = self.post_key % max(len(self.terms), 1)
+        by_term = np.argsort(term, kind="stable")
+        self.list_block = self.post_key[by_term] // max(len(self.terms), 1)
+        self.list_end = np.cumsum(np.bincount(term, minlength=len(self.terms)))
+        self.list_max = np.zeros(len(self.terms))
+        np.maximum.at(self.list_max, term, self.block_max)
+        self.parts = [(_grams(q), set(a)) for q, a in (question_and_answer(t) for _, t, *_ in held)]
+
+    def _blocks(self, terms: np.ndarray) -> np.ndarray:
+        """Blocks that may hold an item which reaches the threshold with these terms."""
+        terms = terms[np.argsort(self.list_max[terms], kind="stable")]
+        pivot = int(np.searchsorted(np.cumsum(self.list_max[terms]), THRESHOLD - EPS))
+        late = terms[pivot:]
+        since = np.append(0, self.list_end)[late]
+        some = np.unique(self.list_block[ragged(since, self.list_end[late] - since)])
+        key = some[:, None] * len(self.terms) + terms
+        at = np.minimum(np.searchsorted(self.post_key, key), len(self.post_key) - 1)
+        bound = np.where(self.post_key[at] == key, self.block_max[at], 0).sum(1)
+        return some[bound >= THRESHOLD - EPS]
 
     def _scores(self, terms: np.ndarray, block: int) -> np.ndarray:
         key = block * len(self.terms) + terms
@@ -117,14 +140,12 @@ class Index:
             return [[] for _ in texts]
         starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         ends = np.append(starts[1:], len(passage))
-        eps = 1e-4
-        may = np.flatnonzero(np.add.reduceat(self.list_max[term], starts) >= THRESHOLD - eps)
+        may = np.flatnonzero(np.add.reduceat(self.list_max[term], starts) >= THRESHOLD - EPS)
         for w in may.tolist():
             terms = term[starts[w] : ends[w]]
-            bounds = self.block_max[terms].sum(0)
-            for block in np.flatnonzero(bounds >= THRESHOLD - eps).tolist():
+            for block in self._blocks(terms).tolist():
                 scores = self._scores(terms, block)
-                for k in np.flatnonzero(scores >= THRESHOLD - eps).tolist():
+                for k in np.flatnonzero(scores >= THRESHOLD - EPS).tolist():
                     p = int(passage[starts[w]])
                     d = int(np.searchsorted(first, p, "right")) - 1
                     i, at = block * BLOCK_ITEMS + k, (p - int(first[d])) * step
@@ -137,16 +158,28 @@ class Index:
         return [[{"item_id": self.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(f.items())] for f in found]
 
 
-def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _words(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield part.map(lambda t: [w.decode("utf-8", "surrogatepass") for w in words_of(t)])
+
+
+def _shards(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the parts of the benchmark."""
+    items = benchmark.where("text is not null").select("item_id", "text").distinct().withColumn("words", F.pandas_udf(_words, "array<string>")("text"))
+    items = stored(items.where("size(words) > 0"), "items")
+    n, mean, longest = items.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    of = items.select("item_id", "text", F.explode(F.array_distinct("words")).alias("word"))
+    df = of.groupBy("word").agg(F.count("*").alias("df"))
+    counted = of.join(df, "word").groupBy("item_id", "text").agg(F.collect_list(F.struct("word", "df")).alias("dfs")).orderBy("item_id", "text")
     part, chars = [], 0
-    for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        part.append((r.item_id, r.text))
-        chars += len(r.text)
-        if len(part) >= SHARD_ITEMS or chars >= SHARD_CHARS:
-            yield part
+    for r in counted.toLocalIterator():
+        if part and (len(part) >= SHARD_ITEMS or chars + len(r.text) > SHARD_CHARS):
+            yield Index(part, n, mean, longest)
             part, chars = [], 0
+        part.append((r.item_id, r.text, {x.word.encode("utf-8", "surrogatepass"): x.df for x in r.dfs}))
+        chars += len(r.text)
     if part:
-        yield part
+        yield Index(part, n, mean, longest)
 
 
 def _searcher(held):
@@ -158,13 +191,15 @@ def _searcher(held):
     return search
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents' columns and hits: the benchmark items that each whole text holds."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, hits: str = "hits") -> DataFrame:
+    """The documents' columns and `hits` (a name that they don't have): the benchmark items that each whole text holds."""
     small_batches(docs.sparkSession)
-    out = docs.withColumn("hits", F.array().cast(HITS))
-    for items in _shards(benchmark):
-        search = _searcher(docs.sparkSession.sparkContext.broadcast(Index(items)))
-        out = out.withColumn("hits", F.concat("hits", F.pandas_udf(search, HITS)("text")))
+    if hits != free(docs, hits):
+        raise ValueError(f"the documents have a column {hits}")
+    out = docs.withColumn(hits, F.array().cast(HITS))
+    for index in _shards(benchmark):
+        search = _searcher(docs.sparkSession.sparkContext.broadcast(index))
+        out = out.withColumn(hits, F.concat(hits, F.pandas_udf(search, HITS)("text")))
     return out
 
 
@@ -176,4 +211,5 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with their columns."""
-    return with_hits(docs, benchmark).where(F.size("hits") == 0).select(docs.columns)
+    hits = free(docs, "hits")
+    return with_hits(docs, benchmark, hits).where(F.size(hits) == 0).select(docs.columns)

@@ -13,10 +13,12 @@ neighbouring pairs among them, so one pair of common shingles is adjacent in bot
 prefix is extended by d + 1 and adjacent 2-token combinations are indexed. Documents that share a key are compared
 on their whole sets.
 
-Equal sets are one class and are compared once. Edge cases: null or empty texts and texts without words have no
-set and link with nothing; texts with fewer words than a shingle are one shingle; repeated rows with one doc_id
-are one document; a null doc_id has a null component; a table without rows gives none; other columns pass through
-`without_near_copies`.
+Equal sets are one class and are compared once. The join gives components and links that span them: pairs whose
+components other links have joined already are not compared. Edge cases: null or empty texts and texts without words
+have no set and link with nothing; texts with fewer words than a shingle are one shingle; texts are read whole, however
+long; rows with one doc_id are one document, whose set is the largest of theirs (ties: the greatest fingerprint); a row
+with a null doc_id links with nothing and has a null component; a table without rows gives none; all other columns,
+whatever their names, pass through `without_near_copies`, which keeps rows with a null doc_id.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACES, give_back, mix, pack, salted_join, shingles, sieve, sifted, small_batches, stored, table, utf8
+from .common import PLACES, give_back, in_groups, join_few, keep_memory, mix, pack, salted_join, shingle_sets, sieve, sifted, small_batches, stored, table, wrapped
 from .counting import Frequencies, frequencies
 from .linking import link
 
@@ -52,15 +54,16 @@ def prefix_keys(h: np.ndarray, known: Frequencies, percent: int) -> tuple[np.nda
 
 def indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n, print_a and print_b (the set's fingerprint), keys, n_single, scarce, tokens (null without keys)."""
-    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, partial(shingles, k=k)))
+    held = docs.sparkSession.sparkContext.broadcast(frequencies(docs, partial(shingle_sets, k=k)))
     names = ["doc_id", "n", "print_a", "print_b", "keys", "n_single", "scarce", "tokens"]
     schema = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingles(utf8(text), k)
+            sets = (h for _, raws in in_groups(batch.column(1)) for h in shingle_sets(raws, k))
+            for doc_id, h in zip(batch.column(0).to_pylist(), sets, strict=True):
                 keys, n_single, scarce = prefix_keys(h, held.value, percent)
                 seal = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
                 rows.append((doc_id, len(h), *seal, keys.view(np.int64) if len(keys) else None, n_single, scarce, pack(h) if len(keys) else None))
@@ -75,14 +78,21 @@ def indexed(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, component_id; links between representatives of different sets: a, b)."""
+    """(documents: doc_id, n_shingles, component_id; links a, b between representatives of different sets, enough of them to
+    span every component)."""
     small_batches(docs.sparkSession)
     seen = stored(indexed(docs, k, percent), "sets")
     prints = ["print_a", "print_b"]
-    copies = seen.where("n > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # Of rows with one doc_id and different sets one stands for all.
+    top = F.max(F.struct("n", *prints)).alias("top_")
+    torn = seen.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("n", *prints).alias("sets_"), top).where("sets_ > 1").drop("sets_")
+    seen = join_few(seen, stored(torn, "torn"), "doc_id")
+    loses = F.col("top_").isNotNull() & (F.struct("n", *prints) != F.col("top_"))
+    seen = seen.select("doc_id", *[F.coalesce(f"top_.{c}", c).alias(c) for c in ("n", *prints)], *[F.when(~loses, F.col(c)).alias(c) for c in ("keys", "n_single", "scarce", "tokens")])
+    copies = seen.where("n > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = stored(copies, "copies")
     small = salted_join(seen.select("doc_id", "n", *prints), copies, prints, F.col("doc_id"), "left")
-    small = stored(small.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep")), "classes")
+    small = stored(small.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
     # Sets without keys need no comparison; of those with keys, one for each class.
     chosen = seen.where("keys is not null and doc_id is not null")
     fewer = chosen.join(small.where("rep <> doc_id").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n", "n_single", "scarce", "keys")
@@ -106,7 +116,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents' columns; of each group of linked documents the one with the smallest doc_id."""
-    gone = stored(ngram_join(docs, k, percent)[0].where("component_id <> doc_id").select("doc_id"), "gone")
-    marked = sifted(docs, "doc_id", sieve(gone, "doc_id"))
-    sure = marked.where("not coalesce(maybe_, false)").select(docs.columns)
-    return sure.unionByName(marked.where("maybe_").join(gone, "doc_id", "left_anti").select(docs.columns))
+    gone = stored(ngram_join(docs, k, percent)[0].where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    marked = sifted(wrapped(docs, "doc_id"), "doc_id", sieve(gone, "doc_id"))
+    sure = marked.where("not coalesce(maybe_, false)").select("row_.*")
+    return sure.unionByName(marked.where("maybe_").join(gone, "doc_id", "left_anti").select("row_.*"))

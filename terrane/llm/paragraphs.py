@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PLACES, free, give_back, join_few, mix, pack, placed_shingles, placed_words, salted_join, sieve, sifted, small_batches, stored, table, utf8
+from .common import PLACES, Joined, give_back, in_groups, join_few, keep_memory, mix, pack, sieve, sifted, small_batches, stored, table, wrapped
 from .counting import frequencies
 from .linking import link
 
@@ -68,42 +68,43 @@ def _over(x: np.ndarray, width: int, least) -> np.ndarray:
     return x
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Places of the passages' first shingles among the shingles h of a text."""
-    h = h[: len(h) - (PASSAGE - SHINGLE)]  # where a whole passage follows
+def anchors(h: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Places of the passages' first shingles among the shingles h; room: words from a place to its text's end."""
     if len(h) < WINDOW:
         return np.empty(0, np.int64)
     low = _over(h, WINDOW, np.minimum)
+    low[room[: len(low)] < PASSAGE + WINDOW - 1] = 0  # not within one text, or no whole passage after it
     edge = np.zeros(WINDOW - 1, np.uint64)
     at = np.flatnonzero(_over(np.concatenate([edge, low, edge]), WINDOW, np.maximum) == h)
     # Within a stretch of one shingle repeated, passages that overlap are alike.
     again = np.append(False, (np.diff(at) < PASSAGE) & (h[at[1:]] == h[at[:-1]]))
-    return at[~again]
+    return at[~again[: len(at)]]
 
 
 class Paragraphs:
-    """The paragraphs of a text, lines first: words first:last of it, and shingles first:last - SHINGLE + 1."""
-
-    def __init__(self, raw) -> None:
-        self.raw = raw
-        words, self.begin, self.end = placed_words(raw)
-        self.n_lines, self.first, self.last = 0, np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(words) < MIN_WORDS:
-            return
-        self.h = placed_shingles(words, SHINGLE)
-        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
-        bounds = np.concatenate([[0], np.searchsorted(self.begin, breaks), [len(words)]])
+    """The paragraphs of some texts, lines first: words first:last, and shingles first:last - SHINGLE + 1, of text `of`."""
+
+    def __init__(self, raws: list) -> None:
+        self.texts = Joined(raws)
+        n = len(self.texts.words)
+        self.h = self.texts.shingles(SHINGLE)
+        text = np.repeat(np.arange(len(raws)), np.diff(self.texts.of))
+        room = self.texts.of[1:][text] - np.arange(n)
+        breaks = np.flatnonzero(np.frombuffer(self.texts.raw, np.uint8) == 10)
+        bounds = np.concatenate([[0], np.searchsorted(self.texts.begin, breaks), [n]])
         long = np.flatnonzero(np.diff(bounds) >= MIN_WORDS)
-        at = anchors(self.h)
+        at = anchors(self.h, room)
         self.n_lines = len(long)
         self.first = np.concatenate([bounds[long], at])
         self.last = np.concatenate([bounds[long + 1], at + PASSAGE])
+        self.of = text[self.first]
 
     def spans(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where paragraphs begin and end, in code points."""
-        later = np.append(0, np.cumsum((np.frombuffer(self.raw, np.uint8) & 0xC0) == 0x80))
-        begin, end = self.begin[self.first[some]], self.end[self.last[some] - 1]
-        return begin - later[begin], end - later[end]
+        """Where paragraphs begin and end in their texts, in code points."""
+        later = np.append(0, np.cumsum((np.frombuffer(self.texts.raw, np.uint8) & 0xC0) == 0x80))
+        place = lambda b: b - later[b]
+        zero = place(self.texts.starts[self.of[some]])
+        return place(self.texts.begin[self.first[some]]) - zero, place(self.texts.end[self.last[some] - 1]) - zero
 
     def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Band keys of the lines and of the passages, a row for each."""
@@ -129,8 +130,11 @@ class Paragraphs:
         return out
 
     def sets(self, some: np.ndarray) -> Iterator[np.ndarray]:
-        for i in some.tolist():
-            yield np.unique(self.h[self.first[i] : self.last[i] - SHINGLE + 1])
+        """Sorted distinct shingles."""
+        for a, b in zip(self.first[some].tolist(), (self.last[some] - SHINGLE + 1).tolist(), strict=True):
+            h = np.sort(self.h[a:b])
+            again = h[1:] == h[:-1]
+            yield h[np.append(True, ~again)] if again.any() else h
 
     def ids(self, some: np.ndarray) -> np.ndarray:
         """Hashes of the paragraphs' words."""
@@ -142,33 +146,22 @@ class Paragraphs:
         return np.concatenate([np.array(lines, np.uint64), mix(sums)]).view(np.int64)
 
 
-def _band_keys(raw, percent: int) -> np.ndarray:
-    found = Paragraphs(raw)
-    return np.concatenate([k.ravel() for k in found.keys(percent)]) if len(found.first) else np.empty(0, np.uint64)
+def _band_keys(raws: list, percent: int) -> Iterator[np.ndarray]:
+    yield from (k.ravel() for k in Paragraphs(raws).keys(percent))
 
 
-def _in_batches(df: DataFrame, ddl: str, of_text) -> DataFrame:
-    """mapInArrow over (doc_id, part, text), where of_text(doc_id, part, UTF-8 text) gives the columns of a text's rows."""
+def _in_batches(df: DataFrame, ddl: str, of_texts) -> DataFrame:
+    """mapInArrow over (doc_id, part, text), where of_texts(UTF-8 texts, their doc_ids, their parts) gives a group's columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
 
-    def joined(parts: list) -> pa.RecordBatch:
-        whole = [pa.concat_arrays([pa.array(x, f.type) if not isinstance(x, pa.Array) else x for x in c]) for c, f in zip(zip(*parts, strict=True), schema, strict=True)]
-        return pa.RecordBatch.from_arrays(whole, schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
-            parts, size = [], 0
-            for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if columns := of_text(doc_id, part, utf8(text)):
-                    parts.append(columns)
-                    size += len(columns[0])
-                if size >= 5000:
-                    yield joined(parts)
-                    parts, size = [], 0
-            if parts:
-                yield joined(parts)
+            for first, raws in in_groups(batch.column(2)):
+                columns = of_texts(raws, batch.column(0).slice(first, len(raws)), batch.column(1).slice(first, len(raws)))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         give_back()
 
     return df.select("doc_id", "part", "text").mapInArrow(run, ddl)
@@ -177,28 +170,25 @@ def _in_batches(df: DataFrame, ddl: str, of_text) -> DataFrame:
 OCCURRENCES = "doc_id long, part long, first int, last int, start int, end int, id long, size long, keys array<long>"
 
 
-def _occurrences(percent: int, held, doc_id: int | None, part: int, raw) -> list | None:
+def _occurrences(percent: int, held, raws: list, doc_ids: pa.Array, parts: pa.Array) -> list:
     """Paragraphs with a band key that may occur again, and those keys."""
-    found = Paragraphs(raw)
-    if not len(found.first):
-        return None
+    found = Paragraphs(raws)
     both = found.keys(percent)
     maybe = [held.value.again(k.ravel()).reshape(k.shape) for k in both]
     some = np.flatnonzero(np.concatenate([m.any(1) for m in maybe]))
-    if not len(some):
-        return None
-    start, end = found.spans(some)
     n_keys = np.concatenate([m.sum(1) for m in maybe])[some]
     keys = np.concatenate([k[m] for k, m in zip(both, maybe, strict=True)])
     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_keys)).astype(np.int32)), pa.array(keys.view(np.int64)))
+    of = pa.array(found.of[some])
+    zero = found.texts.of[found.of[some]]
     sizes = np.fromiter(map(len, found.sets(some)), np.int64, len(some))
-    return [pa.array([doc_id] * len(some), pa.int64()), np.full(len(some), part), *(x.astype(np.int32) for x in (found.first[some], found.last[some], start, end)), found.ids(some), sizes, lists]
+    return [doc_ids.take(of), parts.take(of), *(x.astype(np.int32) for x in (found.first[some] - zero, found.last[some] - zero, *found.spans(some))), found.ids(some), sizes, lists]
 
 
-def _shingle_sets(doc_id: int | None, part: int, raw) -> list | None:
-    found = Paragraphs(raw)
+def _shingle_sets(raws: list, doc_ids: pa.Array, parts: pa.Array) -> list:
+    found = Paragraphs(raws)
     every = np.arange(len(found.first))
-    return [found.ids(every), pa.array([pack(x) for x in found.sets(every)], pa.binary())] if len(every) else None
+    return [found.ids(every), [pack(x) for x in found.sets(every)]]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -230,8 +220,9 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     total = classes.groupBy("c").agg(F.min("first").alias("keeper"), F.max("final").alias("final"))
     apart = lambda p: ~(p["doc_id"].eqNullSafe(F.col("keeper.doc_id")) & (p["part"] == F.col("keeper.part")) & (p["start"] < F.col("keeper.end")))
     total = total.where(apart(F.col("final"))).select("c", "keeper")
-    members = stored(salted_join(classes.select("id", "c"), total, ["c"], F.col("id"), "inner"), "clusters")
-    out = salted_join(seen.drop("keys", "size"), members, ["id"], F.struct("doc_id", "part", "start"), "inner")
+    # Hot keys of these two joins are on the left side only, which adaptive execution splits.
+    members = stored(classes.select("id", "c").join(total, "c"), "clusters")
+    out = seen.drop("keys", "size").join(members, "id")
     removed: Column = apart(place)
     return out.select("doc_id", "part", "first", "last", "start", "end", "keeper", removed.alias("removed"))
 
@@ -254,12 +245,12 @@ def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents' columns; removals are cut out of the texts."""
-    key, gone = free(docs, "key_"), free(docs, "gone_")
     name = lambda part: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), part.cast("string"))
-    spans = repeated_spans(docs, percent).where("removed").groupBy(name(F.col("part")).alias(key))
-    spans = stored(spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone)), "removals")
-    upto = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.length("text")))
-    since = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s["end"]))
+    spans = repeated_spans(docs, percent).where("removed").groupBy(name(F.col("part")).alias("key_"))
+    spans = stored(spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone_")), "removals")
+    upto = F.concat(F.transform("gone_", lambda s: s["start"]), F.array(F.length("text")))
+    since = F.concat(F.array(F.lit(0)), F.transform("gone_", lambda s: s["end"]))
     kept = F.array_join(F.zip_with(since, upto, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), "")
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
-    return join_few(docs.withColumn(key, name(F.xxhash64("text"))), spans, key).withColumn("text", text).select(docs.columns)
+    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept)
+    out = join_few(wrapped(docs, "text", name(F.xxhash64("text")).alias("key_")), spans, "key_").select("row_", text.alias("text"))
+    return out.select(*[F.col("text") if c == "text" else F.col("row_")[c].alias(c) for c in docs.columns])

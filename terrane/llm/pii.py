@@ -10,8 +10,11 @@ terms. A term discloses e where P(e|t) = n(t,e) / n(t) >= DISCLOSURE, the pointw
 log2(n(t,e) N / (n(t) n(e))) >= BITS and SUPPORT occurrences of e in different texts or places of a text have t near
 them; copies of a text don't add to the support. Wherever such a term stands, it is generalised to [TERM].
 
-Edge cases: null text is empty and stays null in sanitised documents; empty texts have no span; repeated rows and
-rows with a null doc_id are treated like others; other columns pass through.
+Edge cases: null text is empty and stays null in sanitised documents; empty texts have no span; repeated rows, rows
+with one doc_id and other texts and rows with a null doc_id are treated each for itself; spans that begin together are
+taken by kind in the order listed, and of spans that overlap the first is replaced whole and what is left of the other
+as well; texts are searched whole, however long; a table without rows gives none; other columns, whatever their names,
+pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, sieve, sifted, stored, table
+from .common import salted_join, sieve, sifted, stored, table, wrapped
 
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MAIL = "A-Za-z0-9._%+-"
@@ -111,7 +114,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_term_spans(docs: DataFrame) -> DataFrame:
-    """The documents' columns and term_spans, null in texts without a term that discloses an entity of any document."""
+    """row_ (the documents' columns) and term_spans, null in texts without a term that discloses an entity of any
+    document."""
     seen = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     found = stored(seen.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0), "pii")
     risky = stored(disclosing_terms(seen, found), "risky")
@@ -119,18 +123,19 @@ def with_term_spans(docs: DataFrame) -> DataFrame:
     words = seen.select(F.md5("text").alias("key_"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     words = sifted(words, "term", sieve(risky, "term")).where("maybe_").drop("maybe_").distinct()
     terms = stored(salted_join(words, risky, ["term"], F.col("key_"), "inner").groupBy("key_").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")
-    keyed = sifted(docs.withColumn("key_", F.md5(F.coalesce("text", F.lit("")))), "key_", sieve(terms, "key_"))
+    keyed = wrapped(docs, "doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key_"))
+    keyed = sifted(keyed, "key_", sieve(terms, "key_"))
     quoted = F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     pattern = F.concat(F.lit(r"(?<![^\x20\x09-\x0D])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![^\x20\x09-\x0D])"))
     spans = F.when(F.col("terms").isNotNull(), _located(F.col("text"), pattern, "term", len(ORDER), lambda m: F.lit(True)))
-    marked = salted_join(keyed.where("maybe_").drop("maybe_"), terms, ["key_"], F.col("doc_id")).select(*docs.columns, spans.alias("term_spans"))
-    return keyed.where("not maybe_").select(*docs.columns, F.lit(None).cast(SPAN).alias("term_spans")).unionByName(marked)
+    marked = salted_join(keyed.where("maybe_").drop("maybe_"), terms, ["key_"], F.col("doc_id")).select("row_", spans.alias("term_spans"))
+    return keyed.where("not maybe_").select("row_", F.lit(None).cast(SPAN).alias("term_spans")).unionByName(marked)
 
 
 def find_private(docs: DataFrame) -> DataFrame:
-    """The documents' columns, with base (spans of the patterns) and spans (those and the disclosing terms)."""
-    out = with_term_spans(docs).withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("term_spans", F.array().cast(SPAN))))).drop("term_spans")
+    """row_ (the documents' columns), base (spans of the patterns) and spans (those and the disclosing terms)."""
+    out = with_term_spans(docs).withColumn("base", base_spans(F.coalesce("row_.text", F.lit(""))))
+    return out.select("row_", "base", F.array_sort(F.concat("base", F.coalesce("term_spans", F.array().cast(SPAN)))).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -138,20 +143,21 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def step(a: Column, s: Column) -> Column:
         fresh = s["start"] >= a["at"]
-        kept = F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])
+        kept = F.substring(F.col("row_.text"), a["at"] + 1, s["start"] - a["at"])
         out = F.when(fresh, F.concat(a["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
     found = find_private(docs)
-    end = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
+    end = lambda a: F.concat(a["out"], F.substring(F.col("row_.text"), a["at"] + 1, F.length("row_.text")))
     text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    text = F.when(F.size("spans") > 0, text).otherwise(F.col("row_.text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("row_")[c].alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bare = lambda spans: F.transform(spans, lambda s: s.dropFields("value"))
-    out = with_term_spans(docs).select("doc_id", bare(base_spans(F.col("text"))).alias("base"), bare("term_spans").alias("term_spans"))
+    out = with_term_spans(docs).select("row_.doc_id", bare(base_spans(F.col("row_.text"))).alias("base"), bare("term_spans").alias("term_spans"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     every = F.array_sort(F.concat("base", F.coalesce("term_spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))))
     return out.select("doc_id", *[count(k) for k in ORDER], F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"), F.size(F.coalesce("term_spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))).cast("long").alias("n_terms"))

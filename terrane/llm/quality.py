@@ -8,7 +8,10 @@ NEIGHBOURS nearest, whose labels count by similarity.
 
 Edge cases: null text is empty; a text without terms has no neighbour and gets the labelled share of good
 documents (0.5 where nothing is labelled); null labels are not used; repeated rows get equal scores; labels given
-twice for a document count twice; other columns pass through `classify`.
+twice for a document count twice, and so do labelled documents with two rows; of labelled documents with equal
+similarity at the last place any may vote, the same ones each time; a null doc_id is not held out and has no label; texts
+are read whole, however long; a table without rows gives none; other columns, whatever their names, pass through
+`classify` and `good_documents`.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, table
+from .common import free, give_back, small_batches, table
 
 MOST_LABELLED = 2048
 DIMENSIONS = 48
@@ -64,7 +67,7 @@ def term_counts(text: str | None) -> np.ndarray:
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square roots of shares, by inverse document frequency: texts of any length compare."""
-    share = np.sqrt(counts / np.maximum(counts[:, :-2].sum(1, keepdims=True), 1)) * idf
+    share = np.sqrt(counts / np.maximum(counts[:, :-2].sum(1, keepdims=True), 1)).astype(np.float64) * idf
     return share / np.maximum(np.linalg.norm(share, axis=1, keepdims=True), 1e-12)
 
 
@@ -75,17 +78,18 @@ class Model:
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.neighbours = min(neighbours, len(labels))
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
         x = _weighted(counts, self.idf)
-        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64)) if len(x) else (np.empty(0), np.empty((0, 0)))
+        values, vectors = np.linalg.eigh(x @ x.T) if len(x) else (np.empty(0), np.empty((0, 0)))
         keep = np.argsort(-values)[:dimensions]
         keep = keep[values[keep] > 1e-8]
-        self.axes = (x.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32) if len(x) else np.empty((TERMS, 0), np.float32)
-        self.vectors = self.project(counts) if len(x) else np.empty((0, 0), np.float32)
+        self.axes = x.T @ (vectors[:, keep] / np.sqrt(values[keep])) if len(x) else np.empty((TERMS, 0))
+        self.vectors = self.project(counts) if len(x) else np.empty((0, 0))
 
     def project(self, counts: np.ndarray) -> np.ndarray:
+        """Products differ in their last bits with a row's place among others, so vectors and cosines are rounded."""
         z = _weighted(counts, self.idf) @ self.axes
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        return np.round(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12), 7)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """counts has at most BLOCK rows; products are made for BLOCK of them, so that scores don't depend on the rows beside."""
@@ -93,7 +97,7 @@ class Model:
             return np.full(len(counts), self.prior)
         block = np.zeros((BLOCK, TERMS), np.float32)
         block[: len(counts)] = counts
-        cosine = (self.project(block) @ self.vectors.T)[: len(counts)]
+        cosine = np.round(self.project(block) @ self.vectors.T, 9)[: len(counts)]
         near = np.argpartition(-cosine, self.neighbours - 1, axis=1)[:, : self.neighbours]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(1)
@@ -107,7 +111,7 @@ def _counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
@@ -121,8 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     return Model(counts, np.array([r.quality for r in rows], np.float32))
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents' columns and score."""
+def classify(docs: DataFrame, model: Model, score_name: str = "score") -> DataFrame:
+    """The documents' columns and the score under a name that they don't have."""
+    if score_name != free(docs, score_name):
+        raise ValueError(f"the documents have a column {score_name}")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -131,7 +137,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
         give_back()
 
-    return docs.withColumn("score", F.pandas_udf(score, "double")("text"))
+    return docs.withColumn(score_name, F.pandas_udf(score, "double")("text"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,4 +148,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    return classify(docs, fit(docs, labels)).where(F.col("score") >= 0.5).select(docs.columns)
+    name = free(docs, "score")
+    return classify(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).select(docs.columns)

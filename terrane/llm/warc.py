@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join, shared_dir, sieve, sifted, stored, table
+from .common import cut, own_dir, salted_join, sieve, sifted, stored, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -147,7 +147,7 @@ def _page(urn: str) -> Column:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/terrane-archive-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     r = stored(read_archives(spark, path).select(_page("record_id").alias("page_id"), "payload_bytes", "sha1", F.col("type").alias("record_type"), _page("nullif(refers_to, '')").alias("refers_to")), "warc-records")
     wanted = r.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct()

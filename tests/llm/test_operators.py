@@ -32,13 +32,60 @@ def test_decontaminate(spark, corpus, documents):
     assert kept.count() == len(documents) - 1 and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_decontaminate_scores_like_all_pairs():
-    items = [(i, " ".join(f"w{(i * 7 + j * j) % 40}" for j in range(6 + i % 9)) + ".") for i in range(30)]
-    texts = [f"pad pad {t} pad" for _, t in items[::3]] + ["w1 w2 w3", None, ""]
-    index = decontaminate.Index(items)
-    whole = [{i for i, t in items if f" {' '.join(w.decode() for w in decontaminate.words_of(t))} " in f" {' '.join(w.decode() for w in decontaminate.words_of(x))} "} for x in texts]
-    for found, sure in zip(index.search(texts), whole, strict=True):
-        assert sure <= {h["item_id"] for h in found}
+def all_pairs(texts, items):
+    """Every passage against every item."""
+    lower = lambda t: "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in (t or "").translate({c: c + 32 for c in range(65, 91)})).split()
+    held = [(i, t, lower(t)) for i, t in sorted({x for x in items if x[1] and lower(x[1])}, key=str)]
+    df = collections.Counter(w for *_, ws in held for w in set(ws))
+    n, mean, step = len(held), sum(len(ws) for *_, ws in held) / max(len(held), 1), max((len(ws) for *_, ws in held), default=1)
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    grams = lambda ws, k: {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)}
+    out = []
+    for doc, t in texts:
+        ws, found = lower(t), {}
+        for at in range(0, max(len(ws), 1), step):
+            passage = ws[at : at + 2 * step]
+            for i, text, item in held:
+                tf = collections.Counter(item)
+                impact = {w: idf[w] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(item) / mean)) for w, f in tf.items()}
+                score = sum(v for w, v in impact.items() if w in set(passage)) / sum(impact.values())
+                parts = [p for p in map(lower, re.split(r"(?<=[.!?])\s+", text)) if p]
+                cut = max(1, len(item) * 2 // 3)
+                question, answer = ([w for p in parts[:-1] for w in p], parts[-1]) if len(parts) > 1 else (item[:cut], item[cut:])
+                k = min(3, len(question))
+                q = len(grams(question, k) & grams(passage, k)) / len(grams(question, k)) if k else 1
+                a = len(set(answer) & set(passage)) / len(set(answer)) if answer else 1
+                if score >= 0.6 - 1e-9 and q >= 0.6 and a >= 0.5:
+                    found[i, text] = max(found.get((i, text), (0, 0, 0)), (round(score, 4), q, a))
+        out += [(doc, i, s, q, a) for (i, _), (s, q, a) in found.items()]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("part", [7, 20, 4096])
+def test_decontaminate_is_like_all_pairs(spark, part, monkeypatch):
+    import random
+
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", part)
+    random.seed(5)
+    some = lambda n, v=60: [f"w{min(random.randint(0, v), random.randint(0, v))}" for _ in range(n)]
+    items = [(i, " ".join(some(random.randint(4, 9))) + random.choice(["? ", " "]) + " ".join(some(random.randint(1, 6))) + ".") for i in range(40)]
+    items += [items[3], (3, "Another Text? of w1 w2"), (None, "no id w1. here"), (50, ""), (51, None), (52, "?!")]
+    texts = [(i, " ".join(some(random.randint(0, 60)))) for i in range(80)]
+    for i in range(80, 200):
+        w = items[i % 40][1].split()
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(len(w))] = random.choice(some(1))
+        texts.append((i, " ".join(some(random.randint(0, 30)) + w + some(random.randint(0, 30)))))
+    texts += [(200, None), (200, ""), (None, items[0][1]), (5, items[1][1]), (201, "another text of W1, w2! no id w1 here")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", decontaminate.F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, h.item_id, h.score, h.question, h.answer) for r in decontaminate.with_hits(docs, bench).collect() for h in r.hits), key=str)
+    want = all_pairs(texts, items)
+    assert len(want) > 50 and len({d for d, *_ in want}) < len(texts) - 60
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(g[2:] == pytest.approx(w[2:], abs=1.01e-4) for g, w in zip(got, want, strict=True))
+    clean = decontaminate.clean_documents(docs.withColumnRenamed("score", "hits"), bench)
+    assert clean.columns == ["doc_id", "text", "hits"] and clean.count() == len(texts) - sum(bool(r.hits) for r in decontaminate.with_hits(docs, bench).collect())
 
 
 # 2
