@@ -91,23 +91,41 @@ class Index:
         # Lists: term -> its blocks.
         term = self.post_key % max(len(self.terms), 1)
         by_term = np.argsort(term, kind="stable")
-        self.list_block = self.post_key[by_term] // max(len(self.terms), 1)
-        self.list_end = np.cumsum(np.bincount(term, minlength=len(self.terms)))
+        self.list_block, self.list_bound = self.post_key[by_term] // max(len(self.terms), 1), self.block_max[by_term]
+        self.list_size = np.bincount(term, minlength=len(self.terms))
+        self.list_end = np.cumsum(self.list_size)
+        self.n_blocks = -(-len(held) // BLOCK_ITEMS)
         self.list_max = np.zeros(len(self.terms))
         np.maximum.at(self.list_max, term, self.block_max)
         self.parts = [(_grams(q), set(a)) for q, a in (question_and_answer(t) for _, t, *_ in held)]
 
-    def _blocks(self, terms: np.ndarray) -> np.ndarray:
-        """Blocks that may hold an item which reaches the threshold with these terms."""
-        terms = terms[np.argsort(self.list_max[terms], kind="stable")]
-        pivot = int(np.searchsorted(np.cumsum(self.list_max[terms]), THRESHOLD - EPS))
-        late = terms[pivot:]
-        since = np.append(0, self.list_end)[late]
-        some = np.unique(self.list_block[ragged(since, self.list_end[late] - since)])
-        key = some[:, None] * len(self.terms) + terms
-        at = np.minimum(np.searchsorted(self.post_key, key), len(self.post_key) - 1)
-        bound = np.where(self.post_key[at] == key, self.block_max[at], 0).sum(1)
-        return some[bound >= THRESHOLD - EPS]
+    def _candidates(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) of the blocks that may hold an item which reaches the threshold, for pairs of a passage (numbered
+        from 0, in order) and a term of it."""
+        order = np.lexsort((self.list_max[term], passage))
+        passage, term = passage[order], term[order]
+        top = self.list_max[term]
+        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        upto = np.cumsum(top)
+        upto -= (upto[first] - top[first])[passage]
+        late = upto >= THRESHOLD - EPS  # the pivot and what follows
+        early = np.maximum.reduceat(np.where(late, 0, upto), first)
+        n = self.list_size[term[late]]
+        at = ragged(self.list_end[term[late]] - n, n)
+        key, own = np.unique(np.repeat(passage[late], n) * self.n_blocks + self.list_block[at], return_inverse=True)
+        bound = np.bincount(own, self.list_bound[at], len(key))
+        may = bound + early[key // self.n_blocks] >= THRESHOLD - EPS
+        key, bound = key[may], bound[may]
+        # Only these are looked up in the lists before the pivot.
+        n = np.bincount(passage[~late], minlength=len(first))
+        start = np.cumsum(n) - n
+        of = key // self.n_blocks
+        mine = np.repeat(np.arange(len(key)), n[of])
+        asked = key[mine] % self.n_blocks * len(self.terms) + term[~late][ragged(start[of], n[of])]
+        at = np.minimum(np.searchsorted(self.post_key, asked), len(self.post_key) - 1)
+        bound += np.bincount(mine, np.where(self.post_key[at] == asked, self.block_max[at], 0), len(key))
+        key = key[bound >= THRESHOLD - EPS]
+        return key // self.n_blocks, key % self.n_blocks
 
     def _scores(self, terms: np.ndarray, block: int) -> np.ndarray:
         key = block * len(self.terms) + terms
@@ -140,21 +158,24 @@ class Index:
             return [[] for _ in texts]
         starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         ends = np.append(starts[1:], len(passage))
-        may = np.flatnonzero(np.add.reduceat(self.list_max[term], starts) >= THRESHOLD - EPS)
-        for w in may.tolist():
-            terms = term[starts[w] : ends[w]]
-            for block in self._blocks(terms).tolist():
-                scores = self._scores(terms, block)
-                for k in np.flatnonzero(scores >= THRESHOLD - EPS).tolist():
-                    p = int(passage[starts[w]])
-                    d = int(np.searchsorted(first, p, "right")) - 1
-                    i, at = block * BLOCK_ITEMS + k, (p - int(first[d])) * step
-                    words = docs[d][at : at + 2 * step]
-                    question, answer = self.parts[i]
-                    q = len(question & _grams(words, len(next(iter(question))))) / len(question) if question else 1.0
-                    a = len(answer.intersection(words)) / len(answer) if answer else 1.0
-                    if q >= QUESTION and a >= ANSWER:
-                        found[d][i] = max(found[d].get(i, (0, 0, 0)), (round(float(scores[k]), 4), q, a))
+        enough = np.add.reduceat(self.list_max[term], starts) >= THRESHOLD - EPS
+        may = np.flatnonzero(enough)
+        if not len(may):
+            return [[] for _ in texts]
+        kept = np.repeat(enough, ends - starts)
+        for w, block in zip(*(x.tolist() for x in self._candidates(np.repeat(np.arange(len(may)), (ends - starts)[may]), term[kept])), strict=True):
+            w = may[w]
+            scores = self._scores(term[starts[w] : ends[w]], block)
+            for k in np.flatnonzero(scores >= THRESHOLD - EPS).tolist():
+                p = int(passage[starts[w]])
+                d = int(np.searchsorted(first, p, "right")) - 1
+                i, at = block * BLOCK_ITEMS + k, (p - int(first[d])) * step
+                words = docs[d][at : at + 2 * step]
+                question, answer = self.parts[i]
+                q = len(question & _grams(words, len(next(iter(question))))) / len(question) if question else 1.0
+                a = len(answer.intersection(words)) / len(answer) if answer else 1.0
+                if q >= QUESTION and a >= ANSWER:
+                    found[d][i] = max(found[d].get(i, (0, 0, 0)), (round(float(scores[k]), 4), q, a))
         return [[{"item_id": self.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(f.items())] for f in found]
 
 
