@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -79,6 +80,13 @@ def clear(spark: SparkSession) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected what refers to
+    them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Like cut(), as a Parquet table: columnar, compressed, and with sizes that adaptive execution can use."""
     at = f"{own_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, cut, give_back, stored, unpack
+from .common import SALTS, cut, give_back, release, stored, unpack
 
 #: Groups of up to FEW candidates list their pairs as rows; larger ones are compared in chunks of CHUNK sets.
 FEW, CHUNK = 32, 64
+#: Edges of a task that follows them.
+ROWS = 200_000
 #: Distinct tokens of a task that are held at once.
 COLUMNS = 1 << 14
 
@@ -27,16 +29,19 @@ COLUMNS = 1 << 14
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the smallest id that links reach) for the ids of edges a, b. Labels spread to neighbours and
     along labels, so that rounds grow with the logarithm of a component's width."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "id"))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    parts = 1 + both.count() // ROWS
+    both = both.coalesce(parts)  # few rows need few tasks in each round
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "id").coalesce(parts))
     before = None
     while True:
         spread = both.join(labels, both.b == labels.id).select(F.col("a").alias("id"), "c").union(labels)
-        labels = cut(spread.groupBy("id").agg(F.min("c").alias("c")))
+        labels = cut(spread.groupBy("id").agg(F.min("c").alias("c")).coalesce(parts))
         beyond = labels.select(F.col("id").alias("c"), F.col("c").alias("further"))
-        labels = cut(labels.join(beyond, "c").select("id", F.least("c", "further").alias("c")))
+        labels = cut(labels.join(beyond, "c").select("id", F.least("c", "further").alias("c")).coalesce(parts))
         # Labels only fall, so their sum tells whether any did.
         now = labels.agg(F.count("*"), F.sum(F.col("c").cast("decimal(38,0)"))).first()
+        release(labels.sparkSession)
         if now == before:
             return labels.select("id", F.col("c").alias("component"))
         before = now
@@ -82,6 +87,7 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     shared = stored(postings.join(keys, "key"), "shared")
     pairs = stored(shared.where((F.col("a") != F.col("id")) & may(F.col("size_a"), F.col("size"), F.col("cap_a"), F.col("cap"))).select("a", F.col("id").alias("b")).distinct(), "pairs")
     sets = stored(sets_of(shared.select("id").distinct()), "sets")
+    release(sets.sparkSession)
     first = stored(verified(pairs, sets), "links")
     known = components(first)
 
@@ -100,6 +106,7 @@ def link(postings: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     apart = apart.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = verified(stored(apart.join(seen, ["a", "b"], "left_anti"), "apart"), sets)
+    release(sets.sparkSession)
     second = stored(second.unionByName(_between(members, groups.where("not few"), sets, percent)), "links")
     links = first.union(second)
     return links, components(links) if not second.isEmpty() else known

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PLACES, Joined, give_back, in_groups, join_few, keep_memory, mix, pack, sieve, sifted, small_batches, stored, table, wrapped
+from .common import PLACES, Joined, give_back, in_groups, join_few, keep_memory, mix, pack, release, sieve, sifted, small_batches, stored, table, wrapped
 from .counting import frequencies
 from .linking import link
 
@@ -206,6 +206,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     place = F.struct("doc_id", "part", "start", "end")
     own = seen.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("final"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     own = stored(own, "distinct")
+    release(own.sparkSession)
     postings = own.select(F.explode("keys").alias("key"), "id", "size", F.col("size").alias("cap"), F.lit(0).alias("rank"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
