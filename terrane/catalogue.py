@@ -283,11 +283,6 @@ def compact_reindex(spark, d):
     return graph.dense_ids(_table(spark, d, "orders").select(F.col("o_custkey").alias("id")))
 
 
-@query("two_ring_graph", f"WITH {E}, r AS (SELECT i, j FROM e UNION SELECT x.i, y.j FROM e x JOIN e y ON x.j = y.i) SELECT i, j FROM r WHERE i <> j AND i % 8 = 0 AND j % 8 = 0")
-def two_ring_graph(spark, d):
-    return graph.two_ring(edges(spark, d), points(spark, d).where("id % 8 = 0"))
-
-
 @query("one_ring_faces", f"WITH {T} SELECT a, b, c FROM t WHERE a IN (0, 1) OR b IN (0, 1) OR c IN (0, 1)")
 def one_ring_faces(spark, d):
     return graph.one_ring_faces(faces(spark, d), 0, 1).select("a", "b", "c")
@@ -311,10 +306,19 @@ _COVER = f"cover AS (SELECT j, i, min(d) AS d FROM (SELECT i AS j, j AS i, d FRO
 _COVER1 = f"cover AS (SELECT i AS j, j AS i, d FROM ed WHERE d < {RADIUS})"
 
 
-def _scan(cover: str) -> str:
-    return f"""WITH RECURSIVE {ED}, {cover}, cov AS (SELECT i, list(j) AS js FROM cover WHERE j < i GROUP BY i),
-s AS (SELECT CAST(-1 AS BIGINT) AS id, CAST([] AS BIGINT[]) AS chosen UNION ALL SELECT s.id + 1, CASE WHEN cov.js IS NOT NULL AND list_has_any(cov.js, s.chosen) THEN s.chosen ELSE list_append(s.chosen, s.id + 1) END
-FROM s LEFT JOIN cov ON cov.i = s.id + 1 WHERE s.id + 1 < (SELECT count(*) FROM embeddings)) SELECT unnest(chosen) AS id FROM (SELECT chosen FROM s ORDER BY id DESC LIMIT 1)"""
+def _chosen(cover: str, order: str = "id") -> str:
+    """sam: what a scan of the points in an order chooses, passing over what earlier choices cover."""
+    return f"""{cover}, o AS (SELECT id, row_number() OVER (ORDER BY {order}) - 1 AS r FROM p),
+cov AS (SELECT y.r AS r, list(x.r) AS js FROM cover JOIN o x ON x.id = cover.j JOIN o y ON y.id = cover.i WHERE x.r < y.r GROUP BY 1),
+s AS (SELECT CAST(-1 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS chosen UNION ALL SELECT s.r + 1, CASE WHEN cov.js IS NOT NULL AND list_has_any(cov.js, s.chosen) THEN s.chosen ELSE list_append(s.chosen, s.r + 1) END
+FROM s LEFT JOIN cov ON cov.r = s.r + 1 WHERE s.r + 1 < (SELECT count(*) FROM embeddings)), sam AS (SELECT o.id FROM (SELECT unnest(chosen) AS r FROM (SELECT chosen FROM s ORDER BY r DESC LIMIT 1)) c JOIN o USING (r))"""
+
+
+def _priority(x: str, seed: int = 42) -> str:
+    out = f"(({x} % 2147483647 + {seed + 1}) * 48271 % 2147483647)"
+    for factor in (69621, 16807):
+        out = f"(({out} + {out} // 65536) * {factor} % 2147483647)"
+    return out
 
 
 @query("cover_pairs", f"WITH {ED}, {_COVER} SELECT j, i, d FROM cover")
@@ -322,22 +326,25 @@ def cover_pairs(spark, d):
     return sampling.cover(lengths(spark, d), RADIUS, 2)
 
 
-@query("fastdisk_samples", _scan(_COVER))
+@query("fastdisk_samples", f"WITH RECURSIVE {ED}, {_chosen(_COVER)} SELECT id FROM sam")
 def fastdisk_samples(spark, d):
     return sampling.fastdisk(points(spark, d), lengths(spark, d), RADIUS)[0]
 
 
-@query("mis_samples", _scan(_COVER1))
+@query("mis_samples", f"WITH RECURSIVE {ED}, {_chosen(_COVER1)} SELECT id FROM sam")
 def mis_samples(spark, d):
     return sampling.mis(points(spark, d), lengths(spark, d), RADIUS)[0]
 
 
-@query("poisson_disk")
+_DISK = f"cover AS (SELECT a.id AS j, b.id AS i FROM p a JOIN p b ON a.id <> b.id AND {_D} < {RADIUS})"
+
+
+@query("poisson_disk", f"WITH RECURSIVE {P}, {_chosen(_DISK, _priority('id') + ', id')} SELECT id FROM sam")
 def poisson_disk(spark, d):
     return sampling.poisson_disk(points(spark, d), RADIUS)
 
 
-@query("random_sample")
+@query("random_sample", f"WITH {P} SELECT id FROM p ORDER BY {_priority('id')}, id LIMIT 60")
 def random_sample(spark, d):
     return sampling.random_sample(points(spark, d), 60)
 
@@ -347,62 +354,86 @@ def fps(spark, d):
     return sampling.farthest_points(points(spark, d), lengths(spark, d), 3, 0)
 
 
-_NEAR = "lab AS (SELECT id, label, d FROM (SELECT id, label, d, row_number() OVER (PARTITION BY id ORDER BY d, label) AS r FROM (SELECT id, id AS label, 0.0 AS d FROM p WHERE id % 8 = 0 UNION ALL SELECT j, i, d FROM ed WHERE i % 8 = 0 AND j % 8 <> 0)) WHERE r = 1)"
+_LAB = "lab AS (SELECT id, label, d FROM (SELECT id, label, d, row_number() OVER (PARTITION BY id ORDER BY d, label) AS r FROM (SELECT id, id AS label, 0.0 AS d FROM sam UNION ALL SELECT i, j, d FROM cover WHERE j IN (SELECT id FROM sam) AND i NOT IN (SELECT id FROM sam))) WHERE r = 1)"
+_SAM = f"WITH RECURSIVE {ED}, {_chosen(_COVER)}"
+_NEAR = f"{_SAM}, {_LAB}"
+
 
+def _sampled(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points, edges with lengths, samples of the two-hop disk, their cover)."""
+    p, e = points(spark, d), cut(lengths(spark, d))
+    samples, covers = sampling.fastdisk(p, e, RADIUS)
+    return p, e, cut(samples), covers
 
-def _labels(spark, d) -> DataFrame:
-    samples = points(spark, d).where("id % 8 = 0").select("id")
-    return cluster.labels_from_cover(samples, lengths(spark, d).select(F.col("i").alias("j"), F.col("j").alias("i"), "d"))
 
+def _celled(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points, edges, samples, labels)."""
+    p, e, samples, covers = _sampled(spark, d)
+    return p, e, samples, cut(cluster.labels_from_cover(samples, covers))
 
-@query("nearest_label", f"WITH {ED}, {_NEAR} SELECT id, label, d FROM lab")
+
+@query("nearest_label", f"{_NEAR} SELECT id, label, {_sr('d')} AS d FROM lab")
 def nearest_label(spark, d):
-    return _labels(spark, d)
+    return _celled(spark, d)[3].select("id", "label", _r("d").alias("d"))
+
+
+@query("two_ring_graph", f"{_SAM}, r AS (SELECT i, j FROM e UNION SELECT x.i, y.j FROM e x JOIN e y ON x.j = y.i) SELECT i, j FROM r WHERE i <> j AND i IN (SELECT id FROM sam) AND j IN (SELECT id FROM sam)")
+def two_ring_graph(spark, d):
+    _, e, samples, _ = _sampled(spark, d)
+    return graph.two_ring(e, samples)
 
 
 def _relaxed(rounds: int) -> str:
-    out = "r0 AS (SELECT id, 0.0 AS d FROM p WHERE id % 8 = 0)"
+    out = "r0 AS (SELECT id, 0.0 AS d FROM sam)"
     for k in range(rounds):
         out += f", r{k + 1} AS (SELECT id, min(d) AS d FROM (SELECT id, d FROM r{k} UNION ALL SELECT ed.j, r{k}.d + ed.d FROM r{k} JOIN ed ON ed.i = r{k}.id) GROUP BY id)"
     return out
 
 
-@query("multi_source_distance", f"WITH {ED}, {_relaxed(6)} SELECT id, {_sr('d')} AS d FROM r6")
+#: Rounds after which no way gets shorter on these tables; the query itself goes on until none does.
+@query("multi_source_distance", f"{_SAM}, {_relaxed(14)} SELECT id, {_sr('d')} AS d FROM r14")
 def multi_source_distance(spark, d):
-    sources = points(spark, d).where("id % 8 = 0").select("id", F.col("id").alias("label"), F.lit(0.0).alias("d"))
-    return cluster.relax(lengths(spark, d), sources, rounds=6).select("id", _r("d").alias("d"))
+    _, e, samples, _ = _sampled(spark, d)
+    return cluster.relax(e, samples.select("id", F.col("id").alias("label"), F.lit(0.0).alias("d"))).select("id", _r("d").alias("d"))
 
 
 _CELLS = "cg AS (SELECT DISTINCT x.label AS i, y.label AS j FROM e JOIN lab x ON x.id = e.i JOIN lab y ON y.id = e.j WHERE x.label <> y.label)"
 
 
-@query("cell_graph", f"WITH {ED}, {_NEAR}, {_CELLS} SELECT i, j FROM cg")
+@query("cell_graph", f"{_NEAR}, {_CELLS} SELECT i, j FROM cg")
 def cell_graph(spark, d):
-    return cluster.cell_graph(edges(spark, d), _labels(spark, d))
+    _, e, _, labels = _celled(spark, d)
+    return cluster.cell_graph(e, labels)
 
 
 _CENTRE = "ce AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM lab JOIN p USING (id) GROUP BY label)"
 
 
-@query("cell_centroids", f"WITH {ED}, {_NEAR}, {_CENTRE} SELECT label, {_sr('x')} AS x, {_sr('y')} AS y, {_sr('z')} AS z, n FROM ce")
+@query("cell_centroids", f"{_NEAR}, {_CENTRE} SELECT label, {_sr('x')} AS x, {_sr('y')} AS y, {_sr('z')} AS z, n FROM ce")
 def cell_centroids(spark, d):
-    return cluster.centroids(points(spark, d), _labels(spark, d)).select("label", *[_r(c).alias(c) for c in "xyz"], "n")
+    p, _, _, labels = _celled(spark, d)
+    return cluster.centroids(p, labels).select("label", *[_r(c).alias(c) for c in "xyz"], "n")
 
 
-@query("nested_positions", f"WITH {P} SELECT id AS label, x, y, z FROM p WHERE id % 8 = 0")
+@query("nested_positions", f"{_SAM} SELECT id AS label, x, y, z FROM p JOIN sam USING (id)")
 def nested_positions(spark, d):
-    return cluster.nested_positions(points(spark, d), points(spark, d).where("id % 8 = 0"))
+    p, _, samples, _ = _sampled(spark, d)
+    return cluster.nested_positions(p, samples)
 
 
-@query("singleton_positions", f"WITH {ED}, {_NEAR}, {_CELLS}, {_CENTRE}, ar AS (SELECT label, avg(p.x) AS x, avg(p.y) AS y, avg(p.z) AS z FROM (SELECT i AS label, j AS id FROM cg UNION ALL SELECT label, label FROM ce) JOIN p USING (id) GROUP BY label) SELECT label, {_sr('CASE WHEN n = 1 THEN ar.x ELSE ce.x END')} AS x, {_sr('CASE WHEN n = 1 THEN ar.y ELSE ce.y END')} AS y, {_sr('CASE WHEN n = 1 THEN ar.z ELSE ce.z END')} AS z FROM ce JOIN ar USING (label)")
+_LONE = "ar AS (SELECT label, avg(p.x) AS x, avg(p.y) AS y, avg(p.z) AS z FROM (SELECT i AS label, j AS id FROM cg UNION ALL SELECT label, label FROM ce) JOIN p USING (id) GROUP BY label), cp AS (SELECT label, CASE WHEN n = 1 THEN ar.x ELSE ce.x END AS x, CASE WHEN n = 1 THEN ar.y ELSE ce.y END AS y, CASE WHEN n = 1 THEN ar.z ELSE ce.z END AS z FROM ce JOIN ar USING (label))"
+
+
+@query("singleton_positions", f"{_NEAR}, {_CELLS}, {_CENTRE}, {_LONE} SELECT label, {_sr('x')} AS x, {_sr('y')} AS y, {_sr('z')} AS z FROM cp")
 def singleton_positions(spark, d):
-    labels = _labels(spark, d)
-    return cluster.coarse_positions(points(spark, d), labels, cluster.cell_graph(edges(spark, d), labels)).select("label", *[_r(c).alias(c) for c in "xyz"])
+    p, e, _, labels = _celled(spark, d)
+    return cluster.coarse_positions(p, labels, cluster.cell_graph(e, labels)).select("label", *[_r(c).alias(c) for c in "xyz"])
 
 
-@query("padded_rows", f"WITH {ED}, {_NEAR}, {_CELLS}, r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) AS slot FROM cg) SELECT i, j, CAST(slot AS INTEGER) AS slot FROM r WHERE slot < (SELECT max(slot) FROM r) UNION ALL SELECT id, id, 0 FROM p WHERE id % 8 = 0")
+@query("padded_rows", f"{_NEAR}, {_CELLS}, r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) AS slot FROM cg) SELECT i, j, CAST(slot AS INTEGER) AS slot FROM r WHERE slot < (SELECT max(slot) FROM r) UNION ALL SELECT id, id, 0 FROM sam")
 def padded_rows(spark, d):
-    return cluster.padded_rows(points(spark, d).where("id % 8 = 0"), cell_graph(spark, d), truncate=True)
+    _, e, samples, labels = _celled(spark, d)
+    return cluster.padded_rows(samples, cluster.cell_graph(e, labels), truncate=True)
 
 
 # Triangles and weights.
@@ -506,19 +537,116 @@ def ablation_rowsum(spark, d):
     return _row_sums(_level_weights(spark, d, hierarchy=Hierarchy.ABLATION))
 
 
-@query("prolongation")
+_RAD = "rad AS (SELECT pow(8.0, 1.0 / 3) * avg(d) AS r FROM ed WHERE d > 0)"
+
+
+def _by_rad(cover: str) -> str:
+    return f"{_RAD}, {cover.replace(f'< {RADIUS}', '< (SELECT r FROM rad)')}"
+
+
+def _level_sql(cover: str = _COVER, nested: bool = False) -> str:
+    """The first level: samples, labels, cells, positions cp, new ids nw."""
+    place = "cp AS (SELECT id AS label, x, y, z FROM p JOIN sam USING (id))" if nested else f"{_CENTRE}, {_LONE}"
+    return f"WITH RECURSIVE {ED}, {_chosen(_by_rad(cover))}, {_LAB}, {_CELLS}, {place}, nw AS (SELECT id AS label, row_number() OVER (ORDER BY id) - 1 AS n FROM sam)"
+
+
+def _distance_sql(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in "xyz") + ")"
+
+
+def _inverse_sql(rows: str) -> str:
+    """i, j, how of a table to weights by inverse distances of points and cells."""
+    return f"(SELECT i, j, how, w / sum(w) OVER (PARTITION BY i) AS w FROM (SELECT t.i, t.j, t.how, 1 / greatest({_distance_sql('p', 'cp')}, 1e-8) AS w FROM {rows} t JOIN p ON p.id = t.i JOIN cp ON cp.label = t.j))"
+
+
+def _weights_sql(scheme: str = "barycentric", cover: str = _COVER, nested: bool = False) -> str:
+    """wt: i, j (a sample's id), w, how, by the rule that applies first."""
+    corner = lambda t, name: ", ".join(f'{t}.{c} AS "{name}{c}"' for c in "xyz")
+    own = "own AS (SELECT lab.id AS i, label AS cell, degree, near FROM lab LEFT JOIN deg ON deg.cell = label" + (" WHERE lab.id <> label)" if nested else ")")
+    exact = "UNION ALL SELECT id, label, 1.0, 'nested' FROM lab WHERE id = label" if nested else ""
+    e, f = [f"(n.{c} - c.{c})" for c in "xyz"], [f"(q.{c} - c.{c})" for c in "xyz"]
+    t = f"greatest(0.0, least(1.0, {_sdot(f, e)} / greatest({_sdot(e, e)}, 1e-16)))"
+    ends = "(SELECT i, cell AS j, how FROM seg UNION ALL SELECT i, near, how FROM seg UNION ALL SELECT i, j, 'triangle' FROM found)"
+    if scheme == "barycentric":
+        lines = "SELECT i, cell AS j, 1 - t AS w, how FROM segt UNION ALL SELECT i, near, t, how FROM segt UNION ALL SELECT i, j, w, 'triangle' FROM found"
+    elif scheme == "uniform":
+        lines = f"SELECT i, j, 1.0 / count(*) OVER (PARTITION BY i) AS w, how FROM {ends}"
+    else:
+        lines = f"SELECT i, j, w, how FROM {_inverse_sql(ends)}"
+    return f"""{_level_sql(cover, nested)}, deg AS (SELECT i AS cell, count(*) AS degree, min(j) AS near FROM cg GROUP BY 1), {own},
+tri AS (SELECT x.i AS a, x.j AS b, y.j AS c FROM cg x JOIN cg y ON x.i = y.i AND x.i < x.j AND x.j < y.j JOIN cg z ON z.i = x.j AND z.j = y.j),
+turn AS (SELECT a AS k, b AS u, c AS v, a, b, c FROM tri UNION ALL SELECT b, c, a, a, b, c FROM tri UNION ALL SELECT c, a, b, a, b, c FROM tri),
+tq AS (SELECT own.i, cell, u, v, a AS ta, b AS tb, c AS tc, {corner('ck', 'a')}, {corner('cu', 'b')}, {corner('cv', 'c')}, {corner('q', 'p')} FROM own JOIN turn ON k = cell AND degree > 1
+JOIN cp ck ON ck.label = k JOIN cp cu ON cu.label = u JOIN cp cv ON cv.label = v JOIN p q ON q.id = own.i),
+tried AS (SELECT i, cell, u, v, ta, tb, tc, 1.0 - {_WB} - {_WC} AS b0, {_WB} AS b1, {_WC} AS b2 FROM tq),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY ta, tb, tc) AS r FROM tried WHERE b0 >= 0 AND b1 >= 0 AND b2 >= 0) WHERE r = 1),
+found AS (SELECT i, cell AS j, b0 AS w FROM hit UNION ALL SELECT i, u, b1 FROM hit UNION ALL SELECT i, v, b2 FROM hit),
+missed AS (SELECT * FROM tried WHERE i NOT IN (SELECT i FROM hit)),
+sides AS (SELECT i, cell, u AS n, b0 < 0 OR b1 < 0 AS bad FROM missed UNION ALL SELECT i, cell, v, b0 < 0 OR b2 < 0 FROM missed),
+edge AS (SELECT i, cell, min(n) AS near FROM (SELECT i, cell, n FROM sides GROUP BY 1, 2, 3 HAVING NOT bool_or(bad)) GROUP BY 1, 2),
+seg AS (SELECT i, cell, near, 'segment' AS how FROM own WHERE degree = 1 UNION ALL SELECT i, cell, near, 'edge' FROM edge),
+segt AS (SELECT i, cell, near, how, {t} AS t FROM seg JOIN cp c ON c.label = cell JOIN cp n ON n.label = near JOIN p q ON q.id = i),
+last AS (SELECT i, cell FROM own WHERE degree > 1 AND i NOT IN (SELECT i FROM hit) AND i NOT IN (SELECT i FROM edge)),
+three AS (SELECT i, cell AS j, 'fallback' AS how FROM last UNION ALL SELECT i, near, 'fallback' FROM (SELECT last.i, g.j AS near, row_number() OVER (PARTITION BY last.i ORDER BY {_distance_sql('p', 'cp')}, g.j) AS r FROM last JOIN cg g ON g.i = cell JOIN cp ON cp.label = g.j JOIN p ON p.id = last.i) WHERE r <= 2),
+wt AS (SELECT i, j, sum(w) AS w, min(how) AS how FROM (SELECT i, cell AS j, 1.0 AS w, 'alone' AS how FROM own WHERE degree IS NULL {exact} UNION ALL {lines} UNION ALL SELECT i, j, w, how FROM {_inverse_sql('three')}) GROUP BY 1, 2)"""
+
+
+_NUMBERED = f"SELECT i, nw.n AS j, {_sr('w')} AS w, how FROM wt JOIN nw ON nw.label = wt.j"
+
+
+def _rounded(w: DataFrame) -> DataFrame:
+    return w.select("i", "j", _r("w").alias("w"), "how")
+
+
+@query("prolongation", f"{_weights_sql()} {_NUMBERED}")
 def prolongation(spark, d):
-    return _level_weights(spark, d)
+    return _rounded(_level_weights(spark, d))
+
+
+@query("prolongation_uniform", f"{_weights_sql('uniform')} {_NUMBERED}")
+def prolongation_uniform(spark, d):
+    return _rounded(_level_weights(spark, d, weighting=Weighting.UNIFORM))
 
 
-@query("prolongation_diagnostics")
+@query("prolongation_invdist", f"{_weights_sql('invdist', _COVER1)} {_NUMBERED}")
+def prolongation_invdist(spark, d):
+    return _rounded(_level_weights(spark, d, weighting=Weighting.INVDIST, sampling=Sampling.MIS))
+
+
+@query("prolongation_nested", f"{_weights_sql(nested=True)} {_NUMBERED}")
+def prolongation_nested(spark, d):
+    return _rounded(_level_weights(spark, d, nested=True))
+
+
+@query("prolongation_diagnostics", f"{_weights_sql()}, k AS (SELECT i, min(how) AS how FROM wt GROUP BY i) SELECT count(*) FILTER (how IN ('edge', 'fallback')) AS no_triangle, count(*) FILTER (how = 'edge') AS edges, count(*) FILTER (how = 'fallback') * 100.0::DOUBLE / count(*) AS fallback_percent FROM k")
 def prolongation_diagnostics(spark, d):
     return prolong.diagnostics(_level_weights(spark, d))
 
 
-@query("sig06_weights", f"WITH {ED}, n AS (SELECT i, j, 1 / greatest(d, 1e-8) AS w FROM ed WHERE j % 8 = 0 AND i % 8 <> 0) SELECT id AS i, id AS j, 1.0::DOUBLE AS w FROM p WHERE id % 8 = 0 UNION ALL SELECT i, j, {_sr('w / sum(w) OVER (PARTITION BY i)')} FROM n")
+def _ablation_sql(order: str) -> str:
+    return f"""{_level_sql()}, r AS (SELECT lab.id AS i, g.j, row_number() OVER (PARTITION BY lab.id ORDER BY {order}) AS r FROM lab JOIN cg g ON g.i = label JOIN cp ON cp.label = g.j JOIN p ON p.id = lab.id),
+three AS (SELECT id AS i, label AS j, 'ablation' AS how FROM lab UNION ALL SELECT i, j, 'ablation' FROM r WHERE r < 3), wt AS (SELECT * FROM {_inverse_sql('three')}) {_NUMBERED}"""
+
+
+@query("ablation_closest", _ablation_sql(f"{_distance_sql('p', 'cp')}, g.j"))
+def ablation_closest(spark, d):
+    return _rounded(_level_weights(spark, d, hierarchy=Hierarchy.ABLATION))
+
+
+@query("ablation_random", _ablation_sql(f"{_priority('(lab.id * 1000003 + g.j)')}, g.j"))
+def ablation_random(spark, d):
+    return _rounded(_level_weights(spark, d, hierarchy=Hierarchy.ABLATION, ablation_random=True))
+
+
+@query("hierarchy_level", f"{_weights_sql()} SELECT 0 AS level, (SELECT count(*) FROM p) AS points, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM wt) AS nnz UNION ALL SELECT 1, (SELECT count(*) FROM sam), (SELECT count(*) FROM cg), 0")
+def hierarchy_level(spark, d):
+    return hierarchy.summary(hierarchy.build(points(spark, d), edges(spark, d), _small(most_levels=1)))
+
+
+@query("sig06_weights", f"{_SAM}, n AS (SELECT i, j, 1 / greatest(d, 1e-8) AS w FROM ed WHERE j IN (SELECT id FROM sam) AND i NOT IN (SELECT id FROM sam)) SELECT id AS i, id AS j, 1.0::DOUBLE AS w FROM sam UNION ALL SELECT i, j, {_sr('w / sum(w) OVER (PARTITION BY i)')} FROM n")
 def sig06_weights(spark, d):
-    return prolong.sig06_weights(points(spark, d), edges(spark, d), points(spark, d).where("id % 8 = 0")).select("i", "j", _r("w").alias("w"))
+    p, e, samples, _ = _sampled(spark, d)
+    return prolong.sig06_weights(p, e, samples).select("i", "j", _r("w").alias("w"))
 
 
 # Systems and solvers.
@@ -548,6 +676,15 @@ def mass_barycentric(spark, d):
     return matrix.mass_barycentric(points(spark, d), faces(spark, d)).select("i", _r("v").alias("v"))
 
 
+_OBT = [f"({_sdot(y, y)} + {_sdot(z, z)} - {_sdot(x, x)})" for x, y, z in ((_BC, _CA, _AB), (_CA, _AB, _BC), (_AB, _BC, _CA))]
+_VOR = [f"CASE WHEN {_OBT[k]} < 0 THEN {_NN} / 4 WHEN {_OBT[0]} < 0 OR {_OBT[1]} < 0 OR {_OBT[2]} < 0 THEN {_NN} / 8 ELSE ({_sdot(u, u)} * {_OBT[m]} + {_sdot(v, v)} * {_OBT[n]}) / {_NN} / 16 END" for k, m, n, u, v in ((0, 1, 2, _CA, _AB), (1, 2, 0, _AB, _BC), (2, 0, 1, _BC, _CA))]
+
+
+@query("mass_voronoi", f"WITH {TP} SELECT id AS i, {_sr('sum(m)')} AS v FROM (SELECT unnest([a, b, c]) AS id, unnest([{', '.join(_VOR)}]) AS m FROM tp) GROUP BY 1")
+def mass_voronoi(spark, d):
+    return matrix.mass_voronoi(points(spark, d), faces(spark, d)).select("i", _r("v").alias("v"))
+
+
 @query("system_smoothing", f"WITH {L} SELECT i, j, {_sr('sum(v)')} AS v FROM (SELECT i, j, 0.001 * v AS v FROM lap UNION ALL SELECT id, id, 1.0 FROM p) GROUP BY 1, 2")
 def system_smoothing(spark, d):
     one = points(spark, d).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
@@ -668,11 +805,10 @@ def _cg_sql(steps: int) -> str:
 
 @query("cg_steps", f"WITH {L}, z0 AS (SELECT i, 0.0 AS v FROM b){_cg_sql(3)} SELECT i, {_sr('v')} AS v FROM x2")
 def cg_steps(spark, d):
-    a, b = cut(shifted(spark, d)), unit(spark, d)
-    x, r, p = b.withColumn("v", F.lit(0.0)), b, b
+    a, state = cut(shifted(spark, d)), solver.cg_start(unit(spark, d))
     for _ in range(3):
-        x, r, p = (cut(t) for t in solver.cg_step(a, x, r, p))
-    return x.select("i", _r("v").alias("v"))
+        state = solver.cg_step(a, state)
+    return state.select("i", _r("x").alias("v"))
 
 
 @query("dirichlet_elimination", f"WITH {L} SELECT b.i, b.v - coalesce(k.v, 0) AS v FROM b LEFT JOIN (SELECT i, sum(v * 2.0) AS v FROM m WHERE j % 10 = 0 GROUP BY i) k ON k.i = b.i WHERE b.i % 10 <> 0")
@@ -681,44 +817,57 @@ def dirichlet_elimination(spark, d):
     return solver.eliminate(shifted(spark, d), unit(spark, d), fixed)[1].select("i", "v")
 
 
-def _solved(spark, d, kind: str) -> DataFrame:
-    have = g_matrix(spark, d).select("i").distinct()
-    u0 = u_nation(spark, d).join(have, "i", "left_semi")
+_EXACT = f"WITH {_SPD}, z0 AS (SELECT i, 0.0 AS v FROM b){_cg_sql(12)} SELECT i, round(v, 8) + 0.0 AS v FROM x11"
+
+
+def _solution(x: DataFrame) -> DataFrame:
+    return x.select("i", (F.round("v", 8) + F.lit(0.0)).alias("v"))
+
+
+def _solved(spark, d, kind: str, smoother: str = "jacobi") -> DataFrame:
+    a, b = cut(_spd(spark, d)), cut(_rhs(spark, d))
+    u0 = cut(u_nation(spark, d).join(b.select("i"), "i", "left_semi"))
     u1 = u_region(spark, d).join(u0.select(F.col("j").alias("i")).distinct(), "i", "left_semi")
-    s = solver.System.reduce(_spd(spark, d), [u0, u1])
-    x, history = solver.solve(s, _rhs(spark, d), Options(cycle=kind, criterion=0, tolerance=1e-8, max_iter=2))
-    return x.select("i", _r("v").alias("v")).withColumn("iterations", F.lit(len(history)))
+    o = Options(cycle=kind, criterion=0, tolerance=1e-9, smoother=smoother)
+    return _solution(solver.solve(solver.System.reduce(a, [u0, u1], o), b, o)[0])
 
 
-@query("vcycle_solve")
+@query("vcycle_solve", _EXACT)
 def vcycle_solve(spark, d):
     return _solved(spark, d, "V")
 
 
-@query("fcycle_solve")
+@query("fcycle_solve", _EXACT)
 def fcycle_solve(spark, d):
     return _solved(spark, d, "F")
 
 
-@query("wcycle_solve")
+@query("wcycle_solve", _EXACT)
 def wcycle_solve(spark, d):
     return _solved(spark, d, "W")
 
 
-@query("direct_solve")
+@query("conjugate_gradient", _EXACT)
+def conjugate_gradient(spark, d):
+    return _solution(solver.conjugate_gradient(cut(_spd(spark, d)), cut(_rhs(spark, d)), 1e-10)[0])
+
+
+_COARSE = f"{_SPD.replace('m AS (SELECT i, j, sum(v) AS v FROM (', 'f AS (SELECT i, j, sum(v) AS v FROM (').replace('b AS (SELECT s_suppkey', 'fb AS (SELECT s_suppkey')}, m AS (SELECT x.j AS i, y.j AS j, sum(f.v) AS v FROM f JOIN u0 x ON x.i = f.i JOIN u0 y ON y.i = f.j GROUP BY 1, 2), b AS (SELECT u0.j AS i, sum(fb.v) AS v FROM fb JOIN u0 ON u0.i = fb.i GROUP BY 1)"
+
+
+@query("direct_solve", f"WITH {_COARSE}, z0 AS (SELECT i, 0.0 AS v FROM b){_cg_sql(25)} SELECT i, round(v, 8) + 0.0 AS v FROM x24")
 def direct_solve(spark, d):
-    return solver.direct(_spd(spark, d), _rhs(spark, d)).select("i", _r("v").alias("v"))
+    """The coarsest level's system."""
+    a, b = _spd(spark, d), cut(_rhs(spark, d))
+    u = cut(u_nation(spark, d).join(b.select("i"), "i", "left_semi"))
+    return _solution(solver.direct(matrix.galerkin(u, a), matrix.spmv_t(u, b)))
 
 
 @query("gauss_seidel")
 def gauss_seidel(spark, d):
-    b = _rhs(spark, d)
-    return solver.gauss_seidel(_spd(spark, d), b, b, 2).select("i", _r("v").alias("v"))
-
-
-@query("conjugate_gradient")
-def conjugate_gradient(spark, d):
-    return solver.conjugate_gradient(_spd(spark, d), _rhs(spark, d), 1e-8, 5)[0].select("i", _r("v").alias("v"))
+    """Color by color, on the graph's Laplacian plus the identity."""
+    a, b = cut(shifted(spark, d)), cut(unit(spark, d))
+    return solver.colored(a, b, b, cut(solver.colors(a)), 2).select("i", _r("v").alias("v"))
 
 
 # Decimation.
@@ -742,14 +891,26 @@ def vertex_quadrics(spark, d):
     return decimate.vertex_quadrics(points(spark, d), faces(spark, d)).select("id", *[_r(c).alias(c) for c in decimate.QUADRIC])
 
 
+_BN = _scross(_AB, _scross(_AB, _sminus(_sv("c"), _sv("a"))))
+_BQ = f"""{TP}, k AS (SELECT a, b, c, ax, ay, az, bx, "by", bz, cx, cy, cz FROM tp UNION ALL SELECT b, c, a, bx, "by", bz, cx, cy, cz, ax, ay, az FROM tp UNION ALL SELECT c, a, b, cx, cy, cz, ax, ay, az, bx, "by", bz FROM tp),
+bo AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi FROM k GROUP BY 1, 2 HAVING count(*) = 1),
+bn AS (SELECT a, b, ax, ay, az, {_sdot(_AB, _AB)} * 0.01 AS s, {_BN[0]} AS nx, {_BN[1]} AS ny, {_BN[2]} AS nz FROM k JOIN bo ON lo = least(a, b) AND hi = greatest(a, b)),
+bd AS (SELECT unnest([a, b]) AS id, s, nx / l AS nx, ny / l AS ny, nz / l AS nz, -(nx * ax + ny * ay + nz * az) / l AS d FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM bn) WHERE l > 0)"""
+
+
+@query("boundary_quadrics", f"WITH {_BQ} SELECT id, " + ", ".join(f"{_sr(f'sum(s * {x} * {y})')} AS {n}" for n, (x, y) in zip(decimate.QUADRIC, decimate.PRODUCTS, strict=True)) + " FROM bd GROUP BY id")
+def boundary_quadrics(spark, d):
+    return decimate.boundary_quadrics(points(spark, d), faces(spark, d)).select("id", *[_r(c).alias(c) for c in decimate.QUADRIC])
+
+
 @query("quadric_costs")
 def quadric_costs(spark, d):
     return decimate.quadric_costs(points(spark, d), faces(spark, d))
 
 
 def _decimated(spark, d):
-    f = faces(spark, d)
-    return decimate.decimate(points(spark, d), f, f.count() * 9 // 10, most_rounds=3)
+    f = cut(faces(spark, d))
+    return decimate.decimate(points(spark, d), f, f.count() * 9 // 10)
 
 
 @query("decimate_rounds")

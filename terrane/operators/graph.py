@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
+from ..plans.iterate import cut
 
 #: Up to so many points every pair is looked at, with the points broadcast; beyond, points are dealt to grid cells.
 FEW_POINTS = 4096
@@ -61,7 +62,7 @@ def _grid_knn(points: DataFrame, other: DataFrame, d, k: int, n: int) -> DataFra
         sure = near.groupBy("i").agg(F.count("*").alias("n"), F.max("d").alias("far")).where((F.col("n") == k) & (F.col("far") <= width)).select("i")
         near = near.join(sure, "i", "left_semi")
         done = near if done is None else done.unionByName(near)
-        left = left.join(sure, left.id == sure.i, "left_anti").checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left.join(sure, left.id == sure.i, "left_anti").persist()
+        left = cut(left.join(sure, left.id == sure.i, "left_anti"))
         if left.isEmpty():
             return done
         width *= 2
@@ -160,9 +161,10 @@ def dense_ids(ids: DataFrame, key: str = "id") -> DataFrame:
 def two_ring(edges: DataFrame, samples: DataFrame) -> DataFrame:
     """Samples (id) in each other's one- or two-ring: i, j."""
     near = edges.select("i", "j")
-    far = near.alias("p").join(near.alias("q"), F.col("p.j") == F.col("q.i")).select(F.col("p.i").alias("i"), F.col("q.j").alias("j"))
-    both = near.union(far).where("i <> j").distinct()
-    return both.join(samples.select(F.col("id").alias("i")), "i", "left_semi").join(samples.select(F.col("id").alias("j")), "j", "left_semi").select("i", "j")
+    first = near.join(samples.select(F.col("id").alias("i")), "i", "left_semi")
+    last = near.join(samples.select(F.col("id").alias("j")), "j", "left_semi")
+    far = first.select("i", F.col("j").alias("mid")).join(last.select(F.col("i").alias("mid"), "j"), "mid").select("i", "j")
+    return first.join(samples.select(F.col("id").alias("j")), "j", "left_semi").select("i", "j").union(far).where("i <> j").distinct()
 
 
 def one_ring_faces(faces: DataFrame, a: int, b: int) -> DataFrame:

@@ -114,6 +114,21 @@ def mass_barycentric(points: DataFrame, faces: DataFrame) -> DataFrame:
     return third.groupBy("i").agg(F.sum("v").alias("v")).select("i", F.col("i").alias("j"), "v")
 
 
+def mass_voronoi(points: DataFrame, faces: DataFrame) -> DataFrame:
+    """What is nearest to each corner of a face, as mass; of a face with an obtuse angle, half its area goes to that corner
+    and a quarter to each other one. A degenerate face has none."""
+    c = corners(faces, points)
+    sides = {k: geom.minus(geom.at(q), geom.at(p)) for k, p, q in ("abc", "bca", "cab")}  # across from the corner
+    square = {k: geom.dot(s, s) for k, s in sides.items()}
+    twice = geom.norm(geom.cross(sides["a"], sides["b"]))
+    # Products of the sides that meet in a corner: the sign of its cosine, and over twice the area its cotangent.
+    inner = {k: (square[p] + square[q] - square[k]) / 2 for k, p, q in ("abc", "bca", "cab")}
+    obtuse = (inner["a"] < 0) | (inner["b"] < 0) | (inner["c"] < 0)
+    share = lambda k, p, q: F.when(inner[k] < 0, twice / 4).when(obtuse, twice / 8).otherwise((square[p] * inner[p] + square[q] * inner[q]) / F.nullif(twice, F.lit(0.0)) / 8)
+    each = F.explode(F.array(*[F.struct(F.col(k).alias("i"), share(k, p, q).alias("v")) for k, p, q in ("abc", "bca", "cab")]))
+    return c.select(each.alias("t")).groupBy("t.i").agg(F.sum("t.v").alias("v")).select("i", F.col("i").alias("j"), "v")
+
+
 def smoothing_system(mass: DataFrame, stiff: DataFrame, tau: float = 1e-3) -> DataFrame:
     return add((1.0, mass), (tau, stiff))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geom
 from ..plans.iterate import cut
 from ..schema import Weighting
+from .sampling import priority
 
 
 def triangles(graph: DataFrame, check_voronoi: bool = True) -> DataFrame:
@@ -130,7 +131,7 @@ def ablation_weights(points: DataFrame, labels: DataFrame, cells: DataFrame, gra
     own = labels.select(F.col("id").alias("i"), F.col("label").alias("cell"))
     near = own.join(graph.select(F.col("i").alias("cell"), "j"), "cell").select("i", "j")
     near = _distances(near.withColumn("how", F.lit("")), points, cells)
-    order: list[Column] = [F.xxhash64("i", "j", F.lit(seed)), F.col("j")] if random else [F.col("d"), F.col("j")]
+    order: list[Column] = [priority(F.col("i") * 1_000_003 + F.col("j"), seed), F.col("j")] if random else [F.col("d"), F.col("j")]
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(*order))).where(F.col("r") < count)
     three = own.select("i", F.col("cell").alias("j")).union(near.select("i", "j"))
     return inverse_distance(_distances(three.withColumn("how", F.lit("")), points, cells)).select("i", "j", "w")

@@ -9,6 +9,15 @@ from ..functions import geom
 from ..plans.iterate import cut
 
 
+def priority(id_: Column | str, seed: int) -> Column:
+    """Numbers below 2^31 - 1 that look random, by integer arithmetic alone, so that any engine gives the same."""
+    prime = 2_147_483_647
+    x = F.pmod((F.pmod(F.col(id_) if isinstance(id_, str) else id_, F.lit(prime)) + seed % prime + 1) * 48_271, F.lit(prime))
+    for factor in (69_621, 16_807):
+        x = F.pmod((x + F.floor(x / 65_536)) * factor, F.lit(prime))
+    return x.cast("long")
+
+
 def average_edge_length(edges: DataFrame) -> DataFrame:
     """One row, length: the mean over directed edges i, j, d with d > 0."""
     return edges.agg(F.avg(F.when(F.col("d") > 0, F.col("d"))).alias("length"))
@@ -65,11 +74,11 @@ def poisson_disk(points: DataFrame, radius: float, seed: int = 42) -> DataFrame:
     near = p.join(q, ["cx", "cy", "cz"]).where(F.col("id") != F.col("i"))
     d = geom.distance(geom.at(""), tuple(F.col(f"{c}_") for c in "xyz"))
     covers = near.where(d < radius).select(F.col("id").alias("j"), "i").distinct()
-    return first_independent_set(points.select("id"), covers, F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").alias("n")))
+    return first_independent_set(points.select("id"), covers, F.struct(priority("id", seed).alias("h"), F.col("id").alias("n")))
 
 
 def random_sample(ids: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    return ids.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count)
+    return ids.select("id").orderBy(priority("id", seed), "id").limit(count)
 
 
 def farthest_points(ids: DataFrame, edges: DataFrame, count: int, start: int) -> DataFrame:

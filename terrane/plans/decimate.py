@@ -29,6 +29,7 @@ def edge_costs(points: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 QUADRIC = ("a11", "a12", "a13", "a22", "a23", "a33", "b1", "b2", "b3", "c")
+PRODUCTS = [("nx", "nx"), ("nx", "ny"), ("nx", "nz"), ("ny", "ny"), ("ny", "nz"), ("nz", "nz"), ("nx", "d"), ("ny", "d"), ("nz", "d"), ("d", "d")]
 
 
 def vertex_quadrics(points: DataFrame, faces: DataFrame) -> DataFrame:
@@ -37,14 +38,48 @@ def vertex_quadrics(points: DataFrame, faces: DataFrame) -> DataFrame:
     n = geom.normalised(geom.cross(geom.minus(geom.at("b"), geom.at("a")), geom.minus(geom.at("c"), geom.at("a"))))
     c = c.select("a", "b", "c", "ax", "ay", "az", *[v.alias(f"n{k}") for v, k in zip(n, "xyz", strict=True)]).where("nx is not null")
     c = c.withColumn("d", -(F.col("nx") * F.col("ax") + F.col("ny") * F.col("ay") + F.col("nz") * F.col("az")))
-    products = [("nx", "nx"), ("nx", "ny"), ("nx", "nz"), ("ny", "ny"), ("ny", "nz"), ("nz", "nz"), ("nx", "d"), ("ny", "d"), ("nz", "d"), ("d", "d")]
-    each = c.select(F.explode(F.array("a", "b", "c")).alias("id"), *[(F.col(p) * F.col(q)).alias(name) for name, (p, q) in zip(QUADRIC, products, strict=True)])
+    each = c.select(F.explode(F.array("a", "b", "c")).alias("id"), *[(F.col(p) * F.col(q)).alias(name) for name, (p, q) in zip(QUADRIC, PRODUCTS, strict=True)])
     return each.groupBy("id").agg(*[F.sum(k).alias(k) for k in QUADRIC])
 
 
-def quadric_costs(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """a, b, cost and place x, y, z: the least of the summed quadrics, at the midpoint where it has no single minimum."""
+def boundary_quadrics(points: DataFrame, faces: DataFrame, weight: float = 0.01) -> DataFrame:
+    """id and the quadrics of the border edges at each vertex: the squared distance from the plane through the edge that is
+    square to its face, times weight and the edge's squared length, so that a border stays where it is."""
+    c = graph.corners(faces, points)
+    turned = None
+    for k, p, q in ("abc", "bca", "cab"):
+        part = c.select(F.col(p).alias("p"), F.col(q).alias("q"), *[F.col(f"{s}{x}").alias(f"{t}{x}") for s, t in ((p, "p"), (q, "q"), (k, "o")) for x in "xyz"])
+        turned = part if turned is None else turned.unionByName(part)
+    turned = turned.withColumns({"lo": F.least("p", "q"), "hi": F.greatest("p", "q")})
+    border = graph.edge_manifold(faces).where("faces = 1").select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    t = turned.join(border, ["lo", "hi"])
+    along, across = geom.minus(geom.at("q"), geom.at("p")), geom.minus(geom.at("o"), geom.at("p"))
+    n = geom.normalised(geom.cross(along, geom.cross(along, across)))
+    t = t.select("p", "q", "px", "py", "pz", *[v.alias(f"n{k}") for v, k in zip(n, "xyz", strict=True)], (geom.dot(along, along) * weight).alias("s")).where("nx is not null")
+    t = t.withColumn("d", -(F.col("nx") * F.col("px") + F.col("ny") * F.col("py") + F.col("nz") * F.col("pz")))
+    each = t.select(F.explode(F.array("p", "q")).alias("id"), *[(F.col("s") * F.col(x) * F.col(y)).alias(name) for name, (x, y) in zip(QUADRIC, PRODUCTS, strict=True)])
+    return each.groupBy("id").agg(*[F.sum(k).alias(k) for k in QUADRIC])
+
+
+def pulled(q: DataFrame, points: DataFrame, weight: float) -> DataFrame:
+    """Quadrics plus weight times the squared distance from the vertex itself, which gives each a single minimum."""
+    p = q.join(points.select("id", "x", "y", "z"), "id")
+    more = {"a11": F.lit(1.0), "a22": F.lit(1.0), "a33": F.lit(1.0), "b1": -F.col("x"), "b2": -F.col("y"), "b3": -F.col("z"), "c": F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")}
+    return p.select("id", *[(F.col(k) + weight * more.get(k, F.lit(0.0))).alias(k) for k in QUADRIC])
+
+
+def quadrics(points: DataFrame, faces: DataFrame, border: float = 0.01, pull: float = 0.0) -> DataFrame:
+    """Plane quadrics, those of the border, and the pull."""
     q = vertex_quadrics(points, faces)
+    if border:
+        both = q.unionByName(boundary_quadrics(points, faces, border))
+        q = both.groupBy("id").agg(*[F.sum(k).alias(k) for k in QUADRIC])
+    return pulled(q, points, pull) if pull else q
+
+
+def quadric_costs(points: DataFrame, faces: DataFrame, border: float = 0.0, pull: float = 0.0) -> DataFrame:
+    """a, b, cost and place x, y, z: the least of the summed quadrics, at the midpoint where it has no single minimum."""
+    q = quadrics(points, faces, border, pull)
     e = edge_costs(points, faces).select("a", "b", *[F.col(c).alias(f"m{c}") for c in "xyz"])
     for k in "ab":
         e = e.join(q.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in QUADRIC]), k)
@@ -68,13 +103,29 @@ def removal_costs(points: DataFrame, faces: DataFrame) -> DataFrame:
     return e.select("a", "b", F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("cost"), *[F.when(first, F.col(f"a{c}")).otherwise(F.col(f"b{c}")).alias(c) for c in "xyz"])
 
 
+def _folding(points: DataFrame, faces: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b of the edges a, b, x, y, z whose collapse would turn a face over or leave it without area."""
+    c = graph.corners(faces, points)
+    around = c.select("*", F.explode(F.array("a", "b", "c")).alias("end"))
+    ends = edges.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "x", "y", "z", F.explode(F.array("a", "b")).alias("end"))
+    inside = lambda k: F.array_contains(F.array("a", "b", "c"), F.col(k))
+    t = ends.join(around, "end").where(~(inside("ka") & inside("kb")))
+    moved = {k: tuple(F.when(F.col(k) == F.col("end"), F.col(x)).otherwise(F.col(f"{k}{x}")) for x in "xyz") for k in "abc"}
+    before = geom.cross(geom.minus(geom.at("b"), geom.at("a")), geom.minus(geom.at("c"), geom.at("a")))
+    after = geom.cross(geom.minus(moved["b"], moved["a"]), geom.minus(moved["c"], moved["a"]))
+    return t.where(geom.dot(before, after) <= 0).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+
+
 def _round(points: DataFrame, faces: DataFrame, costs: DataFrame) -> DataFrame:
     """a (stays), b (goes), x, y, z of the edges to collapse in a round: the link condition holds (the ends have as
-    many common neighbours as faces between them) and no cheaper edge is in reach of either end."""
+    many common neighbours as faces between them), no face is folded over, and no cheaper edge is in reach of either end."""
     e = graph.face_edges(faces)
-    common = e.select(F.col("i").alias("a"), "j").join(e.select(F.col("i").alias("b"), "j"), "j").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    # Neighbours of one end that are neighbours of the other: only along edges, not for all pairs around a vertex.
+    beside = costs.select("a", "b").join(e.select(F.col("i").alias("a"), "j"), "a")
+    common = beside.join(e.select(F.col("i").alias("b"), "j"), ["b", "j"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("common"))
     sides = graph.edge_manifold(faces)
     fine = costs.join(common, ["a", "b"]).join(sides, ["a", "b"]).where((F.col("common") == F.col("faces")) & F.col("manifold"))
+    fine = fine.join(_folding(points, faces, fine), ["a", "b"], "left_anti")
     fine = cut(fine.select("a", "b", "x", "y", "z", F.struct("cost", "a", "b").alias("rank")))
     near = fine.select(F.explode(F.array("a", "b")).alias("id"), "rank").groupBy("id").agg(F.min("rank").alias("rank"))
     for _ in range(2):  # the cheapest edge in reach of one, then of two steps

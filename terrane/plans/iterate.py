@@ -11,5 +11,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the folder that all executors share (spark.checkpoint.dir; a temporary one only where unset)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="terrane-")
+        spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint(eager=True)

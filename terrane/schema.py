@@ -58,4 +58,5 @@ class Options:
     tolerance: float = 1e-4
     criterion: int = 2
     omega: float = 2.0 / 3.0
+    smoother: str = "jacobi"  # or "colored": Gauss-Seidel by colors
     seed: int = 42
