@@ -26,7 +26,7 @@ def keep_memory() -> None:
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
         for option in (-3, -1):  # thresholds of separate maps and of trimming
-            libc.mallopt(option, 1 << 26)
+            libc.mallopt(option, 1 << 22)
 
 
 def give_back() -> None:
