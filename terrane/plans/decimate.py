@@ -233,6 +233,11 @@ def flatten_rings(rings: DataFrame) -> DataFrame:
 
 def hierarchy(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: int = 500) -> list[DataFrame]:
     """Weights i, j, v from level to level, vertices numbered anew on each."""
+    return [w for w, _, _ in levels(points, faces, ratio, coarsest)]
+
+
+def levels(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: int = 500) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(weights, points, faces) of each coarser level."""
     out, p, f = [], points, faces
     n_faces = faces.count()
     for size in level_sizes(points.count(), ratio, coarsest)[1:]:
@@ -241,9 +246,10 @@ def hierarchy(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest
         w = traced_weights(trace_points(p, q, g, owner))
         new = cut(graph.dense_ids(q))
         number = lambda df, c: df.join(new.select(F.col("id").alias(c), "new_id"), c).drop(c).withColumnRenamed("new_id", c)  # noqa: B023, E731
-        out.append(cut(number(w, "j").select("i", "j", F.col("w").alias("v"))))
+        w = cut(number(w, "j").select("i", "j", F.col("w").alias("v")))
         p = cut(number(q, "id").select("id", "x", "y", "z"))
         f = cut(number(number(number(g, "a"), "b"), "c").select("f", "a", "b", "c"))
+        out.append((w, p, f))
         if p.count() >= size * 4:
             break  # no more collapses were possible
     return out

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import logging
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cluster, graph, prolong, sampling
 from ..schema import Hierarchy, Options, Sampling
+from . import decimate
 from .iterate import cut
 
+log = logging.getLogger("terrane")
+
 
 @dataclass
 class Levels:
@@ -34,6 +38,23 @@ class Levels:
     def prolongations(self) -> list[DataFrame]:
         return [w.select("i", "j", F.col("w").alias("v")) for w in self.weights]
 
+    def with_prolongations(self, matrices: list[DataFrame]) -> Levels:
+        """The same levels with other weights i, j, v between them, as many as there are."""
+        if len(matrices) != len(self.weights):
+            raise ValueError(f"{len(self.weights)} matrices are wanted, not {len(matrices)}")
+        return replace(self, weights=[m.select("i", "j", F.col("v").alias("w"), F.lit("given").alias("how")) for m in matrices])
+
+    def triangles(self, level: int, check_voronoi: bool = True) -> DataFrame:
+        """a < b < c among the points of a level."""
+        return prolong.triangles(self.edges[level].select("i", "j"), check_voronoi)
+
+    def normals(self, level: int, check_voronoi: bool = True) -> DataFrame:
+        return prolong.triangle_normals(self.triangles(level, check_voronoi), self.points[level])
+
+    def without_triangle(self, level: int) -> DataFrame:
+        """i, j, how: the points of a level that no triangle of the next one holds, and the points they hang on instead."""
+        return self.weights[level].where(F.col("how").isin("edge", "fallback", "segment", "alone")).select("i", "j", "how")
+
 
 def _choose(points: DataFrame, edges: DataFrame, radius: float, n: int, level: int, o: Options) -> tuple[DataFrame, DataFrame]:
     """(samples, labels: id, label): the samplers that leave no cover are followed by a search along the edges."""
@@ -58,10 +79,26 @@ def _choose(points: DataFrame, edges: DataFrame, radius: float, n: int, level: i
     return samples, cut(labels)
 
 
-def build(points: DataFrame, edges: DataFrame, options: Options = Options()) -> Levels:  # noqa: B008
+def _decimated(points: DataFrame, edges: DataFrame, faces: DataFrame | None, ratio: float, coarsest: int) -> Levels:
+    if faces is None:
+        raise ValueError("a hierarchy by decimation needs the faces")
+    out, p = Levels(), cut(points.select("id", "x", "y", "z"))
+    out.points, out.edges, out.sizes = [p], [cut(graph.with_ends(edges.select("i", "j"), p))], [p.count()]
+    for w, q, f in decimate.levels(p, faces, ratio, coarsest):
+        out.weights.append(w.select("i", "j", F.col("v").alias("w"), F.lit("traced").alias("how")))
+        out.points.append(q)
+        out.edges.append(cut(graph.with_ends(graph.face_edges(f), q)))
+        out.sizes.append(q.count())
+        log.info("level %d: %d points", len(out.weights), out.sizes[-1])
+    return out
+
+
+def build(points: DataFrame, edges: DataFrame, options: Options = Options(), faces: DataFrame | None = None) -> Levels:  # noqa: B008
     """points: id (dense from 0), x, y, z; edges: i, j. Level k + 1 has the samples of level k, numbered anew in their
-    order, and the edges between their cells."""
+    order, and the edges between their cells; or, by decimation of the faces, what collapses leave."""
     o, out = options, Levels()
+    if o.hierarchy is Hierarchy.DECIMATION:
+        return _decimated(points, edges, faces, o.decimation_ratio, o.decimation_coarsest)
     p, e = cut(points.select("id", "x", "y", "z")), cut(graph.with_ends(edges.select("i", "j"), points))
     n = p.count()
     out.points, out.edges, out.sizes = [p], [e], [n]
@@ -100,6 +137,7 @@ def build(points: DataFrame, edges: DataFrame, options: Options = Options()) ->
         out.points.append(p)
         out.edges.append(e)
         out.sizes.append(n)
+        log.info("level %d: %d points, radius %g", len(out.weights), n, radius)
     return out
 
 

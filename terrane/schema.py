@@ -51,6 +51,8 @@ class Options:
     compat_truncate: bool = False
     ablation_points: int = 3
     ablation_random: bool = False
+    decimation_ratio: float = 0.25
+    decimation_coarsest: int = 500
     cycle: str = "V"
     pre: int = 2
     post: int = 2

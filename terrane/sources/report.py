@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -17,9 +17,15 @@ def wide(timing: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     return timing.groupBy("experiment").pivot("metric", names).agg(F.first("value"))
 
 
-def write_timing(timing: DataFrame, path: str, fresh: bool) -> None:
-    """With fresh a new table, else rows added to it."""
-    wide(timing).coalesce(1).write.mode("overwrite" if fresh else "append").option("header", True).csv(path)
+def write_timing(timing: DataFrame, path: str, fresh: bool, metrics: list[str] | None = None) -> None:
+    """With fresh a new table, whose metrics are those given or found; else rows added to it, in its columns."""
+    if not fresh:
+        have = timing.sparkSession.read.option("header", True).csv(path).columns[1:]
+        others = timing.where(~F.col("metric").isin(have)).select("metric").limit(1).collect()
+        if others:
+            raise ValueError(f"the table has no column {others[0].metric}")
+        metrics = have
+    wide(timing, metrics).coalesce(1).write.mode("overwrite" if fresh else "append").option("header", True).csv(path)
 
 
 def write_convergence(history: DataFrame, path: str) -> None:
@@ -41,9 +47,31 @@ def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
     spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_timing(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
-    schema = ", ".join(["experiment string", *[f"`{m}` double" for m in metrics]])
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_timing(spark: SparkSession, path: str, metrics: list[str], seconds: tuple[str, ...] = ()) -> DataFrame:
+    """experiment and the metrics' columns, by their names in the header; those in seconds become milliseconds."""
+    t = spark.read.option("header", True).csv(path)
+    value = lambda m: F.col(f"`{m}`").cast("double") * (1000.0 if m in seconds else 1.0)
+    return t.select("experiment", *[value(m).alias(m) for m in metrics])
+
+
+#: Columns of the report: those of a method's runs, with its prefix.
+GROUP = ("hierarchy", "iterations", "solver", "residue")
+
+
+def combined(shapes: DataFrame, ours: DataFrame, others: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A row for each shape, by its number of vertices: shapes (experiment, n_vertices), the mean and deviation of our
+    runs (experiment and GROUP's columns, a row for each run), and the columns of the other methods (experiment and some of
+    GROUP's) with their names before them. A shape without a method's run has nulls there."""
+    means = [f(c).alias(f"our_{c}{end}") for c in GROUP if c in ours.columns for f, end in ((F.avg, ""), (F.stddev_samp, "_std"))]
+    out = shapes.select("experiment", "n_vertices").join(ours.groupBy("experiment").agg(*means), "experiment", "left")
+    for name, runs in (others or {}).items():
+        out = out.join(runs.select("experiment", *[F.col(c).alias(f"{name}_{c}") for c in GROUP if c in runs.columns]), "experiment", "left")
+    return out.orderBy("n_vertices", "experiment")
+
+
+def with_deviation(mean: Column, deviation: Column, places: int = 2) -> Column:
+    """`mean(deviation)` with two places."""
+    return F.concat(text.fixed(mean, places), F.lit("("), text.fixed(deviation, places), F.lit(")"))
 
 
 def summary(runs: DataFrame, group: str, value: str) -> DataFrame:
