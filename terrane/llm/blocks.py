@@ -156,6 +156,8 @@ def answered(rows: DataFrame, shards: int, answer: Callable[[list[list[bytes]],
             return schema.empty_table()
         words, arrays = zip(*(unpress_words(d.as_buffer()) for d in group.column("data")), strict=True)
         blobs = answer(list(words), list(arrays))
+        del words, arrays
+        give_back()
         blocks = group.column("block").to_pylist() + [-1] * totals
         return pa.table([[shards + b for b in blocks], blocks, [k] * len(blocks), blobs], schema=schema)
 

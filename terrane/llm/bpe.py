@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A vocabulary is broadcast; more tokens than this are refused.
@@ -96,6 +96,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     def join(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda x: b"".join(map(held.value.__getitem__, np.asarray(x).tolist())))
+        give_back()
 
     return df.withColumn("decoded", F.pandas_udf(join, "binary")(ids)).drop(ids)
 
@@ -103,6 +104,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
 def _ids_digest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda x: hashlib.sha256(",".join(map(str, np.asarray(x).tolist())).encode()).hexdigest())
+    give_back()
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

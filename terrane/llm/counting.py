@@ -83,6 +83,8 @@ def frequencies(docs: DataFrame, hashes_of: Callable[[list], Iterator[np.ndarray
         segment = np.zeros(1 << (MAP_BITS - bits), np.uint8)
         segment[(tokens[times > 1] >> np.uint64(COUNT_BITS - MAP_BITS)) & np.uint64(len(segment) - 1)] = 1
         frequent = tokens[times > limit]
+        del parts, order
+        give_back()
         return pa.table([[bucket], [press(np.packbits(segment, bitorder="little").tobytes(), frequent.astype(np.uint64))]], schema=schema)
 
     counted = docs.select("text").mapInArrow(count, "bucket int, data binary")

@@ -157,6 +157,8 @@ def _between(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
             if x != y:
                 up[max(x, y)] = min(x, y)
                 out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        del held, known, place, row, common, union
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return m.groupBy("a", "t.p", "t.q").applyInArrow(run, "a long, b long").distinct()

@@ -108,6 +108,7 @@ class Model:
 def _counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
         yield part.map(lambda t: term_counts(t).tobytes())
+    give_back()
 
 
 def held_out() -> Column:
