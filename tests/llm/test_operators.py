@@ -252,6 +252,29 @@ def check_paragraphs(spark, docs, rows):
     return want
 
 
+def test_ngram_join_edges(spark):
+    """Null and repeated doc_ids, with one text and with several."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (None, a), (7, a), (7, b), (9, b), (9, b), (3, None), (2, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "doc_id long, text string, maybe_ string, rep int, top_ int, component_id int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs)[0].collect()), key=str)
+    # Document 7 is its longer text, and so the first of b's.
+    assert got == sorted([(5, 26, 5), (None, 26, None), (7, 36, 7), (7, 36, 7), (9, 36, 7), (9, 36, 7), (3, 0, 3), (2, 0, 2), (None, 0, None)], key=str)
+    kept = ngram_join.without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([5, None, 7, 7, 3, 2, None], key=str)
+
+
+def test_pii_edges(spark, tmp_path):
+    """Two texts under one doc_id, clashing names: what is cut out of one text stays out of the other."""
+    near = [f"letter {n} says Quillfeather wrote from jo@x.org again" for n in ("one", "two", "three")]
+    rows = [(1, t) for t in near] + [(1, "a much shorter text jo@x.org and Quillfeather too"), (None, "nothing here")] + [(9, "letter says from again that they wrote plain words here today")] * 2000
+    docs = spark.createDataFrame([(*r, 1, "k", 2, 3) for r in rows], "doc_id long, text string, spans int, key_ string, base int, row_ int")
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    got = {r.text for r in out.collect()}
+    assert "a much shorter text [EMAIL] and [TERM] too" in got and "letter one says [TERM] wrote from [EMAIL] again" in got and "nothing here" in got
+
+
 def test_paragraphs(spark, corpus, documents):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     assert check_paragraphs(spark, docs, paragraphs.repeats(docs).collect())
@@ -504,6 +527,26 @@ def test_ogg_round_trip_and_damage(size):
             media_ogg.read(bytes(bad))
 
 
+def test_ogg_media_of_others(spark):
+    """Two foreign streams, one with a packet over a page's border, beside raw ones; damaged and null media; names."""
+    page = lambda flags, granule, seq, lacing, body: media_ogg._page(flags, granule, 77, seq, bytes(lacing), body)
+    other = page(2, 0, 5, [8], b"OpusHead") + page(0, -1, 6, [255] * 255, b"x" * 255 * 255) + page(5, 960, 7, [3, 2], b"abcde")
+    payload, packets = media_ogg.read(other + media_ogg.write(b"12345"))
+    assert payload == b"12345" and [(s, n, len(d)) for s, n, _, d in packets] == [(0, 0, 5), (2, 0, 255 * 255 + 3), (2, 1, 2)]
+    assert all(t != t for s, _, t, _ in packets if s == 2)
+    with pytest.raises(ValueError):
+        media_ogg.read(page(0, 0, 0, [8], b"OpusHead"))
+    df = spark.createDataFrame([(1, bytes(other), "a"), (2, media_ogg.write(b"abc" * 2000), "b"), (3, b"OggS damaged and long enough for a header", "c"), (4, None, "d")], "stream long, media binary, packet_ string")
+    got = {r.stream: r.s for r in df.select("stream", media_ogg.ogg_samples(decontaminate.F.col("media")).alias("s")).collect()}
+    assert got[2].payload == b"abc" * 2000 and got[2].error is None and got[1].payload == b""
+    assert got[3].payload is None and got[3].error and got[4].payload is None and got[4].error is None
+    rows = media_ogg.ogg_packets(df)
+    assert rows.columns == ["stream", "packet_", "stream_", "packet", "start_ms", "data"]
+    assert b"".join(r.data for r in rows.where("stream = 2").orderBy("packet", "stream_").collect()) == b"abc" * 2000
+    with pytest.raises(Exception, match="no page|checksum"):
+        media_ogg.ogg_packets(df, strict=True).collect()
+
+
 def test_ogg_checksum_bit_by_bit():
     crc = 0
     for b in b"any page":
@@ -526,6 +569,33 @@ def test_quality(spark, corpus, documents):
     assert all(len(x) == 1 for x in one.values())
 
 
+def test_quality_votes_are_those_of_all_neighbours():
+    """Votes counted one document at a time, over all labelled ones in order."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    some = lambda k: " ".join("".join(rng.choice(list("abCD9.,!"), rng.integers(1, 6 + k))) for _ in range(rng.integers(3, 40)))
+    texts = [some(k % 2 * 4) for k in range(90)]
+    counts = np.stack([quality.term_counts(t) for t in texts])
+    model = quality.Model(counts[:60], np.arange(60) % 3 > 0, dimensions=12, neighbours=7)
+    got = model.score(counts[60:])
+    vectors = [model.project(c[None])[0] for c in counts]
+    for n, v in enumerate(vectors[60:]):
+        cosine = sorted(((round(float(v @ w), 9), k) for k, w in enumerate(vectors[:60])), reverse=True)[:7]
+        weight = [max(c, 0) ** quality.SHARPNESS for c, _ in cosine]
+        assert got[n] == pytest.approx(sum(w * (k % 3 > 0) for w, (_, k) in zip(weight, cosine, strict=True)) / sum(weight))
+    assert model.score(np.zeros((1, quality.TERMS), np.float32))[0] == pytest.approx(40 / 60)
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(None, "a b", 1), (4, "a b", 2), (4, "a b", 2), (5, None, 3)], "doc_id long, text string, score long")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.good_documents(docs, none).columns == ["doc_id", "text", "score"] and quality.good_documents(docs, none).count() == 4
+    with pytest.raises(ValueError):
+        quality.classify(docs, quality.fit(docs, none))
+    assert docs.select(quality.held_out().alias("h")).where("h is null").isEmpty()
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     r = quality.op9_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
