@@ -96,10 +96,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join a large side to one row per key. Each right row is copied `salts` times and `spread` (a value that
-    differs between left rows of a key) picks the copy, so that no task meets all left rows of a hot key."""
+    differs between left rows of a key) picks the copy, so that no task meets all left rows of a hot key. The copies are
+    never broadcast: their size is not that of what is copied."""
     right = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = left.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    return left.join(right, [*key, "salt_"], how).drop("salt_")
+    return left.join(right.hint("merge"), [*key, "salt_"], how).drop("salt_")
 
 
 def wrapped(df: DataFrame, *names: str) -> DataFrame:
