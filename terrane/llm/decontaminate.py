@@ -4,8 +4,8 @@ The test items are the indexed side. Each item's BM25 impacts are divided by its
 threshold holds for items of any length. Every training document is cut into passages of twice the longest item,
 each starting one such item after the last, so that an item lies whole in some passage. A passage is a query: its
 summed list maxima must reach the threshold; its terms in the order of these maxima have a pivot, before which no sum
-can reach it, so only blocks of items that hold the pivot or a later term are looked at; blocks whose summed block
-maxima reach the threshold are scored. Items above the threshold are verified: the share of the question's three-word
+reaches half of it, so only blocks of items that hold the pivot or a later term are looked at, and of these the ones that
+the terms before could still lift over it; blocks whose summed block maxima reach the threshold are scored. Items above the threshold are verified: the share of the question's three-word
 shingles and of the answer's words that the passage holds. An item's last sentence is its answer (of a single
 sentence, the last third).
 
@@ -39,6 +39,9 @@ SHARD_CHARS = 16 << 20
 BLOCK_ITEMS = 4
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
+#: The share of the threshold that terms before the pivot cannot reach: with less, fewer blocks are left to look up in
+#: their lists, with more, fewer lists are walked. Results don't depend on it.
+PIVOT = 0.5
 #: Room for sums in another order.
 EPS = 1e-9
 QUESTION, ANSWER = 0.6, 0.5
@@ -108,7 +111,7 @@ class Index:
         first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         upto = np.cumsum(top)
         upto -= (upto[first] - top[first])[passage]
-        late = upto >= THRESHOLD - EPS  # the pivot and what follows
+        late = upto >= PIVOT * (THRESHOLD - EPS)  # the pivot and what follows
         early = np.maximum.reduceat(np.where(late, 0, upto), first)
         n = self.list_size[term[late]]
         at = ragged(self.list_end[term[late]] - n, n)
