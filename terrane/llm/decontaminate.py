@@ -37,6 +37,8 @@ from .common import free, give_back, small_batches, stored, table
 SHARD_ITEMS = 4096
 SHARD_CHARS = 16 << 20
 BLOCK_ITEMS = 4
+#: Text that is searched together, or one longer text.
+GROUP_CHARS = 1 << 19
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: The share of the threshold that terms before the pivot cannot reach: with less, fewer blocks are left to look up in
@@ -209,7 +211,14 @@ def _shards(benchmark: DataFrame) -> Iterator[Index]:
 def _searcher(held):
     def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([h for i in range(0, len(part), 1000) for h in held.value.search(list(part.iloc[i : i + 1000]))], dtype=object)
+            found, group, size = [], [], 0
+            for text in part:
+                if group and size + len(text or "") > GROUP_CHARS:
+                    found += held.value.search(group)
+                    group, size = [], 0
+                group.append(text)
+                size += len(text or "")
+            yield pd.Series(found + (held.value.search(group) if group else []), dtype=object)
         give_back()
 
     return search
