@@ -16,7 +16,7 @@ they are the same wherever a word stands, so each distinct word of a block is lo
 Training is data parallel: documents are dealt out to blocks by their hash, every block takes one pass over all
 windows of its training texts and over its words from the same start, in numpy, and the parameters are averaged, each
 row by its uses. Counts, trees and vocabulary come from all training documents. Scores don't depend on how the table
-is cut into files.
+is cut into files or on the number of shuffle partitions.
 
 Edge cases: null and empty texts are one end token; repeated rows score alike; a null doc_id is a training row and
 not held out (a real doc_id of -2^63 counts as null); without training rows counts are zero and subwords uniform; texts
@@ -408,8 +408,10 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
         return out
 
     source = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # Blocks hold the same documents in the same order however the table is cut into files.
-    source = source.repartition(partitions, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    # Blocks, as many as the texts' size asks for, hold the same documents in the same order however the table is cut into
+    # files; a partition is mostly one block.
+    chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    source = source.repartition(1 + chars * 5 // (4 * blocks.BLOCK_CHARS), F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
     rows = stored(blocks.coded(source, tokens, shards, in_training), "lm-coded")
     answers = stored(blocks.answered(blocks.dealt(rows.where(f"k < {shards}"), partitions), shards, answer, totals=True), "lm-words")
 
