@@ -79,12 +79,13 @@ class Model:
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.neighbours = min(neighbours, len(labels))
         self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-        x = _weighted(counts, self.idf)
-        values, vectors = np.linalg.eigh(x @ x.T) if len(x) else (np.empty(0), np.empty((0, 0)))
+        parts = [counts[i : i + BLOCK] for i in range(0, len(counts), BLOCK)]
+        x = np.concatenate([_weighted(c, self.idf).astype(np.float32) for c in parts] or [np.empty((0, TERMS), np.float32)])
+        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64)) if len(x) else (np.empty(0), np.empty((0, 0)))
         keep = np.argsort(-values)[:dimensions]
         keep = keep[values[keep] > 1e-8]
         self.axes = x.T @ (vectors[:, keep] / np.sqrt(values[keep])) if len(x) else np.empty((TERMS, 0))
-        self.vectors = self.project(counts) if len(x) else np.empty((0, 0))
+        self.vectors = np.concatenate([self.project(c) for c in parts]) if len(x) else np.empty((0, 0))
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Products differ in their last bits with a row's place among others, so vectors and cosines are rounded."""
