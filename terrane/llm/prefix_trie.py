@@ -1,17 +1,20 @@
 """The prefix trie of conversations by truncation peeling.
 
 A conversation's path is the sequence of its turns' digests (16 bytes of the SHA-256 of role and text), so texts are
-never shuffled. Conversations with equal paths are first merged to one row. Then, from the greatest depth down to the
-root: the nodes of a depth are the conversations that end there and what is left of the nodes one deeper once their
-last turn is stripped, grouped by path. Each grouping gives the depth's nodes with their sums and, stripped again,
-the rows of the next; the whole trie is found and aggregated on the one way down. Sums are combined before they are
-shuffled, so a node with very many children or members is no hot key.
+never shuffled. Paths are dealt to tasks by range and stream through each in order. A task holds the nodes of the
+current path and peels them from the deepest one: what ended at a node has been merged with what survived of deeper
+ones; the node is found and final, loses its last turn and is merged into the node that is left, with its sums. So
+nodes are aggregated while they are discovered, in one pass, whatever the depth.
+
+Only nodes on the way to a range's first or last path may go on in other ranges. Their sums so far (of what is
+peeled off) are the rows of the next pass, which has the fewer ranges the fewer such rows there are, until one range
+is left: a range leaves two paths at most. No task holds more than one path with its nodes, and no node with many
+children or members is a hot key.
 
 The hash of a node's own conversations is of one text of any length. Their ids are joined in pieces of at most 4,096
-by id range first, and the pieces of a node stream through one hash in order: SHA-256 is sequential, and the task
-holds one batch of pieces at a time.
+by id range first, and the pieces of a node stream through one hash in order, as SHA-256 is sequential.
 
-There are as many rounds as the longest conversation has turns, and a conversation's digests have to fit a row.
+A conversation's digests have to fit a row.
 
 Edge cases: a null role or text is empty; a null turn comes first; rows of one turn number come in the order of
 their digests (so in a defined order whatever the rows' order is); repeated rows stay repeated turns; rows without a
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +39,8 @@ from .common import stored, table
 DIGEST = 16
 #: conv_ids of a node whose ids agree but for the lowest so many bits are joined together.
 PIECE_BITS = 12
+#: Rows of a range from the second pass on.
+RANGE_ROWS = 50_000
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -56,84 +62,135 @@ def with_borrowed_openings(convs: DataFrame) -> DataFrame:
     return long.join(heads, "base", "left").select("conv_id", F.concat(opening, rest).alias("turns"))
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces in order of path and id -> one row a path: its conversations' number, smallest id and hash."""
-    path, held, out = None, None, []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        nonlocal out
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=ENDED)
-            out = []
-
-    ENDED = pa.schema([("path", pa.binary()), ("bytes", pa.list_(pa.int64())), ("first", pa.int64()), ("n", pa.int64()), ("ends", pa.string())])
-    close = lambda: out.append({**held, "ends": held["ends"].hexdigest()})
-    for batch in batches:
-        for p in batch.to_pylist():
-            if p["path"] != path:
-                if held:
-                    close()
-                path, held = p["path"], {"path": p["path"], "bytes": p["bytes"], "first": p["first"], "n": 0, "ends": hashlib.sha256()}
-            else:
-                held["ends"].update(b",")
-            held["n"] += p["n"]
-            held["ends"].update(p["ids"].encode())
-        yield from done()
-    if held:
-        close()
-    yield from done()
-
-
-def merged(convs: DataFrame) -> DataFrame:
-    """conv_id, turns -> a row for each distinct sequence: path, bytes, first (smallest conv_id), n, ends (hash)."""
+def pieces(convs: DataFrame) -> DataFrame:
+    """conv_id, turns -> rows that the first pass takes: path, bytes (of each turn's text), piece, ids (of a part of the
+    conversations with that path, in order, joined), n and first (their number and smallest id), and no sums."""
     path = F.unhex(F.array_join(F.transform("turns", lambda t: F.hex(t["digest"])), ""))
     flat = convs.select("conv_id", path.alias("path"), F.transform("turns", lambda t: t["bytes"]).alias("bytes"))
-    pieces = flat.groupBy("path", "bytes", F.shiftright("conv_id", PIECE_BITS).alias("piece")).agg(
-        F.array_join(F.array_sort(F.collect_list("conv_id")).cast("array<string>"), ",").alias("ids"), F.count("*").alias("n"), F.min("conv_id").alias("first")
-    )
-    return pieces.repartition("path").sortWithinPartitions("path", "piece").mapInArrow(_ends, "path binary, bytes array<long>, first long, n long, ends string")
+    ids = F.array_join(F.array_sort(F.collect_list("conv_id")).cast("array<string>"), ",")
+    each = flat.groupBy("path", "bytes", F.shiftright("conv_id", PIECE_BITS).alias("piece")).agg(ids.alias("ids"), F.count("*").alias("n"), F.min("conv_id").alias("first"))
+    return each.select("path", "bytes", "piece", "ids", "n", "first", *[F.lit(0).cast("long").alias(c) for c in SUMS], F.lit(None).cast("string").alias("ends"))
+
+
+SUMS = ("children", "leaves", "saved")
+NODE = "path binary, bytes array<long>, key binary, parent binary, depth long, n long, first long, children long, leaves long, saved long, ends string"
+NODE_ARROW = pa.schema([("path", pa.binary()), ("bytes", pa.list_(pa.int64())), ("key", pa.binary()), ("parent", pa.binary()), *[(c, pa.int64()) for c in ("depth", "n", "first", *SUMS)], ("ends", pa.string())])
+
+
+class _Node:
+    """A node of the current path with what has been merged into it."""
+
+    def __init__(self, above: _Node | None, digest: bytes) -> None:
+        self.hash = above.hash.copy() if above else hashlib.sha256()
+        self.hash.update(digest)
+        self.n = self.children = self.leaves = self.saved = 0
+        self.first = self.ends = self.hashed = None
+
+    def key(self) -> bytes:
+        return self.hash.digest()[:DIGEST]
+
+    def add(self, row: dict) -> None:
+        self.n += row["n"]
+        if row["first"] is not None:
+            self.first = row["first"] if self.first is None else min(self.first, row["first"])
+        for c in SUMS:
+            setattr(self, c, getattr(self, c) + row[c])
+        if row["ends"]:
+            self.ends = row["ends"]
+        if row.get("ids"):
+            if self.hashed:
+                self.hashed.update(b",")
+            self.hashed = self.hashed or hashlib.sha256()
+            self.hashed.update(row["ids"].encode())
+
+    def row(self, **more) -> dict:
+        ends = self.hashed.hexdigest() if self.hashed else self.ends
+        return {"n": self.n, "first": self.first, "ends": ends, **{c: getattr(self, c) for c in SUMS}, **more}
+
+
+def _turns_in_common(p: bytes, q: bytes) -> int:
+    k, most = 0, min(len(p), len(q))
+    while k < most and p[k : k + DIGEST] == q[k : k + DIGEST]:
+        k += DIGEST
+    return k // DIGEST
+
+
+def _peeling(alone: bool):
+    """Peels a range's rows in order of path. alone: there is no other range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, path, sizes, shared, out = [], b"", [], -1, []
+
+        def peel(goes_on: bool) -> None:
+            node, depth = stack.pop(), len(stack)
+            if goes_on:
+                if node.n or node.children:
+                    out.append(node.row(path=path[: depth * DIGEST], bytes=sizes[:depth], key=None, parent=None, depth=depth))
+                return
+            node.leaves = node.leaves if node.children else 1
+            node.saved += (node.n - 1) * (sizes[depth - 1] if depth else 0)
+            out.append(node.row(path=None, bytes=None, key=node.key(), parent=stack[-1].key() if stack else None, depth=depth))
+            if stack:
+                stack[-1].add({"n": node.n, "first": node.first, "children": 1, "leaves": node.leaves, "saved": node.saved, "ends": None})
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=NODE_ARROW)
+                out.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                depth = len(row["path"]) // DIGEST
+                if not stack:
+                    shared = -1 if alone else depth
+                    stack.append(_Node(None, b""))
+                else:
+                    common = _turns_in_common(path, row["path"])
+                    while len(stack) - 1 > common:
+                        peel(len(stack) - 1 <= shared)
+                    shared = min(shared, common)
+                path, sizes = row["path"], row["bytes"]
+                while len(stack) <= depth:
+                    at = (len(stack) - 1) * DIGEST
+                    stack.append(_Node(stack[-1], path[at : at + DIGEST]))
+                stack[-1].add(row)
+            yield from told()
+        while stack:
+            peel(not alone)
+        yield from told()
+
+    return run
 
 
 def prefix_trie(convs: DataFrame) -> DataFrame:
     """conv_id, turns (as of `sequences`) -> a row per node: conv_id (smallest member), depth, parent_conv_id, n_convs,
-    n_children, n_leaves, saved_tokens, ends_sha256, path."""
-    ended = stored(merged(convs).withColumn("depth", (F.length("path") / DIGEST).cast("int")), "trie-ended")
-    deepest = ended.agg(F.max("depth")).first()[0]
-    zero = F.lit(0).cast("long")
-    levels, stripped = [], None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        rows = ended.where(F.col("depth") == depth).select("path", "bytes", "first", "n", zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), "ends")
-        rows = rows if stripped is None else rows.unionByName(stripped)
-        nodes = rows.groupBy("path", "bytes").agg(F.min("first").alias("first"), *[F.sum(c).alias(c) for c in ("n", "children", "leaves", "saved")], F.max("ends").alias("ends"))
-        last = F.coalesce(F.try_element_at("bytes", F.lit(-1)), zero)
-        nodes = nodes.withColumns({"leaves": F.when(F.col("children") == 0, 1).otherwise(F.col("leaves")), "saved": F.col("saved") + (F.col("n") - 1) * last})
-        levels.append(nodes := stored(nodes, f"trie-{depth}"))
-        up = F.expr(f"substring(path, 1, length(path) - {DIGEST})")
-        stripped = nodes.select(up.alias("path"), F.slice("bytes", F.lit(1), F.size("bytes") - 1).alias("bytes"), "first", "n", F.lit(1).cast("long").alias("children"), "leaves", "saved", F.lit(None).cast("string").alias("ends"))
-    if not levels:
-        return convs.sparkSession.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, path binary")
-    # A level's parents are the next level's nodes; the few rows of one-level tables keep each join as small as it can be.
-    out = None
-    for nodes, above in zip(levels, [*levels[1:], None], strict=True):
-        up = F.expr(f"substring(path, 1, length(path) - {DIGEST})")
-        if above is None:
-            both = nodes.withColumn("parent", F.lit(None).cast("long"))
-        else:
-            both = nodes.withColumn("up", up).join(above.select(F.col("path").alias("up"), F.col("first").alias("parent")), "up").drop("up")
-        out = both if out is None else out.unionByName(both)
-    return out.select(
+    n_children, n_leaves, saved_tokens, ends_sha256, key and parent_key (hashes of the node's path and its parent's)."""
+    rows, order, found, ranges = pieces(convs), ["path", "piece"], [], None
+    while True:
+        dealt = rows.repartitionByRange("path") if ranges is None else rows.repartitionByRange(ranges, "path") if ranges > 1 else rows.coalesce(1)
+        nodes = stored(dealt.sortWithinPartitions(*order).mapInArrow(_peeling(ranges == 1), NODE), "trie-nodes")
+        found.append(nodes.where("key is not null"))
+        rows, order = nodes.where("key is null"), ["path"]
+        if ranges == 1:
+            break
+        left = rows.count()
+        ranges = max(1, min(-(-left // RANGE_ROWS), ranges // 2 if ranges else left))
+    nodes = reduce(DataFrame.unionByName, found)
+    parents = nodes.select(F.col("key").alias("parent"), F.col("first").alias("parent_conv_id"))
+    return nodes.join(parents, "parent", "left").select(
         F.col("first").alias("conv_id"),
-        (F.length("path") / DIGEST).cast("long").alias("depth"),
-        F.col("parent").alias("parent_conv_id"),
+        "depth",
+        "parent_conv_id",
         F.col("n").alias("n_convs"),
         F.col("children").alias("n_children"),
-        F.col("leaves").cast("long").alias("n_leaves"),
+        F.col("leaves").alias("n_leaves"),
         F.col("saved").alias("saved_tokens"),
         F.coalesce("ends", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"),
-        "path",
+        "key",
+        F.col("parent").alias("parent_key"),
     )
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return prefix_trie(with_borrowed_openings(sequences(rows))).drop("path")
+    return prefix_trie(with_borrowed_openings(sequences(rows))).drop("key", "parent_key")
