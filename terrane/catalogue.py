@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mesh_queries
 from .functions import geom
 from .operators import cluster, graph, matrix, prolong, sampling
 from .plans import decimate, hierarchy, solver
@@ -908,22 +909,6 @@ def quadric_costs(spark, d):
     return decimate.quadric_costs(points(spark, d), faces(spark, d))
 
 
-def _decimated(spark, d):
-    f = cut(faces(spark, d))
-    return decimate.decimate(points(spark, d), f, f.count() * 9 // 10)
-
-
-@query("decimate_rounds")
-def decimate_rounds(spark, d):
-    return _decimated(spark, d)[2]
-
-
-@query("trace_points")
-def trace_points(spark, d):
-    p, f, _, owner = _decimated(spark, d)
-    return decimate.trace_points(points(spark, d), p, f, owner)
-
-
 @query("flatten_rings")
 def flatten_rings(spark, d):
     c = graph.corners(faces(spark, d), points(spark, d))
@@ -994,3 +979,7 @@ def hierarchy_random(spark, d):
 @query("hierarchy_poisson_disk")
 def hierarchy_poisson_disk(spark, d):
     return hierarchy.summary(hierarchy.build(points(spark, d), edges(spark, d), _small(sampling=Sampling.POISSONDISK, most_levels=1)))
+
+
+QUERIES |= mesh_queries.QUERIES
+SQL |= mesh_queries.SQL

@@ -1,16 +1,20 @@
 """Decimation of meshes by edge collapses in rounds, and the weights that carry values back.
 
 A global heap of costs is sequential. Here each round collapses all edges that are the cheapest of every edge
-around their ends, so that the rings of two collapses never touch; the mesh is of the same kind, though not the
-same mesh, as a heap would give. Fine vertices are then placed on the coarse faces around the vertex that took
-theirs.
+around their ends, so that no face is changed by two collapses. Both sides of a collapse are flattened together, and
+the log keeps the flattened faces. Fine vertices go through the log, from face to face, by an index of the steps that
+took each face.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom
@@ -103,82 +107,280 @@ def removal_costs(points: DataFrame, faces: DataFrame) -> DataFrame:
     return e.select("a", "b", F.when(first, F.col("ca")).otherwise(F.col("cb")).alias("cost"), *[F.when(first, F.col(f"a{c}")).otherwise(F.col(f"b{c}")).alias(c) for c in "xyz"])
 
 
-def _folding(points: DataFrame, faces: DataFrame, edges: DataFrame) -> DataFrame:
-    """a, b of the edges a, b, x, y, z whose collapse would turn a face over or leave it without area."""
-    c = graph.corners(faces, points)
-    around = c.select("*", F.explode(F.array("a", "b", "c")).alias("end"))
-    ends = edges.select(F.col("a").alias("ka"), F.col("b").alias("kb"), "x", "y", "z", F.explode(F.array("a", "b")).alias("end"))
-    inside = lambda k: F.array_contains(F.array("a", "b", "c"), F.col(k))
-    t = ends.join(around, "end").where(~(inside("ka") & inside("kb")))
-    moved = {k: tuple(F.when(F.col(k) == F.col("end"), F.col(x)).otherwise(F.col(f"{k}{x}")) for x in "xyz") for k in "abc"}
-    before = geom.cross(geom.minus(geom.at("b"), geom.at("a")), geom.minus(geom.at("c"), geom.at("a")))
-    after = geom.cross(geom.minus(moved["b"], moved["a"]), geom.minus(moved["c"], moved["a"]))
-    return t.where(geom.dot(before, after) <= 0).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
-
-
-def _round(points: DataFrame, faces: DataFrame, costs: DataFrame) -> DataFrame:
-    """a (stays), b (goes), x, y, z of the edges to collapse in a round: the link condition holds (the ends have as
-    many common neighbours as faces between them), no face is folded over, and no cheaper edge is in reach of either end."""
-    e = graph.face_edges(faces)
-    # Neighbours of one end that are neighbours of the other: only along edges, not for all pairs around a vertex.
-    beside = costs.select("a", "b").join(e.select(F.col("i").alias("a"), "j"), "a")
-    common = beside.join(e.select(F.col("i").alias("b"), "j"), ["b", "j"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("common"))
-    sides = graph.edge_manifold(faces)
-    fine = costs.join(common, ["a", "b"]).join(sides, ["a", "b"]).where((F.col("common") == F.col("faces")) & F.col("manifold"))
-    fine = fine.join(_folding(points, faces, fine), ["a", "b"], "left_anti")
-    fine = cut(fine.select("a", "b", "x", "y", "z", F.struct("cost", "a", "b").alias("rank")))
-    near = fine.select(F.explode(F.array("a", "b")).alias("id"), "rank").groupBy("id").agg(F.min("rank").alias("rank"))
-    for _ in range(2):  # the cheapest edge in reach of one, then of two steps
-        near = cut(near.union(e.select(F.col("j").alias("id"), "i").join(near.withColumnRenamed("id", "i"), "i").select("id", "rank")).groupBy("id").agg(F.min("rank").alias("rank")))
-    at = lambda k: near.select(F.col("id").alias(k), F.col("rank").alias(f"r{k}"))
-    return fine.join(at("a"), "a").join(at("b"), "b").where("rank <= ra and rank <= rb").select("a", "b", "x", "y", "z")
-
-
-def decimate(points: DataFrame, faces: DataFrame, target: int, costs=edge_costs, most_rounds: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(points, faces, log: round, a, b; owner: id, label) with at most `target` faces where collapses allow it."""
-    p, f = cut(points), cut(faces)
-    owner = cut(points.select("id", F.col("id").alias("label")))
-    log = None
-    for k in range(most_rounds):
-        n = f.count()
-        if n <= target:
-            break
-        some = _round(p, f, costs(p, f))
-        some = cut(some.orderBy("a", "b").limit(max(1, (n - target + 1) // 2)))  # each collapse takes two faces at most
-        if some.isEmpty():
+CORNERS = [f"{k}{x}" for k in "abc" for x in "xyz"]
+FACE = "struct<f:bigint,a:bigint,b:bigint,c:bigint,uv:array<double>,xyz:array<double>>"
+#: What collapsing an edge a, b does: `a` stays and moves to x, y, z; pre and post are the faces around it before and after,
+#: with the corners' places in the plane (uv, by corner) and in space; ring: its vertices. refused: why it can't be done.
+PATCH = f"a long, b long, cost double, x double, y double, z double, refused string, pre array<{FACE}>, post array<{FACE}>, ring array<long>"
+
+_FACES = pa.list_(pa.struct([(k, pa.int64()) for k in "fabc"] + [(k, pa.list_(pa.float64())) for k in ("uv", "xyz")]))
+PATCH_ARROW = pa.schema([(k, pa.int64()) for k in "ab"] + [(k, pa.float64()) for k in ("cost", "x", "y", "z")] + [("refused", pa.string()), ("pre", _FACES), ("post", _FACES), ("ring", pa.list_(pa.int64()))])
+
+#: The least quality of faces at a border in space, and of any face in the plane; the least area there.
+BORDER_QUALITY, PLANE_QUALITY, LEAST_AREA = 0.3, 0.01, 1e-10
+
+
+def _quality(p: np.ndarray) -> np.ndarray:
+    """Of triangles (n, 3, dimensions): 1 for equilateral ones, 0 for flat ones."""
+    s = sum(((p[:, k] - p[:, k - 1]) ** 2).sum(1) for k in range(3))
+    u, v = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    twice = np.sqrt(np.maximum((u * u).sum(1) * (v * v).sum(1) - (u * v).sum(1) ** 2, 0))
+    return np.divide(2 * np.sqrt(3) * twice, s, out=np.zeros(len(p)), where=s > 0)
+
+
+def _conformal(tri: np.ndarray, xyz: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the least-squares conformal energy of triangles (corner indices, places) in n unknown u and n v."""
+    e1, e2 = xyz[:, 1] - xyz[:, 0], xyz[:, 2] - xyz[:, 0]
+    long = np.maximum(np.linalg.norm(e1, axis=1), 1e-300)
+    x2 = (e1 * e2).sum(1) / long
+    y2 = np.linalg.norm(np.cross(e1, e2), axis=1) / long
+    flat = np.zeros((len(tri), 3, 2))
+    flat[:, 1, 0], flat[:, 2, 0], flat[:, 2, 1] = long, x2, y2
+    scale = 1 / np.sqrt(np.maximum(long * y2, 1e-300))
+    rows = np.zeros((2 * len(tri), 2 * n))
+    at = np.arange(len(tri))
+    for m in range(3):
+        d = (flat[:, (m + 2) % 3] - flat[:, (m + 1) % 3]) * scale[:, None]
+        rows[2 * at, tri[:, m]], rows[2 * at, n + tri[:, m]] = d[:, 0], -d[:, 1]
+        rows[2 * at + 1, tri[:, m]], rows[2 * at + 1, n + tri[:, m]] = d[:, 1], d[:, 0]
+    return rows
+
+
+def joint_flattening(pre: np.ndarray, pre_xyz: np.ndarray, post: np.ndarray, post_xyz: np.ndarray, shared: int, n: int) -> np.ndarray:
+    """Places in the plane of n vertices, of which the first `shared` stand on both sides: the two maps that are together
+    the most conformal ones and agree on those. The two shared vertices that are farthest apart are fixed."""
+    at = np.zeros((n, 3))
+    at[pre.ravel()], at[post.ravel()] = pre_xyz.reshape(-1, 3), post_xyz.reshape(-1, 3)
+    apart = np.linalg.norm(at[:shared, None] - at[None, :shared], axis=-1)
+    s, t = np.unravel_index(np.argmax(apart), apart.shape)
+    rows = np.concatenate([_conformal(pre, pre_xyz, n), _conformal(post, post_xyz, n)])
+    fixed, value = np.array([s, t, n + s, n + t]), np.array([0, apart[s, t], 0, 0])
+    free = np.setdiff1d(np.arange(2 * n), fixed)
+    uv = np.zeros(2 * n)
+    uv[fixed] = value
+    uv[free] = np.linalg.lstsq(rows[:, free], -rows[:, fixed] @ value, rcond=None)[0]
+    return uv.reshape(2, n).T
+
+
+def _oriented(tri: np.ndarray) -> np.ndarray | None:
+    """The faces turned alike, from the first on over shared edges; None where they can't be or an edge has three."""
+    tri, turned, todo = tri.copy(), {0}, [0]
+    sides: dict[frozenset, list[int]] = {}
+    for k, t in enumerate(tri.tolist()):
+        for m in range(3):
+            sides.setdefault(frozenset((t[m], t[m - 1])), []).append(k)
+    if any(len(s) > 2 for s in sides.values()):
+        return None
+    directed = lambda k: {(tri[k, m], tri[k, (m + 1) % 3]) for m in range(3)}
+    while todo:
+        k = todo.pop()
+        for p, q in directed(k):
+            for j in sides[frozenset((p, q))]:
+                if j == k:
+                    continue
+                alike = (q, p) in directed(j)
+                if j not in turned:
+                    if not alike:
+                        tri[j] = tri[j, ::-1]
+                    turned.add(j)
+                    todo.append(j)
+                elif not alike:
+                    return None
+    return tri
+
+
+def collapse(a: int, b: int, place: tuple[float, float, float], faces: list[dict]) -> dict:
+    """One collapse, with all faces around a and b: what PATCH has of it."""
+    faces = sorted(faces, key=lambda t: t["f"])
+    tri = np.array([[t["a"], t["b"], t["c"]] for t in faces])
+    xyz = np.array([[t[c] for c in CORNERS] for t in faces], float).reshape(-1, 3, 3)
+    near = {k: {int(v) for t in tri if k in t for v in t} - {k} for k in (a, b)}
+    both = (tri == a).any(1) & (tri == b).any(1)
+    refuse = lambda why: {"refused": why, "pre": None, "post": None, "ring": None}
+    if len(near[a] & near[b]) != both.sum():
+        return refuse("link")
+    edge_faces = lambda k: [sum(k in t and v in t for t in tri) for v in near[k]]
+    border = [min(edge_faces(k)) == 1 for k in (a, b)]
+    if all(border) and both.sum() == 2:
+        return refuse("pinch")
+    left = ~both
+    if not left.any():
+        return refuse("last")
+    alike = _oriented(tri)
+    if alike is None:
+        return refuse("fan")
+    # Vertices on both sides come first, then a and b as they were, then what they become.
+    names = [v for v in np.unique(tri).tolist() if v not in (a, b)]
+    number = {v: k for k, v in enumerate([*names, a, b])}
+    shared, n = len(names), len(names) + 3
+    index = lambda t: np.array([[number[v] for v in row] for row in t.tolist()]).reshape(-1, 3)
+    turn = (alike != tri).any(1)
+    order = np.where(turn[:, None], [2, 1, 0], [0, 1, 2])
+    pre, pre_xyz = index(alike), np.take_along_axis(xyz, order[:, :, None], 1)
+    post, post_xyz = pre[left].copy(), pre_xyz[left].copy()
+    moved = post >= shared
+    post[moved], post_xyz[moved] = n - 1, place
+    normal = lambda p: np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+    if ((normal(pre_xyz[left]) * normal(post_xyz)).sum(1) <= 0).any():
+        return refuse("fold")
+    if any(border) and (_quality(post_xyz) < BORDER_QUALITY).any():
+        return refuse("sliver")
+    uv = joint_flattening(pre, pre_xyz, post, post_xyz, shared, n)
+    for t in (pre, post):
+        p = uv[t]
+        area = (p[:, 1, 0] - p[:, 0, 0]) * (p[:, 2, 1] - p[:, 0, 1]) - (p[:, 1, 1] - p[:, 0, 1]) * (p[:, 2, 0] - p[:, 0, 0])
+        if not (area >= LEAST_AREA).all() or not (_quality(p) >= PLANE_QUALITY).all():
+            return refuse("plane")
+    named = lambda f, row, t, x: {"f": f, "a": row[0], "b": row[1], "c": row[2], "uv": uv[t].ravel().tolist(), "xyz": x.ravel().tolist()}
+    back = lambda t, o: np.take_along_axis(t, o if t.ndim == 2 else o[:, :, None], 1)
+    before = [named(t["f"], row, i, x) for t, row, i, x in zip(faces, tri.tolist(), back(pre, order), xyz, strict=True)]
+    new = np.where(tri == b, a, tri)[left]
+    after = [named(t["f"], row, i, x) for t, row, i, x in zip([t for t, s in zip(faces, left, strict=True) if s], new.tolist(), back(post, order[left]), back(post_xyz, order[left]), strict=True)]
+    return {"refused": None, "pre": before, "post": after, "ring": [*names, a, b]}
+
+
+def _collapses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [{k: t[k] for k in ("a", "b", "cost", "x", "y", "z")} | collapse(t["a"], t["b"], (t["x"], t["y"], t["z"]), t["faces"]) for t in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(out, schema=PATCH_ARROW)
+
+
+def _midpoints(fat: DataFrame) -> DataFrame:
+    """a, b, cost (length) and midpoint of every edge, from faces that carry their corners' places."""
+    side = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"), *[F.col(f"{k}{x}").alias(f"{s}{x}") for k, s in ((p, "p"), (q, "q")) for x in "xyz"])
+    both = [F.when(F.col(p) < F.col(q), side(p, q)).otherwise(side(q, p)) for p, q in ("ab", "bc", "ca")]
+    e = fat.select(F.explode(F.array(*both)).alias("e")).select("e.*").dropDuplicates(["a", "b"])
+    return e.select("a", "b", geom.distance(geom.at("p"), geom.at("q")).alias("cost"), *[((F.col(f"p{x}") + F.col(f"q{x}")) / 2).alias(x) for x in "xyz"])
+
+
+def local_minima(edges: DataFrame) -> DataFrame:
+    """Of edges a, b, .. with a rank (null: not to be collapsed), those of the lowest rank among all that touch an end or a
+    neighbour of an end. What two of them change has no face in common, and what either does changes no edge that was
+    compared with the other, so a heap would take each before its surroundings change too."""
+    ends = F.explode(F.array("a", "b")).alias("v")
+    at = lambda t, k: t.select(F.col("v").alias(k), F.col("rank").alias(f"r{k}"))
+    here = edges.select(ends, "rank").groupBy("v").agg(F.min("rank").alias("rank"))
+    beside = edges.join(at(here, "a"), "a").join(at(here, "b"), "b").select(ends, F.least("ra", "rb").alias("rank"))
+    near = beside.groupBy("v").agg(F.min("rank").alias("rank"))
+    return edges.join(at(near, "a"), "a").join(at(near, "b"), "b").where("rank = ra and rank = rb").drop("ra", "rb")
+
+
+def patches(some: DataFrame, fat: DataFrame) -> DataFrame:
+    """Collapses a, b, cost, x, y, z tried on the faces around them: PATCH."""
+    around = fat.select(F.explode(F.array("a", "b", "c")).alias("v"), F.struct("f", "a", "b", "c", *CORNERS).alias("t"))
+    ends = some.select("a", "b", "cost", "x", "y", "z", F.explode(F.array("a", "b")).alias("v"))
+    each = ends.join(around, "v").groupBy("a", "b", "cost", "x", "y", "z").agg(F.collect_set("t").alias("faces"))
+    return each.mapInArrow(_collapses, PATCH)
+
+
+def decimate(points: DataFrame, faces: DataFrame, target: int, costs=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points, faces, log: step and PATCH) with `target` faces (or one less), or as few as collapses allow.
+
+    In each round the edges that are cheapest in their surroundings collapse, and in the last round the cheapest of
+    those. One that is refused (a pinched or folded surface, a flattening that isn't one to one) is passed over until
+    something near it changes. `costs`: a function of points and faces like quadric_costs; edge lengths unless given."""
+    fat = cut(graph.corners(faces.select("f", "a", "b", "c"), points))
+    p, n, step, logs, banned = points.select("id", "x", "y", "z"), fat.count(), 0, [], None
+    while n > target:
+        e = costs(p, fat.select("f", "a", "b", "c")).select("a", "b", "cost", "x", "y", "z") if costs else _midpoints(fat)
+        rank = F.struct("cost", "a", "b")
+        if banned is not None:
+            e = e.join(banned.withColumn("no", F.lit(True)), ["a", "b"], "left")
+            rank = F.when(F.col("no").isNull(), rank)
+        some = local_minima(cut(e.withColumn("rank", rank).drop("no")))
+        most = (n - target + 1) // 2  # each collapse takes two faces, at a border one
+        if most < n // 8:
+            some = cut(some)
+            some = some.join(graph.dense_ids(some, "rank").where(F.col("new_id") < most), "rank")
+        tried = cut(patches(some, fat).select(F.lit(step).alias("step"), "*"))
+        told = tried.agg(F.count("*").alias("n"), F.count("refused").alias("refused"), F.coalesce(F.sum(F.size("pre") - F.size("post")), F.lit(0)).alias("gone")).first()
+        if not told.n:
             break
-        part = some.select(F.lit(k).alias("round"), "a", "b")
-        log = part if log is None else log.union(part)
-        to = some.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        renamed = f
-        for c in "abc":
-            renamed = renamed.join(to, renamed[c] == to.old, "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-        f = cut(renamed.where("a <> b and b <> c and c <> a").select("f", "a", "b", "c"))
-        moved = some.select(F.col("a").alias("id"), *[F.col(c).alias(f"m{c}") for c in "xyz"])
-        p = p.join(some.select(F.col("b").alias("id")), "id", "left_anti").join(moved, "id", "left")
-        p = cut(p.select("id", *[F.coalesce(f"m{c}", c).alias(c) for c in "xyz"]))
-        owner = cut(owner.join(to, owner.label == to.old, "left").select("id", F.coalesce("new", "label").alias("label")))
-    empty = owner.where("false").select(F.lit(0).alias("round"), F.col("id").alias("a"), F.col("label").alias("b"))
-    return p, f, log if log is not None else empty, owner
-
-
-def trace_points(points: DataFrame, coarse: DataFrame, faces: DataFrame, owner: DataFrame) -> DataFrame:
-    """id, a, b, c, wa, wb, wc: the coarse face around a fine point's owner in which its smallest coordinate is
-    largest, with the coordinates clamped and renormalised."""
-    t = graph.corners(faces, coarse)
-    around = t.select("*", F.explode(F.array("a", "b", "c")).alias("label"))
-    both = points.select("id", *[F.col(c).alias(f"p{c}") for c in "xyz"]).join(owner, "id").join(around, "label")
-    w = geom.barycentric(geom.at("p"), geom.at("a"), geom.at("b"), geom.at("c"))
-    both = both.select("id", "f", "a", "b", "c", *[v.alias(k) for v, k in zip(w, ("wa", "wb", "wc"), strict=True)]).where("wa is not null")
-    low = F.struct(F.round(F.least("wa", "wb", "wc"), 12).alias("w"), (-F.col("f")).alias("f"))
-    best = both.groupBy("id").agg(F.max_by(F.struct("a", "b", "c", "wa", "wb", "wc"), low).alias("t")).select("id", "t.*")
-    total = sum((F.greatest(F.col(k), F.lit(0.0)) for k in ("wa", "wb", "wc")), F.lit(0.0))
-    return best.select("id", "a", "b", "c", *[(F.greatest(F.col(k), F.lit(0.0)) / total).alias(k) for k in ("wa", "wb", "wc")])
+        done = tried.where("refused is null")
+        if told.refused < told.n:
+            logs.append(done)
+            fresh = done.select(F.explode("post").alias("t")).select("t.f", "t.a", "t.b", "t.c", *[F.col("t.xyz")[k].alias(c) for k, c in enumerate(CORNERS)])
+            fat = cut(fat.join(done.select(F.explode("pre.f").alias("f")), "f", "left_anti").unionByName(fresh))
+            if costs:
+                p = cut(moved_points(p, done))
+        if banned is not None or told.refused:
+            new = tried.where("refused is not null").select("a", "b")
+            if banned is not None:
+                ring = done.select(F.explode("ring").alias("v"))
+                for k in "ab":
+                    banned = banned.join(ring.withColumnRenamed("v", k), k, "left_anti")
+                new = new.unionByName(banned.select("a", "b"))
+            banned = cut(new)
+        n, step = n - told.gone, step + 1
+    log = reduce(DataFrame.unionByName, logs) if logs else points.sparkSession.createDataFrame([], f"step int, {PATCH}")
+    return cut(moved_points(points.select("id", "x", "y", "z"), log)), fat.select("f", "a", "b", "c"), log
+
+
+def moved_points(points: DataFrame, log: DataFrame) -> DataFrame:
+    """The points after the log's collapses."""
+    last = log.groupBy(F.col("a").alias("id")).agg(F.max_by(F.struct("x", "y", "z"), "step").alias("to"))
+    rest = points.join(log.select(F.col("b").alias("id")), "id", "left_anti").join(last, "id", "left")
+    return rest.select("id", *[F.coalesce(F.col("to")[c], F.col(c)).alias(c) for c in "xyz"])
+
+
+def face_index(log: DataFrame) -> DataFrame:
+    """f, since, step, pre, post: for each face and step that takes it, the faces before (its own) and after, and the step
+    that took it last (-1: none). Between `since` and `step` the face is as that step left it."""
+    each = log.select("step", "post", F.explode("pre").alias("pre"))
+    return each.withColumn("f", F.col("pre.f")).withColumn("since", F.coalesce(F.lag("step").over(Window.partitionBy("f").orderBy("step")), F.lit(-1)))
+
+
+def placed_on(p, t) -> tuple[Column, Column, Column]:
+    """Barycentric coordinates of p (u, v) in a triangle with the places t (six numbers) in the plane."""
+    (u, v), (x0, y0, x1, y1, x2, y2) = p, t
+    det = (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)
+    w1 = ((u - x0) * (y2 - y0) - (x2 - x0) * (v - y0)) / det
+    w2 = ((x1 - x0) * (v - y0) - (u - x0) * (y1 - y0)) / det
+    return 1 - w1 - w2, w1, w2
+
+
+def trace_on_faces(at: DataFrame, log: DataFrame) -> DataFrame:
+    """id, f, w0, w1, w2 (a point's face and weights of its corners) carried through the log: in the plane of each
+    collapse that takes its face, a point moves to the face after it in which its smallest weight is largest (ties: the
+    smallest face), with negative weights cut off. A face's steps are found by (f, last step) alone, so a point meets the
+    collapses of its own way only: as many joins as the longest way has, and points at their end leave."""
+    index = cut(face_index(log))
+    at, done = at.withColumn("last", F.lit(-1)), None
+    while True:
+        both = cut(at.join(index.select("f", F.col("since").alias("last"), "step", F.col("pre.uv").alias("uv"), "post"), ["f", "last"], "left"))
+        end = both.where("step is null").select("id", "f", "w0", "w1", "w2")
+        done = end if done is None else done.unionByName(end)
+        go = both.where("step is not null")
+        if go.isEmpty():
+            return done
+        u, v = (sum((F.col(f"w{k}") * F.col("uv")[2 * k + m] for k in range(3)), F.lit(0.0)) for m in (0, 1))
+
+        def tried(t: Column) -> Column:
+            w = placed_on((F.col("u"), F.col("v")), [t["uv"][k] for k in range(6)])
+            return F.struct(F.round(F.least(*w), 12).alias("low"), (-t["f"]).alias("f"), *[x.alias(f"w{k}") for k, x in enumerate(w)])
+
+        best = F.array_max(F.transform("post", tried))
+        go = go.withColumns({"u": u, "v": v}).withColumn("best", best)
+        held = [F.greatest(F.col(f"best.w{k}"), F.lit(0.0)) for k in range(3)]
+        at = go.select("id", (-F.col("best.f")).alias("f"), F.col("step").alias("last"), *[(h / (held[0] + held[1] + held[2])).alias(f"w{k}") for k, h in enumerate(held)])
+
+
+def trace_points(points: DataFrame, faces: DataFrame, coarse_faces: DataFrame, log: DataFrame) -> DataFrame:
+    """id, a, b, c, wa, wb, wc for every fine vertex: its weights on a face that is left. A vertex of no face stays
+    itself (a, b and c are it, with the weight 1 on the first)."""
+    corner = F.explode(F.array(*[F.struct(F.col(k).alias("id"), F.struct("f", F.lit(n).alias("k")).alias("at")) for n, k in enumerate("abc")]))
+    first = faces.select(corner.alias("t")).groupBy("t.id").agg(F.min("t.at").alias("at"))
+    at = first.select("id", "at.f", *[(F.col("at.k") == k).cast("double").alias(f"w{k}") for k in range(3)])
+    ends = trace_on_faces(at, log).join(coarse_faces.select("f", "a", "b", "c"), "f")
+    alone = points.select("id").join(first, "id", "left_anti")
+    alone = alone.select("id", *[F.col("id").alias(k) for k in "abc"], F.lit(1.0).alias("wa"), F.lit(0.0).alias("wb"), F.lit(0.0).alias("wc"))
+    return ends.select("id", "a", "b", "c", *[F.col(f"w{n}").alias(f"w{k}") for n, k in enumerate("abc")]).unionByName(alone)
 
 
 def traced_weights(traced: DataFrame) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.col(k).alias("j"), F.col(f"w{k}").alias("w")) for k in "abc"]))
-    return traced.select(F.col("id").alias("i"), cells.alias("c")).groupBy("i", "c.j").agg(F.sum("c.w").alias("w"))
+    sums = traced.select(F.col("id").alias("i"), cells.alias("c")).groupBy("i", "c.j").agg(F.sum("c.w").alias("w"))
+    return sums.where("w > 0")
 
 
 def level_sizes(vertices: int, ratio: float = 0.25, coarsest: int = 500) -> list[int]:
@@ -242,8 +444,8 @@ def levels(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: i
     n_faces = faces.count()
     for size in level_sizes(points.count(), ratio, coarsest)[1:]:
         n_faces = round(n_faces * ratio)
-        q, g, _, owner = decimate(p, f, n_faces)
-        w = traced_weights(trace_points(p, q, g, owner))
+        q, g, log = decimate(p, f, n_faces)
+        w = traced_weights(trace_points(p, f, g, log))
         new = cut(graph.dense_ids(q))
         number = lambda df, c: df.join(new.select(F.col("id").alias(c), "new_id"), c).drop(c).withColumnRenamed("new_id", c)  # noqa: B023, E731
         w = cut(number(w, "j").select("i", "j", F.col("w").alias("v")))

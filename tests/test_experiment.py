@@ -48,14 +48,6 @@ def test_border_and_pull(grid):
     assert away == pytest.approx(0, abs=1e-9)
 
 
-def test_folding(spark):
-    # Vertex 4 in the middle of a square of four faces; moving it outside folds two of them.
-    p = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 2.0, 2.0, 0.0), (3, 0.0, 2.0, 0.0), (4, 1.0, 1.0, 0.0)], "id long, x double, y double, z double")
-    f = spark.createDataFrame([(k, k, (k + 1) % 4, 4) for k in range(4)], "f long, a long, b long, c long")
-    edges = spark.createDataFrame([(0, 4, 3.0, 1.0, 0.0), (1, 4, 1.2, 0.9, 0.0)], "a long, b long, x double, y double, z double")
-    assert [(r.a, r.b) for r in decimate._folding(p, f, edges).collect()] == [(0, 4)]
-
-
 def test_decimated_hierarchy(grid):
     points, faces = grid
     o = Options(hierarchy=Hierarchy.DECIMATION, decimation_ratio=0.5, decimation_coarsest=12)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import geom, text
 from terrane.operators import cluster, graph, matrix, prolong, sampling
-from terrane.plans import decimate, hierarchy, solver
+from terrane.plans import hierarchy, solver
 from terrane.schema import Options
 
 
@@ -145,17 +145,5 @@ def test_hierarchy_invariants(spark):
     assert hierarchy.summary(levels).count() == 2
 
 
-def test_decimation(spark):
-    n = 6
-    points = spark.createDataFrame([(i * n + j, float(i), float(j), 0.1 * ((i * j) % 3)) for i in range(n) for j in range(n)], "id long, x double, y double, z double")
-    quads = [(i * n + j, i * n + j + 1, (i + 1) * n + j, (i + 1) * n + j + 1) for i in range(n - 1) for j in range(n - 1)]
-    faces = spark.createDataFrame([(k, *t) for k, t in enumerate(t for a, b, c, d in quads for t in [(a, b, c), (b, d, c)])], "f long, a long, b long, c long")
-    p, f, log, owner = decimate.decimate(points, faces, 40, most_rounds=4)
-    assert f.count() < faces.count() and p.count() == points.count() - log.count()
-    assert owner.count() == points.count() and owner.join(p.select(F.col("id").alias("label")), "label", "left_anti").count() == 0
-    t = decimate.traced_weights(decimate.trace_points(points, p, f, owner)).groupBy("i").agg(F.sum("w").alias("s")).collect()
-    assert all(abs(r.s - 1) < 1e-9 for r in t)
-
-
 def test_title(spark):
     assert spark.createDataFrame([("3d_model-b2x",)], "n string").select(text.title(F.col("n"))).first()[0] == "3d_model-b2x".replace("_", " ").title()
