@@ -4,15 +4,17 @@ Writing gives one uncompressed archive per task: the text writer with the record
 separator. Of equal payloads of at least REVISIT_BYTES bytes the one with the largest page_id is a response record,
 the others are revisit records that refer to it.
 
-Reading splits the files at the magic `WARC/1.1` line, so that a file of any size is read by many tasks, each of
-which emits candidates: an offset and, from the header's Content-Length, the offset of the successor. A payload
-may hold the magic or a whole forged record. Pointer jumping from offset 0 of each file doubles the verified part
-of the chain in each round and keeps only the reachable candidates; what lies between two of them is payload.
+Reading splits the files (of version 1.0 or 1.1, plain or, as one split each, compressed with any codec that Spark's
+text reader knows by the file's name) at the magic `WARC/1.`, so that a file of any size is read by many tasks, each of
+which emits candidates: an offset and, from the header's Content-Length, the offset of the successor. A header may have
+any length. A payload may hold the magic or a whole forged record. Pointer jumping from offset 0 of each file doubles
+the verified part of the chain in each round and keeps only the reachable candidates; what lies between two of them is
+payload. A record behind which the chain ends before the file does is marked as broken.
 
 Edge cases: a null html is an empty payload; a null url is an empty one, line ends in it become blanks; a null
 page_id is written as `null` and read back as null; rows with the same page_id and payload are responses or
 revisits alike; a file that doesn't begin with a record gives none; a candidate without a proper length ends its
-chain; empty tables give no record.
+chain and is marked as broken, and so is a record whose length leads to no record; empty tables give no record.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import cut, own_dir, salted_join, sieve, sifted, stored, table
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 REVISIT_BYTES = 1000
-#: Bytes of a header; what claims to be a longer one is none.
-MOST_HEADER = 1 << 16
+#: What files are split at; the version's last digit and a line end follow.
+SPLIT = "WARC/1."
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -74,36 +76,39 @@ def _field(name: str) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between two magics: value, and its place by file, block (a split's start) and seq."""
-    text = spark.read.option("lineSep", MAGIC).text(path)
+    """What lies between two magics: value, and its place by file, block (a split's start) and seq. Spark plans the splits
+    of the same files alike, so a piece has the same place whenever they are read in a session."""
+    text = spark.read.option("lineSep", SPLIT).text(path)
     return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place with the magic: file, off, next (the successor's offset by its header), the header's fields, and
-    the digest of its payload where that ends with this piece."""
-    lines = _pieces(spark, path)
+def _scanned(spark: SparkSession, path: str) -> DataFrame:
+    """Every piece without its value: its header's fields, and the digest of its payload where that ends with the piece."""
+    c = _pieces(spark, path)
     header = F.substring_index("value", END, 1)
-    c = lines.withColumn("size", F.octet_length("value").cast("long")).withColumn("header_size", F.octet_length(header).cast("long"))
-    is_header = (F.col("header_size") < F.col("size")) & (F.col("header_size") <= MOST_HEADER)
+    c = c.withColumn("size", F.octet_length("value").cast("long")).withColumn("header_size", F.octet_length(header).cast("long"))
+    is_header = (F.col("header_size") < F.col("size")) & F.substring("value", 1, 3).isin("0\r\n", "1\r\n")
     c = c.withColumn("header", F.when(is_header, header))
     c = c.withColumn("length", F.expr("try_cast(nullif(regexp_extract(header, '(?im)^Content-Length: *([0-9]{1,18}) *\\\\r?$', 1), '') AS long)"))
-    whole = F.col("length").isNotNull() & (F.col("header_size") + F.col("length") + 8 == F.col("size"))
+    whole = F.coalesce(F.col("header_size") + F.col("length") + 8 == F.col("size"), F.lit(False))
     payload = F.substring(F.col("value").cast("binary"), (F.col("header_size") + 5).cast("int"), F.col("length").cast("int"))
-    c = c.select(
+    return c.select(
         "file", "block", "seq", "size", "header_size", "length",
         _field("WARC-Type").alias("type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("uri"),
         _field("WARC-Refers-To").alias("refers_to"), _field("WARC-Payload-Digest").alias("digest"),
         F.when(whole, F.sha1(payload)).alias("sha1"),
     )
-    c = stored(c, "warc")
+
+
+def candidates(scan: DataFrame) -> DataFrame:
+    """Every place with the magic: file, off, next (the successor's offset by its header), and what `_scanned` has of it."""
     # Offsets: sums within a split, and of the splits before it.
-    magic = F.lit(len(MAGIC))
-    split = c.groupBy("file", "block").agg(F.sum(F.col("size") + magic).alias("split_size"))
+    magic = F.lit(len(SPLIT))
+    split = scan.groupBy("file", "block").agg(F.sum(F.col("size") + magic).alias("split_size"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     split = split.select("file", "block", F.coalesce(F.sum("split_size").over(before), F.lit(0)).alias("split_at"))
     within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("at", F.coalesce(F.sum(F.col("size") + magic).over(within), F.lit(0))).join(split, ["file", "block"])
+    c = scan.withColumn("at", F.coalesce(F.sum(F.col("size") + magic).over(within), F.lit(0))).join(split, ["file", "block"])
     # A file's first piece lies before its first magic.
     c = c.withColumn("off", F.col("split_at") + F.col("at") - magic)
     return c.withColumn("next", F.col("off") + magic + F.col("header_size") + F.col("length") + 8).where("off >= 0").drop("at", "split_at")
@@ -124,21 +129,26 @@ def reachable(chain: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under path: file, off, type, record_id, uri, refers_to, digest (as declared),
-    payload_bytes, sha1 (of the payload read), and intact (whether a response has the digest that it declares)."""
-    c = stored(candidates(spark, path), "warc-chain")
+    payload_bytes, sha1 (of the payload read), intact (whether a response has the digest that it declares) and broken
+    (whether the chain ends behind it before the file does)."""
+    scan = stored(_scanned(spark, path), "warc")
+    c = stored(candidates(scan), "warc-chain")
     sure = reachable(c).withColumn("sure", F.lit(True))
     c = c.join(sure, ["file", "off"], "left")
     # Pieces that a magic inside a payload cut off belong to the last record before them.
-    upto = Window.partitionBy("file").orderBy("off")
+    by_file = Window.partitionBy("file")
+    upto = by_file.orderBy("off")
     owner = lambda what: F.last(F.when(F.col("sure"), what), ignorenulls=True).over(upto)
     owned = c.select("file", "block", "seq", "off", owner(F.col("off")).alias("owner"), owner(F.col("sha1").isNull()).alias("cut_off"))
     owned = stored(owned.where("cut_off"), "warc-pieces")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), MAGIC)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "value"))), lambda x: x["value"]), SPLIT)
     cutoff = _pieces(spark, path).join(owned, ["file", "block", "seq"]).groupBy("file", F.col("owner").alias("off")).agg(text.alias("text"))
-    records = c.where("sure")
+    records = c.withColumn("end", F.max(F.col("off") + F.lit(len(SPLIT)) + F.col("size")).over(by_file)).where("sure")
+    follows = F.coalesce(F.lead("off").over(upto), F.col("end")) == F.col("next")
+    records = records.withColumn("broken", ~F.coalesce(follows, F.lit(False)))
     cut_payload = F.substring(F.col("text").cast("binary"), (F.col("header_size") + 5).cast("int"), F.col("length").cast("int"))
     records = records.join(cutoff, ["file", "off"], "left").withColumn("sha1", F.coalesce("sha1", F.sha1(cut_payload)))
-    records = records.select("file", "off", "type", "record_id", "uri", "refers_to", "digest", F.col("length").alias("payload_bytes"), "sha1")
+    records = records.select("file", "off", "type", "record_id", "uri", "refers_to", "digest", F.col("length").alias("payload_bytes"), "sha1", "broken")
     return records.withColumn("intact", (F.col("type") == "revisit") | (F.concat(F.lit("sha1:"), F.col("sha1")) == F.col("digest")))
 
 
