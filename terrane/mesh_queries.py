@@ -75,7 +75,7 @@ def _first_round(spark, d):
     points, faces = sheet(spark, d, flat=True)
     fat = cut(decimate.graph.corners(faces, points))
     edges = decimate._midpoints(fat).withColumn("rank", F.struct("cost", "a", "b"))
-    return points, faces, cut(decimate.patches(decimate.local_minima(cut(edges)), fat).where("refused is null").withColumn("step", F.lit(0)))
+    return points, faces, cut(decimate.patches(decimate.local_minima(edges), fat).where("refused is null").withColumn("step", F.lit(0)))
 
 
 @query("collapse_round", f"WITH {_SHEET} SELECT a, b, round(mx, 6) AS x, round(my, 6) AS y FROM fine")

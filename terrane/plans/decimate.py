@@ -8,6 +8,7 @@ took each face.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -194,13 +195,13 @@ def collapse(a: int, b: int, place: tuple[float, float, float], faces: list[dict
     faces = sorted(faces, key=lambda t: t["f"])
     tri = np.array([[t["a"], t["b"], t["c"]] for t in faces])
     xyz = np.array([[t[c] for c in CORNERS] for t in faces], float).reshape(-1, 3, 3)
-    near = {k: {int(v) for t in tri if k in t for v in t} - {k} for k in (a, b)}
+    near = {k: {v for t in tri.tolist() if k in t for v in t} - {k} for k in (a, b)}
     both = (tri == a).any(1) & (tri == b).any(1)
     refuse = lambda why: {"refused": why, "pre": None, "post": None, "ring": None}
     if len(near[a] & near[b]) != both.sum():
         return refuse("link")
-    edge_faces = lambda k: [sum(k in t and v in t for t in tri) for v in near[k]]
-    border = [min(edge_faces(k)) == 1 for k in (a, b)]
+    sides = Counter((k, v) for t in tri.tolist() for k in (a, b) if k in t for v in t if v != k)
+    border = [any(n == 1 for (v, _), n in sides.items() if v == k) for k in (a, b)]
     if all(border) and both.sum() == 2:
         return refuse("pinch")
     left = ~both
@@ -246,31 +247,34 @@ def _collapses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _midpoints(fat: DataFrame) -> DataFrame:
-    """a, b, cost (length) and midpoint of every edge, from faces that carry their corners' places."""
+    """a, b, cost (length) and midpoint of every edge of every face, from faces that carry their corners' places."""
     side = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"), *[F.col(f"{k}{x}").alias(f"{s}{x}") for k, s in ((p, "p"), (q, "q")) for x in "xyz"])
     both = [F.when(F.col(p) < F.col(q), side(p, q)).otherwise(side(q, p)) for p, q in ("ab", "bc", "ca")]
-    e = fat.select(F.explode(F.array(*both)).alias("e")).select("e.*").dropDuplicates(["a", "b"])
+    e = fat.select(F.explode(F.array(*both)).alias("e")).select("e.*")
     return e.select("a", "b", geom.distance(geom.at("p"), geom.at("q")).alias("cost"), *[((F.col(f"p{x}") + F.col(f"q{x}")) / 2).alias(x) for x in "xyz"])
 
 
 def local_minima(edges: DataFrame) -> DataFrame:
-    """Of edges a, b, .. with a rank (null: not to be collapsed), those of the lowest rank among all that touch an end or a
-    neighbour of an end. What two of them change has no face in common, and what either does changes no edge that was
-    compared with the other, so a heap would take each before its surroundings change too."""
-    ends = F.explode(F.array("a", "b")).alias("v")
-    at = lambda t, k: t.select(F.col("v").alias(k), F.col("rank").alias(f"r{k}"))
-    here = edges.select(ends, "rank").groupBy("v").agg(F.min("rank").alias("rank"))
-    beside = edges.join(at(here, "a"), "a").join(at(here, "b"), "b").select(ends, F.least("ra", "rb").alias("rank"))
-    near = beside.groupBy("v").agg(F.min("rank").alias("rank"))
-    return edges.join(at(near, "a"), "a").join(at(near, "b"), "b").where("rank = ra and rank = rb").drop("ra", "rb")
+    """Of edges a, b, cost, x, y, z (repeated or not) with a rank (null: not to be collapsed), those of the lowest rank
+    among all that touch an end or a neighbour of an end, once each. What two of them change has no face in common, and
+    what either does changes no edge that was compared with the other, so a heap would take each before its surroundings
+    change too. Each edge goes to both of its ends: there the lowest rank at the vertex is added, and at the other end
+    the lowest of those, so two shuffles do."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w"))))
+    sent = edges.select("a", "b", "cost", "x", "y", "z", "rank", ends.alias("e")).select("*", "e.v", "e.w").drop("e")
+    sent = sent.withColumn("here", F.min("rank").over(Window.partitionBy("v")))
+    sent = sent.withColumn("near", F.min("here").over(Window.partitionBy("w")))
+    found = sent.where("rank = near").groupBy("a", "b").agg(*[F.first(c).alias(c) for c in ("cost", "x", "y", "z", "rank")], F.count_distinct("w").alias("ends"))
+    return found.where("ends = 2").drop("ends")
 
 
 def patches(some: DataFrame, fat: DataFrame) -> DataFrame:
     """Collapses a, b, cost, x, y, z tried on the faces around them: PATCH."""
     around = fat.select(F.explode(F.array("a", "b", "c")).alias("v"), F.struct("f", "a", "b", "c", *CORNERS).alias("t"))
     ends = some.select("a", "b", "cost", "x", "y", "z", F.explode(F.array("a", "b")).alias("v"))
-    each = ends.join(around, "v").groupBy("a", "b", "cost", "x", "y", "z").agg(F.collect_set("t").alias("faces"))
-    return each.mapInArrow(_collapses, PATCH)
+    # As many tasks as cores: the rows are few, and take milliseconds each.
+    each = ends.join(around, "v").repartition(fat.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    return each.groupBy("a", "b", "cost", "x", "y", "z").agg(F.collect_set("t").alias("faces")).mapInArrow(_collapses, PATCH)
 
 
 def decimate(points: DataFrame, faces: DataFrame, target: int, costs=None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -287,7 +291,7 @@ def decimate(points: DataFrame, faces: DataFrame, target: int, costs=None) -> tu
         if banned is not None:
             e = e.join(banned.withColumn("no", F.lit(True)), ["a", "b"], "left")
             rank = F.when(F.col("no").isNull(), rank)
-        some = local_minima(cut(e.withColumn("rank", rank).drop("no")))
+        some = local_minima(e.withColumn("rank", rank))
         most = (n - target + 1) // 2  # each collapse takes two faces, at a border one
         if most < n // 8:
             some = cut(some)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrane.operators import graph
 from terrane.plans import decimate
 
-SIDE = 9
+SIDE = 7
 
 
 def corners(faces, at):
@@ -92,7 +92,7 @@ def decimated(mesh):
 
 def test_reaches_the_target(mesh, decimated):
     p, f, log = decimated
-    assert 30 <= f.count() <= 32 and p.count() == SIDE * SIDE + 1 - log.count()
+    assert 16 <= f.count() <= 18 and p.count() == SIDE * SIDE + 1 - log.count()
     sides = graph.edge_manifold(f)
     assert sides.where("not manifold").isEmpty()
     used = f.select(F.explode(F.array("a", "b", "c")).alias("id")).distinct()
@@ -112,7 +112,7 @@ def test_rounds_take_the_cheapest_around(mesh):
         near.setdefault(a, {a}).add(b)
         near.setdefault(b, {b}).add(a)
     want = {e for e in rows if rows[e] == min(r for f, r in rows.items() if set(f) & (near[e[0]] | near[e[1]]))}
-    assert {(r.a, r.b) for r in decimate.local_minima(edges).collect()} == want and len(want) > 3
+    assert {(r.a, r.b) for r in decimate.local_minima(edges).collect()} == want and len(want) >= 2
 
 
 def replay(log, faces, vertex):
@@ -153,7 +153,7 @@ def test_tracing_is_a_replay_of_the_log(mesh, decimated):
 
 def test_other_costs_and_nothing_to_do(mesh):
     points, faces = mesh
-    _, f, log = decimate.decimate(points, faces, 90, lambda p, t: decimate.quadric_costs(p, t, border=0.01, pull=1e-6))
-    assert f.count() in (89, 90) and log.count() >= 19
+    _, f, log = decimate.decimate(points, faces, 60, lambda p, t: decimate.quadric_costs(p, t, border=0.01, pull=1e-6))
+    assert f.count() in (59, 60) and log.count() >= 6
     same = decimate.decimate(points, faces, 500)
     assert same[1].count() == faces.count() and same[2].isEmpty() and decimate.trace_points(points, faces, same[1], same[2]).where("wa + wb + wc <> 1").isEmpty()
