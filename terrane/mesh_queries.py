@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import intrinsic
 from .plans import decimate
 from .plans.iterate import cut
 
@@ -98,6 +99,37 @@ def joint_flattening(spark, d):
     return areas("pre").join(areas("post"), ["a", "b", "f"], "left")
 
 
+_CELLS = """c AS (SELECT q.id AS ia, q.id + 1 AS ib, q.id + q.w + 1 AS ic, q.id + q.w AS id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", c.x AS cx, c.y AS cy, d.x AS dx, d.y AS dy
+FROM q JOIN p a ON a.id = q.id JOIN p b ON b.id = q.id + 1 JOIN p c ON c.id = q.id + q.w + 1 JOIN p d ON d.id = q.id + q.w),
+o AS (SELECT *, ((ax - bx) * (cx - bx) + (ay - "by") * (cy - "by")) / abs((ax - bx) * (cy - "by") - (ay - "by") * (cx - bx)) + ((ax - dx) * (cx - dx) + (ay - dy) * (cy - dy)) / abs((ax - dx) * (cy - dy) - (ay - dy) * (cx - dx)) >= -1e-10 AS keep FROM c),
+dt AS (SELECT unnest(CASE WHEN keep THEN [[ia, ib, ic], [ia, ic, id]] ELSE [[ia, ib, id], [ib, ic, id]] END) AS t FROM o),
+k AS (SELECT t[1] AS p, t[2] AS i, t[3] AS j FROM dt UNION ALL SELECT t[2], t[3], t[1] FROM dt UNION ALL SELECT t[3], t[1], t[2] FROM dt),
+u AS (SELECT i, j, ((a.x - o.x) * (b.x - o.x) + (a.y - o.y) * (b.y - o.y)) AS inner_, abs((a.x - o.x) * (b.y - o.y) - (a.y - o.y) * (b.x - o.x)) AS twice, k.p AS corner FROM k JOIN p o ON o.id = k.p JOIN p a ON a.id = k.i JOIN p b ON b.id = k.j)"""
+
+
+@query(
+    "robust_laplacian",
+    f"WITH {_SHEET}, {_CELLS}, e2 AS (SELECT i, j, inner_ / twice / 2 AS w FROM u), z AS (SELECT i, i AS j, w AS v FROM e2 UNION ALL SELECT j, j, w FROM e2 UNION ALL SELECT i, j, -w FROM e2 UNION ALL SELECT j, i, -w FROM e2) "
+    "SELECT i, j, round(sum(v), 5) + 0.0 AS v FROM z GROUP BY i, j HAVING round(sum(v), 5) <> 0",
+)
+def robust_laplacian(spark, d):
+    """Of the flat sheet, where flips turn the diagonals that are not the better ones."""
+    stiff, _ = intrinsic.robust_laplacian(*sheet(spark, d, flat=True), least=0.0)
+    return stiff.select("i", "j", _r("v", 5).alias("v")).where("v <> 0")
+
+
+@query("robust_mass", f"WITH {_SHEET}, {_CELLS} SELECT corner AS i, round(sum(twice) / 6, 6) AS v FROM u GROUP BY corner")
+def robust_mass(spark, d):
+    _, mass = intrinsic.robust_laplacian(*sheet(spark, d, flat=True), least=0.0)
+    return mass.select("i", _r("v").alias("v"))
+
+
+@query("point_laplacian")
+def point_laplacian(spark, d):
+    """Of the sheet's points alone."""
+    return intrinsic.point_laplacian(sheet(spark, d)[0])[0]
+
+
 _TRACE = """k AS (SELECT unnest([a, b]) AS id, a, b FROM fine),
 h AS (SELECT k.id, w.f, CASE WHEN w.a = kb THEN ka ELSE w.a END AS c0, CASE WHEN w.b = kb THEN ka ELSE w.b END AS c1, CASE WHEN w.c = kb THEN ka ELSE w.c END AS c2,
 ((u1 - u0) * (v2 - v0) - (u2 - u0) * (v1 - v0)) AS det, ((p.x - u0) * (v2 - v0) - (u2 - u0) * (p.y - v0)) AS d1, ((u1 - u0) * (p.y - v0) - (p.x - u0) * (v1 - v0)) AS d2 FROM k JOIN p ON p.id = k.id JOIN w ON ka = k.a AND kb = k.b AND after IS NOT NULL),

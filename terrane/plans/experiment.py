@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, matrix, sampling
+from ..operators import graph, intrinsic, matrix, sampling
 from ..schema import TIMING, Hierarchy, Options
 from ..sources import mesh, report
 from . import hierarchy, solver
@@ -29,18 +29,31 @@ class Shape:
     edges: DataFrame
 
 
-def preprocess(points: DataFrame, faces: DataFrame | None = None, neighbours: int = 8) -> Shape:
-    """A mesh is scaled to area 1, with cotangent stiffness and Voronoi mass; a point cloud to its box, with Gaussian weights
-    on its nearest neighbours and equal masses. Neighbours are the stiffness's pattern."""
+def preprocess(points: DataFrame, faces: DataFrame | None = None, neighbours: int = 12, robust: bool | None = None, robust_neighbours: bool = False) -> Shape:
+    """A mesh is scaled to area 1, a point cloud to its box. robust: stiffness and mass of the intrinsic Delaunay
+    triangulation (the default for points), else cotangents and Voronoi areas of a mesh, and Gaussian weights on the nearest
+    neighbours and equal masses of points. Neighbours are the stiffness's pattern, or with robust_neighbours the robust
+    one's. A point for which there is no triangle (all its neighbours on one line) has the mean mass of the others."""
     if faces is None:
         p = cut(graph.normalise_box(points))
-        e = cut(graph.with_ends(graph.undirected(graph.knn(p, neighbours)), p))
-        stiff = cut(matrix.gaussian_laplacian(e, sampling.average_edge_length(e).first().length or 1.0))
-        one = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
-        return Shape(p, None, None, cut(one.select(F.col("id").alias("i"), F.col("id").alias("j"), (1.0 / F.col("n")).alias("v"))), stiff, e.select("i", "j"))
+        if robust is False:
+            e = cut(graph.with_ends(graph.undirected(graph.knn(p, neighbours)), p))
+            stiff = cut(matrix.gaussian_laplacian(e, sampling.average_edge_length(e).first().length or 1.0))
+            one = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
+            return Shape(p, None, None, cut(one.select(F.col("id").alias("i"), F.col("id").alias("j"), (1.0 / F.col("n")).alias("v"))), stiff, e.select("i", "j"))
+        stiff, mass = map(cut, intrinsic.point_laplacian(p, neighbours))
+        mean = mass.agg(F.coalesce(F.avg("v"), F.lit(1.0)).alias("mean"))
+        whole = p.select(F.col("id").alias("i")).join(mass, "i", "left").crossJoin(F.broadcast(mean))
+        mass = cut(whole.select("i", F.col("i").alias("j"), F.coalesce("v", "mean").alias("v")))
+        return Shape(p, None, None, mass, stiff, graph.pattern_edges(stiff).where("i <> j"))
     p = cut(graph.normalise_area(points, faces))
-    stiff = cut(matrix.stiffness(p, faces))
-    return Shape(p, faces, graph.vertex_normals(p, faces), cut(matrix.mass_voronoi(p, faces)), stiff, graph.pattern_edges(stiff).where("i <> j"))
+    normals = graph.vertex_normals(p, faces)
+    if robust or robust_neighbours:
+        better, mass = map(cut, intrinsic.robust_laplacian(p, faces))
+    stiff = better if robust else cut(matrix.stiffness(p, faces))
+    mass = mass if robust else cut(matrix.mass_voronoi(p, faces))
+    near = better if robust_neighbours else stiff
+    return Shape(p, faces, normals, mass, stiff, graph.pattern_edges(near).where("i <> j"))
 
 
 def system(shape: Shape, poisson: bool = False, bilaplacian: bool = False, tau: float = 1e-3) -> DataFrame:
@@ -81,12 +94,13 @@ def timed(name: str, shape: Shape, a: DataFrame, b: DataFrame, o: Options) -> tu
 METRICS = ["n_vertices", "levels", "hierarchy", "reduction", "cycles", "solver_total", "iterations", "residue"]
 
 
-def run_directory(spark: SparkSession, path: str, out: str, o: Options = Options(), methods: tuple[Hierarchy, ...] = (Hierarchy.OURS,), repetitions: int = 1, pointcloud: bool = False, poisson: bool = False, bilaplacian: bool = False, tau: float = 1e-3, smooth: bool = False) -> None:  # noqa: B008
+def run_directory(spark: SparkSession, path: str, out: str, o: Options = Options(), methods: tuple[Hierarchy, ...] = (Hierarchy.OURS,), repetitions: int = 1, pointcloud: bool = False, poisson: bool = False, bilaplacian: bool = False, tau: float = 1e-3, smooth: bool = False, robust: bool | None = None, robust_neighbours: bool = False) -> None:  # noqa: B008
     """Every shape under path by every method: timing tables and convergence under out, which report.combined puts side by
     side. Meshes only for decimation."""
     for k, row in enumerate(mesh.list_shapes(spark, path).orderBy("path").collect()):  # names of files
         name = row.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        shape = preprocess(mesh.read_pointcloud(spark, row.path)) if pointcloud else preprocess(*mesh.read_mesh(spark, row.path))
+        found = (mesh.read_pointcloud(spark, row.path), None) if pointcloud else mesh.read_mesh(spark, row.path)
+        shape = preprocess(*found, robust=robust, robust_neighbours=robust_neighbours)
         a, b = cut(system(shape, poisson, bilaplacian, tau)), cut(right_hand_side(shape, smooth, o.seed))
         for method in methods:
             for again in range(repetitions):
