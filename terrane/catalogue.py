@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import mesh_queries
 from .functions import geom
 from .operators import cluster, graph, matrix, prolong, sampling
-from .plans import decimate, hierarchy, solver
+from .plans import aggregation, decimate, direct, hierarchy, solver
 from .plans.iterate import cut
 from .schema import Hierarchy, Options, Sampling, Weighting
 from .sources import mesh, report
@@ -833,6 +833,20 @@ def _solved(spark, d, kind: str, smoother: str = "jacobi") -> DataFrame:
     return _solution(solver.solve(solver.System.reduce(a, [u0, u1], o), b, o)[0])
 
 
+@query("amg_solve", _EXACT)
+def amg_solve(spark, d):
+    """By smoothed aggregation, whose levels come from the matrix alone."""
+    a, b = cut(_spd(spark, d)), cut(_rhs(spark, d))
+    o = Options(criterion=0, tolerance=1e-9)
+    return _solution(solver.solve(solver.System.reduce(a, aggregation.levels(a, coarsest=20), o), b, o)[0])
+
+
+@query("sparse_direct_solve", _EXACT)
+def sparse_direct_solve(spark, d):
+    """By nested dissection, a front a task."""
+    return _solution(direct.SparseFactor.of(_spd(spark, d)).solve(_rhs(spark, d)))
+
+
 @query("vcycle_solve", _EXACT)
 def vcycle_solve(spark, d):
     return _solved(spark, d, "V")

@@ -61,7 +61,7 @@ def _choose(points: DataFrame, edges: DataFrame, radius: float, n: int, level: i
     ids = points.select("id")
     target = int(n / o.ratio)
     if o.sampling in (Sampling.FASTDISK, Sampling.MIS):
-        samples, covers = (sampling.fastdisk if o.sampling is Sampling.FASTDISK else sampling.mis)(ids, edges, radius)
+        samples, covers = (sampling.fastdisk if o.sampling is Sampling.FASTDISK else sampling.mis)(ids, edges, radius, o.seed if o.sample_order == "hashed" else None)
         samples = cut(samples)
         return samples, cut(cluster.labels_from_cover(samples, covers).select("id", "label"))
     if o.sampling is Sampling.POISSONDISK:

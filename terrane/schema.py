@@ -44,6 +44,7 @@ class Options:
     lower_bound: int = 1000
     most_levels: int = 10
     sampling: Sampling = Sampling.FASTDISK
+    sample_order: str = "id"  # or "hashed": fast disks and independent sets in few rounds
     weighting: Weighting = Weighting.BARYCENTRIC
     hierarchy: Hierarchy = Hierarchy.OURS
     check_voronoi: bool = True
