@@ -833,6 +833,20 @@ def _solved(spark, d, kind: str, smoother: str = "jacobi") -> DataFrame:
     return _solution(solver.solve(solver.System.reduce(a, [u0, u1], o), b, o)[0])
 
 
+_PINNED = _SPD.replace("m AS (SELECT", "m0 AS (SELECT").replace("b AS (SELECT", "b0 AS (SELECT") + """, m AS (SELECT * FROM m0 WHERE i % 10 <> 0 AND j % 10 <> 0),
+b AS (SELECT b0.i, b0.v - coalesce(k.v, 0) AS v FROM b0 LEFT JOIN (SELECT i, sum(v * 0.5) AS v FROM m0 WHERE j % 10 = 0 GROUP BY i) k ON k.i = b0.i WHERE b0.i % 10 <> 0), z0 AS (SELECT i, 0.0 AS v FROM b)"""
+
+
+@query("fixed_vcycle", f"WITH {_PINNED}{_cg_sql(12)} SELECT i, round(v, 8) + 0.0 AS v FROM x11 UNION ALL SELECT i, 0.5 FROM b0 WHERE i % 10 = 0")
+def fixed_vcycle(spark, d):
+    """V-cycles with every tenth row held at one half."""
+    a, b = cut(_spd(spark, d)), cut(_rhs(spark, d))
+    fixed = b.where("i % 10 = 0").select("i", "col", F.lit(0.5).alias("v"))
+    u0 = cut(u_nation(spark, d).join(b.select("i"), "i", "left_semi"))
+    u1 = u_region(spark, d).join(u0.select(F.col("j").alias("i")).distinct(), "i", "left_semi")
+    return _solution(solver.multigrid_with_fixed(a, b, fixed, [u0, u1], Options(criterion=0, tolerance=1e-9))[0])
+
+
 @query("amg_solve", _EXACT)
 def amg_solve(spark, d):
     """By smoothed aggregation, whose levels come from the matrix alone."""
