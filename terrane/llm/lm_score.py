@@ -329,7 +329,7 @@ class Words:
         self.ids = ids[np.repeat(real, sizes)]
 
 
-SENT = "small binary, e_rows binary, e_uses binary, e_sums binary, u_rows binary, u_uses binary, u_sums binary"
+SENT = "at long, small binary, e_rows binary, e_uses binary, e_sums binary, u_rows binary, u_uses binary, u_sums binary"
 #: Sums of parameters that meet in a task, and at last in the driver.
 FEW_SUMS = 8
 
@@ -373,8 +373,10 @@ class Sums:
         return (self.small[1:] / self.small[0] if self.small[0] else start.small), start.e, start.u
 
 
-def _sent(total: Sums) -> pa.Table:
-    return pa.table({name.split()[0]: pa.array([x], pa.binary()) for name, x in zip(SENT.split(", "), total.sent(), strict=True)})
+def _sent(total: Sums, at: int) -> pa.Table:
+    """at: a number by which sums come in an order of their own, wherever they were made."""
+    names = [name.split()[0] for name in SENT.split(", ")][1:]
+    return pa.table({"at": pa.array([at], pa.int64()), **{name: pa.array([x], pa.binary()) for name, x in zip(names, total.sent(), strict=True)}})
 
 
 def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -383,7 +385,6 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
     spark = docs.sparkSession
     context = spark.sparkContext
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * partitions
     ranks = read_ranks(ranks_path)
     end = max(ranks.values()) + 1
     held = context.broadcast(ranks)
@@ -411,7 +412,10 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
     # Blocks, as many as the texts' size asks for, hold the same documents in the same order however the table is cut into
     # files; a partition is mostly one block.
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    source = source.repartition(1 + chars * 5 // (4 * blocks.BLOCK_CHARS), F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    many = 1 + chars * 5 // (4 * blocks.BLOCK_CHARS)
+    # Shards too: they give a block's words their order. Distinct words grow slower than texts.
+    shards = 8 * math.isqrt(many - 1) + 8
+    source = source.repartition(many, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
     rows = stored(blocks.coded(source, tokens, shards, in_training), "lm-coded")
     answers = stored(blocks.answered(blocks.dealt(rows.where(f"k < {shards}"), partitions), shards, answer, totals=True), "lm-words")
 
@@ -442,24 +446,24 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
             sizes.append(lengths[use])
         some = (seen > 0) & (words.sizes > 0)
         fit(model, np.concatenate(ids), np.concatenate(sizes), (words.ids[np.repeat(some, words.sizes)], words.sizes[some], seen[some]), end)
-        yield _sent(Sums(model.e.shape[0]).of(model))
+        yield _sent(Sums(model.e.shape[0]).of(model), zlib.crc32(b"".join(keys.tobytes() for keys, *_ in parts)))
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                total = (total or Sums(end + 1)).plus(*(x.as_buffer() for x in row))
-        if total:
-            yield from _sent(total).to_batches()
+    def added(group: pa.Table) -> pa.Table:
+        # In one order, as sums of floating-point numbers depend on it.
+        group = group.sort_by([("at", "ascending"), ("small", "ascending")])
+        total = Sums(end + 1)
+        for row in zip(*group.columns[1:], strict=True):
+            total.plus(*(x.as_buffer() for x in row))
+        return _sent(total, group.column("at")[0].as_py())
 
     documents = blocks.dealt(rows.where(f"k >= {shards}"), partitions)
-    sums, left = blocks.joined(documents, answers, shards, train, SENT).mapInArrow(added, SENT), partitions
+    sums, left = blocks.joined(documents, answers, shards, train, SENT), many
     while left > FEW_SUMS:
         left = -(-left // FEW_SUMS)
-        sums = sums.repartition(left).mapInArrow(added, SENT)
+        sums = sums.groupBy(F.pmod("at", F.lit(left))).applyInArrow(added, SENT)
     total = Sums(end + 1)
-    for r in sums.collect():  # FEW_SUMS rows at most, each bounded by the vocabulary
-        total.plus(*map(bytes, r))
+    for r in sorted(sums.collect(), key=lambda r: (r.at, bytes(r.small))):  # FEW_SUMS rows at most, each bounded by the vocabulary
+        total.plus(*map(bytes, r[1:]))
     model = context.broadcast(total.mean(trees.value))
 
     def assemble(parts: list, order: np.ndarray, blobs: list) -> Iterator[pa.Table]:

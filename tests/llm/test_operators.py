@@ -500,6 +500,20 @@ def test_lm_is_free_of_file_layout_and_better_than_its_base(spark, tmp_path):
     assert sum(r[1] for r in held) > sum(r[2] for r in held) - 0.15 * sum(r[3] for r in held)
 
 
+def test_lm_is_free_of_shuffle_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 20_000)  # a dozen blocks, and two rounds of sums
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted((r.doc_id, r.score) for r in lm_score.op7_lm_score(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == docs.count() and found[0] == found[1] == found[2]
+
+
 # 8
 
 
