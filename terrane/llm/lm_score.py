@@ -413,7 +413,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
     # files; a partition is mostly one block.
     chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     many = 1 + chars * 5 // (4 * blocks.BLOCK_CHARS)
-    # Shards too: they give a block's words their order. Distinct words grow slower than texts.
+    # Shards too, as they give a block's words their order; distinct words grow slower than texts.
     shards = 8 * math.isqrt(many - 1) + 8
     source = source.repartition(many, F.xxhash64("doc_id", "text")).sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
     rows = stored(blocks.coded(source, tokens, shards, in_training), "lm-coded")
@@ -457,7 +457,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
         return _sent(total, group.column("at")[0].as_py())
 
     documents = blocks.dealt(rows.where(f"k >= {shards}"), partitions)
-    sums, left = blocks.joined(documents, answers, shards, train, SENT), many
+    sums, left = blocks.joined(documents, answers, shards, train, SENT), rows.where(f"k >= {shards}").select("k").distinct().count()
     while left > FEW_SUMS:
         left = -(-left // FEW_SUMS)
         sums = sums.groupBy(F.pmod("at", F.lit(left))).applyInArrow(added, SENT)
