@@ -352,7 +352,7 @@ def random_sample(spark, d):
 
 @query("fps")
 def fps(spark, d):
-    return sampling.farthest_points(points(spark, d), lengths(spark, d), 3, 0)
+    return sampling.farthest_points(points(spark, d), cut(lengths(spark, d)), 60, 0)
 
 
 _LAB = "lab AS (SELECT id, label, d FROM (SELECT id, label, d, row_number() OVER (PARTITION BY id ORDER BY d, label) AS r FROM (SELECT id, id AS label, 0.0 AS d FROM sam UNION ALL SELECT i, j, d FROM cover WHERE j IN (SELECT id FROM sam) AND i NOT IN (SELECT id FROM sam))) WHERE r = 1)"

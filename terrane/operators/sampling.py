@@ -112,16 +112,59 @@ def random_sample(ids: DataFrame, count: int, seed: int = 42) -> DataFrame:
     return ids.select("id").orderBy(priority("id", seed), "id").limit(count)
 
 
+def _nearer(edges: DataFrame, sources: DataFrame, best: DataFrame) -> DataFrame:
+    """source, id, d: the shortest ways from each source (id) to the ids that are nearer to it than best (id, d) says. Ways
+    to an id that is not nearer lead to none that is, so each source looks at its own surroundings only."""
+    state = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("d"), F.lit(True).alias("moved")))
+    limit = best.select("id", F.col("d").alias("limit"))
+    while not state.where("moved").isEmpty():
+        step = state.where("moved").select("source", F.col("id").alias("i"), F.col("d").alias("from")).join(edges.select("i", "j", F.col("d").alias("w")), "i")
+        step = step.select("source", F.col("j").alias("id"), (F.col("from") + F.col("w")).alias("d")).join(limit, "id", "left").where("limit is null or d < limit")
+        both = step.select("source", "id", "d", F.lit(None).cast("double").alias("d0")).unionByName(state.select("source", "id", "d", F.col("d").alias("d0")))
+        both = both.groupBy("source", "id").agg(F.min("d").alias("d"), F.min("d0").alias("d0"))
+        state = cut(both.select("source", "id", "d", (F.col("d0").isNull() | (F.col("d") < F.col("d0"))).alias("moved")))
+    return state.select("source", "id", "d")
+
+
+#: Candidates for samples of one pass at most; their distances from each other reach the driver.
+MOST_CANDIDATES = 256
+
+
 def farthest_points(ids: DataFrame, edges: DataFrame, count: int, start: int) -> DataFrame:
-    """id, step: each next sample is the id farthest along edges from those before (unreached ones first, ties by the
-    smallest id). One pass for each sample: for small counts."""
-    from .cluster import relax
-
-    spark, found, best = ids.sparkSession, [start], None
-    for step in range(1, count):
-        source = spark.createDataFrame([(found[-1], found[-1], 0.0)], "id long, label long, d double")
-        reach = relax(edges, source, best)
-        best = cut(reach)
-        far = ids.select("id").join(best.select("id", "d"), "id", "left").select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"))
-        found.append(far.agg(F.min_by("id", F.struct((-F.col("d")).alias("d"), F.col("id").alias("n"))).alias("id")).first().id)
+    """id, step: each next sample is the id farthest along edges (i, j, d) from those before (unreached ones first, ties by
+    the smallest id).
+
+    In a pass, the ids that are farthest now are candidates, and their ways to what is nearer to them than to any sample
+    are found at once. Candidates are then taken in order, each with its distance to samples and candidates taken before
+    it, as long as that is no less than what the first id that is no candidate has: distances only shrink, so nobody else
+    can come first. Passes with too few candidates taken are followed by smaller ones, others by larger ones. As many
+    samples as there are ids at most."""
+    spark, found, many = ids.sparkSession, [start], 1
+    far = F.coalesce("d", F.lit(float("inf")))
+    best, taken = None, [start]
+    while True:
+        old = ids.select("id", F.lit(None).cast("double").alias("d"), F.lit(False).alias("chosen")) if best is None else best
+        sources = spark.createDataFrame([(i,) for i in taken], "id long")
+        ways = _nearer(edges, sources, old.where("d is not null")) if best is None else ways.join(F.broadcast(sources.withColumnRenamed("id", "source")), "source")  # noqa: F821
+        near = ways.groupBy("id").agg(F.min("d").alias("now"), F.max(F.col("source") == F.col("id")).alias("own"))
+        best = cut(old.join(near, "id", "left").select("id", F.least("d", "now").alias("d"), (F.col("chosen") | F.coalesce("own", F.lit(False))).alias("chosen")))
+        if len(found) >= count:
+            break
+        some = best.where("not chosen").orderBy(F.desc(far), "id").select("id", far.alias("d")).limit(many + 1).collect()
+        if not some:
+            break
+        rest, some = (some[many] if len(some) > many else None), some[:many]
+        ways = cut(_nearer(edges, spark.createDataFrame([(r.id,) for r in some], "id long"), best.where("d is not null")))
+        among = ways.join(F.broadcast(spark.createDataFrame([(r.id,) for r in some], "id long")), "id").collect()  # MOST_CANDIDATES squared at most
+        apart, taken, d = {(r.source, r.id): r.d for r in among}, [], {r.id: r.d for r in some}
+        while d and len(found) + len(taken) < count:
+            top = min(d, key=lambda i: (-d[i], i))
+            if rest is not None and (-rest.d, rest.id) < (-d[top], top):
+                break
+            taken.append(top)
+            del d[top]
+            for i in d:
+                d[i] = min(d[i], apart.get((top, i), float("inf")))
+        found += taken
+        many = min(MOST_CANDIDATES, 2 * many) if len(taken) == len(some) else max(1, len(taken))
     return spark.createDataFrame(list(zip(found, range(count), strict=False)), "id long, step int")

@@ -437,27 +437,33 @@ def flatten_rings(rings: DataFrame) -> DataFrame:
     return rings.groupBy("ring").applyInPandas(run, "ring long, id long, u double, v double")
 
 
-def hierarchy(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: int = 500) -> list[DataFrame]:
-    """Weights i, j, v from level to level, vertices numbered anew on each."""
-    return [w for w, _, _ in levels(points, faces, ratio, coarsest)]
-
-
-def levels(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: int = 500) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
-    """(weights, points, faces) of each coarser level."""
-    out, p, f = [], points, faces
-    n_faces = faces.count()
-    for size in level_sizes(points.count(), ratio, coarsest)[1:]:
-        n_faces = round(n_faces * ratio)
-        q, g, log = decimate(p, f, n_faces)
+#: Costs of the kinds of decimation; None: edge lengths.
+KINDS = {"midpoint": None, "qslim": quadric_costs, "removal": removal_costs}
+
+
+def hierarchy(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: int = 500, **more) -> list[DataFrame]:
+    """Weights i, j, v from level to level, vertices numbered anew on each; `more` as of `levels`."""
+    return [w for w, _, _ in levels(points, faces, ratio, coarsest, **more)]
+
+
+def levels(points: DataFrame, faces: DataFrame, ratio: float = 0.25, coarsest: int = 500, kind: str = "midpoint", freedom: list[int] | None = None) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(weights, points, faces) of each coarser level, decimated by a kind of KINDS. Levels by ratio down to the coarsest; or,
+    with `freedom` (degrees of freedom of each level, the finest first), as many as it has, with faces in proportion.
+    Ends early where collapses allow no fewer faces."""
+    out, p, f = [], points, cut(faces.select("f", "a", "b", "c"))
+    n = f.count()
+    sizes = freedom or level_sizes(points.count(), ratio, coarsest)
+    for before, after in zip(sizes, sizes[1:], strict=False):
+        target = round(n * (after / before if freedom else ratio))
+        q, g, log = decimate(p, f, target, KINDS[kind])
+        if log.isEmpty():
+            break
         w = traced_weights(trace_points(p, f, g, log))
         new = cut(graph.dense_ids(q))
         number = lambda df, c: df.join(new.select(F.col("id").alias(c), "new_id"), c).drop(c).withColumnRenamed("new_id", c)  # noqa: B023, E731
         w = cut(number(w, "j").select("i", "j", F.col("w").alias("v")))
         p = cut(number(q, "id").select("id", "x", "y", "z"))
         f = cut(number(number(number(g, "a"), "b"), "c").select("f", "a", "b", "c"))
+        n = f.count()
         out.append((w, p, f))
-        if p.count() >= size * 4:
-            break  # no more collapses were possible
     return out
-
-

@@ -157,3 +157,15 @@ def test_other_costs_and_nothing_to_do(mesh):
     assert f.count() in (59, 60) and log.count() >= 6
     same = decimate.decimate(points, faces, 500)
     assert same[1].count() == faces.count() and same[2].isEmpty() and decimate.trace_points(points, faces, same[1], same[2]).where("wa + wb + wc <> 1").isEmpty()
+
+
+def test_levels_by_given_sizes(mesh):
+    points, faces = mesh
+    found = decimate.levels(points, faces, kind="removal", freedom=[50, 40, 36])
+    assert [f.count() for *_, f in found] == pytest.approx([58, 52], abs=1)
+    for w, p, _ in found:
+        assert {r.j for r in w.select("j").distinct().collect()} <= set(range(p.count()))
+        assert all(r.s == pytest.approx(1) for r in w.groupBy("i").agg(F.sum("v").alias("s")).collect())
+    # Vertices stay where they were.
+    assert found[0][1].join(points.select("x", "y", "z"), ["x", "y", "z"], "left_anti").isEmpty()
+    assert decimate.level_sizes(40_000) == [40_000, 10_000, 2_500, 625] and decimate.levels(points, faces, coarsest=30) == []
