@@ -224,6 +224,13 @@ def knn(spark, d):
     return near(spark, d).select("i", "j", "d", "slot")
 
 
+@query("knn_grid", SQL["knn"])
+def knn_grid(spark, d):
+    """The same by grid cells, which larger tables use."""
+    p = cut(points(spark, d))
+    return graph.grid_knn(p, K, p.count()).select("i", "j", "d", "slot")
+
+
 @query("knn_undirected", f"WITH {E} SELECT i, j FROM e")
 def knn_undirected(spark, d):
     return edges(spark, d)

@@ -31,17 +31,22 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 def knn(points: DataFrame, k: int, n: int | None = None) -> DataFrame:
     """i, j, d, slot: the k nearest other points of each point; ties by id. Exact at any size."""
     n = points.count() if n is None else n
-    other = points.select(*[F.col(c).alias(f"{c}_") for c in ("id", "x", "y", "z")])
-    d = geom.distance(geom.at(""), tuple(F.col(f"{c}_") for c in "xyz"))
-    if n <= FEW_POINTS:
-        pairs = points.join(F.broadcast(other), F.col("id") != F.col("id_")).select(F.col("id").alias("i"), F.col("id_").alias("j"), d.alias("d"))
-        return _ranked(pairs, k)
-    return _grid_knn(points, other, d, k, n)
+    if n > FEW_POINTS:
+        return grid_knn(points, k, n)
+    other, d = _others(points)
+    pairs = points.join(F.broadcast(other), F.col("id") != F.col("id_")).select(F.col("id").alias("i"), F.col("id_").alias("j"), d.alias("d"))
+    return _ranked(pairs, k)
 
 
-def _grid_knn(points: DataFrame, other: DataFrame, d, k: int, n: int) -> DataFrame:
-    """Points look into the 27 cells around theirs. Whoever has k neighbours within a cell's width is done; the
-    others look again in cells of twice the width."""
+def _others(points: DataFrame):
+    """(the points as columns id_, x_, y_, z_, their distance from a point)."""
+    return points.select(*[F.col(c).alias(f"{c}_") for c in ("id", "x", "y", "z")]), geom.distance(geom.at(""), tuple(F.col(f"{c}_") for c in "xyz"))
+
+
+def grid_knn(points: DataFrame, k: int, n: int) -> DataFrame:
+    """knn for any number of points (n). Points look into the 27 cells around theirs. Whoever has k neighbours within a
+    cell's width is done; the others look again in cells of twice the width."""
+    other, d = _others(points)
     box = points.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xyz"]).first()
     spans = [float(box[f"max_{c}"] - box[f"min_{c}"]) for c in "xyz"]
     widest = max(max(spans), 1e-9)

@@ -76,6 +76,25 @@ def hashed_independent_set(ids: DataFrame, edges: DataFrame, seed: int = 42) ->
         e = cut(e.select("i", "j"))
 
 
+def hashed_scattered_set(ids: DataFrame, edges: DataFrame, steps: int, seed: int = 42) -> DataFrame:
+    """id of a maximal set of which no two are within so many steps on the undirected graph i, j. Like
+    hashed_independent_set, but the lowest priority and what chosen ones cover go from neighbour to neighbour, so that a
+    vertex with many neighbours makes no pairs of them."""
+    e, left, chosen, k = cut(edges.where("i <> j").select("i", "j").distinct()), cut(ids.select("id").distinct()), [], 0
+    while True:
+        near = left.select("id", F.struct(priority("id", seed + 7919 * k).alias("h"), F.col("id").alias("n")).alias("rank"))
+        for _ in range(steps):
+            near = near.unionByName(e.join(near.withColumnRenamed("id", "i"), "i").select(F.col("j").alias("id"), "rank")).groupBy("id").agg(F.min("rank").alias("rank"))
+        some = cut(left.join(near.where(F.col("rank.n") == F.col("id")), "id", "left_semi"))
+        chosen.append(some)
+        gone = some
+        for _ in range(steps):
+            gone = gone.unionByName(e.join(gone.withColumnRenamed("id", "i"), "i").select(F.col("j").alias("id"))).distinct()
+        left, k = cut(left.join(gone, "id", "left_anti")), k + 1
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, chosen)
+
+
 def _chosen(ids: DataFrame, covers: DataFrame, seed: int | None) -> DataFrame:
     if seed is None:
         return first_independent_set(ids, covers)
