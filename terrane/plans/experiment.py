@@ -29,14 +29,14 @@ class Shape:
     edges: DataFrame
 
 
-def preprocess(points: DataFrame, faces: DataFrame | None = None, neighbours: int = 12, robust: bool | None = None, robust_neighbours: bool = False) -> Shape:
+def preprocess(points: DataFrame, faces: DataFrame | None = None, neighbours: int = 8, robust: bool = False, robust_neighbours: bool = False) -> Shape:
     """A mesh is scaled to area 1, a point cloud to its box. robust: stiffness and mass of the intrinsic Delaunay
-    triangulation (the default for points), else cotangents and Voronoi areas of a mesh, and Gaussian weights on the nearest
-    neighbours and equal masses of points. Neighbours are the stiffness's pattern, or with robust_neighbours the robust
+    triangulation (of points: with local ones of the nearest neighbours, of which a dozen or more are wanted), else cotangents
+    and Voronoi areas of a mesh, and Gaussian weights on the nearest neighbours and equal masses of points. Neighbours are the stiffness's pattern, or with robust_neighbours the robust
     one's. A point for which there is no triangle (all its neighbours on one line) has the mean mass of the others."""
     if faces is None:
         p = cut(graph.normalise_box(points))
-        if robust is False:
+        if not robust:
             e = cut(graph.with_ends(graph.undirected(graph.knn(p, neighbours)), p))
             stiff = cut(matrix.gaussian_laplacian(e, sampling.average_edge_length(e).first().length or 1.0))
             one = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
@@ -94,13 +94,13 @@ def timed(name: str, shape: Shape, a: DataFrame, b: DataFrame, o: Options) -> tu
 METRICS = ["n_vertices", "levels", "hierarchy", "reduction", "cycles", "solver_total", "iterations", "residue"]
 
 
-def run_directory(spark: SparkSession, path: str, out: str, o: Options = Options(), methods: tuple[Hierarchy, ...] = (Hierarchy.OURS,), repetitions: int = 1, pointcloud: bool = False, poisson: bool = False, bilaplacian: bool = False, tau: float = 1e-3, smooth: bool = False, robust: bool | None = None, robust_neighbours: bool = False) -> None:  # noqa: B008
+def run_directory(spark: SparkSession, path: str, out: str, o: Options = Options(), methods: tuple[Hierarchy, ...] = (Hierarchy.OURS,), repetitions: int = 1, pointcloud: bool = False, poisson: bool = False, bilaplacian: bool = False, tau: float = 1e-3, smooth: bool = False, robust: bool = False, robust_neighbours: bool = False) -> None:  # noqa: B008
     """Every shape under path by every method: timing tables and convergence under out, which report.combined puts side by
     side. Meshes only for decimation."""
     for k, row in enumerate(mesh.list_shapes(spark, path).orderBy("path").collect()):  # names of files
         name = row.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         found = (mesh.read_pointcloud(spark, row.path), None) if pointcloud else mesh.read_mesh(spark, row.path)
-        shape = preprocess(*found, robust=robust, robust_neighbours=robust_neighbours)
+        shape = preprocess(*found, neighbours=12 if robust else 8, robust=robust, robust_neighbours=robust_neighbours)
         a, b = cut(system(shape, poisson, bilaplacian, tau)), cut(right_hand_side(shape, smooth, o.seed))
         for method in methods:
             for again in range(repetitions):
