@@ -52,7 +52,8 @@ def double_cover(points: DataFrame, faces: DataFrame) -> DataFrame:
     named = s.groupBy("f").agg(*[F.max(F.when(F.col("k") == k, F.col(x))).alias(f"{x}_{k}") for k in "abc" for x in ("front", "back")])
     c = c.select("f", "a", "b", "c", *[far[k].alias(f"l{k}") for k in "abc"]).join(named, "f")
     front = c.select("f", "a", "b", "c", "la", "lb", "lc", *[F.col(f"front_{k}").alias(f"e{k}") for k in "abc"])
-    back = c.select((-F.col("f")).alias("f"), "a", F.col("c").alias("b"), F.col("b").alias("c"), "la", F.col("lc").alias("lb"), F.col("lb").alias("lc"), *[F.col(f"back_{k}").alias(e) for k, e in (("a", "ea"), ("c", "eb"), ("b", "ec"))])
+    turned = [F.col(x).alias(y) for x, y in (("a", "a"), ("c", "b"), ("b", "c"), ("la", "la"), ("lc", "lb"), ("lb", "lc"), ("back_a", "ea"), ("back_c", "eb"), ("back_b", "ec"))]
+    back = c.select((-F.col("f")).alias("f"), *turned)
     return front.unionByName(back)
 
 
@@ -72,7 +73,8 @@ def _sides(faces: DataFrame) -> DataFrame:
     turned = []
     for k in "abc":
         i, j = NEXT[k], NEXT[NEXT[k]]
-        turned.append(F.struct(*[F.col(x).alias(y) for x, y in ((f"e{k}", "e"), ("f", "f"), (k, "p"), (i, "i"), (j, "j"), (f"l{k}", "lp"), (f"l{i}", "li"), (f"l{j}", "lj"), (f"e{i}", "ei"), (f"e{j}", "ej"))]))
+        names = ((f"e{k}", "e"), ("f", "f"), (k, "p"), (i, "i"), (j, "j"), (f"l{k}", "lp"), (f"l{i}", "li"), (f"l{j}", "lj"), (f"e{i}", "ei"), (f"e{j}", "ej"))
+        turned.append(F.struct(*[F.col(x).alias(y) for x, y in names]))
     s = faces.select(F.explode(F.array(*turned)).alias("s")).select("s.*")
     return s.withColumn("cot", _cotangent(F.col("lp"), F.col("li"), F.col("lj")))
 

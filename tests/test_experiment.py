@@ -128,3 +128,19 @@ def test_tables_that_grow(spark, tmp_path):
     mesh.write_ply(points, str(tmp_path / "ply"))
     (tmp_path / "p.ply").write_text("\n".join(line for f in (tmp_path / "ply").glob("part-*") for line in f.read_text().splitlines()) + "\n")
     assert sorted(map(tuple, mesh.read_pointcloud(spark, str(tmp_path / "p.ply")).collect())) == [(0, 0.0, 1.0, 2.0), (1, 3.0, 4.0, 5.0)]
+
+
+def test_robust_shapes(grid):
+    points, faces = grid
+    cotangents = experiment.preprocess(points, faces)
+    shape = experiment.preprocess(points, faces, robust=True)
+    assert shape.mass.agg(F.sum("v")).first()[0] == pytest.approx(1)
+    assert shape.stiffness.where("i <> j and v > 1e-9").isEmpty()
+    sums = shape.stiffness.groupBy("i").agg(F.sum("v").alias("s")).agg(F.max(F.abs("s"))).first()[0]
+    assert sums == pytest.approx(0, abs=1e-8)
+    near = experiment.preprocess(points, faces, robust_neighbours=True)
+    assert sorted(map(tuple, near.edges.collect())) == sorted(map(tuple, shape.edges.collect()))
+    n = SIDE * SIDE
+    assert np.allclose(dense(near.stiffness, n), dense(cotangents.stiffness, n))
+    cloud = experiment.preprocess(points, robust=True, neighbours=10)
+    assert cloud.faces is None and cloud.mass.count() == n and cloud.stiffness.where("i <> j and v > 1e-9").isEmpty()
