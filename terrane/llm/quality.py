@@ -71,21 +71,76 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return share / np.maximum(np.linalg.norm(share, axis=1, keepdims=True), 1e-12)
 
 
+class Packed:
+    """Rows of counts by the places and values that aren't 0; a slice of it is an array of whole rows."""
+
+    def __init__(self, rows: list[bytes]) -> None:
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, some: slice) -> np.ndarray:
+        rows = self.rows[some]
+        out = np.zeros((len(rows), TERMS), np.float32)
+        for i, row in enumerate(rows):
+            n = len(row) // 6
+            out[i, np.frombuffer(row[: 2 * n], np.uint16)] = np.frombuffer(row[2 * n :], np.float32)
+        return out
+
+
+def packed(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
+
+def leading(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` largest eigenvalues, descending, and vectors of a symmetric matrix without negative ones. Large ones take
+    block Krylov steps until the vectors are exact to rounding: all eigenvectors need five times the matrix's memory."""
+    n = len(a)
+    if n <= 8 * most:
+        values, vectors = np.linalg.eigh(a)
+        return values[::-1][:most], vectors[:, ::-1][:, :most]
+    basis, image = np.empty((n, 0)), np.empty((n, 0))
+    step = np.random.default_rng(7).normal(size=(n, most))
+    while True:
+        for _ in range(2):  # once leaves what rounding has brought back
+            step = np.linalg.qr(step - basis @ (basis.T @ step))[0]
+        basis, image = np.hstack([basis, step]), np.hstack([image, a @ step])
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[::-1][:most], turn[:, ::-1][:, :most]
+        vectors = basis @ turn
+        wrong = np.linalg.norm(image @ turn - vectors * values, axis=0).max()
+        if wrong <= 1e-13 * values[0] or basis.shape[1] + most > n:
+            return values, vectors
+        step = image[:, -most:]
+
+
 class Model:
-    """Latent vectors of the labelled documents, their labels, and what projects a document among them."""
+    """Latent vectors of the labelled documents, their labels, and what projects a document among them. The driver makes it, so
+    that whole rows are only held for a BLOCK or two of them."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> None:
+    def __init__(self, counts: np.ndarray | Packed, labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> None:
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.neighbours = min(neighbours, len(labels))
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-        parts = [counts[i : i + BLOCK] for i in range(0, len(counts), BLOCK)]
-        x = np.concatenate([_weighted(c, self.idf).astype(np.float32) for c in parts] or [np.empty((0, TERMS), np.float32)])
-        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64)) if len(x) else (np.empty(0), np.empty((0, 0)))
-        keep = np.argsort(-values)[:dimensions]
-        keep = keep[values[keep] > 1e-8]
-        self.axes = x.T @ (vectors[:, keep] / np.sqrt(values[keep])) if len(x) else np.empty((TERMS, 0))
-        self.vectors = np.concatenate([self.project(c) for c in parts]) if len(x) else np.empty((0, 0))
+        n, parts = len(counts), [slice(i, i + BLOCK) for i in range(0, len(counts), BLOCK)]
+        found = sum(((counts[p] > 0).sum(0) for p in parts), np.zeros(TERMS, np.int64))
+        self.idf = np.log((1 + n) / (1 + found)) + 1
+        x = lambda p: _weighted(counts[p], self.idf).astype(np.float32)
+        products = np.empty((n, n))
+        for i, p in enumerate(parts):
+            mine = x(p)
+            for q in parts[: i + 1]:
+                products[p, q] = mine @ (mine if p == q else x(q)).T
+                products[q, p] = products[p, q].T
+        values, vectors = leading(products, dimensions) if n else (np.empty(0), np.empty((0, 0)))
+        del products
+        keep = values > 1e-8
+        vectors = vectors[:, keep] / np.sqrt(values[keep])
+        self.axes = sum((x(p).T @ vectors[p] for p in parts), np.zeros((TERMS, vectors.shape[1])))
+        self.vectors = np.concatenate([self.project(counts[p]) for p in parts]) if n else np.empty((0, 0))
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         """Products differ in their last bits with a row's place among others, so vectors and cosines are rounded."""
@@ -108,7 +163,7 @@ class Model:
 
 def _counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in parts:
-        yield part.map(lambda t: term_counts(t).tobytes())
+        yield part.map(lambda t: packed(term_counts(t)))
     give_back()
 
 
@@ -123,8 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     seen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
     rows = seen.select("doc_id", "quality", F.pandas_udf(_counts, "binary")("text").alias("counts")).collect()  # at most `most`, where doc_id is unique
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.counts))
-    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in rows]) if rows else np.empty((0, TERMS), np.float32)
-    return Model(counts, np.array([r.quality for r in rows], np.float32))
+    return Model(Packed([bytes(r.counts) for r in rows]), np.array([r.quality for r in rows], np.float32))
 
 
 def classify(docs: DataFrame, model: Model, score_name: str = "score") -> DataFrame:

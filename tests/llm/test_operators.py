@@ -601,6 +601,36 @@ def test_quality_votes_are_those_of_all_neighbours():
     assert model.score(np.zeros((1, quality.TERMS), np.float32))[0] == pytest.approx(40 / 60)
 
 
+def test_quality_model_fits_a_small_driver():
+    """The largest model, made while the driver holds little else than products of its documents."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abCD9.,!"), rng.integers(1, 9))) for _ in range(200)]
+    counts = np.stack([quality.term_counts(" ".join(rng.choice(words, rng.integers(3, 40)))) for _ in range(quality.MOST_LABELLED)])
+    tracemalloc.start()
+    model = quality.Model(counts, np.arange(len(counts)) % 3 > 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.vectors.shape == (len(counts), quality.DIMENSIONS) and peak < 85e6
+
+
+def test_quality_leading_vectors():
+    """Those of all eigenvectors, also where documents are copies of a few or have no terms."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(500, 300)) * 0.9 ** np.arange(300), np.repeat(rng.normal(size=(5, 40)), 100, 0), np.zeros((500, 3))):
+        want = np.linalg.eigh(x @ x.T)[0][::-1][:20]
+        values, vectors = quality.leading(x @ x.T, 20)
+        assert values == pytest.approx(want, abs=1e-9 * (1 + want[0]))
+        assert np.abs(x @ (x.T @ vectors) - vectors * values).max() <= 1e-9 * (1 + want[0])
+    row = quality.term_counts("A few words. A few words.\n\n9")
+    assert (quality.Packed([quality.packed(row), b""])[:2] == np.stack([row, np.zeros(quality.TERMS)])).all()
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(None, "a b", 1), (4, "a b", 2), (4, "a b", 2), (5, None, 3)], "doc_id long, text string, score long")
     none = spark.createDataFrame([], "doc_id long, quality int")
