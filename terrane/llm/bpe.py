@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -87,24 +87,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """The table with decoded (binary) in place of ids, by a join with the token-byte table."""
-    ranks = read_ranks(ranks_path)
-    by_id: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        by_id[i] = token
-    held = df.sparkSession.sparkContext.broadcast(by_id)
+    decoded = decoder(df.sparkSession, ranks_path)
 
     def join(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda x: b"".join(map(held.value.__getitem__, np.asarray(x).tolist())))
+        yield from map(decoded, parts)
         give_back()
 
     return df.withColumn("decoded", F.pandas_udf(join, "binary")(ids)).drop(ids)
 
 
-def _ids_digest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda x: hashlib.sha256(",".join(map(str, np.asarray(x).tolist())).encode()).hexdigest())
-    give_back()
+def decoder(spark: SparkSession, ranks_path: str) -> Callable[[pd.Series], pd.Series]:
+    """What looks ids up in the token-byte table, inside tasks."""
+    ranks = read_ranks(ranks_path)
+    by_id: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        by_id[i] = token
+    held = spark.sparkContext.broadcast(by_id)
+    return lambda part: part.map(lambda x: b"".join(map(held.value.__getitem__, np.asarray(x).tolist())))
+
+
+def _ids_digest(part: pd.Series) -> pd.Series:
+    return part.map(lambda x: hashlib.sha256(",".join(map(str, np.asarray(x).tolist())).encode()).hexdigest())
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +116,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     ids = encode(docs.select("doc_id", "text"), path)
-    both = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.pandas_udf(_ids_digest, "string")("ids").alias("ids_sha256"))
-    return decode(both, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    decoded = decoder(docs.sparkSession, path)
+
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"ids_sha256": _ids_digest(part), "decoded": decoded(part)})
+        give_back()
+
+    # One step of Python for both columns: each step has a worker of its own beside every task.
+    out = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.pandas_udf(both, "ids_sha256 string, decoded binary")("ids").alias("both"))
+    return out.select("doc_id", "n_tokens", "both.ids_sha256", F.sha2("both.decoded", 256).alias("decoded_sha256"))

@@ -660,6 +660,12 @@ def test_bpe(spark, corpus, documents, monkeypatch):
     assert key(bpe.op10_bpe(spark, corpus).collect()) == key(want)
 
 
+def test_bpe_digests_take_one_step_of_python(spark, corpus):
+    """Beside the step that assembles the ids; every further one is another worker in each task."""
+    plan = bpe.op10_bpe(spark, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
+
+
 def test_pipeline(spark, corpus, documents):
     import corpus_pipeline
 
