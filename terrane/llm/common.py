@@ -21,12 +21,13 @@ SALTS = 32
 BATCH_ROWS = 1000
 
 
-def keep_memory() -> None:
-    """Let a worker keep the memory of its arrays between steps, which otherwise goes back and is cleared each time."""
+def keep_memory(free: int = 1 << 22) -> None:
+    """Let a worker keep the memory of its arrays between steps, which otherwise goes back and is cleared each time; up to
+    `free` bytes stay at the end of its memory until give_back()."""
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
-        for option in (-3, -1):  # thresholds of separate maps and of trimming
-            libc.mallopt(option, 1 << 22)
+        libc.mallopt(-3, 1 << 22)  # from which size on arrays are mapped on their own
+        libc.mallopt(-1, free)
 
 
 def give_back() -> None:

@@ -44,10 +44,13 @@ from .common import ascii_words, keep_memory, small_batches, stored, table
 WINDOW, INNER = 32, 4
 HALF = WINDOW // 2
 WIDTH = 16
+SCALE = np.float32(1 / math.sqrt(WIDTH))
 #: Windows of a training step, and words' subwords of one.
 BATCH, INNER_BATCH = 256, 4096
 #: Queries scored together, whose arrays fit a core's cache; results don't depend on it.
 CHUNK = 1024
+#: Inner nodes of a tree, those most targets pass, on which a training step works as dense matrices; it sets the time taken.
+TOP = 32
 RATE = 0.15
 WHOLE = 0.8
 #: What every subword counts besides its occurrences.
@@ -77,11 +80,6 @@ def summed(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.ascontiguousarray(rows).view(np.complex64), starts, axis=0).view(np.float32)
 
 
-def times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Rows of WIDTH by a matrix, at once."""
-    return (x.reshape(-1, WIDTH) @ w).reshape(x.shape)
-
-
 class Tree:
     """A Huffman tree over subwords: for each, the inner nodes on its path and the sides taken (1 or -1)."""
 
@@ -111,30 +109,45 @@ class Tree:
         self.start = np.cumsum(self.size) - self.size
         self.nodes = np.stack(nodes, 1)[used].astype(np.int32) if nodes else np.empty(0, np.int32)
         self.sides = np.stack(sides, 1)[used] if nodes else np.empty(0, np.float32)
-
-    def paths(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes and sides of the targets' paths one after another, and their sizes."""
-        size = take(self.size, targets)
+        # Nodes are numbered as their mass grows and paths lead to the root, so the nodes of most mass are the last of a path.
+        self.below = max(n - 1 - TOP, 0)
+        of, top = np.repeat(np.arange(n), self.size), self.nodes >= self.below
+        self.rest = self.size - np.bincount(of[top], minlength=n)
+        self.top = np.zeros((n, n - 1 - self.below), np.int8)
+        self.top[of[top], self.nodes[top] - self.below] = self.sides[top]
+
+    def paths(self, targets: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sides of the targets' paths one after another, and their sizes; whole: with the top's nodes."""
+        size = take(self.size if whole else self.rest, targets)
         at = blocks.ragged(take(self.start, targets), size)
         return take(self.nodes, at), take(self.sides, at), size
 
 
 class Compact:
-    """Sums of rows with the same number."""
+    """Numbers that occur, and sums of rows with the same one."""
 
     def __init__(self, n: int) -> None:
         self.flag, self.number = np.zeros(n, bool), np.zeros(n, np.int32)
 
-    def __call__(self, at: np.ndarray, rows, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers that occur, how often, sums); rows(order) gives the rows in an order."""
+    def __call__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers that occur, the place of each of at among them)."""
         self.flag[at] = True
         used = np.flatnonzero(self.flag)
         self.flag[used] = False
         self.number[used] = np.arange(len(used), dtype=np.int32)
-        own = take(self.number, at)
-        order = np.argsort(own.astype(np.uint16) if len(used) < 1 << 16 else own, kind="stable")
-        n_times = np.bincount(own, minlength=len(used))
-        return used, n_times, summed(rows(order), np.cumsum(n_times) - n_times)
+        return used, take(self.number, at)
+
+    @staticmethod
+    def sums(own: np.ndarray, n: int, rows) -> tuple[np.ndarray, np.ndarray]:
+        """(how often each of n places occurs, sums); rows(order) gives the rows in an order."""
+        order = np.argsort(own.astype(np.uint16) if n < 1 << 16 else own, kind="stable")
+        n_times = np.bincount(own, minlength=n)
+        out, some = np.zeros((n, 0), np.float32), np.flatnonzero(n_times)
+        if len(some):
+            found = summed(rows(order), (np.cumsum(n_times) - n_times)[some])
+            out = found if len(some) == n else np.zeros((n, found.shape[1]), np.float32)
+            out[some] = found
+        return n_times, out
 
 
 class Attention:
@@ -160,73 +173,122 @@ class Attention:
         self.distance = (np.clip(HALF + i - j, 0, WINDOW - 1), np.arange(INNER - 1, -1, -1)[None])
         self.causal = j <= HALF + i
 
-    def tables(self) -> tuple:
-        """What each id gives to queries, keys, values and outputs."""
-        return tuple(self.e @ self.p[k] for k in "qkvs")
-
-    def hidden(self, x: np.ndarray, mask: np.ndarray, kind: int, tables: tuple | None = None) -> tuple:
-        """Vectors of the queries, which are the last places of each row of x; mask: (rows, queries, places)."""
-        asked = x[:, -mask.shape[1] :]
-        if tables:
-            q, k, v, s = (take(t, at) for t, at in zip(tables, (asked, x, x, asked), strict=True))
-            e = ea = None
+    def tables(self, e: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """What ids (all, or those with the embeddings e) give where they ask, queries and outputs, and where they are
+        looked at, keys and values."""
+        e, p = self.e if e is None else e, self.p
+        return e @ np.hstack([p["q"] * SCALE, p["s"]]), e @ np.hstack([p["k"], p["v"]])
+
+    def hidden(self, x: np.ndarray, mask: np.ndarray, kind: int, tables: tuple[np.ndarray, np.ndarray]) -> tuple:
+        """Vectors of the queries, and what their gradients need. x: rows of the tables, and mask: (rows, queries, places); for
+        first subwords x has a row for each window, whose last places ask, for later ones a single run, and a query looks at
+        INNER places of it, the last of which asks."""
+        asks, seen = take(tables[0], x[INNER - 1 :] if kind else x[:, -mask.shape[1] :]), take(tables[1], x)
+        q, s, k, v = asks[..., :WIDTH], asks[..., WIDTH:], seen[..., :WIDTH], seen[..., WIDTH:]
+        if kind:
+            mask = mask[:, 0]
+            a = np.empty(mask.shape, np.float32)
+            for j in range(INNER):
+                np.einsum("ij,ij->i", q, k[j : j + len(q)], out=a[:, j])
         else:
-            e = take(self.e, x)
-            ea = np.ascontiguousarray(e[:, -mask.shape[1] :])
-            q, k, v, s = (times(ea if name in "qs" else e, self.p[name]) for name in "qkvs")
-        q *= np.float32(1 / math.sqrt(WIDTH))
-        a = q @ k.transpose(0, 2, 1)
+            a = q @ k.transpose(0, 2, 1)
         a += self.p["lag_in" if kind else "lag"].take(self.distance[kind])
-        np.clip(a, -30, 30, out=a)
+        np.minimum(np.maximum(a, -30, out=a), 30, out=a)
         np.exp(a, out=a)
         a *= mask
         a /= a.sum(-1, keepdims=True)
-        h = a @ v
-        h += s
-        h += self.p["bias"][kind]
-        return h.reshape(-1, WIDTH), (e, ea, q, k, v, a)
+        if kind:
+            h = s + self.p["bias"][kind]
+            for j in range(INNER):
+                h += a[:, j, None] * v[j : j + len(q)]
+        else:
+            h = a @ v
+            h += s
+            h += self.p["bias"][kind]
+        return h.reshape(-1, WIDTH), (q, k, v, a)
 
-    def odds_of(self, h: np.ndarray, target: np.ndarray, kind: int) -> tuple:
+    def odds_of(self, h: np.ndarray, target: np.ndarray, kind: int, whole: bool) -> tuple:
         """For each node on the targets' paths: node, whose path, log odds of the side taken, the side; sizes of paths."""
-        nodes, sides, size = self.trees[kind].paths(target)
+        nodes, sides, size = self.trees[kind].paths(target, whole)
         nodes = nodes + kind * (len(self.odds) // 2)
         of = np.repeat(np.arange(len(target)), size)
         z = np.einsum("ij,ij->i", take(self.u, nodes), take(h, of))
         z += take(self.odds, nodes)
         z *= sides
-        return nodes, of, z, sides, size
+        return nodes, of, np.minimum(np.maximum(z, -60, out=z), 60, out=z), sides, size
 
     def scores(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray, kind: int, tables: tuple | None = None) -> np.ndarray:
         """Log probabilities (natural) of the targets, one for each query."""
-        h, _ = self.hidden(x, mask, kind, tables)
-        *_, z, _, size = self.odds_of(h, target, kind)
+        h, _ = self.hidden(x, mask, kind, tables or self.tables())
+        *_, z, _, size = self.odds_of(h, target, kind, True)
         if not len(z):
             return np.zeros(len(target), np.float32)
-        np.clip(z, -60, 60, out=z)
         return -np.add.reduceat(np.log1p(np.exp(-z)), np.cumsum(size) - size)
 
+    def of_paths(self, h: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> tuple:
+        """Gradients of the loss for h, and (rows, uses, sums) of u."""
+        tree, first = self.trees[kind], kind * (len(self.odds) // 2)
+        top = slice(first + tree.below, first + tree.below + tree.top.shape[1])
+        sides = take(tree.top, target)
+        uses = np.count_nonzero(sides, 0)
+        sides = sides.astype(np.float32)
+        z = h @ self.u[top].T
+        z += self.odds[top]
+        z *= sides
+        np.minimum(np.maximum(z, -60, out=z), 60, out=z)
+        np.exp(z, out=z)
+        z += 1
+        sides *= -share[:, None]
+        d = np.divide(sides, z, out=z)
+        dh, top_sums = d @ self.u[top], d.T @ h
+        nodes, of, z, sides, size = self.odds_of(h, target, kind, False)
+        d = (-take(share, of) / (1 + np.exp(z))) * sides
+        some = np.flatnonzero(size)
+        if len(some):
+            dh[some] += summed(take(self.u, nodes) * d[:, None], (np.cumsum(size) - size)[some])
+        used, own = self.by_node(nodes)
+        n_times, sums = Compact.sums(own, len(used), lambda order: take(h, take(of, order)) * take(d, order)[:, None])
+        rows = np.concatenate([used, np.arange(top.start, top.stop)])
+        return dh, (rows, np.concatenate([n_times, uses]), np.concatenate([sums.reshape(-1, WIDTH), top_sums]))
+
     def gradient(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> tuple:
         """Gradients of the loss, the sum of share times the negative log probability: small ones, then (rows, uses, sums)
-        of e and of u."""
-        h, (e, ea, q, k, v, a) = self.hidden(x, mask, kind)
-        nodes, of, z, sides, size = self.odds_of(h, target, kind)
-        np.clip(z, -60, 60, out=z)
-        d = (-take(share.astype(np.float32), of) / (1 + np.exp(z))) * sides
-        sum_u = self.by_node(nodes, lambda order: take(h, take(of, order)) * take(d, order)[:, None], len(self.u))
-        dh = summed(take(self.u, nodes) * d[:, None], np.cumsum(size) - size).reshape(*mask.shape[:2], WIDTH)
-        n, scale, flat = mask.shape[1], np.float32(1 / math.sqrt(WIDTH)), lambda m: m.reshape(-1, WIDTH)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
-        dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-        g = {"q": flat(ea).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv), "s": flat(ea).T @ flat(dh)}
-        lag = np.bincount(self.distance[kind].ravel(), ds.sum(0).ravel(), INNER if kind else WINDOW)
+        of e and of u. Ids that occur are multiplied by matrices once, on both ways."""
+        used, own = self.by_id(x.ravel())
+        e, place = take(self.e, used), own.reshape(x.shape)
+        h, (q, k, v, a) = self.hidden(place, mask, kind, self.tables(e))
+        dh, sum_u = self.of_paths(h, target, share.astype(np.float32), kind)
+        dasks, dseen = np.empty((*q.shape[:-1], 2 * WIDTH), np.float32), np.zeros((*k.shape[:-1], 2 * WIDTH), np.float32)
+        dq, ds, dk, dv = dasks[..., :WIDTH], dasks[..., WIDTH:], dseen[..., :WIDTH], dseen[..., WIDTH:]
+        ds[:] = dh = dh.reshape(q.shape)
+        if kind:
+            da = np.empty(a.shape, np.float32)
+            for j in range(INNER):
+                np.einsum("ij,ij->i", dh, v[j : j + len(q)], out=da[:, j])
+        else:
+            da = dh @ v.transpose(0, 2, 1)
+        da -= np.einsum("...j,...j->...", a, da)[..., None]
+        da *= a
+        if kind:
+            dq[:] = 0
+            for j in range(INNER):
+                dq += da[:, j, None] * k[j : j + len(q)]
+                dk[j : j + len(q)] += da[:, j, None] * q
+                dv[j : j + len(q)] += a[:, j, None] * dh
+        else:
+            np.matmul(da, k, out=dq)
+            np.matmul(da.transpose(0, 2, 1), q, out=dk)
+            np.matmul(a.transpose(0, 2, 1), dh, out=dv)
+        asked = (place[INNER - 1 :] if kind else place[:, -mask.shape[1] :]).ravel()
+        pair = lambda m: m.reshape(-1, 2 * WIDTH)
+        _, asks = Compact.sums(asked, len(used), lambda order: take(pair(dasks), order))
+        uses, seen = Compact.sums(own, len(used), lambda order: take(pair(dseen), order))
+        asks[:, :WIDTH] *= SCALE
+        p, lag = self.p, np.bincount(self.distance[kind].ravel(), da.sum(0).ravel(), INNER if kind else WINDOW)
+        g = dict(zip("qskv", np.split(e.T @ np.hstack([asks, seen]), 4, 1), strict=True))
         g |= {"lag": np.zeros(WINDOW) if kind else lag, "lag_in": lag if kind else np.zeros(INNER), "bias": np.zeros((2, WIDTH))}
-        g["bias"][kind] = flat(dh).sum(0)
-        de = times(dk, self.p["k"].T)
-        de += times(dv, self.p["v"].T)
-        de[:, -n:] += times(dq, self.p["q"].T) + times(dh, self.p["s"].T)
-        de = flat(de)
-        sum_e = self.by_id(x.ravel(), lambda order: take(de, order), len(self.e))
+        g["bias"][kind] = dh.reshape(-1, WIDTH).sum(0)
+        sum_e = used, uses, asks @ np.hstack([p["q"], p["s"]]).T + seen @ np.hstack([p["k"], p["v"]]).T
         return np.concatenate([g[name].ravel() for name in self.SMALL]).astype(np.float32), sum_e, sum_u
 
     def learner(self) -> None:
@@ -265,12 +327,12 @@ def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
 
 
 def inner(ids: np.ndarray, sizes: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, mask, targets) for every subword of words: what follows it, the next one or the stop."""
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = np.arange(len(ids))[:, None] + np.arange(1 - INNER, 1)
+    """(inputs, mask, targets) for every subword of words: what follows it, the next one or the stop. Inputs are one run,
+    the ids after INNER - 1 stops; query i looks at the INNER places from i on, those of its own word."""
+    depth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     target = np.append(ids[1:], [stop] if len(ids) else [])
     target[np.cumsum(sizes)[sizes > 0] - 1] = stop
-    return ids.take(np.maximum(at, 0)), (at >= start[:, None])[:, None, :], target
+    return np.append(np.full(INNER - 1, stop, ids.dtype), ids), (depth[:, None] >= np.arange(INNER - 1, -1, -1))[:, None, :], target
 
 
 def fit(model: Attention, ids: np.ndarray, sizes: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], end: int) -> None:
@@ -281,17 +343,21 @@ def fit(model: Attention, ids: np.ndarray, sizes: np.ndarray, words: tuple[np.nd
     valid = np.zeros(y.size, bool)
     valid[place] = True
     valid = valid.reshape(y.shape)
-    wx, wmask, wy = inner(words[0], words[1], end)
-    # Frequent words count more, but not so much that the others of their step are lost.
-    share = np.repeat(np.sqrt(words[2]), words[1])
     rng = np.random.default_rng(len(y))
+    # Words in random order, so that a step takes a run of subwords, each looked up once.
+    mixed = rng.permutation(len(words[1]))
+    many = words[1][mixed]
+    wx, wmask, wy = inner(words[0][blocks.ragged((np.cumsum(words[1]) - words[1])[mixed], many)], many, end)
+    # Frequent words count more, but not so much that the others of their step are lost.
+    share = np.repeat(np.sqrt(words[2][mixed]), many)
     picks = [(0, p) for p in np.array_split(rng.permutation(len(y)), -(-len(y) // BATCH))] if len(y) else []
-    picks += [(1, p) for p in np.array_split(rng.permutation(len(wx)), -(-len(wx) // INNER_BATCH))] if len(wx) else []
+    cuts = np.linspace(0, len(wy), -(-len(wy) // INNER_BATCH) + 1).astype(int).tolist()
+    picks += [(1, slice(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)]
     for t, i in enumerate(rng.permutation(len(picks)).tolist(), 1):
         kind, p = picks[i]
         rate = RATE * min(1, t / 10) * (1 - 0.9 * t / len(picks))
         if kind:
-            model.step(rate, wx[p], wmask[p], wy[p], share[p] / share[p].sum(), 1)
+            model.step(rate, wx[p.start : p.stop + INNER - 1], wmask[p], wy[p], share[p] / share[p].sum(), 1)
         else:
             mask = model.causal & (doc[p][:, None, :] == doc[p][:, HALF:, None])
             model.step(rate, x[p], mask, y[p].ravel(), (valid[p] / valid[p].sum()).ravel(), 0)
@@ -311,7 +377,7 @@ def of_rests(model: Attention, ids: np.ndarray, sizes: np.ndarray, end: int, tab
     each = np.zeros(len(ids) + 1)
     x, mask, y = inner(ids, sizes, end)
     for i in range(0, len(y), CHUNK):
-        each[i : i + CHUNK][: len(y) - i] = model.scores(x[i : i + CHUNK], mask[i : i + CHUNK], y[i : i + CHUNK], 1, tables)
+        each[i : i + CHUNK][: len(y) - i] = model.scores(x[i : i + CHUNK + INNER - 1], mask[i : i + CHUNK], y[i : i + CHUNK], 1, tables)
     upto = np.append(0, np.cumsum(each[:-1]))
     ends = np.cumsum(sizes)
     return upto[ends] - upto[ends - sizes]

@@ -469,6 +469,30 @@ def test_attention_gradient(kind):
             values[i] = old
 
 
+@pytest.mark.parametrize("kind", [0, 1])
+def test_attention_gradient_is_free_of_the_dense_top(monkeypatch, kind):
+    import numpy as np
+
+    found = []
+    for top in (0, 5, 32, 100):
+        monkeypatch.setattr(lm_score, "TOP", top)
+        m, rng = small_model()
+        assert m.trees[kind].top.shape == (40, min(top, 39))
+        if kind:
+            # Later subwords are one run, each looked up once.
+            ids = rng.integers(0, 39, 30)
+            x, mask, y = lm_score.inner(ids, np.array([4, 6, 20]), 39)
+            assert x.tolist() == [39] * (lm_score.INNER - 1) + ids.tolist()
+        else:
+            x, doc, y, _ = lm_score.windows(rng.integers(0, 39, 50), np.array([20, 30]), 39)
+            mask, y = m.causal & (doc[:, None, :] == doc[:, lm_score.HALF :, None]), y.ravel()
+        small, (_, _, e_sums), (rows, uses, sums) = m.gradient(x, mask, y, rng.random(len(y)) / len(y), kind)
+        u = np.zeros((len(m.u), lm_score.WIDTH + 1))
+        u[rows, 0], u[rows, 1:] = uses, sums
+        found.append(np.concatenate([small, e_sums.ravel(), u.ravel()]))
+    assert all(np.allclose(x, found[0], atol=1e-5) for x in found[1:])
+
+
 def test_attention_trains_on_every_token(monkeypatch):
     import numpy as np
 
