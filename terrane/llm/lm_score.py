@@ -30,6 +30,7 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,10 +48,12 @@ WIDTH = 16
 SCALE = np.float32(1 / math.sqrt(WIDTH))
 #: Windows of a training step, and words' subwords of one.
 BATCH, INNER_BATCH = 256, 4096
-#: Queries scored together, whose arrays fit a core's cache; results don't depend on it.
-CHUNK = 1024
+#: Queries scored together; results don't depend on it.
+CHUNK = 4096
 #: Inner nodes of a tree, those most targets pass, on which a training step works as dense matrices; it sets the time taken.
-TOP = 32
+TOP = 16
+#: Free memory that a worker keeps between steps.
+STEP_BYTES = 1 << 26
 RATE = 0.15
 WHOLE = 0.8
 #: What every subword counts besides its occurrences.
@@ -170,8 +173,9 @@ class Attention:
         self.u = np.zeros((2 * (n - 1), WIDTH), np.float32) if u is None else u
         self.odds = np.concatenate([t.odds for t in trees])
         i, j = np.arange(HALF)[:, None], np.arange(WINDOW)[None]
-        self.distance = (np.clip(HALF + i - j, 0, WINDOW - 1), np.arange(INNER - 1, -1, -1)[None])
-        self.causal = j <= HALF + i
+        self.distance, self.causal = np.clip(HALF + i - j, 0, WINDOW - 1), j <= HALF + i
+        # Texts begin windows, so that the first half of a window is of its text as a whole or not at all.
+        self.masks = np.stack([self.causal & (j >= HALF), self.causal]).astype(np.float32)
 
     def tables(self, e: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """What ids (all, or those with the embeddings e) give where they ask, queries and outputs, and where they are
@@ -182,31 +186,59 @@ class Attention:
     def hidden(self, x: np.ndarray, mask: np.ndarray, kind: int, tables: tuple[np.ndarray, np.ndarray]) -> tuple:
         """Vectors of the queries, and what their gradients need. x: rows of the tables, and mask: (rows, queries, places); for
         first subwords x has a row for each window, whose last places ask, for later ones a single run, and a query looks at
-        INNER places of it, the last of which asks."""
+        INNER places of it, the last of which asks. The latter's arrays are turned, so that numbers of a run are neighbours."""
         asks, seen = take(tables[0], x[INNER - 1 :] if kind else x[:, -mask.shape[1] :]), take(tables[1], x)
-        q, s, k, v = asks[..., :WIDTH], asks[..., WIDTH:], seen[..., :WIDTH], seen[..., WIDTH:]
         if kind:
-            mask = mask[:, 0]
-            a = np.empty(mask.shape, np.float32)
-            for j in range(INNER):
-                np.einsum("ij,ij->i", q, k[j : j + len(q)], out=a[:, j])
+            asks, seen, n = np.ascontiguousarray(asks.T), np.ascontiguousarray(seen.T), len(mask)
+            q, s, k, v = asks[:WIDTH], asks[WIDTH:], seen[:WIDTH], seen[WIDTH:]
+            a = np.stack([(q * k[:, j : j + n]).sum(0) for j in range(INNER)])
+            a += self.p["lag_in"][::-1, None]
+            mask = mask[:, 0].T
         else:
+            q, s, k, v = asks[..., :WIDTH], asks[..., WIDTH:], seen[..., :WIDTH], seen[..., WIDTH:]
             a = q @ k.transpose(0, 2, 1)
-        a += self.p["lag_in" if kind else "lag"].take(self.distance[kind])
-        np.minimum(np.maximum(a, -30, out=a), 30, out=a)
+            a += self.p["lag"].take(self.distance)
+        np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= mask
-        a /= a.sum(-1, keepdims=True)
+        a /= a.sum(0) if kind else np.einsum("...j->...", a)[..., None]
         if kind:
-            h = s + self.p["bias"][kind]
+            h = s + self.p["bias"][1][:, None]
             for j in range(INNER):
-                h += a[:, j, None] * v[j : j + len(q)]
-        else:
-            h = a @ v
-            h += s
-            h += self.p["bias"][kind]
+                h += a[j] * v[:, j : j + n]
+            return np.ascontiguousarray(h.T), (q, k, v, a)
+        h = a @ v
+        h += s
+        h += self.p["bias"][0]
         return h.reshape(-1, WIDTH), (q, k, v, a)
 
+    def back(self, dh: np.ndarray, kind: int, kept: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients for what hidden()'s tables gave, by query and by place, and for the lags."""
+        q, k, v, a = kept
+        if kind:
+            n, run = a.shape[1], k.shape[1]
+            dasks, dseen = np.zeros((2 * WIDTH, n), np.float32), np.zeros((2 * WIDTH, run), np.float32)
+            dasks[WIDTH:] = dh.T
+            dh = dasks[WIDTH:]
+            da = np.stack([(dh * v[:, j : j + n]).sum(0) for j in range(INNER)])
+            da -= (a * da).sum(0)
+            da *= a
+            for j in range(INNER):
+                dasks[:WIDTH] += da[j] * k[:, j : j + n]
+                dseen[:WIDTH, j : j + n] += da[j] * q
+                dseen[WIDTH:, j : j + n] += a[j] * dh
+            return np.ascontiguousarray(dasks.T), np.ascontiguousarray(dseen.T), da.sum(1)[::-1]
+        dasks, dseen = np.empty((*q.shape[:-1], 2 * WIDTH), np.float32), np.empty((*k.shape[:-1], 2 * WIDTH), np.float32)
+        dh = dh.reshape(q.shape)
+        da = dh @ v.transpose(0, 2, 1)
+        da -= np.einsum("...j,...j->...", a, da)[..., None]
+        da *= a
+        dasks[..., WIDTH:] = dh
+        np.matmul(da, k, out=dasks[..., :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=dseen[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dh, out=dseen[..., WIDTH:])
+        return dasks, dseen, np.bincount(self.distance.ravel(), da.sum(0).ravel(), WINDOW)
+
     def odds_of(self, h: np.ndarray, target: np.ndarray, kind: int, whole: bool) -> tuple:
         """For each node on the targets' paths: node, whose path, log odds of the side taken, the side; sizes of paths."""
         nodes, sides, size = self.trees[kind].paths(target, whole)
@@ -215,82 +247,78 @@ class Attention:
         z = np.einsum("ij,ij->i", take(self.u, nodes), take(h, of))
         z += take(self.odds, nodes)
         z *= sides
-        return nodes, of, np.minimum(np.maximum(z, -60, out=z), 60, out=z), sides, size
+        return nodes, of, np.clip(z, -60, 60, out=z), sides, size
+
+    def top(self, kind: int) -> slice:
+        first, tree = kind * (len(self.odds) // 2), self.trees[kind]
+        return slice(first + tree.below, first + tree.below + tree.top.shape[1])
+
+    def top_odds(self, h: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of the sides taken at the top's nodes, and these sides; both 0 where a path doesn't meet the node."""
+        top, sides = self.top(kind), take(self.trees[kind].top, target).astype(np.float32)
+        z = (h @ self.u[top].T).reshape(sides.shape)
+        z += self.odds[top]
+        z *= sides
+        return np.clip(z, -60, 60, out=z), sides
 
     def scores(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray, kind: int, tables: tuple | None = None) -> np.ndarray:
         """Log probabilities (natural) of the targets, one for each query."""
         h, _ = self.hidden(x, mask, kind, tables or self.tables())
-        *_, z, _, size = self.odds_of(h, target, kind, True)
-        if not len(z):
-            return np.zeros(len(target), np.float32)
-        return -np.add.reduceat(np.log1p(np.exp(-z)), np.cumsum(size) - size)
+        out = np.zeros(len(target), np.float32)
+        if not kind:
+            # A product for each window, as sums in larger ones may depend on a row's place, and equal texts score alike.
+            z, sides = self.top_odds(h.reshape(*mask.shape[:2], WIDTH), target, kind)
+            out -= np.einsum("ij,ij->i", np.log(1 + np.exp(-z)), np.abs(sides))
+        *_, z, _, size = self.odds_of(h, target, kind, bool(kind))
+        some = np.flatnonzero(size)
+        if len(some):
+            out[some] -= np.add.reduceat(np.log(1 + np.exp(-z)), (np.cumsum(size) - size)[some])
+        return out
 
     def of_paths(self, h: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> tuple:
-        """Gradients of the loss for h, and (rows, uses, sums) of u."""
-        tree, first = self.trees[kind], kind * (len(self.odds) // 2)
-        top = slice(first + tree.below, first + tree.below + tree.top.shape[1])
-        sides = take(tree.top, target)
-        uses = np.count_nonzero(sides, 0)
-        sides = sides.astype(np.float32)
-        z = h @ self.u[top].T
-        z += self.odds[top]
-        z *= sides
-        np.minimum(np.maximum(z, -60, out=z), 60, out=z)
+        """Gradients of the loss: for h, for the top's nodes with how often they are met, and for others a node, whose path and
+        the factor of h for each on the targets' paths."""
+        z, sides = self.top_odds(h, target, kind)
+        uses = np.einsum("ij,ij->j", sides, sides)
+        sides *= -share[:, None]
         np.exp(z, out=z)
         z += 1
-        sides *= -share[:, None]
         d = np.divide(sides, z, out=z)
-        dh, top_sums = d @ self.u[top], d.T @ h
+        dh, sums = d @ self.u[self.top(kind)], d.T @ h
         nodes, of, z, sides, size = self.odds_of(h, target, kind, False)
         d = (-take(share, of) / (1 + np.exp(z))) * sides
         some = np.flatnonzero(size)
         if len(some):
             dh[some] += summed(take(self.u, nodes) * d[:, None], (np.cumsum(size) - size)[some])
-        used, own = self.by_node(nodes)
-        n_times, sums = Compact.sums(own, len(used), lambda order: take(h, take(of, order)) * take(d, order)[:, None])
-        rows = np.concatenate([used, np.arange(top.start, top.stop)])
-        return dh, (rows, np.concatenate([n_times, uses]), np.concatenate([sums.reshape(-1, WIDTH), top_sums]))
+        return dh, uses, sums, nodes, of, d
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> tuple:
         """Gradients of the loss, the sum of share times the negative log probability: small ones, then (rows, uses, sums)
         of e and of u. Ids that occur are multiplied by matrices once, on both ways."""
         used, own = self.by_id(x.ravel())
-        e, place = take(self.e, used), own.reshape(x.shape)
-        h, (q, k, v, a) = self.hidden(place, mask, kind, self.tables(e))
-        dh, sum_u = self.of_paths(h, target, share.astype(np.float32), kind)
-        dasks, dseen = np.empty((*q.shape[:-1], 2 * WIDTH), np.float32), np.zeros((*k.shape[:-1], 2 * WIDTH), np.float32)
-        dq, ds, dk, dv = dasks[..., :WIDTH], dasks[..., WIDTH:], dseen[..., :WIDTH], dseen[..., WIDTH:]
-        ds[:] = dh = dh.reshape(q.shape)
-        if kind:
-            da = np.empty(a.shape, np.float32)
-            for j in range(INNER):
-                np.einsum("ij,ij->i", dh, v[j : j + len(q)], out=da[:, j])
-        else:
-            da = dh @ v.transpose(0, 2, 1)
-        da -= np.einsum("...j,...j->...", a, da)[..., None]
-        da *= a
-        if kind:
-            dq[:] = 0
-            for j in range(INNER):
-                dq += da[:, j, None] * k[j : j + len(q)]
-                dk[j : j + len(q)] += da[:, j, None] * q
-                dv[j : j + len(q)] += a[:, j, None] * dh
-        else:
-            np.matmul(da, k, out=dq)
-            np.matmul(da.transpose(0, 2, 1), q, out=dk)
-            np.matmul(a.transpose(0, 2, 1), dh, out=dv)
-        asked = (place[INNER - 1 :] if kind else place[:, -mask.shape[1] :]).ravel()
+        e, p, share = take(self.e, used), self.p, share.astype(np.float32)
+        place, tables = own.reshape(x.shape), self.tables(e)
+        asked = place[INNER - 1 :] if kind else place[:, -mask.shape[1] :]
+        h, kept = self.hidden(place, mask, kind, tables)
+        dh, met, top, nodes, of, d = self.of_paths(h, target, share, kind)
+        dasks, dseen, lag = self.back(dh, kind, kept)
+        node, at = self.by_node(nodes)
+        n_times, below = Compact.sums(at, len(node), lambda order: take(h, take(of, order)) * take(d, order)[:, None])
+        sum_u = np.append(node, np.arange(self.top(kind).start, self.top(kind).stop)), np.append(n_times, met), np.concatenate([below.reshape(-1, WIDTH), top])
         pair = lambda m: m.reshape(-1, 2 * WIDTH)
-        _, asks = Compact.sums(asked, len(used), lambda order: take(pair(dasks), order))
-        uses, seen = Compact.sums(own, len(used), lambda order: take(pair(dseen), order))
+        _, asks = Compact.sums(asked.ravel(), len(used), lambda order: take(pair(dasks), order))
+        n_times, seen = Compact.sums(own, len(used), lambda order: take(pair(dseen), order))
         asks[:, :WIDTH] *= SCALE
-        p, lag = self.p, np.bincount(self.distance[kind].ravel(), da.sum(0).ravel(), INNER if kind else WINDOW)
         g = dict(zip("qskv", np.split(e.T @ np.hstack([asks, seen]), 4, 1), strict=True))
         g |= {"lag": np.zeros(WINDOW) if kind else lag, "lag_in": lag if kind else np.zeros(INNER), "bias": np.zeros((2, WIDTH))}
-        g["bias"][kind] = dh.reshape(-1, WIDTH).sum(0)
-        sum_e = used, uses, asks @ np.hstack([p["q"], p["s"]]).T + seen @ np.hstack([p["k"], p["v"]]).T
+        g["bias"][kind] = dh.sum(0)
+        sum_e = used, n_times, asks @ np.hstack([p["q"], p["s"]]).T + seen @ np.hstack([p["k"], p["v"]]).T
         return np.concatenate([g[name].ravel() for name in self.SMALL]).astype(np.float32), sum_e, sum_u
 
+    def seen_in(self, doc: np.ndarray) -> np.ndarray:
+        """The mask of windows over places of documents."""
+        return take(self.masks, (doc[:, 0] == doc[:, HALF]).astype(np.int8))
+
     def learner(self) -> None:
         """What training keeps besides the parameters."""
         self.by_id, self.by_node = Compact(len(self.e)), Compact(len(self.u))
@@ -359,16 +387,14 @@ def fit(model: Attention, ids: np.ndarray, sizes: np.ndarray, words: tuple[np.nd
         if kind:
             model.step(rate, wx[p.start : p.stop + INNER - 1], wmask[p], wy[p], share[p] / share[p].sum(), 1)
         else:
-            mask = model.causal & (doc[p][:, None, :] == doc[p][:, HALF:, None])
-            model.step(rate, x[p], mask, y[p].ravel(), (valid[p] / valid[p].sum()).ravel(), 0)
+            model.step(rate, x[p], model.seen_in(doc[p]), y[p].ravel(), (valid[p] / valid[p].sum()).ravel(), 0)
 
 
 def of_firsts(model: Attention, ids: np.ndarray, sizes: np.ndarray, end: int, tables: tuple) -> np.ndarray:
     x, doc, y, place = windows(ids, sizes, end)
     out, n = np.empty(y.shape, np.float32), CHUNK // HALF
     for i in range(0, len(y), n):
-        mask = model.causal & (doc[i : i + n][:, None, :] == doc[i : i + n][:, HALF:, None])
-        out[i : i + n] = model.scores(x[i : i + n], mask, y[i : i + n].ravel(), 0, tables).reshape(-1, HALF)
+        out[i : i + n] = model.scores(x[i : i + n], model.seen_in(doc[i : i + n]), y[i : i + n].ravel(), 0, tables).reshape(-1, HALF)
     return out.ravel()[place].astype(np.float64)
 
 
@@ -456,22 +482,23 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
     held = context.broadcast(ranks)
 
     def answer(words: list[list[bytes]], arrays: list[list[np.ndarray]]) -> list[bytes]:
-        encode, total, cuts, out = word_encoder(held.value, pattern), {}, {}, []
-        for mine, (times,) in zip(words, arrays, strict=True):
-            for w, n in zip(mine, times.tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
-        for w in total:
-            cuts[w] = encode(" " + w.decode("utf-8", "surrogatepass")) if w else [end]
-        for mine in words:
-            ids = [cuts[w] for w in mine]
-            out.append(blocks.press(np.array([total[w] for w in mine], np.uint64), np.fromiter(map(len, ids), np.uint32, len(ids)), np.array([i for x in ids for i in x], np.uint32)))
+        encode, number = word_encoder(held.value, pattern), {}
+        at = [np.fromiter((number.setdefault(w, len(number)) for w in mine), np.int64, len(mine)) for mine in words]
+        cuts = [encode(" " + w.decode("utf-8", "surrogatepass")) if w else [end] for w in number]
+        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        ids = np.fromiter(chain.from_iterable(cuts), np.int64, int(sizes.sum()))
+        total, start = np.zeros(len(cuts), np.int64), np.cumsum(sizes) - sizes
+        for mine, (times,) in zip(at, arrays, strict=True):
+            total[mine] += times  # a block has each word once
+        out = [blocks.press(total[mine].astype(np.uint64), sizes[mine].astype(np.uint32), ids[blocks.ragged(start[mine], sizes[mine])].astype(np.uint32)) for mine in at]
         # First subwords, then later ones and stops.
-        pieces = np.zeros(2 * (end + 1), np.int64)
-        of = lambda w: [cuts[w][0], *(end + 1 + i for i in cuts[w][1:]), *([2 * end + 1] if w else [])]
-        np.add.at(pieces, [i for w in cuts for i in of(w)], np.repeat([total[w] for w in cuts], [len(cuts[w]) + bool(w) for w in cuts]))
+        pieces, later = np.zeros(2 * (end + 1), np.int64), np.ones(len(ids), bool)
+        later[start] = False
+        np.add.at(pieces, ids[start], total)
+        np.add.at(pieces, end + 1 + ids[later], np.repeat(total, sizes - 1))
+        pieces[2 * end + 1] += total[ids[start] != end].sum()
         used = np.flatnonzero(pieces)
-        seen = np.array(list(total.values()), np.int64)
-        out.append(blocks.press(np.array([seen.sum(), (seen > 0).sum()], np.uint64), used.astype(np.uint32), pieces[used].astype(np.uint64)))
+        out.append(blocks.press(np.array([total.sum(), (total > 0).sum()], np.uint64), used.astype(np.uint32), pieces[used].astype(np.uint64)))
         return out
 
     source = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -502,7 +529,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
 
     def train(parts: list, order: np.ndarray, blobs: list) -> Iterator[pa.Table]:
         words, model = Words(blobs, end), Attention(trees.value)
-        keep_memory()
+        keep_memory(STEP_BYTES)
         ids, sizes, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros(len(words.first), np.int64)
         for keys, lengths, seq in parts:
             use = in_training(keys.tolist())
@@ -533,7 +560,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
     model = context.broadcast(total.mean(trees.value))
 
     def assemble(parts: list, order: np.ndarray, blobs: list) -> Iterator[pa.Table]:
-        keep_memory()
+        keep_memory(STEP_BYTES)
         words, attention = Words(blobs, end), Attention(trees.value, *model.value)
         tables = attention.tables()
         share = words.count / np.maximum(counts[words.first], 1)
