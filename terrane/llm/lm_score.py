@@ -83,6 +83,13 @@ def summed(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.ascontiguousarray(rows).view(np.complex64), starts, axis=0).view(np.float32)
 
 
+def lost(z: np.ndarray) -> np.ndarray:
+    """Negative log probabilities of the sides taken, in the place of their log odds."""
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1
+    return np.log(z, out=z)
+
+
 class Tree:
     """A Huffman tree over subwords: for each, the inner nodes on its path and the sides taken (1 or -1)."""
 
@@ -268,11 +275,11 @@ class Attention:
         if not kind:
             # A product for each window, as sums in larger ones may depend on a row's place, and equal texts score alike.
             z, sides = self.top_odds(h.reshape(*mask.shape[:2], WIDTH), target, kind)
-            out -= np.einsum("ij,ij->i", np.log(1 + np.exp(-z)), np.abs(sides))
+            out -= np.einsum("ij,ij->i", lost(z), np.abs(sides, out=sides))
         *_, z, _, size = self.odds_of(h, target, kind, bool(kind))
         some = np.flatnonzero(size)
         if len(some):
-            out[some] -= np.add.reduceat(np.log(1 + np.exp(-z)), (np.cumsum(size) - size)[some])
+            out[some] -= np.add.reduceat(lost(z), (np.cumsum(size) - size)[some])
         return out
 
     def of_paths(self, h: np.ndarray, target: np.ndarray, share: np.ndarray, kind: int) -> tuple:
@@ -565,11 +572,11 @@ def score(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PAT
         tables = attention.tables()
         share = words.count / np.maximum(counts[words.first], 1)
         rests = np.logaddexp(of_rests(attention, words.ids, words.sizes, end, tables) + math.log(1 - WHOLE), np.log(np.maximum(share * WHOLE, 1e-300)))
+        bases, seen = np.log10((words.count + 1) / (n_tokens + n_types + 1)), words.count > 0
         for keys, lengths, seq in parts:
-            at = order[seq]
-            seen, owner = words.count[at], np.repeat(np.arange(len(keys)), lengths)
-            base = np.bincount(owner, np.log10((seen + 1) / (n_tokens + n_types + 1)), len(keys))
-            known = np.bincount(owner, seen > 0, len(keys)).astype(np.int64)
+            at, owner = order[seq], np.repeat(np.arange(len(keys)), lengths)
+            base = np.bincount(owner, bases[at], len(keys))
+            known = np.bincount(owner, seen[at], len(keys)).astype(np.int64)
             mixed = (of_firsts(attention, words.first[at], lengths, end, tables) + rests[at]) / math.log(10)
             yield pa.table({"doc_id": pa.array(keys), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(np.bincount(owner, mixed, len(keys)))})
 
