@@ -95,6 +95,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more, such as an earlier round's."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join a large side to one row per key. Each right row is copied `salts` times and `spread` (a value that
     differs between left rows of a key) picks the copy, so that no task meets all left rows of a hot key. The copies are

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, own_dir, salted_join, sieve, sifted, stored, table
+from .common import forget, own_dir, salted_join, sieve, sifted, stored, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -115,15 +115,18 @@ def candidates(scan: DataFrame) -> DataFrame:
 
 
 def reachable(chain: DataFrame) -> DataFrame:
-    """file, off of what pointer jumping reaches from offset 0 of each file. chain: file, off, next."""
-    t = cut(chain.select("file", "off", F.col("next").alias("jump"), (F.col("off") == 0).alias("reached")))
+    """file, off of what pointer jumping reaches from offset 0 of each file. chain: file, off, next. Rounds are cut with
+    stored tables: a checkpoint keeps the estimated size of its plan, whose number of digits trebles with the two joins of
+    every round, until it fills the driver's memory."""
+    t = stored(chain.select("file", "off", F.col("next").alias("jump"), (F.col("off") == 0).alias("reached")), "warc-jumps")
     n = -1
     while (now := t.where("reached").count()) > n:
         n = now
         ahead = t.select("file", F.col("off").alias("jump"), F.col("jump").alias("beyond"))
         marked = t.where("reached").select("file", F.col("jump").alias("off"), F.lit(True).alias("mark")).where("off is not null").distinct()
-        t = t.join(marked, ["file", "off"], "left").join(ahead, ["file", "jump"], "left")
-        t = cut(t.select("file", "off", F.col("beyond").alias("jump"), (F.col("reached") | F.col("mark").isNotNull()).alias("reached")))
+        on = t.join(marked, ["file", "off"], "left").join(ahead, ["file", "jump"], "left")
+        before, t = t, stored(on.select("file", "off", F.col("beyond").alias("jump"), (F.col("reached") | F.col("mark").isNotNull()).alias("reached")), "warc-jumps")
+        forget(before)
     return t.where("reached").select("file", "off")
 
 

@@ -43,3 +43,11 @@ def test_long_urls_of_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = warc.op4_warc(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 3 * i) for i in range(40)]
+
+
+def test_rounds_keep_the_plans_size(spark):
+    """A long chain takes many rounds; the estimated size of what they give stays that of a table."""
+    chain = spark.range(60).selectExpr("'a' as file", "id * 10 as off", "case when id <> 40 then id * 10 + 10 end as next")
+    found = warc.reachable(chain)
+    assert found.count() == 41
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
