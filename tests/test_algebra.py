@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import graph, sampling
+from terrane.operators import graph, matrix, sampling
 from terrane.plans import aggregation, direct
 
 
@@ -114,3 +114,29 @@ def test_hashed_samplers(spark):
         assert all(q - p > reach for p, q in zip(chosen, chosen[1:], strict=False))
         held = {r.i for r in covers.join(samples.select(F.col("id").alias("j")), "j").collect()}
         assert held | set(chosen) == set(range(60))
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_gram_in_blocks(spark, monkeypatch, few):
+    """A A' with repeated triplets, null ids and values; its products are summed where they are made."""
+    monkeypatch.setattr(matrix, "FEW_ROWS", few)
+    monkeypatch.setattr(matrix, "BLOCK_PRODUCTS", 8)
+    t = [(5 * (k % 7) - 9, k % 5, float(k % 4)) for k in range(40)] + [(None, 1, 2.0), (None, 3, 1.0), (1, None, 5.0), (6, 2, None), (6, 2, 3.0), (77, 9, None)]
+    triplets = spark.createDataFrame(t, "i long, j long, v double")
+    a, want = {}, {}
+    for i, j, v in t:
+        a[i, j] = a.get((i, j)) if v is None else (a.get((i, j)) or 0.0) + v
+    for (i, k), v in a.items():
+        for (j, m), w in a.items():
+            if k == m and k is not None:
+                want[i, j] = want.get((i, j)) if v is None or w is None else (want.get((i, j)) or 0.0) + v * w
+    g = matrix.gram(triplets)
+    rows = g.collect()
+    assert {(r.i, r.j): r.v for r in rows} == want and len(rows) == len(want)
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("RepartitionBy") == (few == 0)
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert few or "Exchange" not in plan[: plan.index("Project [block")]
+    u = spark.createDataFrame([(i, i % 3, 1.0 + i) for i in range(-9, 30)], "i long, j long, v double")
+    pull = lambda x: {(r.i, r.j): r.v for r in x.collect()}
+    assert pull(matrix.galerkin_gram(u, triplets)) == pull(matrix.galerkin(u, g))
+    assert pull(matrix.add_diagonal(g, u.select("i", F.col("i").alias("j"), "v"))) == pull(matrix.add((1, g), (1, u.select("i", F.col("i").alias("j"), "v"))))
